@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 # data: shuffle partitions ~ (shuffled bytes / 128 MB), maxPartitionBytes 128-256 MB.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

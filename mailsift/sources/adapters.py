@@ -82,16 +82,18 @@ def mail_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as messages: mailbox = o_custkey, uid = o_orderkey, date = o_orderdate.
 
-    Status F -> SEEN, O -> FLAGGED, P -> none; Subject = o_orderpriority; no body.
+    Status F -> SEEN, O -> FLAGGED, P -> none, plus the priority name (the text after its
+    ``N-`` prefix, e.g. ``URGENT``) as a user flag; Subject = o_orderpriority; no body.
     """
     o = read_table(spark, sf_dir, "orders")
     status = F.col("o_orderstatus")
+    user_flag = F.array(F.upper(F.substring_index(F.col("o_orderpriority"), "-", -1)))
     return o.select(
         F.col("o_custkey").cast("string").alias("mailbox_id"),
         F.col("o_orderkey").alias("uid"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("internal_date"),
         F.lit(None).cast("bigint").alias("size"),
-        booleans_to_flags(seen=status == "F", flagged=status == "O").alias("flags"),
+        booleans_to_flags(seen=status == "F", flagged=status == "O", user_flags=user_flag).alias("flags"),
         F.array(_hdr("Subject", F.col("o_orderpriority"))).alias("headers"),
         F.lit("").alias("body"),
     )
