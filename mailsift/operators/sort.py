@@ -1,4 +1,7 @@
-"""Result ordering (T7-T16): ``key asc|desc, uid asc``; missing keys first ascending."""
+"""Result ordering (T7-T16): ``key asc|desc, uid asc``; missing keys first ascending.
+
+Across several mailboxes ``mailbox_id`` breaks the remaining ties, so a top-k is exact.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ def sort_key(name: str) -> Column:
 def order_columns(name: str, reverse: bool = False) -> list[Column]:
     k = sort_key(name)
     first = k.desc_nulls_last() if reverse else k.asc_nulls_first()
-    return [first, F.col("uid").asc()] if name != "uid" else [first]
+    return [first, F.col("uid").asc(), F.col("mailbox_id").asc()]
 
 
 def sort_results(result: DataFrame, state: DataFrame, name: str, reverse: bool = False,
@@ -47,4 +50,4 @@ def sort_results(result: DataFrame, state: DataFrame, name: str, reverse: bool =
 def _reorder(name: str, reverse: bool) -> list[Column]:
     k = F.col("sort_key")
     first = k.desc_nulls_last() if reverse else k.asc_nulls_first()
-    return [first, F.col("uid").asc()]
+    return [first, F.col("uid").asc(), F.col("mailbox_id").asc()]

@@ -267,3 +267,7 @@ def t6(spark, sf):
     """OR of (FLAGGED AND body 'und') and size < 300: a nested tree in one pass."""
     p, s = docs_index(spark, sf)
     return search(p, s, None, [C.or_(C.and_(C.flag_set("FLAGGED"), C.body_contains("und")), C.size_lt(300))])
+
+
+# the other query modules register themselves on import
+from mailsift.plans import queries_index  # noqa: E402,F401
