@@ -23,7 +23,7 @@ shuffles on the equi-keys and AQE splits skewed partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.flags import flag_name_col
@@ -38,9 +38,16 @@ BROADCAST_ROWS = 2_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; beyond it the plain (shuffle) join runs."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast hint only behind a row-count check; beyond it the plain (shuffle) join runs.
+
+    The side is cached before counting so the count and the join share one computation; a
+    side over the bound is released again and joined by a shuffle (AQE splits skew).
+    """
+    df = df.cache()
+    if df.count() <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def expand_criteria(raw: DataFrame) -> DataFrame:
@@ -72,92 +79,183 @@ def _grams(term_col: str) -> F.Column:
 
 
 def gram_index(dictionary: DataFrame) -> DataFrame:
-    """(field, gram, term) for every dictionary term of 3+ characters (built once per index)."""
+    """(field, term, gram, df) for every dictionary term of 3+ characters (built once per index)."""
+    df = F.col("df") if "df" in dictionary.columns else F.lit(1).cast("bigint")
     return dictionary.where(F.length("term") >= GRAM).select(
-        "field", "term", F.explode(_grams("term")).alias("gram"))
+        "field", "term", F.explode(_grams("term")).alias("gram"), df.alias("df"))
 
 
-def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | None = None) -> DataFrame:
-    """(field, term, qterm) for every dictionary term containing a query term (exact)."""
-    d = dictionary.select("field", "term")
-    grams = grams if grams is not None else gram_index(d)
-    long_q = qterms.where(F.length("qterm") >= GRAM)
-    short_q = qterms.where(F.length("qterm") < GRAM)
+def gram_statistics(grams: DataFrame) -> DataFrame:
+    """(field, gram, n, docs): terms holding the gram, and the sum of their document
+    frequencies (an upper bound of the messages whose terms contain the gram)."""
+    return grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"), F.sum("df").alias("docs"))
 
-    # rarest gram of each long qterm (gram frequencies come from the gram index)
-    gram_df = grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+def rarest_grams(qterms: DataFrame, gram_stats: DataFrame) -> DataFrame:
+    """(field, qterm, gram, n, docs) for query terms of 3+ characters: the trigram of the
+    qterm held by the fewest messages' terms (``docs``, an upper bound of the messages that can
+    match the qterm). n = 0 (a trigram no term has) means no term can match."""
+    long_q = qterms.where(F.length("qterm") >= GRAM)
     q_grams = long_q.select("field", "qterm", F.explode(_grams("qterm")).alias("gram"))
-    pick = q_grams.join(gram_df, ["field", "gram"], "left") \
+    n = F.coalesce(F.col("n"), F.lit(0))
+    docs = F.coalesce(F.col("docs"), F.lit(0))
+    return q_grams.join(gram_stats, ["field", "gram"], "left") \
         .groupBy("field", "qterm") \
-        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"),
-             F.min(F.coalesce("n", F.lit(0))).alias("n")) \
-        .where(F.col("n") > 0).select("field", "gram", "qterm")
+        .agg(F.min_by("gram", F.struct(docs, n, F.col("gram"))).alias("gram"),
+             F.min(n).alias("n"), F.min(docs).alias("docs"))
+
+
+def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | None = None,
+                gram_stats: DataFrame | None = None, pick: DataFrame | None = None) -> DataFrame:
+    """(field, term, qterm) for every dictionary term containing a query term (exact).
+
+    Query terms of 3+ characters: the rarest trigram of the qterm is an equi-join key into the
+    gram index, candidates are verified with `contains`. Shorter ones: broadcast nested loop
+    `contains` over the dictionary (their count is bounded by the 1-2 character strings).
+    """
+    d = dictionary.select("field", "term")
+    grams = grams if grams is not None else gram_index(d)
+    if gram_stats is None:
+        gram_stats = gram_statistics(grams)
+    if pick is None:
+        pick = rarest_grams(qterms, gram_stats)
+    pick = pick.where(F.col("n") > 0).select("field", "gram", "qterm")
     long_hits = grams.join(broadcast_if_small(pick), ["field", "gram"]) \
         .where(F.col("term").contains(F.col("qterm"))).select("field", "term", "qterm")
 
-    sq = broadcast_if_small(short_q.select("field", "qterm"))
+    sq = broadcast_if_small(qterms.where(F.length("qterm") < GRAM).select("field", "qterm"))
     short_hits = d.join(sq, (d["field"] == sq["field"]) & d["term"].contains(sq["qterm"])) \
         .select(d["field"], d["term"], sq["qterm"])
     return long_hits.unionByName(short_hits).distinct()
 
 
+def _state_condition() -> F.Column:
+    k = F.col("kind")
+    return ((k == "flag_set") & F.array_contains(F.col("flags"), F.col("qterm"))) \
+        | ((k == "flag_unset") & ~F.array_contains(F.col("flags"), F.col("qterm"))) \
+        | ((k == "uid") & F.col("uid").between(F.col("lo"), F.col("hi"))) \
+        | ((k == "size_eq") & (F.col("size") == F.col("lo"))) \
+        | ((k == "size_lt") & (F.col("size") < F.col("lo"))) \
+        | ((k == "size_gt") & (F.col("size") > F.col("lo"))) \
+        | ((k == "date_between") & F.col("internal_date").between(
+            F.timestamp_micros(F.col("lo")).cast("timestamp_ntz"),
+            F.timestamp_micros(F.col("hi")).cast("timestamp_ntz")))
+
+
+def _mailbox_ok() -> F.Column:
+    return F.col("q_mailbox").isNull() | (F.col("q_mailbox") == F.col("mailbox_id"))
+
+
+def _state_hits(st: DataFrame, s_crit: DataFrame) -> DataFrame:
+    """(query_id, clause_id, mailbox_id, uid) of state clauses over message_state."""
+    cols = ["query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"), "kind", "qterm", "lo", "hi"]
+    bound = broadcast_if_small(s_crit.where(F.col("mailbox_id").isNotNull()).select(*cols))
+    parts = [st.join(bound, (st["mailbox_id"] == bound["q_mailbox"]) & _state_condition())
+             .select("query_id", "clause_id", "mailbox_id", "uid")]
+    free = s_crit.where(F.col("mailbox_id").isNull()).select(*cols).cache()
+    n_free = free.count()
+    if n_free:
+        if n_free > BROADCAST_ROWS:
+            raise ValueError("too many state clauses without a mailbox for one batch; split the batch")
+        parts.append(st.join(F.broadcast(free), _state_condition())
+                     .select("query_id", "clause_id", "mailbox_id", "uid"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+SHORT_WEIGHT = 2**62      # clause weight of a 1-2 character token: never preferred as driver
+DRIVER_CLAUSES = 3        # lightest clauses whose intersection gives the candidates
+
+
 def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, match: str = "any",
-                 dictionary: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
-    """B1: (query_id, mailbox_id, uid) for every query of the criteria table."""
-    crit = expand_criteria(criteria)
+                 dictionary: DataFrame | None = None, grams: DataFrame | None = None,
+                 gram_stats: DataFrame | None = None) -> DataFrame:
+    """B1: (query_id, mailbox_id, uid) for every query of the criteria table.
+
+    ``match='any'``: a message matches when any clause matches (the reference's default).
+    ``match='all'``: conjunctive plan. Each clause gets a weight from the gram statistics
+    alone (per token: messages whose terms hold its rarest trigram); the messages matching all
+    of the query's ``DRIVER_CLAUSES`` lightest clauses are the candidates, and only candidates
+    are checked against the query's other clauses, on their own postings. No hit is fanned out to every query sharing a term,
+    and common short tokens are never expanded over the whole index.
+    """
+    if match not in ("any", "all"):
+        raise ValueError("match must be 'any' or 'all'")
+    crit = broadcast_if_small(expand_criteria(criteria))    # criteria-sized, reused below
     p_crit = crit.where(F.col("field").isNotNull())
     s_crit = crit.where(F.col("kind").isin(*STATE_KINDS))
-
-    parts = []
-    if p_crit.take(1):
-        dictionary = dictionary if dictionary is not None else term_dictionary(postings)
-        qterms = p_crit.select("field", "qterm").distinct()
-        tm = match_terms(dictionary, qterms, grams)
-        hits = postings.select("mailbox_id", "uid", "field", "term").join(tm, ["field", "term"])
-        pc = broadcast_if_small(p_crit.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"),
-                                              "field", "qterm"))
-        tagged = hits.join(pc, ["field", "qterm"]) \
-            .where(F.col("q_mailbox").isNull() | (F.col("q_mailbox") == F.col("mailbox_id")))
-        parts.append(tagged.select("query_id", "clause_id", "mailbox_id", "uid"))
-
-    if s_crit.take(1):
-        k = F.col("kind")
-        cond = ((k == "flag_set") & F.array_contains(F.col("flags"), F.col("qterm"))) \
-            | ((k == "flag_unset") & ~F.array_contains(F.col("flags"), F.col("qterm"))) \
-            | ((k == "uid") & F.col("uid").between(F.col("lo"), F.col("hi"))) \
-            | ((k == "size_eq") & (F.col("size") == F.col("lo"))) \
-            | ((k == "size_lt") & (F.col("size") < F.col("lo"))) \
-            | ((k == "size_gt") & (F.col("size") > F.col("lo"))) \
-            | ((k == "date_between") & F.col("internal_date").between(
-                F.timestamp_micros(F.col("lo")).cast("timestamp_ntz"),
-                F.timestamp_micros(F.col("hi")).cast("timestamp_ntz")))
-        st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
-        # clauses bound to a mailbox: equi-join on mailbox_id (shuffled when large; AQE splits skew)
-        bound = s_crit.where(F.col("mailbox_id").isNotNull())
-        sb = broadcast_if_small(bound.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"),
-                                             "kind", "qterm", "lo", "hi"))
-        parts.append(st.join(sb, (st["mailbox_id"] == sb["q_mailbox"]) & cond)
-                     .select("query_id", "clause_id", "mailbox_id", "uid"))
-        # clauses over every mailbox: a broadcast nested-loop filter, allowed only when small
-        free = s_crit.where(F.col("mailbox_id").isNull())
-        n_free = free.count()
-        if n_free:
-            if n_free > BROADCAST_ROWS:
-                raise ValueError("too many state clauses without a mailbox for one batch; split the batch")
-            fb = F.broadcast(free.select("query_id", "clause_id", "kind", "qterm", "lo", "hi"))
-            parts.append(st.join(fb, cond).select("query_id", "clause_id", "mailbox_id", "uid"))
-
-    if not parts:
+    st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
+    has_p, has_s = bool(p_crit.take(1)), bool(s_crit.take(1))
+    if not (has_p or has_s):
         raise ValueError("criteria table has no posting or state clause")
-    hits = parts[0]
-    for extra in parts[1:]:
-        hits = hits.unionByName(extra)
+    pc = p_crit.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"), "field", "qterm")
+    post = postings.select("mailbox_id", "uid", "field", "term")
+    if has_p and dictionary is None:
+        dictionary = term_dictionary(postings)
+
     if match == "any":
-        return hits.select("query_id", "mailbox_id", "uid").distinct()
-    if match == "all":
-        need = crit.where(F.col("kind") != "all").groupBy("query_id") \
-            .agg(F.countDistinct("clause_id").alias("need"))
-        got = hits.groupBy("query_id", "mailbox_id", "uid").agg(F.countDistinct("clause_id").alias("got"))
-        return got.join(need, "query_id").where(F.col("got") == F.col("need")) \
+        parts = []
+        if has_p:
+            tm = match_terms(dictionary, p_crit.select("field", "qterm").distinct(), grams, gram_stats)
+            hits = post.join(broadcast_if_small(tm), ["field", "term"]) \
+                .select("mailbox_id", "uid", "field", "qterm").distinct()
+            parts.append(hits.join(F.broadcast(pc), ["field", "qterm"]).where(_mailbox_ok())
+                         .select("query_id", "mailbox_id", "uid"))
+        if has_s:
+            parts.append(_state_hits(st, s_crit).select("query_id", "mailbox_id", "uid"))
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return out.distinct()
+
+    need = crit.where(F.col("kind") != "all").groupBy("query_id") \
+        .agg(F.countDistinct("clause_id").alias("need"))
+    results = []
+    if has_p:
+        if grams is None:
+            grams = gram_index(dictionary.select("field", "term"))
+        if gram_stats is None:
+            gram_stats = gram_statistics(grams)
+        # token weight: messages whose terms hold its rarest trigram (short tokens: never first)
+        pick = broadcast_if_small(rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats))
+        w_tok = F.when(F.length("qterm") < GRAM, F.lit(SHORT_WEIGHT)) \
+            .when(F.col("n") > 0, F.col("docs")).otherwise(F.lit(0))
+        weight = pc.join(pick.select("field", "qterm", "n", "docs"), ["field", "qterm"], "left") \
+            .groupBy("query_id", "clause_id").agg(F.sum(w_tok).alias("w"))
+        # the DRIVER_CLAUSES lightest clauses of each query (window over one query's clauses)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("w", "clause_id"))
+        drivers = weight.withColumn("rank", rank).where(F.col("rank") <= DRIVER_CLAUSES) \
+            .select("query_id", "clause_id")
+        n_drv = drivers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_drv"))
+        d_tok = broadcast_if_small(pc.join(drivers, ["query_id", "clause_id"]))
+        d_q = d_tok.select("field", "qterm").distinct()
+        d_terms = match_terms(dictionary, d_q, grams, gram_stats,
+                              pick=pick.join(F.broadcast(d_q), ["field", "qterm"], "left_semi"))
+        d_match = broadcast_if_small(d_terms.join(d_tok, ["field", "qterm"])
+                                     .select("query_id", "clause_id", "q_mailbox", "field", "term"))
+        # candidates: messages matching every driver clause of the query
+        cand = post.join(d_match, ["field", "term"]).where(_mailbox_ok()) \
+            .select("query_id", "clause_id", "mailbox_id", "uid").distinct() \
+            .groupBy("query_id", "mailbox_id", "uid").agg(F.count(F.lit(1)).alias("c")) \
+            .join(F.broadcast(n_drv), "query_id").where(F.col("c") == F.col("n_drv")) \
             .select("query_id", "mailbox_id", "uid")
-    raise ValueError("match must be 'any' or 'all'")
+        # verify: each candidate against every posting clause of its query, on its own postings
+        cand_tok = broadcast_if_small(cand.join(F.broadcast(pc), "query_id").where(_mailbox_ok())
+                                      .select("query_id", "clause_id", "mailbox_id", "uid", "field", "qterm"))
+        got = post.join(cand_tok, ["mailbox_id", "uid", "field"]) \
+            .where(F.col("term").contains(F.col("qterm"))) \
+            .select("query_id", "clause_id", "mailbox_id", "uid")
+        if has_s:
+            sc = s_crit.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"),
+                               "kind", "qterm", "lo", "hi")
+            s_ok = cand.join(st, ["mailbox_id", "uid"]).join(F.broadcast(sc), "query_id") \
+                .where(_mailbox_ok() & _state_condition()) \
+                .select("query_id", "clause_id", "mailbox_id", "uid")
+            got = got.unionByName(s_ok)
+        results.append(got)
+    if has_s:
+        # queries made of state clauses only
+        p_queries = pc.select("query_id").distinct()
+        only_s = s_crit.join(F.broadcast(p_queries), "query_id", "left_anti")
+        results.append(_state_hits(st, only_s))
+    hits = results[0] if len(results) == 1 else results[0].unionByName(results[1])
+    counted = hits.groupBy("query_id", "mailbox_id", "uid").agg(F.countDistinct("clause_id").alias("got"))
+    return counted.join(F.broadcast(need), "query_id").where(F.col("got") == F.col("need")) \
+        .select("query_id", "mailbox_id", "uid")

@@ -11,6 +11,8 @@ Design for scale:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from mailsift.functions import headers as H
 from mailsift.functions.flags import normalize_flags
 from mailsift.functions.text import MAX_TOKEN_LENGTH, tokenize
 from mailsift.schema import ADDRESS_FIELDS
+from mailsift.session import spread_small_input
 
 POSTING_KEY = ["mailbox_id", "field", "term", "uid"]
 
@@ -60,8 +63,14 @@ def field_terms(msg_headers: Column, body: Column) -> Column:
     return F.array(*items)
 
 
-def build_postings(messages: DataFrame, dedup: str = "message") -> DataFrame:
-    """P2 + P3: one row per distinct (mailbox_id, field, term, uid)."""
+def build_postings(messages: DataFrame, dedup: str = "message", spread: bool = True) -> DataFrame:
+    """P2 + P3: one row per distinct (mailbox_id, field, term, uid).
+
+    ``spread`` spreads a small few-file input over all task slots before tokenizing (see
+    `session.spread_small_input`); large inputs are left as they are.
+    """
+    if spread:
+        messages = spread_small_input(messages)
     per_field = messages.select(
         "mailbox_id", "uid", F.explode(field_terms(F.col("headers"), F.col("body"))).alias("ft"))
     exploded = per_field.select(
@@ -75,8 +84,10 @@ def build_postings(messages: DataFrame, dedup: str = "message") -> DataFrame:
     return postings
 
 
-def explode_postings(messages: DataFrame) -> DataFrame:
+def explode_postings(messages: DataFrame, spread: bool = True) -> DataFrame:
     """P2 alone: every (field, term) occurrence, repeats kept (input of B4)."""
+    if spread:
+        messages = spread_small_input(messages)
     per_field = messages.select(
         "mailbox_id", "uid", F.explode(field_terms(F.col("headers"), F.col("body"))).alias("ft"))
     return per_field.select("mailbox_id", F.col("ft.field").alias("field"),
@@ -133,11 +144,43 @@ def write_state(state: DataFrame, path: str) -> str:
     return path
 
 
-def rebuild_index(messages: DataFrame, path: str, dedup: str = "message") -> tuple[str, str]:
-    """Full index (postings + state) from a messages table, one write job each."""
-    p_path = write_postings(build_postings(messages, dedup), f"{path}/postings")
-    s_path = write_state(build_state(messages), f"{path}/state")
-    return p_path, s_path
+@dataclass
+class Index:
+    """The tables of one index. Dictionary and gram tables are optional accelerators."""
+    postings: DataFrame
+    state: DataFrame
+    dictionary: DataFrame | None = None
+    grams: DataFrame | None = None
+    gram_stats: DataFrame | None = None
+
+
+def rebuild_index(messages: DataFrame, path: str, dedup: str = "message") -> str:
+    """Full index from a messages table, one write job per table.
+
+    postings/   P2 + P3, partitioned by field (W1)
+    state/      message_state
+    dictionary/ distinct (field, term, df) from the written postings (B2)
+    grams/      (field, term, gram, df) trigram index of the dictionary (substring search)
+    gram_stats/ (field, gram, n, docs) gram frequencies (terms, summed document frequency)
+    Later tables read the earlier written ones, so no step re-tokenizes and lineage is cut.
+    """
+    from mailsift.operators.batch import gram_index, gram_statistics
+    spark = messages.sparkSession
+    write_postings(build_postings(messages, dedup), f"{path}/postings")
+    write_state(build_state(messages), f"{path}/state")
+    term_dictionary(spark.read.parquet(f"{path}/postings")).write.mode("errorifexists") \
+        .parquet(f"{path}/dictionary")
+    gram_index(spark.read.parquet(f"{path}/dictionary")).write.mode("errorifexists") \
+        .partitionBy("field").parquet(f"{path}/grams")
+    gram_statistics(spark.read.parquet(f"{path}/grams")).write.mode("errorifexists") \
+        .parquet(f"{path}/gram_stats")
+    return path
+
+
+def load_index(spark, path: str) -> Index:
+    r = spark.read
+    return Index(r.parquet(f"{path}/postings"), r.parquet(f"{path}/state"), r.parquet(f"{path}/dictionary"),
+                 r.parquet(f"{path}/grams"), r.parquet(f"{path}/gram_stats"))
 
 
 def term_dictionary(postings: DataFrame) -> DataFrame:

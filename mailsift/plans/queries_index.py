@@ -9,8 +9,8 @@ from mailsift.functions.text import tokenize
 from mailsift.operators import batch as B
 from mailsift.operators import maintain as M
 from mailsift.operators import search as S
-from mailsift.operators.ingest import (build_postings, build_state, explode_postings, rebuild_index,
-                                       term_dictionary, term_frequency, write_postings)
+from mailsift.operators.ingest import (build_postings, build_state, explode_postings, load_index,
+                                       rebuild_index, term_dictionary, term_frequency, write_postings)
 from mailsift.operators.sort import sort_results
 from mailsift.plans import oracle as O
 from mailsift.plans.registry import conv_index, docs_index, flags_str, orders_index, register
@@ -247,16 +247,18 @@ SELECT g.query_id, g.mailbox_id, g.uid FROM got g JOIN need n ON g.query_id = n.
 def b1(spark, sf):
     """B1: one query per benchmark item, every distinct token a clause, match='all':
     documents that contain all words of a benchmark passage (as substrings of terms)."""
-    p, s = docs_index(spark, sf)
-    return B.search_batch(p, s, benchmark_criteria(spark, sf, per_token=True), match="all")
+    ix = load_index(spark, rebuild_index(mail_docs(spark, sf), new_scratch_path(spark, "index")))
+    return B.search_batch(ix.postings, ix.state, benchmark_criteria(spark, sf, per_token=True), match="all",
+                          dictionary=ix.dictionary, grams=ix.grams, gram_stats=ix.gram_stats)
 
 
 @register("B1b_search_batch_any", O.with_(O.DOC_POSTINGS, BENCH_TERMS) + """
 SELECT DISTINCT tm.query_id, p.mailbox_id, p.uid FROM doc_postings p JOIN tm ON p.term = tm.term""")
 def b1b(spark, sf):
     """B1 with the reference's default: the item text is one body clause, any token matches."""
-    p, s = docs_index(spark, sf)
-    return B.search_batch(p, s, benchmark_criteria(spark, sf, per_token=False), match="any")
+    ix = load_index(spark, rebuild_index(mail_docs(spark, sf), new_scratch_path(spark, "index")))
+    return B.search_batch(ix.postings, ix.state, benchmark_criteria(spark, sf, per_token=False), match="any",
+                          dictionary=ix.dictionary, grams=ix.grams, gram_stats=ix.gram_stats)
 
 
 @register("B2_term_dictionary", O.with_(O.DOC_POSTINGS) + """
@@ -280,8 +282,8 @@ def b2b(spark, sf):
 @register("B3_rebuild_index", _postings_sql([O.CONV_POSTINGS], "conv_postings"))
 def b3(spark, sf):
     """Full index build of the conversations written to the scratch folder, read back."""
-    p_path, _ = rebuild_index(mail_conv(spark, sf), new_scratch_path(spark, "index"))
-    return spark.read.parquet(p_path).select(*P_COLS)
+    root = rebuild_index(mail_conv(spark, sf), new_scratch_path(spark, "index"))
+    return spark.read.parquet(f"{root}/postings").select(*P_COLS)
 
 
 @register("B4_term_frequency", O.with_(O.CONV_H, O.CONV_TEXTS) + f"""

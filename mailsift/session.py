@@ -70,3 +70,42 @@ def ensure_utc(spark: SparkSession) -> None:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+# Inputs below this many bytes that come in fewer files than task slots are spread with a
+# round-robin repartition before per-row heavy work (tokenizing, MIME). Large inputs always
+# have enough file splits, so they are never shuffled for this.
+SPREAD_MAX_BYTES = 2 * 1024**3
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the given files/folders (Hadoop FileSystem API, any storage)."""
+    jvm = spark._jvm
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += fs.getContentSummary(p).getLength()
+    return total
+
+
+def spread_small_input(df, min_tasks: int | None = None):
+    """Repartition a small, few-file input to ``min_tasks`` (default: cluster parallelism)."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    tasks = min_tasks or spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= tasks:
+        return df
+    if input_bytes(spark, files) > SPREAD_MAX_BYTES:
+        return df
+    return df.repartition(tasks)
+
+
+def materialize(df, name: str):
+    """Write an intermediate that is read several times as Parquet in the shared scratch
+    folder and read it back: computed once, lineage cut, survives executor loss."""
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
