@@ -65,21 +65,38 @@ def deleted_keys(fold: DataFrame) -> DataFrame:
         .select(*KEYS)
 
 
-def rejected_updates(changes: DataFrame, order: str = "seq") -> DataFrame:
+CHUNK = 4096   # events per prefix-scan chunk of one key
+
+
+def rejected_updates(changes: DataFrame, order: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """Q17: flag updates of a key that was not live at that moment (no add yet, or deleted).
 
-    A running max per key over the log (window partitioned by key, so each window is one
-    message's history, never a whole mailbox).
+    A running "last add / last delete before this event" per key, computed as a two-level
+    prefix scan so that one key holding a third of the log never sits in one task:
+    1. events are cut into chunks of ``chunk`` consecutive sequence numbers; each
+       (key, chunk) aggregates its last add / delete (partial aggregation, spread by chunk);
+    2. a window over a key's *chunk summaries* (events / chunk rows) gives the state before
+       each chunk;
+    3. a window over (key, chunk) (at most ``chunk`` rows) gives the state inside the chunk.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy(*KEYS).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seq = F.col(order)
-    hist = changes.select(*KEYS, order, "op",
-                          F.max(F.when(F.col("op") == "add", seq)).over(w).alias("prev_add"),
-                          F.max(F.when(F.col("op") == "delete", seq)).over(w).alias("prev_delete"))
-    alive = F.col("prev_add") > F.coalesce(F.col("prev_delete"), F.lit(-1))
+    seq, op = F.col(order), F.col("op")
+    ev = changes.select(*KEYS, seq.alias("seq"), "op", F.floor(seq / chunk).alias("chunk"))
+    add_s = F.when(op == "add", F.col("seq"))
+    del_s = F.when(op == "delete", F.col("seq"))
+    summary = ev.groupBy(*KEYS, "chunk").agg(F.max(add_s).alias("c_add"), F.max(del_s).alias("c_del"))
+    before = Window.partitionBy(*KEYS).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = summary.select(*KEYS, "chunk", F.max("c_add").over(before).alias("p_add"),
+                            F.max("c_del").over(before).alias("p_del"))
+    inside = Window.partitionBy(*KEYS, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    local = ev.select(*KEYS, "chunk", "seq", "op", F.max(add_s).over(inside).alias("l_add"),
+                      F.max(del_s).over(inside).alias("l_del"))
+    hist = local.join(prefix, [*KEYS, "chunk"])
+    prev_add = F.greatest("l_add", "p_add")          # greatest skips NULLs
+    prev_del = F.greatest("l_del", "p_del")
+    alive = prev_add > F.coalesce(prev_del, F.lit(-1))
     return hist.where((F.col("op") == "flags") & ~F.coalesce(alive, F.lit(False))) \
-        .select(*KEYS, F.col(order).alias("seq"))
+        .select(*KEYS, "seq")
 
 
 def delete_messages(postings: DataFrame, state: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

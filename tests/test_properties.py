@@ -131,3 +131,10 @@ def test_dates_on_orders_half_open(spark):
     closed = search(p, st, None, [C.date_on(dt.datetime(1997, 5, 1), "month")]).count()
     half = search(p, st, None, [C.date_on(dt.datetime(1997, 5, 1), "month", "half_open")]).count()
     assert (closed, half) == (218, 206)
+
+
+def test_rejected_updates_chunked_equals_single_window(spark):
+    ch = mail_changes(spark, "/root/testdata/sf0.01")
+    a = sorted(map(tuple, M.rejected_updates(ch, chunk=7).collect()))
+    b = sorted(map(tuple, M.rejected_updates(ch, chunk=10**9).collect()))
+    assert a == b and a
