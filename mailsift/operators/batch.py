@@ -185,15 +185,16 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     s_crit = crit.where(F.col("kind").isin(*STATE_KINDS))
     st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
     has_p, has_s = bool(p_crit.take(1)), bool(s_crit.take(1))
-    if not (has_p or has_s):
-        raise ValueError("criteria table has no posting or state clause")
     pc = p_crit.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"), "field", "qterm")
     post = postings.select("mailbox_id", "uid", "field", "term")
+    whole = _whole_mailbox_queries(criteria, crit, st)
     if has_p and dictionary is None:
         dictionary = term_dictionary(postings)
 
+    if not (has_p or has_s):
+        return whole
     if match == "any":
-        parts = []
+        parts = [whole]
         if has_p:
             tm = match_terms(dictionary, p_crit.select("field", "qterm").distinct(), grams, gram_stats)
             hits = post.join(broadcast_if_small(tm), ["field", "term"]) \
@@ -202,7 +203,9 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
                          .select("query_id", "mailbox_id", "uid"))
         if has_s:
             parts.append(_state_hits(st, s_crit).select("query_id", "mailbox_id", "uid"))
-        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        out = parts[0]
+        for extra in parts[1:]:
+            out = out.unionByName(extra)
         return out.distinct()
 
     need = crit.where(F.col("kind") != "all").groupBy("query_id") \
@@ -258,4 +261,16 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     hits = results[0] if len(results) == 1 else results[0].unionByName(results[1])
     counted = hits.groupBy("query_id", "mailbox_id", "uid").agg(F.countDistinct("clause_id").alias("got"))
     return counted.join(F.broadcast(need), "query_id").where(F.col("got") == F.col("need")) \
-        .select("query_id", "mailbox_id", "uid")
+        .select("query_id", "mailbox_id", "uid").unionByName(whole)
+
+
+def _whole_mailbox_queries(raw: DataFrame, crit: DataFrame, st: DataFrame) -> DataFrame:
+    """Queries without any effective clause (only `all` or token-less text, Q2/Q3) select
+    their whole mailbox: an equi-join of message_state with those queries on mailbox_id. Such
+    a query without a mailbox would pair it with every message, so it is refused."""
+    effective = crit.where(F.col("kind") != "all").select("query_id").distinct()
+    neutral = raw.select("query_id", "mailbox_id").distinct().join(effective, "query_id", "left_anti")
+    neutral = broadcast_if_small(neutral)
+    if neutral.where(F.col("mailbox_id").isNull()).take(1):
+        raise ValueError("a query with only neutral clauses needs a mailbox_id in search_batch")
+    return st.join(neutral, "mailbox_id").select("query_id", "mailbox_id", "uid")

@@ -15,7 +15,7 @@ from mailsift.plans.registry import flags_str, register
 from mailsift.schema import CHANGES, MESSAGES
 from mailsift.session import new_scratch_path
 from mailsift.sources.adapters import mail_changes, mail_conv
-from mailsift.streaming.stream import stage_files, stream_dedup, stream_index, stream_state
+from mailsift.streaming.stream import read_state, stage_files, stream_dedup, stream_index, stream_state
 
 N_FILES = 4
 
@@ -32,8 +32,8 @@ def r1(spark, sf):
 def r2(spark, sf):
     """R2: the change log arrives in micro-batches; versioned state equals the batch fold."""
     src = stage_files(mail_changes(spark, sf).select(*CHANGES.fieldNames()), new_scratch_path(spark, "in-chg"), N_FILES)
-    latest = stream_state(spark, src, CHANGES, new_scratch_path(spark, "state"))
-    return live_flags(spark.read.parquet(latest)).select("mailbox_id", "uid", flags_str())
+    root = stream_state(spark, src, CHANGES, new_scratch_path(spark, "state"))
+    return live_flags(read_state(spark, root)).select("mailbox_id", "uid", flags_str())
 
 
 @register("R3_stream_dedup", O.with_(O.CHANGES) + "SELECT DISTINCT mailbox_id, uid FROM chg WHERE op = 'add'")

@@ -1,10 +1,10 @@
 """Structured Streaming forms of indexing and maintenance.
 
 R1 `stream_index`   stateless: readStream messages -> postings -> parquet append sink.
-R2 `stream_state`   foreachBatch: fold the micro-batch (mergeable aggregate of maintain.py),
-                    merge with the previous state version, write version ``v=<batch_id>``.
-                    A replayed batch rewrites only its own version from older ones, so the
-                    sink is exactly-once; every version is a written table (lineage is cut).
+R2 `stream_state`   stateful streaming aggregation (the fold of maintain.py) in update mode;
+                    each micro-batch writes the keys it changed as ``delta/v=<batch_id>``
+                    (a replayed batch rewrites only its own delta: exactly-once); readers
+                    merge base + deltas, `compact_state` folds deltas into a new base.
 R3 `stream_dedup`   stateful `dropDuplicates` on (mailbox_id, uid): adding a message twice
                     has the effect of adding it once.
 
@@ -15,6 +15,7 @@ restarted query resumes where it stopped after executor or driver loss.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailsift.operators.ingest import build_postings
 from mailsift.operators.maintain import fold_changes, merge_folds
@@ -67,28 +68,63 @@ def stream_index(spark: SparkSession, source: str, schema, sink: str, checkpoint
 
 def stream_state(spark: SparkSession, source: str, schema, state_root: str,
                  checkpoint: str | None = None, max_files: int = 1) -> str:
-    """R2: fold a change-log stream into versioned state folders; returns the latest version."""
+    """R2: fold a change-log stream with a stateful streaming aggregation.
+
+    The fold of `maintain.fold_changes` is a declarative aggregate, so Structured Streaming
+    keeps it per key in its state store (incremental, checkpointed). In ``update`` mode each
+    micro-batch emits only the keys it touched, with their complete folded row; they are
+    written as ``delta/v=<batch_id>`` (overwrite: a replayed batch rewrites only its own delta).
+    Late events lose against newer ones inside the aggregate. One state root belongs to one
+    checkpoint (batch ids name the deltas). Returns ``state_root``; read it with `read_state`,
+    fold old deltas into a base with `compact_state`.
+    """
     checkpoint = checkpoint or new_scratch_path(spark, "ckpt-state")
 
-    def fold_batch(batch: DataFrame, batch_id: int) -> None:
-        new = fold_changes(batch)
-        prev = latest_version(spark, state_root, below=batch_id)
-        merged = merge_folds(spark.read.parquet(prev), new) if prev else new
-        merged.write.mode("overwrite").parquet(f"{state_root}/v={batch_id:010d}")
+    def write_delta(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state_root}/delta/v={batch_id:010d}")
 
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    q = (changes.writeStream.foreachBatch(fold_batch)
+    q = (fold_changes(changes).writeStream.outputMode("update").foreachBatch(write_delta)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_version(spark, state_root)
+    return state_root
+
+
+def read_state(spark: SparkSession, state_root: str) -> DataFrame:
+    """Current folded state: the newest compacted base merged with the deltas after it."""
+    base = latest_version(spark, f"{state_root}/base")
+    deltas = spark.read.parquet(f"{state_root}/delta")
+    if base is None:
+        return merge_folds(deltas.limit(0), deltas)
+    since = int(base.rstrip("/").rsplit("v=", 1)[1])
+    return merge_folds(spark.read.parquet(base), deltas.where(F.col("v") > since))
+
+
+def compact_state(spark: SparkSession, state_root: str) -> str:
+    """Fold base + deltas into ``base/v=<last batch>``; later reads skip the older deltas."""
+    deltas = latest_version(spark, f"{state_root}/delta")
+    last = int(deltas.rstrip("/").rsplit("v=", 1)[1])
+    path = f"{state_root}/base/v={last:010d}"
+    read_state(spark, state_root).write.mode("overwrite").parquet(path)
+    return path
 
 
 def stream_dedup(spark: SparkSession, source: str, schema, sink: str, checkpoint: str | None = None,
-                 max_files: int = 1, keys=("mailbox_id", "uid")) -> str:
-    """Drop repeated adds of the same key across the whole stream (keyed state store)."""
+                 max_files: int = 1, keys=("mailbox_id", "uid"), event_time: str | None = None,
+                 delay: str | None = None) -> str:
+    """Drop repeated adds of the same key (keyed state store).
+
+    Without ``delay`` every key is remembered (exact over the whole stream). With
+    ``event_time`` + ``delay`` (e.g. ``"ts"``, ``"1 day"``) repeats are dropped while they
+    arrive within the watermark delay and the state is purged behind the watermark.
+    """
     checkpoint = checkpoint or new_scratch_path(spark, "ckpt-dedup")
     adds = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    q = (adds.dropDuplicates(list(keys)).writeStream.format("parquet").outputMode("append")
+    if delay:
+        deduped = adds.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    else:
+        deduped = adds.dropDuplicates(list(keys))
+    q = (deduped.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", sink)
          .trigger(availableNow=True).start())
     q.awaitTermination()

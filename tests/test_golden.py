@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailsift.operators import criteria as C
 from mailsift.operators.search import search, scan_message_postings, lookup_flags
@@ -171,3 +172,47 @@ def test_uid_star_is_neutral(fixture_index):
 def test_unsupported(fixture_index):
     with pytest.raises(ValueError):
         run(fixture_index, MB1, ["not a criterion"])
+
+
+def test_q4_flag_unset_excludes_set_flags(fixture_index):
+    assert run(fixture_index, MB1, [C.flag_unset("DELETED")]) == [1]
+
+
+def test_q8_month_steps_are_utc():
+    from mailsift.functions.dates import upper_bound_py, truncate_py
+    t = dt.datetime(2024, 12, 31, 23, 30)
+    assert truncate_py(t, "month") == dt.datetime(2024, 12, 1)
+    assert upper_bound_py(t, "month") == dt.datetime(2025, 1, 1)
+    assert upper_bound_py(t, "year") == dt.datetime(2025, 1, 1)
+    assert upper_bound_py(t, "millisecond") == t
+
+
+def test_q10_mailbox_by_equality(spark):
+    from mailsift.operators.ingest import build_postings, build_state
+    from mailsift.schema import MESSAGES
+    rows = [("a.b(c", 1, NOW, 1, [], [], "word"), ("aXb(c", 2, NOW, 1, [], [], "word")]
+    m = spark.createDataFrame(rows, MESSAGES)
+    assert uids(search(build_postings(m), build_state(m), "a.b(c", [C.body_contains("word")])) == [1]
+
+
+def test_q16_delete_is_final_until_a_later_add(spark):
+    from mailsift.operators import maintain as M
+    rows = [(1, "add", "m", 1, []), (2, "flags", "m", 1, ["\\SEEN"]), (3, "delete", "m", 1, []),
+            (4, "flags", "m", 1, ["\\FLAGGED"]), (5, "add", "m", 2, []), (6, "delete", "m", 2, []),
+            (7, "add", "m", 2, []), (8, "flags", "m", 2, ["\\SEEN"])]
+    ch = spark.createDataFrame(rows, "seq long, op string, mailbox_id string, uid long, flags array<string>")
+    live = M.live_flags(M.fold_changes(ch)).collect()
+    assert [(r.uid, r.flags) for r in live] == [(2, ["\\SEEN"])]
+    assert sorted(map(tuple, M.rejected_updates(ch).collect())) == [("m", 1, 4)]
+
+
+def test_q18_one_state_row_per_message(spark):
+    from mailsift.operators.ingest import build_state
+    from mailsift.sources.mime import parse_mime
+    raw = (b"From: a <a@x.org>\r\nSubject: outer\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n"
+           b"--B\r\nContent-Type: message/rfc822\r\n\r\nFrom: b <b@y.org>\r\nSubject: inner\r\n\r\nhello\r\n--B--\r\n")
+    df = spark.createDataFrame([("m", 1, bytearray(raw))], "mailbox_id string, uid long, raw binary")
+    parsed = parse_mime(df).withColumn("internal_date", F.lit(None).cast("timestamp_ntz")) \
+        .withColumn("size", F.lit(1).cast("bigint")).withColumn("flags", F.array().cast("array<string>"))
+    st = build_state(parsed).collect()
+    assert len(st) == 1 and st[0].first_from == "a" and st[0].base_subject == "OUTER"

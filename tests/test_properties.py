@@ -138,3 +138,15 @@ def test_rejected_updates_chunked_equals_single_window(spark):
     a = sorted(map(tuple, M.rejected_updates(ch, chunk=7).collect()))
     b = sorted(map(tuple, M.rejected_updates(ch, chunk=10**9).collect()))
     assert a == b and a
+
+
+def test_batch_neutral_queries_select_the_mailbox(spark, fixture_index):
+    p, s = fixture_index
+    rows = [(1, MB1, 0, "all", None, None, None, None), (2, MB1, 0, "body", None, "...", None, None),
+            (3, MB1, 0, "all", None, None, None, None), (3, MB1, 1, "uid", None, None, 2, 2)]
+    crit = spark.createDataFrame(rows, "query_id long, mailbox_id string, clause_id long, kind string, "
+                                       "name string, value string, lo long, hi long")
+    for match in ("any", "all"):
+        got = sorted(map(tuple, B.search_batch(p, s, crit, match).collect()))
+        assert got == [(1, MB1, 1), (1, MB1, 2), (1, MB1, 3), (2, MB1, 1), (2, MB1, 2), (2, MB1, 3),
+                       (3, MB1, 2)], match
