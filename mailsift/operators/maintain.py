@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.operators.ingest import build_postings, build_state
+from mailsift.session import materialize
 
 KEYS = ["mailbox_id", "uid"]
 FOLD_COLS = ["mailbox_id", "uid", "flags", "flags_seq", "last_add", "last_delete"]
@@ -148,8 +149,11 @@ def expand_uid_ranges(state: DataFrame, ranges: DataFrame, bucket: int = RANGE_B
 
 
 def apply_changes(postings: DataFrame, state: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply one batch of the log to an index: adds, flag updates, deletes, in seq order."""
-    fold = fold_changes(changes)
+    """Apply one batch of the log to an index: adds, flag updates, deletes, in seq order.
+
+    The fold is read three times, so it is written once to the shared scratch folder.
+    """
+    fold = materialize(fold_changes(changes), "fold")
     touched = fold.where(F.col("last_add").isNotNull() | F.col("last_delete").isNotNull()).select(*KEYS)
     p_kept, s_kept = delete_messages(postings, state, touched)
     flag_only = fold.where(F.col("last_add").isNull() & F.col("last_delete").isNull())

@@ -293,3 +293,24 @@ WHERE length(term) <= 255 GROUP BY mailbox_id, field, term, uid""")
 def b4(spark, sf):
     """Term frequency per (mailbox, field, term, uid)."""
     return term_frequency(mail_conv(spark, sf))
+
+
+@register("W2b_apply_changes", O.with_(O.CHANGES) + f"""
+, live AS (SELECT mailbox_id, uid, last_add FROM fold WHERE {O.LIVE}),
+body AS (SELECT l.mailbox_id, l.uid, 'signup ' || e.props AS t
+         FROM live l JOIN events e ON e.event_id = l.last_add)
+SELECT DISTINCT mailbox_id, 'BODY' AS field, term, uid FROM (
+  SELECT mailbox_id, uid, unnest({O.tok('t')}) AS term FROM body) WHERE length(term) <= 255""")
+def w2b(spark, sf):
+    """W2-W4 together: the events log applied to an empty index in two batches (before and
+    from 2024-01-15); each add carries a body made from its event. = index of live messages."""
+    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("seq"), "props")
+    ch = mail_changes(spark, sf).drop("body").join(ev, "seq") \
+        .withColumn("body", F.when(F.col("op") == "add", F.concat(F.lit("signup "), F.col("props")))).drop("props")
+    p0 = spark.createDataFrame([], "mailbox_id string, field string, term string, uid long")
+    s0 = build_state(mail_changes(spark, sf).where(F.lit(False)).select(
+        "mailbox_id", "uid", F.col("ts").alias("internal_date"), "size", "flags", "headers", "body"))
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    p1, s1 = M.apply_changes(p0, s0, ch.where(F.col("ts") < cut))
+    p2_, _ = M.apply_changes(p1, s1, ch.where(F.col("ts") >= cut))
+    return p2_.select(*P_COLS)
