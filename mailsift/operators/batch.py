@@ -106,13 +106,18 @@ def rarest_grams(qterms: DataFrame, gram_stats: DataFrame) -> DataFrame:
 
 
 def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | None = None,
-                gram_stats: DataFrame | None = None, pick: DataFrame | None = None) -> DataFrame:
+                gram_stats: DataFrame | None = None, pick: DataFrame | None = None,
+                max_qterms: int | None = None) -> DataFrame:
     """(field, term, qterm) for every dictionary term containing a query term (exact).
 
     Query terms of 3+ characters: the rarest trigram of the qterm is an equi-join key into the
     gram index, candidates are verified with `contains`. Shorter ones: broadcast nested loop
     `contains` over the dictionary (their count is bounded by the 1-2 character strings).
+    ``max_qterms``: a known bound of the qterm rows (e.g. built from a parameter list); when it
+    is under ``BROADCAST_ROWS`` the qterm-sized sides are broadcast without a counting job.
     """
+    bounded = max_qterms is not None and max_qterms <= BROADCAST_ROWS
+    small = F.broadcast if bounded else broadcast_if_small
     d = dictionary.select("field", "term")
     grams = grams if grams is not None else gram_index(d)
     if gram_stats is None:
@@ -120,10 +125,10 @@ def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | Non
     if pick is None:
         pick = rarest_grams(qterms, gram_stats)
     pick = pick.where(F.col("n") > 0).select("field", "gram", "qterm")
-    long_hits = grams.join(broadcast_if_small(pick), ["field", "gram"]) \
+    long_hits = grams.join(small(pick), ["field", "gram"]) \
         .where(F.col("term").contains(F.col("qterm"))).select("field", "term", "qterm")
 
-    sq = broadcast_if_small(qterms.where(F.length("qterm") < GRAM).select("field", "qterm"))
+    sq = small(qterms.where(F.length("qterm") < GRAM).select("field", "qterm"))
     short_hits = d.join(sq, (d["field"] == sq["field"]) & d["term"].contains(sq["qterm"])) \
         .select(d["field"], d["term"], sq["qterm"])
     return long_hits.unionByName(short_hits).distinct()
@@ -180,7 +185,11 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     """
     if match not in ("any", "all"):
         raise ValueError("match must be 'any' or 'all'")
-    crit = broadcast_if_small(expand_criteria(criteria))    # criteria-sized, reused below
+    crit = expand_criteria(criteria).cache()                 # criteria-sized, reused below
+    crit_small = crit.count() <= BROADCAST_ROWS
+    # sides derived from the criteria alone are bounded by the criteria's row count
+    by_crit = F.broadcast if crit_small else broadcast_if_small
+    crit = by_crit(crit)
     p_crit = crit.where(F.col("field").isNotNull())
     s_crit = crit.where(F.col("kind").isin(*STATE_KINDS))
     st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
@@ -217,7 +226,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         if gram_stats is None:
             gram_stats = gram_statistics(grams)
         # token weight: messages whose terms hold its rarest trigram (short tokens: never first)
-        pick = broadcast_if_small(rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats))
+        pick = by_crit(rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats))
         w_tok = F.when(F.length("qterm") < GRAM, F.lit(SHORT_WEIGHT)) \
             .when(F.col("n") > 0, F.col("docs")).otherwise(F.lit(0))
         weight = pc.join(pick.select("field", "qterm", "n", "docs"), ["field", "qterm"], "left") \
@@ -227,10 +236,11 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         drivers = weight.withColumn("rank", rank).where(F.col("rank") <= DRIVER_CLAUSES) \
             .select("query_id", "clause_id")
         n_drv = drivers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_drv"))
-        d_tok = broadcast_if_small(pc.join(drivers, ["query_id", "clause_id"]))
+        d_tok = by_crit(pc.join(drivers, ["query_id", "clause_id"]))
         d_q = d_tok.select("field", "qterm").distinct()
         d_terms = match_terms(dictionary, d_q, grams, gram_stats,
-                              pick=pick.join(F.broadcast(d_q), ["field", "qterm"], "left_semi"))
+                              pick=pick.join(F.broadcast(d_q), ["field", "qterm"], "left_semi"),
+                              max_qterms=BROADCAST_ROWS if crit_small else None)
         d_match = broadcast_if_small(d_terms.join(d_tok, ["field", "qterm"])
                                      .select("query_id", "clause_id", "q_mailbox", "field", "term"))
         # candidates: messages matching every driver clause of the query

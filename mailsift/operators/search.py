@@ -1,6 +1,9 @@
 """Search: criteria -> (mailbox_id, uid).
 
 Plans:
+- *dictionary rewrite* (B2, optional): posting criteria are first resolved on the term
+  dictionary (trigram index for substrings), postings are then read by an equi-join on
+  (field, term) with the matched terms (broadcast after a size check);
 - *union plan* (``match='any'`` with no NOT/AND): one scan of postings with the OR of all
   posting predicates in a single `where`, one scan of message_state with the OR of all state
   predicates, `unionByName` + `distinct`. The distinct is a partial + final hash aggregate on
@@ -157,24 +160,63 @@ def _tree_expr(node, posting_cols) -> Column:
 
 # --------------------------------------------------------------------- search
 
-def search(postings: DataFrame, state: DataFrame, mailbox, criteria, match: str = "any") -> DataFrame:
+def _leaf_terms(spark, leaves, dictionary, grams, gram_stats) -> DataFrame:
+    """(field, term, leaf) for every dictionary term a posting leaf matches (B2 rewrite):
+    substring tests run on the vocabulary, not on every posting."""
+    from mailsift.operators.batch import match_terms
+    plain, regex, exists = [], [], []
+    for i, leaf in enumerate(leaves):
+        for f in leaf.fields:
+            if not leaf.terms:
+                exists.append((f, i))
+            for t in leaf.terms:
+                (regex if leaf.regex else plain).append((f, t, i))
+    d = dictionary.select("field", "term")
+    parts = []
+    if plain:
+        q = spark.createDataFrame(plain, "field string, qterm string, leaf int")
+        tm = match_terms(dictionary, q.select("field", "qterm").distinct(), grams, gram_stats,
+                         max_qterms=len(plain))
+        parts.append(tm.join(F.broadcast(q), ["field", "qterm"]).select("field", "term", "leaf"))
+    for f, t, i in regex:
+        parts.append(d.where((F.col("field") == f) & F.col("term").rlike(t)).select("field", "term", F.lit(i).alias("leaf")))
+    for f, i in exists:
+        parts.append(d.where(F.col("field") == f).select("field", "term", F.lit(i).alias("leaf")))
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def search(postings: DataFrame, state: DataFrame, mailbox, criteria, match: str = "any",
+           dictionary: DataFrame | None = None, grams: DataFrame | None = None,
+           gram_stats: DataFrame | None = None) -> DataFrame:
     """Uids of ``mailbox`` (a name, a list of names, or None for all) matching the criteria.
 
-    Returns DataFrame(mailbox_id, uid), unordered (Q20).
+    Returns DataFrame(mailbox_id, uid), unordered (Q20). With ``dictionary`` (and optionally the
+    gram tables of the index) posting criteria are resolved on the term dictionary first and
+    postings are then read by an equi-join on (field, term): the substring test touches each
+    distinct term once instead of every posting.
     """
+    from mailsift.operators.batch import broadcast_if_small
     tree = build_tree(criteria, match)
     mb = _mailbox_filter(mailbox)
     if tree is _TRUE:
         return scan_mailbox(state, mailbox)
     if tree is _FALSE:
         return scan_mailbox(state, mailbox).limit(0)
+    leaves = _leaves(tree, [])
+    tagged = None
+    # "header exists" matches every term of its field: the dictionary would not narrow anything
+    if dictionary is not None and leaves and all(leaf.terms for leaf in leaves):
+        terms = broadcast_if_small(_leaf_terms(postings.sparkSession, leaves, dictionary, grams, gram_stats))
+        tagged = _where(postings, mb).join(terms, ["field", "term"])
 
     if _is_flat_or(tree):
         kids = tree.children if isinstance(tree, C.Or) else (tree,)
         p_kids = [k for k in kids if isinstance(k, C.PostingCriterion)]
         s_kids = [k for k in kids if isinstance(k, C.StateCriterion)]
         parts = []
-        if p_kids:
+        if p_kids and tagged is not None:
+            parts.append(tagged.select(*KEYS))
+        elif p_kids:
             pred = reduce(lambda a, b: a | b, [k.predicate() for k in p_kids])
             parts.append(_where(postings, mb, pred).select(*KEYS))
         if s_kids:
@@ -182,16 +224,17 @@ def search(postings: DataFrame, state: DataFrame, mailbox, criteria, match: str
             parts.append(_where(state, mb, pred).select(*KEYS))
         return union_uids(*parts)
 
-    leaves = _leaves(tree, [])
     universe = _where(state, mb)
-    if leaves:
-        cols = {leaf: f"c{i}" for i, leaf in enumerate(leaves)}
+    cols = {leaf: f"c{i}" for i, leaf in enumerate(leaves)}
+    if leaves and tagged is not None:
+        hits = tagged.groupBy(*KEYS).agg(
+            *[F.bool_or(F.col("leaf") == i).alias(cols[leaf]) for i, leaf in enumerate(leaves)])
+        universe = universe.join(hits, KEYS, "left")
+    elif leaves:
         any_leaf = reduce(lambda a, b: a | b, [leaf.predicate() for leaf in leaves])
         hits = _where(postings, mb, any_leaf).groupBy(*KEYS).agg(
             *[F.bool_or(leaf.predicate()).alias(cols[leaf]) for leaf in leaves])
         universe = universe.join(hits, KEYS, "left")
-    else:
-        cols = {}
     return universe.where(_tree_expr(tree, cols)).select(*KEYS)
 
 

@@ -150,3 +150,18 @@ def test_batch_neutral_queries_select_the_mailbox(spark, fixture_index):
         got = sorted(map(tuple, B.search_batch(p, s, crit, match).collect()))
         assert got == [(1, MB1, 1), (1, MB1, 2), (1, MB1, 3), (2, MB1, 1), (2, MB1, 2), (2, MB1, 3),
                        (3, MB1, 2)], match
+
+
+def test_search_dictionary_rewrite_equals_plain(spark):
+    ix = load_index(spark, rebuild_index(mail_conv(spark, SF001), new_scratch_path(spark, "ix")))
+    cases = [
+        (None, [C.body_contains("the ou"), C.header_exists("Cc")], "any"),
+        ("3", [C.text_contains("assistant")], "any"),
+        (None, [C.header_contains("From", "SYS.EM", regex=True)], "any"),
+        (None, [C.body_contains("que"), C.not_(C.header_exists("Cc"))], "all"),
+        (None, [C.or_(C.and_(C.body_contains("de"), C.address_contains("Cc", "audit")), C.uid_eq(0))], "any"),
+    ]
+    for mb, crits, match in cases:
+        plain = keyset(search(ix.postings, ix.state, mb, crits, match))
+        via = keyset(search(ix.postings, ix.state, mb, crits, match, ix.dictionary, ix.grams, ix.gram_stats))
+        assert plain == via and plain, (crits, match)
