@@ -124,16 +124,29 @@ def group_members(value: Column | str) -> Column:
     return F.transform(F.filter(parsed, lambda a: a["address"] != ""), lambda a: F.upper(encode_address(a)))
 
 
+def first_entry(headers: Column | str, name: str) -> Column:
+    """First parsed address (STRUCT<display, address>) of the first ``name`` header."""
+    return F.get(parse_addresses(first_header_value(headers, name)), 0)
+
+
+def local_part(addr: Column) -> Column:
+    """F10 on a parsed address: the part before ``@``."""
+    return F.substring_index(addr["address"], "@", 1)
+
+
+def display_or_local(addr: Column) -> Column:
+    """F11 on a parsed address: its display name, or its local part when there is none."""
+    return F.when(addr["display"] != "", addr["display"]).otherwise(local_part(addr))
+
+
 def first_address(headers: Column | str, name: str) -> Column:
     """local part of the first address of the first ``name`` header."""
-    addr = F.get(parse_addresses(first_header_value(headers, name)), 0)
-    return F.substring_index(addr["address"], "@", 1)
+    return local_part(first_entry(headers, name))
 
 
 def first_display(headers: Column | str, name: str) -> Column:
     """display name of the first address (its local part when there is none)."""
-    addr = F.get(parse_addresses(first_header_value(headers, name)), 0)
-    return F.when(addr["display"] != "", addr["display"]).otherwise(F.substring_index(addr["address"], "@", 1))
+    return display_or_local(first_entry(headers, name))
 
 
 # ---------------------------------------------------------------- subject and date

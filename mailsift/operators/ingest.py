@@ -106,21 +106,32 @@ def term_frequency(messages: DataFrame) -> DataFrame:
 
 
 def build_state(messages: DataFrame) -> DataFrame:
-    """message_state: typed per-message columns (flags, dates, size, sort keys)."""
+    """message_state: typed per-message columns (flags, dates, size, sort keys).
+
+    Each address header is parsed once into a column; the first-address and display keys
+    are read from it (Catalyst keeps a non-cheap expression used twice in its own projection).
+    """
     hs = F.coalesce(F.col("headers"), F.array().cast("array<struct<name:string,value:string>>"))
-    return messages.select(
+    parsed = messages.select(
         "mailbox_id", "uid",
         F.col("internal_date").cast("timestamp_ntz").alias("internal_date"),
         H.header_date(hs).alias("header_date"),
         F.col("size").cast("bigint").alias("size"),
         normalize_flags("flags").alias("flags"),
-        H.first_address(hs, "From").alias("first_from"),
-        H.first_address(hs, "To").alias("first_to"),
-        H.first_address(hs, "Cc").alias("first_cc"),
-        H.first_display(hs, "From").alias("display_from"),
-        H.first_display(hs, "To").alias("display_to"),
+        H.first_entry(hs, "From").alias("a_from"),
+        H.first_entry(hs, "To").alias("a_to"),
+        H.first_entry(hs, "Cc").alias("a_cc"),
         H.base_subject(H.first_header_value(hs, "Subject")).alias("base_subject"),
     )
+    return parsed.select(
+        "mailbox_id", "uid", "internal_date", "header_date", "size", "flags",
+        H.local_part(F.col("a_from")).alias("first_from"),
+        H.local_part(F.col("a_to")).alias("first_to"),
+        H.local_part(F.col("a_cc")).alias("first_cc"),
+        H.display_or_local(F.col("a_from")).alias("display_from"),
+        H.display_or_local(F.col("a_to")).alias("display_to"),
+        "base_subject",
+    )
 
 
 def write_postings(postings: DataFrame, path: str, cluster_partitions: int | None = None) -> str:
