@@ -95,6 +95,9 @@ def spread_small_input(df, min_tasks: int | None = None):
         return df
     spark = df.sparkSession
     tasks = min_tasks or spark.sparkContext.defaultParallelism
+    # planned splits first: a large table is never listed file by file into the driver
+    if df.rdd.getNumPartitions() >= tasks:
+        return df
     files = df.inputFiles()
     if not files or len(files) >= tasks:
         return df
