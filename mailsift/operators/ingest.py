@@ -150,8 +150,10 @@ def write_postings(postings: DataFrame, path: str, cluster_partitions: int | Non
     return path
 
 
-def write_state(state: DataFrame, path: str) -> str:
-    state.sortWithinPartitions("mailbox_id", "uid").write.mode("errorifexists").parquet(path)
+def write_state(state: DataFrame, path: str, cluster_partitions: int | None = None) -> str:
+    """message_state sorted by key inside files (optionally range-clustered by key first)."""
+    df = state.repartitionByRange(cluster_partitions, "mailbox_id", "uid") if cluster_partitions else state
+    df.sortWithinPartitions("mailbox_id", "uid").write.mode("errorifexists").parquet(path)
     return path
 
 
@@ -165,7 +167,8 @@ class Index:
     gram_stats: DataFrame | None = None
 
 
-def rebuild_index(messages: DataFrame, path: str, dedup: str = "message") -> str:
+def rebuild_index(messages: DataFrame, path: str, dedup: str = "message",
+                  cluster_partitions: int | None = None) -> str:
     """Full index from a messages table, one write job per table.
 
     postings/   P2 + P3, partitioned by field (W1)
@@ -174,11 +177,13 @@ def rebuild_index(messages: DataFrame, path: str, dedup: str = "message") -> str
     grams/      (field, term, gram, df) trigram index of the dictionary (substring search)
     gram_stats/ (field, gram, n, docs) gram frequencies (terms, summed document frequency)
     Later tables read the earlier written ones, so no step re-tokenizes and lineage is cut.
+    ``cluster_partitions`` range-partitions postings and state by (mailbox_id, uid) before
+    writing, so a mailbox search opens few files (worth it when one index is searched often).
     """
     from mailsift.operators.batch import gram_index, gram_statistics
     spark = messages.sparkSession
-    write_postings(build_postings(messages, dedup), f"{path}/postings")
-    write_state(build_state(messages), f"{path}/state")
+    write_postings(build_postings(messages, dedup), f"{path}/postings", cluster_partitions)
+    write_state(build_state(messages), f"{path}/state", cluster_partitions)
     term_dictionary(spark.read.parquet(f"{path}/postings")).write.mode("errorifexists") \
         .parquet(f"{path}/dictionary")
     gram_index(spark.read.parquet(f"{path}/dictionary")).write.mode("errorifexists") \
