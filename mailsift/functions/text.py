@@ -37,11 +37,6 @@ def tokenize(col: Column | str) -> Column:
     return F.regexp_extract_all(F.upper(c), F.lit(TOKEN_PATTERN), 0)
 
 
-def distinct_terms(col: Column | str) -> Column:
-    """Distinct tokens of one text, dropping over-long ones (P3 inside one message)."""
-    return F.filter(F.array_distinct(tokenize(col)), lambda t: F.length(t) <= MAX_TOKEN_LENGTH)
-
-
 def tokenize_py(text: str | None) -> list[str]:
     """Query-side tokenizer: same grammar, for criteria strings given by the caller."""
     if not text:

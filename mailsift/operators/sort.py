@@ -30,12 +30,6 @@ def sort_key(name: str) -> Column:
     return keys[name]()
 
 
-def order_columns(name: str, reverse: bool = False) -> list[Column]:
-    k = sort_key(name)
-    first = k.desc_nulls_last() if reverse else k.asc_nulls_first()
-    return [first, F.col("uid").asc(), F.col("mailbox_id").asc()]
-
-
 def sort_results(result: DataFrame, state: DataFrame, name: str, reverse: bool = False,
                  limit: int | None = None) -> DataFrame:
     """Attach the sort key from message_state and order by it (uid breaks ties).
