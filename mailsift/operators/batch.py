@@ -189,7 +189,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     crit_small = crit.count() <= BROADCAST_ROWS
     # sides derived from the criteria alone are bounded by the criteria's row count
     by_crit = F.broadcast if crit_small else broadcast_if_small
-    crit = by_crit(crit)
+    crit = F.broadcast(crit) if crit_small else crit         # large criteria stay cached, shuffled
     p_crit = crit.where(F.col("field").isNotNull())
     s_crit = crit.where(F.col("kind").isin(*STATE_KINDS))
     st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
