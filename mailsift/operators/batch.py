@@ -37,12 +37,13 @@ GRAM = 3
 BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast hint only behind a row-count check; beyond it the plain (shuffle) join runs.
 
     The side is cached before counting so the count and the join share one computation; a
     side over the bound is released again and joined by a shuffle (AQE splits skew).
     """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     df = df.cache()
     if df.count() <= max_rows:
         return F.broadcast(df)

@@ -165,3 +165,13 @@ def test_search_dictionary_rewrite_equals_plain(spark):
         plain = keyset(search(ix.postings, ix.state, mb, crits, match))
         via = keyset(search(ix.postings, ix.state, mb, crits, match, ix.dictionary, ix.grams, ix.gram_stats))
         assert plain == via and plain, (crits, match)
+
+
+def test_batch_without_broadcasts_equals_single_searches(spark, fixture_index, monkeypatch):
+    """With a tiny broadcast bound every checked side takes the shuffle join path."""
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_batch_equals_single_searches(spark, fixture_index)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
