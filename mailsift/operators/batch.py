@@ -181,8 +181,10 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     ``match='all'``: conjunctive plan. Each clause gets a weight from the gram statistics
     alone (per token: messages whose terms hold its rarest trigram); the messages matching all
     of the query's ``DRIVER_CLAUSES`` lightest clauses are the candidates, and only candidates
-    are checked against the query's other clauses, on their own postings. No hit is fanned out to every query sharing a term,
-    and common short tokens are never expanded over the whole index.
+    are checked against the query's other clauses, on their own postings. No hit is fanned
+    out to every query sharing a term, and common short tokens are never expanded over the
+    whole index. Every side derived from the criteria is broadcast only when the criteria
+    passed the size check (``by_crit``); otherwise each is checked on its own.
     """
     if match not in ("any", "all"):
         raise ValueError("match must be 'any' or 'all'")
@@ -209,7 +211,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
             tm = match_terms(dictionary, p_crit.select("field", "qterm").distinct(), grams, gram_stats)
             hits = post.join(broadcast_if_small(tm), ["field", "term"]) \
                 .select("mailbox_id", "uid", "field", "qterm").distinct()
-            parts.append(hits.join(F.broadcast(pc), ["field", "qterm"]).where(_mailbox_ok())
+            parts.append(hits.join(by_crit(pc), ["field", "qterm"]).where(_mailbox_ok())
                          .select("query_id", "mailbox_id", "uid"))
         if has_s:
             parts.append(_state_hits(st, s_crit).select("query_id", "mailbox_id", "uid"))
@@ -240,7 +242,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         d_tok = by_crit(pc.join(drivers, ["query_id", "clause_id"]))
         d_q = d_tok.select("field", "qterm").distinct()
         d_terms = match_terms(dictionary, d_q, grams, gram_stats,
-                              pick=pick.join(F.broadcast(d_q), ["field", "qterm"], "left_semi"),
+                              pick=pick.join(by_crit(d_q), ["field", "qterm"], "left_semi"),
                               max_qterms=BROADCAST_ROWS if crit_small else None)
         d_match = broadcast_if_small(d_terms.join(d_tok, ["field", "qterm"])
                                      .select("query_id", "clause_id", "q_mailbox", "field", "term"))
@@ -248,10 +250,10 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         cand = post.join(d_match, ["field", "term"]).where(_mailbox_ok()) \
             .select("query_id", "clause_id", "mailbox_id", "uid").distinct() \
             .groupBy("query_id", "mailbox_id", "uid").agg(F.count(F.lit(1)).alias("c")) \
-            .join(F.broadcast(n_drv), "query_id").where(F.col("c") == F.col("n_drv")) \
+            .join(by_crit(n_drv), "query_id").where(F.col("c") == F.col("n_drv")) \
             .select("query_id", "mailbox_id", "uid")
         # verify: each candidate against every posting clause of its query, on its own postings
-        cand_tok = broadcast_if_small(cand.join(F.broadcast(pc), "query_id").where(_mailbox_ok())
+        cand_tok = broadcast_if_small(cand.join(by_crit(pc), "query_id").where(_mailbox_ok())
                                       .select("query_id", "clause_id", "mailbox_id", "uid", "field", "qterm"))
         got = post.join(cand_tok, ["mailbox_id", "uid", "field"]) \
             .where(F.col("term").contains(F.col("qterm"))) \
@@ -259,7 +261,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         if has_s:
             sc = s_crit.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"),
                                "kind", "qterm", "lo", "hi")
-            s_ok = cand.join(st, ["mailbox_id", "uid"]).join(F.broadcast(sc), "query_id") \
+            s_ok = cand.join(st, ["mailbox_id", "uid"]).join(by_crit(sc), "query_id") \
                 .where(_mailbox_ok() & _state_condition()) \
                 .select("query_id", "clause_id", "mailbox_id", "uid")
             got = got.unionByName(s_ok)
@@ -267,11 +269,11 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     if has_s:
         # queries made of state clauses only
         p_queries = pc.select("query_id").distinct()
-        only_s = s_crit.join(F.broadcast(p_queries), "query_id", "left_anti")
+        only_s = s_crit.join(by_crit(p_queries), "query_id", "left_anti")
         results.append(_state_hits(st, only_s))
     hits = results[0] if len(results) == 1 else results[0].unionByName(results[1])
     counted = hits.groupBy("query_id", "mailbox_id", "uid").agg(F.countDistinct("clause_id").alias("got"))
-    return counted.join(F.broadcast(need), "query_id").where(F.col("got") == F.col("need")) \
+    return counted.join(by_crit(need), "query_id").where(F.col("got") == F.col("need")) \
         .select("query_id", "mailbox_id", "uid").unionByName(whole)
 
 
