@@ -89,6 +89,11 @@ def read_eml(spark: SparkSession, path: str, mailbox_id: str | None = None) -> D
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml") \
         .option("recursiveFileLookup", "true").load(path)
+    return eml_columns(files, mailbox_id)
+
+
+def eml_columns(files: DataFrame, mailbox_id: str | None = None) -> DataFrame:
+    """binaryFile rows (batch or stream) -> (mailbox_id, uid, raw)."""
     name = F.regexp_extract("path", r"([^/]+)\.eml$", 1)
     mbox = F.lit(mailbox_id) if mailbox_id else F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     return files.select(mbox.alias("mailbox_id"), name.try_cast("bigint").alias("uid"),

@@ -129,3 +129,26 @@ def stream_dedup(spark: SparkSession, source: str, schema, sink: str, checkpoint
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
+
+
+# Fixed value: the schema of Spark's binaryFile source.
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def stream_eml_index(spark: SparkSession, source: str, sink: str, mailbox_id: str | None = None,
+                     checkpoint: str | None = None, max_files: int = 100) -> str:
+    """R1 + S1 for raw mail: ``.eml`` files arriving in ``source`` are parsed (MIME, per task,
+    `mapInArrow`) and indexed; postings are appended to ``sink``. mailbox_id defaults to the
+    parent folder name and uid to the numeric file name, as in `sources.mime.read_eml`."""
+    from mailsift.sources.mime import eml_columns, parse_mime
+    checkpoint = checkpoint or new_scratch_path(spark, "ckpt-eml")
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+             .option("pathGlobFilter", "*.eml")
+             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(source))
+    msgs = parse_mime(eml_columns(files, mailbox_id)) \
+        .withColumn("internal_date", F.lit(None).cast("timestamp_ntz"))
+    q = (build_postings(msgs).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", sink)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sink

@@ -82,3 +82,19 @@ def test_read_eml_files(spark):
             fh.write(RAW)
     got = parse_mime(read_eml(spark, os.path.dirname(folder))).select("mailbox_id", "uid", "n_text_parts")
     assert rows(got, ["mailbox_id", "uid", "n_text_parts"]) == [("box1", 1, 2), ("box1", 2, 2)]
+
+
+def test_stream_eml_files_equals_batch(spark):
+    from mailsift.streaming.stream import stream_eml_index
+    root = os.path.join(scratch_dir(spark), "eml-stream")
+    for box, uids in (("boxa", (1, 2, 3)), ("boxb", (7,))):
+        os.makedirs(os.path.join(root, box), exist_ok=True)
+        for uid in uids:
+            with open(os.path.join(root, box, f"{uid}.eml"), "wb") as fh:
+                fh.write(RAW.replace(b"Caf=E9", b"Caf=E9 n" + str(uid).encode()))
+    sink = stream_eml_index(spark, root, new_scratch_path(spark, "eml-sink"), max_files=2)
+    batch = build_postings(parse_mime(read_eml(spark, root))
+                           .withColumn("internal_date", F.lit(None).cast("timestamp_ntz")))
+    cols = ["mailbox_id", "field", "term", "uid"]
+    got = rows(spark.read.parquet(sink), cols)
+    assert got == rows(batch, cols) and ("boxb", "BODY", "N7", 7) in got
