@@ -31,10 +31,17 @@ def upper_en(col: Column | str) -> Column:
     return F.upper(col if isinstance(col, Column) else F.col(col))
 
 
+# A text without "@" cannot hold an e-mail token, so it is scanned without that alternative
+# (same tokens, one pass less over every word).
+NO_EMAIL_PATTERN = f"{URL_PATTERN}|{WORD_PATTERN}"
+
+
 def tokenize(col: Column | str) -> Column:
     """array of upper-cased tokens of a string column (repeats kept, order of text)."""
     c = col if isinstance(col, Column) else F.col(col)
-    return F.regexp_extract_all(F.upper(c), F.lit(TOKEN_PATTERN), 0)
+    u = F.upper(c)
+    return F.when(F.instr(c, "@") > 0, F.regexp_extract_all(u, F.lit(TOKEN_PATTERN), 0)) \
+        .otherwise(F.regexp_extract_all(u, F.lit(NO_EMAIL_PATTERN), 0))
 
 
 def tokenize_py(text: str | None) -> list[str]:
