@@ -121,7 +121,10 @@ def stream_dedup(spark: SparkSession, source: str, schema, sink: str, checkpoint
     checkpoint = checkpoint or new_scratch_path(spark, "ckpt-dedup")
     adds = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     if delay:
-        deduped = adds.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+        # watermarks need TIMESTAMP; the test tables carry UTC wall clock as TIMESTAMP_NTZ
+        deduped = adds.withColumn("_event_time", F.col(event_time).cast("timestamp")) \
+            .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(keys)) \
+            .drop("_event_time")
     else:
         deduped = adds.dropDuplicates(list(keys))
     q = (deduped.writeStream.format("parquet").outputMode("append")

@@ -98,3 +98,13 @@ def test_stream_eml_files_equals_batch(spark):
     cols = ["mailbox_id", "field", "term", "uid"]
     got = rows(spark.read.parquet(sink), cols)
     assert got == rows(batch, cols) and ("boxb", "BODY", "N7", 7) in got
+
+
+def test_stream_dedup_within_watermark(spark):
+    """Repeats that arrive within the watermark delay are dropped (state purged behind it)."""
+    adds = mail_changes(spark, SF001).where(F.col("op") == "add").select(*CHANGES.fieldNames())
+    src = stage_files(adds.unionByName(adds), new_scratch_path(spark, "adds-wm"), 4)
+    sink = stream_dedup(spark, src, CHANGES, new_scratch_path(spark, "dedup-wm"),
+                        max_files=4, event_time="ts", delay="3650 days")
+    got = rows(spark.read.parquet(sink), ["mailbox_id", "uid"])
+    assert got == sorted(set(rows(adds, ["mailbox_id", "uid"])))
