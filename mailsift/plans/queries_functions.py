@@ -61,6 +61,7 @@ def _field_postings(fields):
     def q(spark, sf):
         p, _ = conv_index(spark, sf)
         return p.where(F.col("field").isin(*fields)).select(*P_COLS)
+    q.__doc__ = f"Postings of field(s) {', '.join(fields)} built from the conversations."
     return q
 
 
@@ -157,6 +158,7 @@ FROM conv_h"""
 
 
 def _mime(spark, sf):
+    """Multipart mail parsed by mapInArrow: text parts only, unknown charset -> US-ASCII."""
     conv = mail_conv(spark, sf)
     parsed = parse_mime(conv.select("mailbox_id", "uid", _mime_raw().alias("raw")))
     top = F.filter("headers", lambda h: h["name"].isin("From", "Subject"))
@@ -172,6 +174,7 @@ for _name in ("F13_text_parts", "F14_charset_decode", "F16_parse_mime"):
 
 @register("F17_message_date_uid", O.with_(O.ORD_STATE) + "SELECT mailbox_id, uid, internal_date FROM ord_state")
 def f17(spark, sf):
+    """internal date and uid as plain state columns (orders)."""
     _, s = orders_index(spark, sf)
     return s.select("mailbox_id", "uid", "internal_date")
 
@@ -180,6 +183,7 @@ def f17(spark, sf):
 SELECT mailbox_id, uid, date_trunc('month', internal_date) AS month_start,
        date_trunc('year', internal_date) AS year_start FROM ord_state""")
 def f18(spark, sf):
+    """internal date cut to month and year (UTC)."""
     _, s = orders_index(spark, sf)
     return s.select("mailbox_id", "uid", date_truncate("internal_date", "month").alias("month_start"),
                     date_truncate("internal_date", "year").alias("year_start"))
@@ -189,6 +193,7 @@ def f18(spark, sf):
 SELECT mailbox_id, uid, date_trunc('month', internal_date) + INTERVAL 1 MONTH AS month_end,
        date_trunc('day', internal_date) + INTERVAL 1 DAY AS day_end FROM ord_state""")
 def f19(spark, sf):
+    """end of the month / day unit of the internal date."""
     _, s = orders_index(spark, sf)
     return s.select("mailbox_id", "uid", date_upper_bound("internal_date", "month").alias("month_end"),
                     date_upper_bound("internal_date", "day").alias("day_end"))
@@ -201,6 +206,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS mailbox_id, o_orderkey AS uid,
                      upper(split_part(o_orderpriority, '-', 2))) AS flags_joined
 FROM orders""")
 def f20(spark, sf):
+    """flags joined without separator (orders: status flag + priority user flag)."""
     _, s = orders_index(spark, sf)
     return s.select("mailbox_id", "uid", flags_to_string("flags").alias("flags_joined"))
 
@@ -221,6 +227,7 @@ SELECT doc_id, concat_ws(' ', CASE WHEN toxic = 1 THEN '\DELETED' END, CASE WHEN
                          CASE WHEN quality = 0 THEN '\SEEN' END) AS flags
 FROM labels""")
 def f22(spark, sf):
+    """booleans (toxic, quality) -> flag list in system order."""
     lab = read_table(spark, sf, "labels")
     fl = booleans_to_flags(deleted=F.col("toxic") == 1, flagged=F.col("quality") == 1, seen=F.col("quality") == 0)
     return lab.select("doc_id", F.array_join(fl, " ").alias("flags"))
@@ -229,6 +236,7 @@ def f22(spark, sf):
 @register("F23_octets", """
 SELECT CAST(conv_id AS VARCHAR) AS mailbox_id, turn AS uid, CAST(strlen(text) AS BIGINT) AS octets FROM conversations""")
 def f23(spark, sf):
+    """octets of each message text (UTF-8 bytes)."""
     m = mail_conv(spark, sf)
     return m.select("mailbox_id", "uid", octets("body").cast("bigint").alias("octets"))
 
@@ -238,6 +246,7 @@ SELECT mailbox_id, uid, md5('From: ' || h_from || {CRLF_SQL} || 'Subject: ' || h
     || coalesce({CRLF_SQL} || 'Cc: ' || h_cc, '') || {CRLF_SQL} || {CRLF_SQL} || coalesce(text, '')) AS raw_md5
 FROM conv_h""")
 def f24(spark, sf):
+    """digest of each message rendered as raw mail."""
     m = mail_conv(spark, sf)
     return m.select("mailbox_id", "uid", F.md5(H.render_raw("headers", "body")).alias("raw_md5"))
 

@@ -80,6 +80,7 @@ def s5(spark, sf):
 
 @register("P1_project_uids", O.with_(O.CONV_POSTINGS) + "SELECT DISTINCT mailbox_id, uid FROM conv_postings WHERE field = 'CC'")
 def p1(spark, sf):
+    """(mailbox_id, uid) set of the CC postings."""
     p, _ = conv_index(spark, sf)
     return S.project_uids(p.where(F.col("field") == "CC"))
 
@@ -105,6 +106,7 @@ SELECT mailbox_id, uid FROM conv_postings WHERE field = 'CC'
 UNION
 SELECT mailbox_id, uid FROM conv_postings WHERE field = 'FROM' AND contains(term, 'SYSTEM')""")
 def p4(spark, sf):
+    """Union of two uid sets (Cc holders, From system), duplicates removed."""
     p, _ = conv_index(spark, sf)
     return S.union_uids(p.where(F.col("field") == "CC"),
                         p.where((F.col("field") == "FROM") & F.col("term").contains("SYSTEM")))
@@ -194,6 +196,7 @@ def _sorted(index_fn, key, desc):
     def q(spark, sf):
         _, s = index_fn(spark, sf)
         return sort_results(s.select("mailbox_id", "uid"), s, key, reverse=desc, limit=20)
+    q.__doc__ = f"Top 20 messages by {key} {'descending' if desc else 'ascending'}, then uid, mailbox_id."
     return q
 
 

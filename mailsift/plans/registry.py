@@ -221,18 +221,21 @@ def c17(spark, sf):
 
 @register("T1_size_eq", _keys_sql([O.DOC_STATE], "doc_state", "size = 416"))
 def t1(spark, sf):
+    """size = 416 (documents, size = n_chars)."""
     p, s = docs_index(spark, sf)
     return search(p, s, None, [C.size_eq(416)])
 
 
 @register("T2_size_lt", _keys_sql([O.DOC_STATE], "doc_state", "size < 300"))
 def t2(spark, sf):
+    """Size < 300."""
     p, s = docs_index(spark, sf)
     return search(p, s, None, [C.size_lt(300)])
 
 
 @register("T3_size_gt", _keys_sql([O.DOC_STATE], "doc_state", "size > 15000"))
 def t3(spark, sf):
+    """Size > 15000."""
     p, s = docs_index(spark, sf)
     return search(p, s, None, [C.size_gt(15000)])
 
