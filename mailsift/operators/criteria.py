@@ -89,15 +89,21 @@ class Not(Criterion):
 
 # ------------------------------------------------------------------ text / header criteria
 
+def _regex(pattern: str) -> str:
+    """Q9 ``regex=True``: the caller's pattern, unchanged, matched ignoring case (terms are
+    stored upper-cased; upper-casing the pattern would turn ``\\d`` into ``\\D``)."""
+    return "(?i)" + pattern
+
+
 def body_contains(text: str, regex: bool = False) -> Criterion:
     """Any token of ``text`` is inside a BODY term. No token -> neutral (Q3)."""
-    toks = tuple(dict.fromkeys(tokenize_py(text))) if not regex else (text.upper(),)
+    toks = tuple(dict.fromkeys(tokenize_py(text))) if not regex else (_regex(text),)
     return PostingCriterion(("BODY",), toks, regex) if toks else Neutral("empty text")
 
 
 def text_contains(text: str, regex: bool = False) -> Criterion:
     """The same over BODY and HEADERS (full text)."""
-    toks = tuple(dict.fromkeys(tokenize_py(text))) if not regex else (text.upper(),)
+    toks = tuple(dict.fromkeys(tokenize_py(text))) if not regex else (_regex(text),)
     return PostingCriterion(("BODY", "HEADERS"), toks, regex) if toks else Neutral("empty text")
 
 
@@ -108,7 +114,7 @@ def header_contains(name: str, value: str, regex: bool = False) -> Criterion:
     """The whole upper-cased value (not tokenized) inside one term of the routed field."""
     if value is None:
         raise ValueError("header_contains needs a value")
-    return PostingCriterion((header_field_py(name),), (value.upper(),), regex)
+    return PostingCriterion((header_field_py(name),), (_regex(value) if regex else value.upper(),), regex)
 
 
 def header_exists(name: str) -> Criterion:

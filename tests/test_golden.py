@@ -216,3 +216,9 @@ def test_q18_one_state_row_per_message(spark):
         .withColumn("size", F.lit(1).cast("bigint")).withColumn("flags", F.array().cast("array<string>"))
     st = build_state(parsed).collect()
     assert len(st) == 1 and st[0].first_from == "a" and st[0].base_subject == "OUTER"
+
+
+def test_q9_regex_keeps_escapes(fixture_index):
+    # \w and \d must keep their meaning (an upper-cased pattern would read \W and \D)
+    assert run(fixture_index, MB3, [C.header_contains("From", r"ser-\w+@domain", regex=True)]) == [10]
+    assert run(fixture_index, MB1, [C.body_contains(r"otherbody\d", regex=True)]) == [3]
