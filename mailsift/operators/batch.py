@@ -282,8 +282,12 @@ def _whole_mailbox_queries(raw: DataFrame, crit: DataFrame, st: DataFrame) -> Da
     their whole mailbox: an equi-join of message_state with those queries on mailbox_id. Such
     a query without a mailbox would pair it with every message, so it is refused."""
     effective = crit.where(F.col("kind") != "all").select("query_id").distinct()
-    neutral = raw.select("query_id", "mailbox_id").distinct().join(effective, "query_id", "left_anti")
-    neutral = broadcast_if_small(neutral)
-    if neutral.where(F.col("mailbox_id").isNull()).take(1):
+    neutral = raw.select("query_id", "mailbox_id").distinct() \
+        .join(effective, "query_id", "left_anti").cache()
+    n, n_free = neutral.agg(F.count(F.lit(1)), F.count(F.when(F.col("mailbox_id").isNull(), 1))).first()
+    if n_free:
         raise ValueError("a query with only neutral clauses needs a mailbox_id in search_batch")
+    if n == 0:   # nothing to add: an empty relation, pruned by the optimizer
+        return st.select(F.lit(None).cast("bigint").alias("query_id"), "mailbox_id", "uid").where(F.lit(False))
+    neutral = F.broadcast(neutral) if n <= BROADCAST_ROWS else neutral
     return st.join(neutral, "mailbox_id").select("query_id", "mailbox_id", "uid")
