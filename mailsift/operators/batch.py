@@ -110,6 +110,7 @@ def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | Non
                 gram_stats: DataFrame | None = None, pick: DataFrame | None = None,
                 max_qterms: int | None = None) -> DataFrame:
     """(field, term, qterm) for every dictionary term containing a query term (exact).
+    ``qterms`` holds distinct (field, qterm) rows; the output then has no duplicates.
 
     Query terms of 3+ characters: the rarest trigram of the qterm is an equi-join key into the
     gram index, candidates are verified with `contains`. Shorter ones: broadcast nested loop
@@ -132,7 +133,9 @@ def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | Non
     sq = small(qterms.where(F.length("qterm") < GRAM).select("field", "qterm"))
     short_hits = d.join(sq, (d["field"] == sq["field"]) & d["term"].contains(sq["qterm"])) \
         .select(d["field"], d["term"], sq["qterm"])
-    return long_hits.unionByName(short_hits).distinct()
+    # (field, term, qterm) is already unique: a term has one row per distinct trigram and each
+    # long qterm picks one trigram; short hits pair unique dictionary terms with unique qterms
+    return long_hits.unionByName(short_hits)
 
 
 def _state_condition() -> F.Column:
