@@ -243,3 +243,17 @@ def search_many(postings: DataFrame, state: DataFrame, mailbox, queries: dict, m
     parts = [search(postings, state, mailbox, crit, match).withColumn("query_id", F.lit(qid))
              for qid, crit in queries.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def header_contains_exact(messages: DataFrame, mailbox, name: str, value: str) -> DataFrame:
+    """Q12 with ``exact_name=True``: messages whose header called ``name`` (ignoring case)
+    holds the whole upper-cased ``value`` inside one of its tokens.
+
+    The index routes unknown names to PREFIX_HEADER and keeps no header names there, so this
+    runs on the `messages` table itself: one filtered scan (mailbox pushed down), no shuffle.
+    """
+    from mailsift.functions.text import tokenize
+    target, needle = name.upper(), value.upper()
+    hit = F.exists(F.col("headers"), lambda h: (F.upper(h["name"]) == target) &
+                   F.exists(tokenize(h["value"]), lambda t: t.contains(needle)))
+    return _where(messages, _mailbox_filter(mailbox), hit).select(*KEYS)

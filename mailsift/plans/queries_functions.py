@@ -260,3 +260,12 @@ def f1b(spark, sf):
     return pages.select(F.lit("pages").alias("mailbox_id"), F.col("page_id").alias("uid"),
                         F.explode(F.array_distinct(tokenize("url"))).alias("term")) \
         .where(F.length("term") <= 255)
+
+
+@register("C6b_exact_header_name", O.with_(O.CONV_H) + f"""
+SELECT mailbox_id, uid FROM conv_h
+WHERE len(list_filter({O.tok('h_subject')}, lambda x: contains(x, '1'))) > 0""")
+def c6b(spark, sf):
+    """Q12 exact_name: messages whose Subject header (by exact name) has a token containing '1'."""
+    from mailsift.operators.search import header_contains_exact
+    return header_contains_exact(mail_conv(spark, sf), None, "subject", "1")

@@ -222,3 +222,13 @@ def test_q9_regex_keeps_escapes(fixture_index):
     # \w and \d must keep their meaning (an upper-cased pattern would read \W and \D)
     assert run(fixture_index, MB3, [C.header_contains("From", r"ser-\w+@domain", regex=True)]) == [10]
     assert run(fixture_index, MB1, [C.body_contains(r"otherbody\d", regex=True)]) == [3]
+
+
+def test_q12_exact_header_name(spark, fixture_messages, fixture_index):
+    from mailsift.operators.search import header_contains_exact
+    # routed (reference) form: an unknown name searches every header value; TEST1 is inside
+    # TEST1 (uid 2's From) and inside TEST12 / TEST211 (uid 3's From and Cc)
+    assert run(fixture_index, MB1, [C.header_contains("X-Anything", "test1")]) == [2, 3]
+    # exact form: only headers called "Test" (uids 2 and 3 have one, with value "test")
+    assert uids(header_contains_exact(fixture_messages, MB1, "test", "tes")) == [2, 3]
+    assert uids(header_contains_exact(fixture_messages, MB1, "test", "test1")) == []
