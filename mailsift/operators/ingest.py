@@ -166,6 +166,13 @@ class Index:
     grams: DataFrame | None = None
     gram_stats: DataFrame | None = None
 
+    def search(self, mailbox, criteria, match: str = "any", use_dictionary: bool = False) -> DataFrame:
+        """`operators.search.search` over this index; ``use_dictionary`` takes the B2 path."""
+        from mailsift.operators.search import search
+        extra = dict(dictionary=self.dictionary, grams=self.grams, gram_stats=self.gram_stats) \
+            if use_dictionary else {}
+        return search(self.postings, self.state, mailbox, criteria, match, **extra)
+
 
 def rebuild_index(messages: DataFrame, path: str, dedup: str = "message",
                   cluster_partitions: int | None = None) -> str:

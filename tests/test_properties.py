@@ -165,6 +165,7 @@ def test_search_dictionary_rewrite_equals_plain(spark):
         plain = keyset(search(ix.postings, ix.state, mb, crits, match))
         via = keyset(search(ix.postings, ix.state, mb, crits, match, ix.dictionary, ix.grams, ix.gram_stats))
         assert plain == via and plain, (crits, match)
+        assert keyset(ix.search(mb, crits, match, use_dictionary=True)) == plain
 
 
 def test_batch_without_broadcasts_equals_single_searches(spark, fixture_index, monkeypatch):
