@@ -16,9 +16,9 @@ the first part in steps of 1 / ``STEPS`` of a decade; the rest follows from the
 
 All training texts are counted. Words are counted in each task and summed in a shuffle of
 (hash, count). Pairs are sorted and counted in each task in arrays of about ``FLUSH`` pairs, cut
-by successor file, and merged one file at a time. A file takes part of the pairs of many
-contexts, and a context's pairs are dealt over ``SPREAD`` files, so a frequent word is split; a
-pair that fills the corpus is one counted pair from the first task on. The number of files grows
+by successor file, and merged one file at a time. A file takes the pairs of many contexts, and
+those of a word that occurs ``FREQUENT`` times are dealt over ``SPREAD`` files; a pair that fills
+the corpus is one counted pair from the first task on. The number of files grows
 with the corpus, their size doesn't. Files are written under a temporary name and moved.
 
 Hashes stand for words: two of V words collide with a probability of about V^2 / 2^63.
@@ -44,10 +44,11 @@ from mailsift.llm.elias_fano import EliasFano
 MU = 3.0
 ALPHA = 0.4
 STEPS = 32
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 PAIRS_PER_FILE = 2_000_000
 WORDS_PER_FILE = 1_000_000
 SPREAD = 8
+FREQUENT = 4096
 _BITS = 62
 
 
@@ -157,11 +158,21 @@ class Words:
             counts[a + known] = (ends.access(place + 1) - ends.access(place)).astype(np.int64)
         return ids, counts
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of ids in ascending order."""
+        out = np.zeros(len(ids), np.int64)
+        cuts = np.searchsorted(ids, self.first)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                place, ends = ids[a:b] - self.first[k], self.files[k][1]
+                out[a:b] = (ends.access(place + 1) - ends.access(place)).astype(np.int64)
+        return out
+
 
-def file_of(left: np.ndarray, right: np.ndarray, files: int) -> np.ndarray:
-    """Successor file of each pair of ids."""
+def file_of(left: np.ndarray, right: np.ndarray, count: np.ndarray, files: int) -> np.ndarray:
+    """Successor file of each pair of ids; ``count``: of the left word."""
     mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return ((mixed.astype(np.int64) + right % SPREAD) % files).astype(np.int64)
+    return (mixed.astype(np.int64) + np.where(count >= FREQUENT, right % SPREAD, 0)) % files
 
 
 def pairs(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +195,8 @@ def count_pairs(texts: DataFrame, path: str, sizes: list[int], files: int) -> Da
             held.clear()
             order = np.lexsort((right, left))
             left, right, n = _counted(left[order], right[order], np.ones(len(order), np.int64))
-            file = file_of(left, right, files)
+            contexts, of = np.unique(left, return_inverse=True)
+            file = file_of(left, right, words.counts(contexts)[of], files)
             order = np.argsort(file, kind="stable")
             cuts = np.searchsorted(file[order], np.arange(files + 1))
             rows = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
@@ -223,7 +235,7 @@ def write_successors(counted: DataFrame, path: str, sizes: list[int]) -> DataFra
         order = np.lexsort((right, left))
         left, right, n = _counted(left[order], right[order], n[order])
         contexts, begin = np.unique(left, return_index=True)
-        counts = context_counts(path, sizes, contexts)
+        counts = Words(path, sizes).counts(contexts)
         # each range goes on from the last value of the range before
         last = right[np.r_[begin[1:] - 1, len(right) - 1]] + 1
         base = np.cumsum(last) - last
@@ -238,18 +250,6 @@ def write_successors(counted: DataFrame, path: str, sizes: list[int]) -> DataFra
     return staged(counted.groupBy("file").applyInPandas(write, "file int, n long"), "successors")
 
 
-def context_counts(path: str, sizes: list[int], ids: np.ndarray) -> np.ndarray:
-    words = Words(path, sizes)
-    out = np.zeros(len(ids), np.int64)
-    of = np.searchsorted(words.first, ids, "right") - 1
-    for k in np.unique(of):
-        mine = np.flatnonzero(of == k)
-        place = ids[mine] - words.first[k]
-        ends = words.files[k][1]
-        out[mine] = (ends.access(place + 1) - ends.access(place)).astype(np.int64)
-    return out
-
-
 class Successors:
     """One file of the second level, mapped."""
 
@@ -260,19 +260,23 @@ class Successors:
         self.codes = np.frombuffer(buffer, np.uint8, self.values.n, at)
 
     def share(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The first part of each pair's probability, 0 if the pair is unknown."""
+        """The first part of each pair's probability, 0 if the pair is unknown; by ascending left."""
         out = np.zeros(len(left))
-        at = self.contexts.next_geq(left)
-        some = np.flatnonzero(at < self.contexts.n)
-        some = some[self.contexts.access(at[some]) == left[some].astype(np.uint64)]
-        begin = self.begin.access(at[some]).astype(np.int64)
-        end = self.begin.access(at[some] + 1).astype(np.int64)
-        base = np.zeros(len(some), np.int64)
+        first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
+        asked, pairs_of = left[first], np.diff(np.r_[first, len(left)])
+        at = self.contexts.next_geq(asked)
+        known = at < self.contexts.n
+        known[known] = self.contexts.access(at[known]) == asked[known].astype(np.uint64)
+        at = at[known]
+        begin, end = (self.begin.access(at + k).astype(np.int64) for k in (0, 1))
+        base = np.zeros(len(at), np.int64)
         later = begin > 0
         base[later] = self.values.access(begin[later] - 1).astype(np.int64) + 1
-        wanted = (right[some] + base).astype(np.uint64)
+        some = np.flatnonzero(np.repeat(known, pairs_of))
+        pairs_of = pairs_of[known]
+        wanted = (right[some] + np.repeat(base, pairs_of)).astype(np.uint64)
         place = self.values.next_geq(wanted)
-        hit = np.flatnonzero(place < end)
+        hit = np.flatnonzero(place < np.repeat(end, pairs_of))
         hit = hit[self.values.access(place[hit]) == wanted[hit]]
         out[some[hit]] = 10.0 ** (-self.codes[place[hit]].astype(float) / STEPS)
         return out
@@ -306,39 +310,32 @@ class Model:
         end = self.words.find(_END_ARRAY)[0][0]
         left, right = pairs(ids[place], lengths, end)
         # c(v) of each token's context; an unknown context leaves the unigram
-        c = counts[place]
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[np.cumsum(lengths) - lengths] = self.words.find(_END_ARRAY)[1][0]
-        p = chance[place] * (MU + ALPHA * before) / (before + MU) + self._shares(left, right)
-        return lengths, total(c > 0).astype(np.int64), total(np.log10(chance)[place]), total(np.log10(np.minimum(p, 1.0)))
-
-    def _shares(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        before, _ = pairs(counts[place], lengths, self.words.find(_END_ARRAY)[1][0])
+        p = chance[place] * (MU + ALPHA * before) / (before + MU) + self._shares(left, right, before)
+        return lengths, total(counts[place] > 0).astype(np.int64), total(np.log10(chance)[place]), total(np.log10(np.minimum(p, 1.0)))
+
+    def _shares(self, left: np.ndarray, right: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The first parts of the pairs, looked up file by file in order."""
         out = np.zeros(len(left))
         ask = np.flatnonzero((left >= 0) & (right >= 0))
-        if not len(ask):
-            return out
-        both, place = np.unique(np.stack([file_of(left[ask], right[ask], self.files), left[ask], right[ask]], 1), axis=0, return_inverse=True) \
-            if self.v >= 1 << 31 else self._distinct(left[ask], right[ask])
-        found = np.zeros(len(both))
-        cuts = np.searchsorted(both[:, 0], np.arange(self.files + 1))
+        left, right = left[ask], right[ask]
+        file = file_of(left, right, count[ask], self.files)
+        if self.files * self.v < 1 << 31 and self.v < 1 << 31:
+            order = np.argsort((file * self.v + left) << 31 | right)  # one key is sorted faster
+        else:
+            order = np.lexsort((right, left, file))
+        left, right, file = left[order], right[order], file[order]
+        new = np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])] if len(left) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        found = np.zeros(len(first))
+        cuts = np.searchsorted(file[first], np.arange(self.files + 1))
         for k in np.flatnonzero(np.diff(cuts)):
-            if file := self._file(int(k)):
-                a, b = cuts[k], cuts[k + 1]
-                found[a:b] = file.share(both[a:b, 1], both[a:b, 2])
-        out[ask] = found[place]
+            if open_file := self._file(int(k)):
+                mine = first[cuts[k]:cuts[k + 1]]
+                found[cuts[k]:cuts[k + 1]] = open_file.share(left[mine], right[mine])
+        out[ask[order]] = found[np.cumsum(new) - 1]
         return out
 
-    def _distinct(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (file, left, right) rows by file, and the row of each pair."""
-        key, place = np.unique(left * self.v + right, return_inverse=True)
-        left, right = key // self.v, key % self.v
-        file = file_of(left, right, self.files)
-        order = np.argsort(file, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return np.stack([file, left, right], 1)[order], back[place]
-
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count all texts of ``docs`` and write the trie to the shared folder."""
@@ -364,7 +361,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in parts(batches, "_text", 8 << 20):
+        for batch in parts(batches, "_text", 6 << 20):
             found = sent.value.score(utf8(batch, "_text"), hashes)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *map(pa.array, found)], [*kept, *schema.names[len(kept):]])
 
