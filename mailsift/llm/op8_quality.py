@@ -1,8 +1,9 @@
 """Operator 8: quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule is a test on a few derived columns. On a sample of the first ``SAMPLE`` rows the cascade
-measures each rule's rejections in one job and its cost in a timed job of its own, then applies
-the rules to all rows by rejections per cost, best first. A rule's columns are computed only for
+A rule is a test on a few derived columns. On a sample the cascade measures each rule's rejections
+in one job and its cost in a timed job of its own, then applies the rules to all rows by
+rejections per cost, best first. The sample is the first ``SAMPLE`` rows of at most
+``SAMPLE_CHARS`` characters; it is taken once, from as few partitions as hold it. A rule's columns are computed only for
 rows that no earlier rule has rejected. The order changes the work, never the verdict: a row is
 kept if no rule rejects it.
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from mailsift.llm.common import table
 
 SAMPLE = 1000
+SAMPLE_CHARS = 20_000
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 P = "_q_"
@@ -127,8 +129,12 @@ def with_text(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections per second, measured on the first ``sample`` rows."""
-    some = with_text(docs.select(text_col).limit(sample), text_col)
+    """The rules by rejections per second, measured on at most ``sample`` rows."""
+    short = docs.select(F.col(text_col).cast("string").alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
+    rows = [(r.text,) for r in short.take(sample)]  # 20 MB at most
+    if not rows:
+        return list(rules)
+    some = with_text(docs.sparkSession.createDataFrame(rows, "text string"), "text")
     everything = some
     for r in rules:
         everything = derive(everything, r.needs)
