@@ -8,7 +8,7 @@ form, advert or reader comment are left out, and the rest is the text.
 
 Weights are log odds of a place, or a tag, being inside the main region, counted on labelled
 pages: pages that mark their main region themselves (``article`` or ``main``), at most
-``TRAIN_PAGES`` of them. Words outside such an element score one less on a page that has it.
+``TRAIN_PAGES`` of them (20 MB at most). Words outside such an element score one less on a page that has it.
 Without labelled pages, fixed weights are used.
 
 A block is the text of a block element; inline tags and ``br`` do not end it. Character
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from mailsift.llm.common import parts, strings, table
 
-TRAIN_PAGES = 2000
+TRAIN_PAGES = 1000
+TRAIN_CHARS = 20_000
 
 # Element names by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
@@ -193,20 +194,14 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) -> Weights:
-    """Weights from at most ``limit`` pages that mark their main region."""
-    # the names are the same on every page, so a few hundred kinds are counted; the rest is rare
-    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).limit(limit).select(F.col(html_col).alias("html"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: Counter = Counter()
-        for batch in parts(batches, "html"):
-            for page in strings(batch, "html"):
-                out.update(count_places(page))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([i for _, i in out], pa.bool_()),
-                                          pa.array(list(out.values()), pa.int64())], ["kind", "inside", "n"])
-
-    rows = labelled.mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    return Weights({(r.kind, r.inside): r.n for r in rows.orderBy(F.desc("n"), "kind", "inside").limit(1000).collect()})
+    """Weights from the first ``limit`` pages (of at most ``TRAIN_CHARS`` characters) that mark
+    their main region; they are taken from as few partitions as hold them."""
+    page = F.col(html_col).cast("string")
+    labelled = pages.select(page.alias("html")).where(page.rlike("(?i)<(article|main)[\\s>]") & (F.char_length(page) <= TRAIN_CHARS))
+    counts: Counter = Counter()
+    for row in labelled.take(limit):
+        counts.update(count_places(row.html))
+    return Weights(counts)
 
 
 def extract_text(pages: DataFrame, weights: Weights, keep: list[str], html_col: str = "html") -> DataFrame:
