@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import staged, table
+from mailsift.llm.common import fresh, staged, table
 from mailsift.llm.op1_secrets import redact
 from mailsift.llm.op3_packing import cut_pieces, pack
 from mailsift.llm.op5_simhash import drop_near_duplicates
@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    marked = mark(docs, table(spark, sf_dir, "benchmark"), prefix="_hit_")
-    return marked.where(F.size("_hit_spans") == 0).select(*docs.columns)
+    prefix = fresh("_hit_", docs.columns)
+    marked = mark(docs, table(spark, sf_dir, "benchmark"), prefix=prefix)
+    return marked.where(F.size(prefix + "spans") == 0).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

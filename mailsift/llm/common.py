@@ -47,6 +47,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column begins with it."""
+    while any(c.lower().startswith(name) for c in columns):
+        name = "_" + name
+    return name
+
+
 def fold(id_col: Column, k: int) -> Column:
     """crc32 of the id as text, mod ``k``; -1 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string")) % k, F.lit(-1))

@@ -13,8 +13,8 @@ its share of parts and no pair of parts is ever emitted. Only lengths of matches
 shuffled, no text (``redact`` sends a text along once).
 
 Null text: as empty, no spans. Null and repeated ids, repeated rows: a row each. An empty table
-gives no rows. ``find_secrets`` returns the asked columns whatever their names (its own have the
-prefix ``_s_``).
+gives no rows. ``find_secrets`` returns the asked columns beside its own ``_s_spans``; ``redact``
+carries all columns of a row in one, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,9 +102,9 @@ def digest(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``REDACTED``; overlapping spans
     are one. Texts without spans stay as they are, null too."""
-    found = find_secrets(docs, docs.columns, text_col)
+    found = find_secrets(docs.select(F.struct("*").alias("_s_doc")), ["_s_doc"], f"_s_doc.`{text_col}`")
     spans = F.col("_s_spans")
-    text = F.col(text_col)
+    text = F.col("_s_doc")[text_col]
     # reach: where the spans before each one end; a span inside them adds nothing
     reach = F.aggregate(spans, F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
     found = found.withColumn("_s_reach", reach)
@@ -112,7 +112,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         text.substr((F.get(F.col("_s_reach"), i) + 1).cast("int"), (s["start"] - F.get(F.col("_s_reach"), i)).cast("int")), F.lit(REDACTED))).otherwise(""))
     rest = text.substr((F.element_at("_s_reach", -1) + 1).cast("int"), F.char_length(text))
     clean = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
-    return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return found.select(*[(clean if c == text_col else F.col("_s_doc")[c]).alias(c) for c in docs.columns])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

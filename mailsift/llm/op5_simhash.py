@@ -29,11 +29,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from mailsift.llm.common import LOWER, parts, staged, table, utf8
+from mailsift.llm.common import LOWER, fresh, parts, staged, table, utf8
 from mailsift.llm.components import connected_components
 
 WORDS = 3
@@ -66,7 +66,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, out: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint as a (signed) long in the new column ``out``."""
-    schema = docs.schema.add(out, "long")
+    schema = StructType([*docs.schema.fields, StructField(out, LongType())])
     rows = docs.withColumn(out, F.lit(0).cast("long"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,16 +215,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one of each class: that with the least id (null last, equal ids:
     the one with the least fingerprint; repeated rows: one of them)."""
-    fp = "_simhash"
+    fp = fresh("_simhash", docs.columns)
     marked = staged(with_fingerprint(docs, text_col, words, fp), "marked")
     ids = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
     member = ids.join(classes(ids, radius), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
-    kept = member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_kept_id"), F.col("o.fp").alias("_kept_fp"))
-    same = marked[id_col].eqNullSafe(kept["_kept_id"]) & (marked[fp] == kept["_kept_fp"])
+    kept = member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias(fp + "_id"), F.col("o.fp").alias(fp + "_fp"))
+    same = marked[id_col].eqNullSafe(kept[fp + "_id"]) & (marked[fp] == kept[fp + "_fp"])
     first = Window.partitionBy(id_col, fp).orderBy(fp)
-    return marked.join(kept, same, "left_semi").withColumn("_nth", F.row_number().over(first)) \
-        .where("_nth = 1").select(*docs.columns)
+    return marked.join(kept, same, "left_semi").withColumn(fp + "_nth", F.row_number().over(first)) \
+        .where(F.col(fp + "_nth") == 1).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

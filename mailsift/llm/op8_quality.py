@@ -8,8 +8,8 @@ rows that no earlier rule has rejected. The order changes the work, never the ve
 kept if no rule rejects it.
 
 Null or empty text: no words, rejected by ``few_words``. Repeated rows and ids: judged row by
-row. An empty table gives no rows and leaves the rules as listed. Derived columns have the
-prefix ``_q_``, so columns of other names are kept as they are.
+row. An empty table gives no rows and leaves the rules as listed. All columns of a
+row travel in one, so none of their names can clash with a derived column.
 """
 
 from __future__ import annotations
@@ -125,7 +125,12 @@ def derive(df: DataFrame, needs: tuple[str, ...], guard: Column | None = None) -
 
 
 def with_text(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn(P + "text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """All columns in one, out of the way of the derived ones, and the text."""
+    return docs.select(F.struct("*").alias(P + "kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(P + "text"))
+
+
+def _kept(columns: list[str]) -> list[Column]:
+    return [_c("kept")[c].alias(c) for c in columns]
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample: int = SAMPLE) -> list[Rule]:
@@ -154,7 +159,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text"
 
 
 def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", out: str = "rejected_by") -> DataFrame:
-    """``docs`` with the name of the first rule that rejects the row, null if none does.
+    """``_q_kept`` (all columns of the row) and the name of the first rule that rejects it, null if
+    none does.
 
     Columns are derived once for the rows that some rule still needs them for.
     """
@@ -163,12 +169,17 @@ def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", out: str
         # what an earlier rule has derived is null for rows that were rejected before it
         df = derive(df, rule.needs, _c("verdict").isNull() if k else None)
         df = df.withColumn(P + "verdict", F.when(_c("verdict").isNotNull(), _c("verdict")).when(F.expr(rule.test), rule.name))
-    return df.select(*docs.columns, _c("verdict").alias(out))
+    return df.select(P + "kept", _c("verdict").alias(out))
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects."""
-    return cascade(docs, order_rules(docs, rules, text_col), text_col, P + "out").where(F.col(P + "out").isNull()).drop(P + "out")
+    """The rows of ``docs`` that no rule rejects.
+
+    The row number keeps the optimizer from pushing the test below the cascade: there it would
+    put every derived column in place of its name, again and again, and compute each many times.
+    """
+    judged = cascade(docs, order_rules(docs, rules, text_col), text_col, P + "out").withColumn(P + "row", F.monotonically_increasing_id())
+    return judged.where(F.col(P + "out").isNull() & (F.col(P + "row") >= 0)).select(*_kept(docs.columns))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,5 +191,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     for rule in order_rules(docs, RULES[len(BASE):]):
         df = derive(df, rule.needs, _c("verdict").isNull())
         df = df.withColumn(P + "verdict", F.when(_c("verdict").isNotNull(), _c("verdict")).when(F.expr(rule.test), rule.name))
-    return df.select("doc_id", *[_c(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
+    return df.select(*_kept(["doc_id"]), *[_c(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
                      _c("verdict").isNull().alias("kept"))
