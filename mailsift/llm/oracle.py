@@ -66,7 +66,7 @@ DECONTAMINATION_SQL = rf"""
     places AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM docs, sizes, unnest(range(1, len(w) - n + 2)) AS u(i)),
     hits AS (SELECT rid, n, i, item_id FROM places JOIN windows USING (n, win)),
     words AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT rid, n, i FROM hits), unnest(range(0, n)) AS u(k) GROUP BY rid),
-    found AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    found AS (SELECT rid, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
         FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hits) GROUP BY rid)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
