@@ -32,7 +32,7 @@ def _rows(cols, data):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.QUERIES) == set(E.ORACLE)
 
 
 def test_entry_runs(spark):
@@ -40,7 +40,7 @@ def test_entry_runs(spark):
     assert df.columns == ["mailbox_id", "uid"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
