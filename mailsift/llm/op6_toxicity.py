@@ -1,12 +1,13 @@
 """Operator 6: toxicity by a convolutional text classifier trained in numpy.
 
-Words are hashed twice into two embedding tables and add up, so that two words are alike only if
-both hashes collide. Filters of ``WIDTHS`` words slide over the text; each filter's largest value
+A word's embedding is the sum of three rows of hashed tables: of the whole word and of its first
+``PREFIXES`` bytes, so an unseen ending still finds its stem. Filters of ``WIDTHS`` words slide over the text; each filter's largest value
 over the whole text (max pooling) goes to a logistic output. Embeddings start from the log odds
 of a bucket's words among toxic and other training texts, then all weights are trained by Adam.
 
 Thresholds are calibrated by language on a part of the training rows that the weights never saw:
-the cut of best F1 for each language that has ``LEAST`` toxic rows there, else the common one. A
+the cut of best F1 for each language that has ``LEAST`` toxic rows there, else the common one
+(with fewer than 5 in all, the cut is set on the training rows). A
 score is shifted so that its language's threshold is at 0.3. At scoring, the language is guessed
 from the text's own words; the column ``lang`` is only read with the training labels.
 
@@ -33,7 +34,11 @@ from pyspark.sql import functions as F
 from mailsift.llm.common import fold, parts, table, utf8
 from mailsift.llm.op9_decontamination import words_of
 
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
+PREFIXES = (4, 6)
+TABLES = 1 + len(PREFIXES)
+EMBEDDING_RATE = 0.2
 DIM = 6
 WIDTHS = (1, 2, 3)
 FILTERS = 6
@@ -46,7 +51,7 @@ CUT = 0.3
 
 
 class Hashes(dict):
-    """Word -> both buckets in one number; kept up to ``room`` words."""
+    """Word -> its buckets in all tables, in one number; kept up to ``room`` words."""
 
     def __init__(self, room: int = 300_000):
         super().__init__()
@@ -55,7 +60,9 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
             self.clear()
-        out = (xxhash.xxh32_intdigest(word) % BUCKETS) * BUCKETS + zlib.crc32(word) % BUCKETS
+        out = xxhash.xxh32_intdigest(word) % BUCKETS
+        for k, n in enumerate(PREFIXES, 1):
+            out |= zlib.crc32(word[:n], k) % BUCKETS << k * BITS
         self[word] = out
         return out
 
@@ -64,18 +71,28 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def bucket(words: np.ndarray, k: int) -> np.ndarray:
+    """The words' rows in table ``k``."""
+    return words >> k * BITS & BUCKETS - 1
+
+
 class Convolution:
     """Hashed embeddings, filters of several widths, max pooling and a logistic output."""
 
     def __init__(self, seed: int = 3):
         dice = np.random.default_rng(seed)
-        self.tables = [dice.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32) for _ in range(2)]
+        self.tables = [dice.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32) for _ in range(TABLES)]
         self.filters = [dice.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         for f in self.filters:
             f[:, 0, 0] = 1.0  # the first filter of each width starts by adding up log odds
         self.bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
-        self.out = np.full(len(WIDTHS) * FILTERS, 0.05, np.float32)
-        self.out_bias = np.zeros(1, np.float32)
+        out = np.full((len(WIDTHS), FILTERS), 0.05, np.float32)
+        out[:, 0] = 1.0
+        self.out = out.ravel()
+        self.out_bias = np.full(1, -4.0, np.float32)
+
+    def embed(self, words: np.ndarray) -> np.ndarray:
+        return sum(t[bucket(words, k)] for k, t in enumerate(self.tables))
 
     def pooled(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Largest value of each filter in each text (0 at least), and where it was reached.
@@ -83,7 +100,7 @@ class Convolution:
         ``words`` has all texts side by side; a window reaching past its text's end is left out
         by reading zero vectors there, and a text without words pools to zero.
         """
-        e = self.tables[0][words // BUCKETS] + self.tables[1][words % BUCKETS]
+        e = self.embed(words)
         n = len(words)
         features = np.zeros((len(sizes), len(WIDTHS), FILTERS), np.float32)
         where = []
@@ -112,6 +129,7 @@ class Convolution:
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> None:
         dice = np.random.default_rng(seed)
+        weight = len(labels) / 2 / np.bincount(labels.astype(int), minlength=2)  # both classes weigh alike
         state: dict[str, list[np.ndarray]] = {}
         step = 0
 
@@ -131,7 +149,7 @@ class Convolution:
                 features, where = self.pooled(words, sizes)
                 flat = features.reshape(len(some), -1)
                 chance = 1 / (1 + np.exp(-(flat @ self.out + self.out_bias[0])))
-                error = (chance - labels[some]).astype(np.float32) / len(some)
+                error = ((chance - labels[some]) * weight[labels[some].astype(int)]).astype(np.float32) / len(some)
                 back = (error[:, None] * self.out).reshape(features.shape) * (features > 0)
                 ends = np.cumsum(sizes)
                 gradients = [np.zeros_like(f) for f in self.filters]
@@ -141,25 +159,25 @@ class Convolution:
                         valid = (at < ends[:, None]) & (sizes > 0)[:, None]
                         g = np.where(valid, back[:, k], 0)
                         token = words[np.minimum(at, max(0, len(words) - 1))] if len(words) else at
-                        e = self.tables[0][token // BUCKETS] + self.tables[1][token % BUCKETS]
-                        gradients[k][j] = np.einsum("tfd,tf->df", e, g)
-                        to_words = -0.5 * np.einsum("tf,df->tfd", g, f[j])  # plain descent: few rows are touched
-                        np.add.at(self.tables[0], token // BUCKETS, to_words)
-                        np.add.at(self.tables[1], token % BUCKETS, to_words)
+                        gradients[k][j] = np.einsum("tfd,tf->df", self.embed(token), g)
+                        to_words = -EMBEDDING_RATE * np.einsum("tf,df->tfd", g, f[j])  # plain descent: few rows are touched
+                        for i, table_of in enumerate(self.tables):
+                            np.add.at(table_of, bucket(token, i), to_words)
                 out_gradient = error @ flat
                 for k, f in enumerate(self.filters):
-                    adam(f"f{k}", f, gradients[k], 0.005)
-                adam("bias", self.bias, back.sum(0), 0.005)
-                adam("out", self.out, out_gradient, 0.02)
+                    adam(f"f{k}", f, gradients[k], 0.002)
+                adam("bias", self.bias, back.sum(0), 0.002)
+                adam("out", self.out, out_gradient, 0.01)
                 adam("out_bias", self.out_bias, error.sum(keepdims=True), 0.02)
 
 
-def log_odds(texts: list[np.ndarray], labels: np.ndarray, which, smooth: float = 5.0) -> np.ndarray:
-    """Log odds of a bucket among toxic and other texts (half: two tables add up)."""
+def log_odds(texts: list[np.ndarray], labels: np.ndarray, which, smooth: float = 10.0) -> np.ndarray:
+    """Log odds of a bucket among toxic and other texts (half of them, as tables add up); 0 if unseen."""
     held = np.zeros((2, BUCKETS))
     for text, label in zip(texts, labels.astype(int)):
         held[label, np.unique(which(text))] += 1
-    share = (held + smooth) / (np.bincount(labels.astype(int), minlength=2)[:, None] + 2 * smooth)
+    n = np.bincount(labels.astype(int), minlength=2)[:, None]
+    share = (held / n + smooth / n.sum()) / (1 + smooth / n.sum())
     return np.log(share[1] / share[0]).astype(np.float32) / 2
 
 
@@ -182,15 +200,15 @@ class Model:
         place = {x: i for i, x in enumerate(self.languages)}
         counts = np.zeros((BUCKETS, len(self.languages)))
         for text, lang in zip(texts, languages):
-            np.add.at(counts[:, place[lang]], text // BUCKETS, 1)
+            np.add.at(counts[:, place[lang]], bucket(text, 0), 1)
         self.language_log = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
         apart = np.arange(len(texts)) % 4 == 0  # rows come in hash order
-        if len(set(labels[apart].tolist())) < 2 or len(set(labels[~apart].tolist())) < 2:
-            apart = np.zeros(len(texts), bool)
+        if labels[apart].sum() < 5 or len(set(labels[~apart].tolist())) < 2:
+            apart = np.zeros(len(texts), bool)  # too few to set any aside
         kept = [t for t, a in zip(texts, apart) if not a]
         net = self.net = Convolution()
-        net.tables[0][:, 0] = log_odds(kept, labels[~apart], lambda t: t // BUCKETS)
-        net.tables[1][:, 0] = log_odds(kept, labels[~apart], lambda t: t % BUCKETS)
+        for k in range(TABLES):
+            net.tables[k][:, 0] = log_odds(kept, labels[~apart], lambda t, k=k: bucket(t, k))
         net.train(kept, labels[~apart].astype(np.float32))
         judged = apart if apart.any() else ~apart
         logits = np.array([net.logits(t, np.array([len(t)]))[0] for t, a in zip(texts, judged) if a])
@@ -205,7 +223,7 @@ class Model:
         out = np.zeros(len(texts))
         sizes = np.array([len(t) for t in texts])
         logit = self.net.logits(np.concatenate(texts) if len(texts) else np.zeros(0, np.int64), sizes)
-        lang = np.array([int(self.language_log[t // BUCKETS].sum(0).argmax()) for t in texts], int)
+        lang = np.array([int(self.language_log[bucket(t, 0)].sum(0).argmax()) for t in texts], int)
         out = logit - self.cuts[lang] + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
