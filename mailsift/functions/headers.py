@@ -84,7 +84,7 @@ def first_header_value(headers: Column | str, name: str) -> Column:
 # A group opener is ``display-name:`` (no quote, bracket, comma, ``@`` or ``;``).
 _GROUP_OPEN = r'(^|,)[ \t]*[^:;,<>"@]+:'
 _GROUP = r'[^:;,<>"@]+:([^;]*);'
-_ENTRY = r'(?:"[^"]*"|<[^>]*>|[^,"<>])+'
+_ENTRY = r'(?:"[^"]*+"|<[^>]*+>|[^,"<>]++)++'
 
 
 def _parse_entry(entry: Column) -> Column:
@@ -152,19 +152,26 @@ def first_display(headers: Column | str, name: str) -> Column:
 # ---------------------------------------------------------------- subject and date
 
 # RFC 5256 base-subject rules (reply/forward leaders, "(fwd)" trailer, [fwd: ...]).
-_SUBJ_TRAILER = r"(?i)([ \t]|\(fwd\))+$"
-_SUBJ_LEADER = r"(?i)^([ \t]*(re|fwd?)[ \t]*(\[[^\]]*\])?[ \t]*:[ \t]*|[ \t]*\[[^\]]*\][ \t]*)+"
-_SUBJ_FWD_WRAP = r"(?i)^\[fwd:[ \t]*(.*)\]$"
+_SUBJ_TRAILER = r"(?i)(?:[ \t]|\(fwd\))++$"
+# A blob goes only if something stays after it. The possessive group takes any number of leaders.
+_SUBJ_LEADER = (r"(?i)^(?:[ \t]*(?:re|fwd?)[ \t]*(?:\[[^\]]*+\])?[ \t]*:[ \t]*|[ \t]*\[fwd:[ \t]*"
+                r"|[ \t]*\[(?!fwd:)[^\]]*+\][ \t]*(?=[^ \t\]]))++")
+_SUBJ_FWD_OPEN = r"(?i)\[fwd:"
+_SUBJ_END = r"(?i)(?:[ \t]|\(fwd\)|\])++$"
 
 
 def base_subject(subject: Column | str) -> Column:
     """subject without reply/forward marks, white space collapsed, upper-cased."""
     s = F.regexp_replace(F.regexp_replace(_c(subject), r"[\r\n]+", ""), r"[ \t]+", " ")
-    for _ in range(2):
-        s = F.regexp_replace(s, _SUBJ_TRAILER, "")
-        s = F.regexp_replace(s, _SUBJ_LEADER, "")
-        s = F.regexp_replace(s, _SUBJ_FWD_WRAP, "$1")
-    return F.upper(F.trim(s))
+    s = F.regexp_replace(s, _SUBJ_TRAILER, "")
+    lead = F.regexp_extract(s, _SUBJ_LEADER, 0)
+    rest = F.substring(s, F.length(lead) + 1, F.length(s))
+    # each [fwd: that was opened takes one closing bracket with it, nested however deep
+    opened = F.size(F.regexp_extract_all(lead, F.lit(_SUBJ_FWD_OPEN), 0))
+    end = F.regexp_extract(rest, _SUBJ_END, 0)
+    closing = F.length(end) - F.length(F.translate(end, "]", ""))
+    inner = F.concat(F.regexp_replace(rest, _SUBJ_END, ""), F.repeat(F.lit("]"), F.greatest(closing - opened, F.lit(0))))
+    return F.upper(F.trim(F.regexp_replace(F.when(opened > 0, inner).otherwise(rest), _SUBJ_TRAILER, "")))
 
 
 def header_date(headers: Column | str) -> Column:

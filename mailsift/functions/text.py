@@ -16,12 +16,15 @@ import regex as _re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token grammar (for upper-cased text) and the longest kept token.
+# Token grammar (for upper-cased text).
 EMAIL_PATTERN = r"[A-Z0-9._%+'-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 URL_PATTERN = r'HTTPS?://[^ \t\r\n<>"]+'
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+(?:[.'’:·][\p{L}\p{M}\p{N}_]+)*"
 TOKEN_PATTERN = f"{EMAIL_PATTERN}|{URL_PATTERN}|{WORD_PATTERN}"
-MAX_TOKEN_LENGTH = 255
+# The same words for the JVM: a possessive group is a loop there, where a plain repeated group
+# is a recursion and a chain of some thousand parts overflows the stack.
+_JVM_WORD = WORD_PATTERN.replace(")*", ")*+")
+_JVM_TOKEN = f"{EMAIL_PATTERN}|{URL_PATTERN}|{_JVM_WORD}"
 
 _TOKEN_RE = _re.compile(TOKEN_PATTERN)
 
@@ -33,14 +36,14 @@ def upper_en(col: Column | str) -> Column:
 
 # A text without "@" cannot hold an e-mail token, so it is scanned without that alternative
 # (same tokens, one pass less over every word).
-NO_EMAIL_PATTERN = f"{URL_PATTERN}|{WORD_PATTERN}"
+NO_EMAIL_PATTERN = f"{URL_PATTERN}|{_JVM_WORD}"
 
 
 def tokenize(col: Column | str) -> Column:
     """array of upper-cased tokens of a string column (repeats kept, order of text)."""
     c = col if isinstance(col, Column) else F.col(col)
     u = F.upper(c)
-    return F.when(F.instr(c, "@") > 0, F.regexp_extract_all(u, F.lit(TOKEN_PATTERN), 0)) \
+    return F.when(F.instr(c, "@") > 0, F.regexp_extract_all(u, F.lit(_JVM_TOKEN), 0)) \
         .otherwise(F.regexp_extract_all(u, F.lit(NO_EMAIL_PATTERN), 0))
 
 
@@ -48,7 +51,7 @@ def tokenize_py(text: str | None) -> list[str]:
     """Query-side tokenizer: same grammar, for criteria strings given by the caller."""
     if not text:
         return []
-    return [t for t in _TOKEN_RE.findall(text.upper()) if len(t) <= MAX_TOKEN_LENGTH]
+    return _TOKEN_RE.findall(text.upper())
 
 
 def octets(col: Column | str) -> Column:

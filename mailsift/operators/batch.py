@@ -11,14 +11,14 @@ Plan (no step evaluates a substring test per posting):
    against the *term dictionary* (distinct terms per field), not against postings:
    - qterms of 3+ characters through a trigram index of the dictionary: the rarest trigram of
      each qterm is an equi-join key, candidates are then verified with `contains` (exact);
-   - shorter qterms by a broadcast nested-loop `contains` on the dictionary (their number is
+   - shorter qterms by `contains` on the dictionary of their field (their number is
      small: at most the distinct 1-2 character strings).
 2. matching terms are equi-joined back to postings on (field, term);
 3. hits are tagged with (query_id, clause_id) by an equi-join on (field, qterm);
 4. ``match='any'``: distinct (query_id, mailbox_id, uid); ``match='all'``: count of distinct
    matched clauses per (query_id, mailbox_id, uid) equals the query's clause count.
-Small sides are broadcast only after a row count below ``BROADCAST_ROWS``; otherwise Spark
-shuffles on the equi-keys and AQE splits skewed partitions.
+Spark broadcasts by its own byte threshold; otherwise it shuffles on the equi-keys and AQE
+splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -28,27 +28,12 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.flags import flag_name_col
 from mailsift.functions.headers import header_field
-from mailsift.functions.text import MAX_TOKEN_LENGTH, tokenize
+from mailsift.functions.text import tokenize
 from mailsift.operators.ingest import term_dictionary
 
 POSTING_KINDS = ("body", "text", "header", "exists", "address")
 STATE_KINDS = ("flag_set", "flag_unset", "uid", "size_eq", "size_lt", "size_gt", "date_between")
 GRAM = 3
-BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a row-count check; beyond it the plain (shuffle) join runs.
-
-    The side is cached before counting so the count and the join share one computation; a
-    side over the bound is released again and joined by a shuffle (AQE splits skew).
-    """
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    df = df.cache()
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
 
 
 def expand_criteria(raw: DataFrame) -> DataFrame:
@@ -65,8 +50,7 @@ def expand_criteria(raw: DataFrame) -> DataFrame:
     base = ["query_id", "mailbox_id", "clause_id", "kind", "lo", "hi"]
     posting = raw.where(kind.isin(*POSTING_KINDS)).select(
         *base, F.explode(fields).alias("field"), terms.alias("terms")) \
-        .select(*base, "field", F.explode("terms").alias("qterm")) \
-        .where(F.length("qterm") <= MAX_TOKEN_LENGTH)
+        .select(*base, "field", F.explode("terms").alias("qterm"))
     other = raw.where(~kind.isin(*POSTING_KINDS)).select(
         *base, F.lit(None).cast("string").alias("field"),
         F.when(kind.isin("flag_set", "flag_unset"), flag_name_col(F.col("value"))).alias("qterm"))
@@ -107,19 +91,15 @@ def rarest_grams(qterms: DataFrame, gram_stats: DataFrame) -> DataFrame:
 
 
 def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | None = None,
-                gram_stats: DataFrame | None = None, pick: DataFrame | None = None,
-                max_qterms: int | None = None) -> DataFrame:
+                gram_stats: DataFrame | None = None, pick: DataFrame | None = None) -> DataFrame:
     """(field, term, qterm) for every dictionary term containing a query term (exact).
     ``qterms`` holds distinct (field, qterm) rows; the output then has no duplicates.
 
     Query terms of 3+ characters: the rarest trigram of the qterm is an equi-join key into the
-    gram index, candidates are verified with `contains`. Shorter ones: broadcast nested loop
-    `contains` over the dictionary (their count is bounded by the 1-2 character strings).
-    ``max_qterms``: a known bound of the qterm rows (e.g. built from a parameter list); when it
-    is under ``BROADCAST_ROWS`` the qterm-sized sides are broadcast without a counting job.
+    gram index, candidates are verified with `contains`. Shorter ones: `contains` over the
+    dictionary of the field (their count is bounded by the 1-2 character strings). Spark picks
+    broadcasts by its own byte threshold.
     """
-    bounded = max_qterms is not None and max_qterms <= BROADCAST_ROWS
-    small = F.broadcast if bounded else broadcast_if_small
     d = dictionary.select("field", "term")
     grams = grams if grams is not None else gram_index(d)
     if gram_stats is None:
@@ -127,10 +107,10 @@ def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | Non
     if pick is None:
         pick = rarest_grams(qterms, gram_stats)
     pick = pick.where(F.col("n") > 0).select("field", "gram", "qterm")
-    long_hits = grams.join(small(pick), ["field", "gram"]) \
+    long_hits = grams.join(pick, ["field", "gram"]) \
         .where(F.col("term").contains(F.col("qterm"))).select("field", "term", "qterm")
 
-    sq = small(qterms.where(F.length("qterm") < GRAM).select("field", "qterm"))
+    sq = qterms.where(F.length("qterm") < GRAM).select("field", "qterm")
     short_hits = d.join(sq, (d["field"] == sq["field"]) & d["term"].contains(sq["qterm"])) \
         .select(d["field"], d["term"], sq["qterm"])
     # (field, term, qterm) is already unique: a term has one row per distinct trigram and each
@@ -158,20 +138,17 @@ def _mailbox_ok() -> F.Column:
 def _state_hits(st: DataFrame, s_crit: DataFrame) -> DataFrame:
     """(query_id, clause_id, mailbox_id, uid) of state clauses over message_state."""
     cols = ["query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"), "kind", "qterm", "lo", "hi"]
-    bound = broadcast_if_small(s_crit.where(F.col("mailbox_id").isNotNull()).select(*cols))
+    bound = s_crit.where(F.col("mailbox_id").isNotNull()).select(*cols)
     parts = [st.join(bound, (st["mailbox_id"] == bound["q_mailbox"]) & _state_condition())
              .select("query_id", "clause_id", "mailbox_id", "uid")]
-    free = s_crit.where(F.col("mailbox_id").isNull()).select(*cols).cache()
-    n_free = free.count()
-    if n_free:
-        if n_free > BROADCAST_ROWS:
-            raise ValueError("too many state clauses without a mailbox for one batch; split the batch")
-        parts.append(st.join(F.broadcast(free), _state_condition())
-                     .select("query_id", "clause_id", "mailbox_id", "uid"))
+    # clauses for every mailbox: the stated query set against all messages
+    free = s_crit.where(F.col("mailbox_id").isNull()).select(*cols)
+    if free.take(1):
+        parts.append(st.join(free, _state_condition()).select("query_id", "clause_id", "mailbox_id", "uid"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-SHORT_WEIGHT = 2**62      # clause weight of a 1-2 character token: never preferred as driver
+SHORT_WEIGHT = 1e18       # clause weight of a 1-2 character token: never preferred as driver
 DRIVER_CLAUSES = 3        # lightest clauses whose intersection gives the candidates
 
 
@@ -186,16 +163,11 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     of the query's ``DRIVER_CLAUSES`` lightest clauses are the candidates, and only candidates
     are checked against the query's other clauses, on their own postings. No hit is fanned
     out to every query sharing a term, and common short tokens are never expanded over the
-    whole index. Every side derived from the criteria is broadcast only when the criteria
-    passed the size check (``by_crit``); otherwise each is checked on its own.
+    whole index. Spark picks broadcasts by its own byte threshold.
     """
     if match not in ("any", "all"):
         raise ValueError("match must be 'any' or 'all'")
-    crit = expand_criteria(criteria).cache()                 # criteria-sized, reused below
-    crit_small = crit.count() <= BROADCAST_ROWS
-    # sides derived from the criteria alone are bounded by the criteria's row count
-    by_crit = F.broadcast if crit_small else broadcast_if_small
-    crit = F.broadcast(crit) if crit_small else crit         # large criteria stay cached, shuffled
+    crit = expand_criteria(criteria)
     p_crit = crit.where(F.col("field").isNotNull())
     s_crit = crit.where(F.col("kind").isin(*STATE_KINDS))
     st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
@@ -212,9 +184,9 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         parts = [whole]
         if has_p:
             tm = match_terms(dictionary, p_crit.select("field", "qterm").distinct(), grams, gram_stats)
-            hits = post.join(broadcast_if_small(tm), ["field", "term"]) \
+            hits = post.join(tm, ["field", "term"]) \
                 .select("mailbox_id", "uid", "field", "qterm").distinct()
-            parts.append(hits.join(by_crit(pc), ["field", "qterm"]).where(_mailbox_ok())
+            parts.append(hits.join(pc, ["field", "qterm"]).where(_mailbox_ok())
                          .select("query_id", "mailbox_id", "uid"))
         if has_s:
             parts.append(_state_hits(st, s_crit).select("query_id", "mailbox_id", "uid"))
@@ -232,9 +204,9 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         if gram_stats is None:
             gram_stats = gram_statistics(grams)
         # token weight: messages whose terms hold its rarest trigram (short tokens: never first)
-        pick = by_crit(rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats))
+        pick = rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats)
         w_tok = F.when(F.length("qterm") < GRAM, F.lit(SHORT_WEIGHT)) \
-            .when(F.col("n") > 0, F.col("docs")).otherwise(F.lit(0))
+            .when(F.col("n") > 0, F.col("docs").cast("double")).otherwise(F.lit(0.0))
         weight = pc.join(pick.select("field", "qterm", "n", "docs"), ["field", "qterm"], "left") \
             .groupBy("query_id", "clause_id").agg(F.sum(w_tok).alias("w"))
         # the DRIVER_CLAUSES lightest clauses of each query (window over one query's clauses)
@@ -242,29 +214,28 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         drivers = weight.withColumn("rank", rank).where(F.col("rank") <= DRIVER_CLAUSES) \
             .select("query_id", "clause_id")
         n_drv = drivers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_drv"))
-        d_tok = by_crit(pc.join(drivers, ["query_id", "clause_id"]))
+        d_tok = pc.join(drivers, ["query_id", "clause_id"])
         d_q = d_tok.select("field", "qterm").distinct()
         d_terms = match_terms(dictionary, d_q, grams, gram_stats,
-                              pick=pick.join(by_crit(d_q), ["field", "qterm"], "left_semi"),
-                              max_qterms=BROADCAST_ROWS if crit_small else None)
-        d_match = broadcast_if_small(d_terms.join(d_tok, ["field", "qterm"])
-                                     .select("query_id", "clause_id", "q_mailbox", "field", "term"))
+                              pick=pick.join(d_q, ["field", "qterm"], "left_semi"))
+        d_match = d_terms.join(d_tok, ["field", "qterm"]) \
+            .select("query_id", "clause_id", "q_mailbox", "field", "term")
         # candidates: messages matching every driver clause of the query
         cand = post.join(d_match, ["field", "term"]).where(_mailbox_ok()) \
             .select("query_id", "clause_id", "mailbox_id", "uid").distinct() \
             .groupBy("query_id", "mailbox_id", "uid").agg(F.count(F.lit(1)).alias("c")) \
-            .join(by_crit(n_drv), "query_id").where(F.col("c") == F.col("n_drv")) \
+            .join(n_drv, "query_id").where(F.col("c") == F.col("n_drv")) \
             .select("query_id", "mailbox_id", "uid")
         # verify: each candidate against every posting clause of its query, on its own postings
-        cand_tok = broadcast_if_small(cand.join(by_crit(pc), "query_id").where(_mailbox_ok())
-                                      .select("query_id", "clause_id", "mailbox_id", "uid", "field", "qterm"))
+        cand_tok = cand.join(pc, "query_id").where(_mailbox_ok()) \
+            .select("query_id", "clause_id", "mailbox_id", "uid", "field", "qterm")
         got = post.join(cand_tok, ["mailbox_id", "uid", "field"]) \
             .where(F.col("term").contains(F.col("qterm"))) \
             .select("query_id", "clause_id", "mailbox_id", "uid")
         if has_s:
             sc = s_crit.select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"),
                                "kind", "qterm", "lo", "hi")
-            s_ok = cand.join(st, ["mailbox_id", "uid"]).join(by_crit(sc), "query_id") \
+            s_ok = cand.join(st, ["mailbox_id", "uid"]).join(sc, "query_id") \
                 .where(_mailbox_ok() & _state_condition()) \
                 .select("query_id", "clause_id", "mailbox_id", "uid")
             got = got.unionByName(s_ok)
@@ -272,25 +243,22 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     if has_s:
         # queries made of state clauses only
         p_queries = pc.select("query_id").distinct()
-        only_s = s_crit.join(by_crit(p_queries), "query_id", "left_anti")
+        only_s = s_crit.join(p_queries, "query_id", "left_anti")
         results.append(_state_hits(st, only_s))
     hits = results[0] if len(results) == 1 else results[0].unionByName(results[1])
     counted = hits.groupBy("query_id", "mailbox_id", "uid").agg(F.countDistinct("clause_id").alias("got"))
-    return counted.join(by_crit(need), "query_id").where(F.col("got") == F.col("need")) \
+    return counted.join(need, "query_id").where(F.col("got") == F.col("need")) \
         .select("query_id", "mailbox_id", "uid").unionByName(whole)
 
 
 def _whole_mailbox_queries(raw: DataFrame, crit: DataFrame, st: DataFrame) -> DataFrame:
     """Queries without any effective clause (only `all` or token-less text, Q2/Q3) select
-    their whole mailbox: an equi-join of message_state with those queries on mailbox_id. Such
-    a query without a mailbox would pair it with every message, so it is refused."""
+    their whole mailbox: an equi-join of message_state with those queries on mailbox_id. One
+    without a mailbox selects every message, as its result is."""
     effective = crit.where(F.col("kind") != "all").select("query_id").distinct()
-    neutral = raw.select("query_id", "mailbox_id").distinct() \
-        .join(effective, "query_id", "left_anti").cache()
-    n, n_free = neutral.agg(F.count(F.lit(1)), F.count(F.when(F.col("mailbox_id").isNull(), 1))).first()
-    if n_free:
-        raise ValueError("a query with only neutral clauses needs a mailbox_id in search_batch")
-    if n == 0:   # nothing to add: an empty relation, pruned by the optimizer
-        return st.select(F.lit(None).cast("bigint").alias("query_id"), "mailbox_id", "uid").where(F.lit(False))
-    neutral = F.broadcast(neutral) if n <= BROADCAST_ROWS else neutral
-    return st.join(neutral, "mailbox_id").select("query_id", "mailbox_id", "uid")
+    neutral = raw.select("query_id", "mailbox_id").distinct().join(effective, "query_id", "left_anti")
+    bound = st.join(neutral.where("mailbox_id is not null"), "mailbox_id").select("query_id", "mailbox_id", "uid")
+    free = neutral.where("mailbox_id is null").select("query_id")
+    if not free.take(1):
+        return bound
+    return bound.unionByName(st.select("mailbox_id", "uid").join(free).select("query_id", "mailbox_id", "uid"))

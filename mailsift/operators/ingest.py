@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import headers as H
 from mailsift.functions.flags import normalize_flags
-from mailsift.functions.text import MAX_TOKEN_LENGTH, tokenize
+from mailsift.functions.text import tokenize
 from mailsift.schema import ADDRESS_FIELDS
-from mailsift.session import spread_small_input
 
 POSTING_KEY = ["mailbox_id", "field", "term", "uid"]
 
@@ -63,20 +62,17 @@ def field_terms(msg_headers: Column, body: Column) -> Column:
     return F.array(*items)
 
 
-def build_postings(messages: DataFrame, dedup: str = "message", spread: bool = True) -> DataFrame:
+def build_postings(messages: DataFrame, dedup: str = "message") -> DataFrame:
     """P2 + P3: one row per distinct (mailbox_id, field, term, uid).
 
-    ``spread`` spreads a small few-file input over all task slots before tokenizing (see
-    `session.spread_small_input`); large inputs are left as they are.
+    One task per input split: `spark.sql.files.maxPartitionBytes` sets the parallelism.
     """
-    if spread:
-        messages = spread_small_input(messages)
     per_field = messages.select(
         "mailbox_id", "uid", F.explode(field_terms(F.col("headers"), F.col("body"))).alias("ft"))
     exploded = per_field.select(
         "mailbox_id", F.col("ft.field").alias("field"),
         F.explode(F.array_distinct(F.col("ft.terms"))).alias("term"), "uid")
-    postings = exploded.where(F.length("term") <= MAX_TOKEN_LENGTH)
+    postings = exploded
     if dedup == "global":
         postings = postings.dropDuplicates(POSTING_KEY)
     elif dedup != "message":
@@ -84,15 +80,12 @@ def build_postings(messages: DataFrame, dedup: str = "message", spread: bool = T
     return postings
 
 
-def explode_postings(messages: DataFrame, spread: bool = True) -> DataFrame:
+def explode_postings(messages: DataFrame) -> DataFrame:
     """P2 alone: every (field, term) occurrence, repeats kept (input of B4)."""
-    if spread:
-        messages = spread_small_input(messages)
     per_field = messages.select(
         "mailbox_id", "uid", F.explode(field_terms(F.col("headers"), F.col("body"))).alias("ft"))
     return per_field.select("mailbox_id", F.col("ft.field").alias("field"),
-                            F.explode("ft.terms").alias("term"), "uid") \
-        .where(F.length("term") <= MAX_TOKEN_LENGTH)
+                            F.explode("ft.terms").alias("term"), "uid")
 
 
 def term_frequency(messages: DataFrame) -> DataFrame:

@@ -175,8 +175,7 @@ def _leaf_terms(spark, leaves, dictionary, grams, gram_stats) -> DataFrame:
     parts = []
     if plain:
         q = spark.createDataFrame(plain, "field string, qterm string, leaf int")
-        tm = match_terms(dictionary, q.select("field", "qterm").distinct(), grams, gram_stats,
-                         max_qterms=len(plain))
+        tm = match_terms(dictionary, q.select("field", "qterm").distinct(), grams, gram_stats)
         parts.append(tm.join(F.broadcast(q), ["field", "qterm"]).select("field", "term", "leaf"))
     for f, t, i in regex:
         parts.append(d.where((F.col("field") == f) & F.col("term").rlike(t)).select("field", "term", F.lit(i).alias("leaf")))
@@ -195,7 +194,6 @@ def search(postings: DataFrame, state: DataFrame, mailbox, criteria, match: str
     postings are then read by an equi-join on (field, term): the substring test touches each
     distinct term once instead of every posting.
     """
-    from mailsift.operators.batch import broadcast_if_small
     tree = build_tree(criteria, match)
     mb = _mailbox_filter(mailbox)
     if tree is _TRUE:
@@ -206,7 +204,7 @@ def search(postings: DataFrame, state: DataFrame, mailbox, criteria, match: str
     tagged = None
     # "header exists" matches every term of its field: the dictionary would not narrow anything
     if dictionary is not None and leaves and all(leaf.terms for leaf in leaves):
-        terms = broadcast_if_small(_leaf_terms(postings.sparkSession, leaves, dictionary, grams, gram_stats))
+        terms = _leaf_terms(postings.sparkSession, leaves, dictionary, grams, gram_stats)
         tagged = _where(postings, mb).join(terms, ["field", "term"])
 
     if _is_flat_or(tree):

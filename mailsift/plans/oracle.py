@@ -6,7 +6,7 @@ every oracle query is self-contained (only the pre-registered table views are as
 
 from __future__ import annotations
 
-from mailsift.functions.text import MAX_TOKEN_LENGTH, duckdb_token_sql
+from mailsift.functions.text import duckdb_token_sql
 
 
 def tok(expr: str) -> str:
@@ -15,8 +15,7 @@ def tok(expr: str) -> str:
 
 DOC_POSTINGS = f"""doc_postings AS (
   SELECT DISTINCT mailbox_id, 'BODY' AS field, term, uid FROM (
-    SELECT source AS mailbox_id, doc_id AS uid, unnest({tok('text')}) AS term FROM documents)
-  WHERE length(term) <= {MAX_TOKEN_LENGTH})"""
+    SELECT source AS mailbox_id, doc_id AS uid, unnest({tok('text')}) AS term FROM documents))"""
 
 DOC_STATE = r"""doc_state AS (
   SELECT d.source AS mailbox_id, d.doc_id AS uid, d.n_chars AS size,
@@ -47,8 +46,7 @@ CONV_POSTINGS = f"""{CONV_H},
 {CONV_TEXTS},
 conv_postings AS (
   SELECT DISTINCT mailbox_id, field, term, uid FROM (
-    SELECT mailbox_id, uid, field, unnest({tok('t')}) AS term FROM conv_texts)
-  WHERE length(term) <= {MAX_TOKEN_LENGTH})"""
+    SELECT mailbox_id, uid, field, unnest({tok('t')}) AS term FROM conv_texts))"""
 
 ORD_STATE = r"""ord_state AS (
   SELECT CAST(o_custkey AS VARCHAR) AS mailbox_id, o_orderkey AS uid, o_orderdate AS internal_date,

@@ -253,13 +253,12 @@ def f24(spark, sf):
 
 @register("F1b_tokenize_urls", f"""
 SELECT DISTINCT 'pages' AS mailbox_id, page_id AS uid, term FROM (
-  SELECT page_id, unnest({O.tok('url')}) AS term FROM pages) WHERE length(term) <= 255""")
+  SELECT page_id, unnest({O.tok('url')}) AS term FROM pages)""")
 def f1b(spark, sf):
     """F1 on web addresses: each page URL (pages.url) tokenized; http(s) URLs stay one token."""
     pages = read_table(spark, sf, "pages")
     return pages.select(F.lit("pages").alias("mailbox_id"), F.col("page_id").alias("uid"),
-                        F.explode(F.array_distinct(tokenize("url"))).alias("term")) \
-        .where(F.length("term") <= 255)
+                        F.explode(F.array_distinct(tokenize("url"))).alias("term"))
 
 
 @register("C6b_exact_header_name", O.with_(O.CONV_H) + f"""

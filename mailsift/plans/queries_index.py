@@ -87,8 +87,7 @@ def p1(spark, sf):
 
 @register("P2_explode_postings", O.with_(O.CONV_H, O.CONV_TEXTS) + f"""
 SELECT mailbox_id, field, term, uid FROM (
-  SELECT mailbox_id, uid, field, unnest({O.tok('t')}) AS term FROM conv_texts)
-WHERE length(term) <= 255""")
+  SELECT mailbox_id, uid, field, unnest({O.tok('t')}) AS term FROM conv_texts)""")
 def p2(spark, sf):
     """One row per (field, term) occurrence, repeats kept."""
     return explode_postings(mail_conv(spark, sf)).select(*P_COLS)
@@ -185,18 +184,18 @@ def w5(spark, sf):
     return M.expand_uid_ranges(live, ranges)
 
 
-# ------------------------------------------------------------------ T7-T16: sorts (top 20)
+# ------------------------------------------------------------------ T7-T16: sorts (all messages)
 
 def _top(table_sql, key_sql, desc):
     order = "DESC NULLS LAST" if desc else "ASC NULLS FIRST"
-    return f"SELECT mailbox_id, uid, {key_sql} AS sort_key FROM {table_sql} ORDER BY sort_key {order}, uid, mailbox_id LIMIT 20"
+    return f"SELECT mailbox_id, uid, {key_sql} AS sort_key FROM {table_sql} ORDER BY sort_key {order}, uid, mailbox_id"
 
 
 def _sorted(index_fn, key, desc):
     def q(spark, sf):
         _, s = index_fn(spark, sf)
-        return sort_results(s.select("mailbox_id", "uid"), s, key, reverse=desc, limit=20)
-    q.__doc__ = f"Top 20 messages by {key} {'descending' if desc else 'ascending'}, then uid, mailbox_id."
+        return sort_results(s.select("mailbox_id", "uid"), s, key, reverse=desc)
+    q.__doc__ = f"All messages by {key} {'descending' if desc else 'ascending'}, then uid, mailbox_id."
     return q
 
 
@@ -237,7 +236,7 @@ def benchmark_criteria(spark, sf, per_token: bool):
 
 BENCH_TERMS = f"""bt AS (
   SELECT DISTINCT item_id AS query_id, t AS qterm FROM (
-    SELECT item_id, unnest({O.tok('text')}) AS t FROM benchmark) WHERE length(t) <= 255),
+    SELECT item_id, unnest({O.tok('text')}) AS t FROM benchmark)),
 dict AS (SELECT DISTINCT term FROM doc_postings),
 tm AS (SELECT b.query_id, b.qterm, d.term FROM dict d JOIN bt b ON contains(d.term, b.qterm))"""
 
@@ -291,8 +290,7 @@ def b3(spark, sf):
 
 @register("B4_term_frequency", O.with_(O.CONV_H, O.CONV_TEXTS) + f"""
 SELECT mailbox_id, field, term, uid, count(*) AS tf FROM (
-  SELECT mailbox_id, uid, field, unnest({O.tok('t')}) AS term FROM conv_texts)
-WHERE length(term) <= 255 GROUP BY mailbox_id, field, term, uid""")
+  SELECT mailbox_id, uid, field, unnest({O.tok('t')}) AS term FROM conv_texts) GROUP BY mailbox_id, field, term, uid""")
 def b4(spark, sf):
     """Term frequency per (mailbox, field, term, uid)."""
     return term_frequency(mail_conv(spark, sf))
@@ -303,7 +301,7 @@ def b4(spark, sf):
 body AS (SELECT l.mailbox_id, l.uid, 'signup ' || e.props AS t
          FROM live l JOIN events e ON e.event_id = l.last_add)
 SELECT DISTINCT mailbox_id, 'BODY' AS field, term, uid FROM (
-  SELECT mailbox_id, uid, unnest({O.tok('t')}) AS term FROM body) WHERE length(term) <= 255""")
+  SELECT mailbox_id, uid, unnest({O.tok('t')}) AS term FROM body)""")
 def w2b(spark, sf):
     """W2-W4 together: the events log applied to an empty index in two batches (before and
     from 2024-01-15); each add carries a body made from its event. = index of live messages."""

@@ -17,13 +17,11 @@ from mailsift.session import new_scratch_path
 from mailsift.sources.adapters import mail_changes, mail_conv
 from mailsift.streaming.stream import read_state, stage_files, stream_dedup, stream_index, stream_state
 
-N_FILES = 4
-
 
 @register("R1_stream_index", O.with_(O.CONV_POSTINGS) + "SELECT mailbox_id, field, term, uid FROM conv_postings")
 def r1(spark, sf):
     """Messages arrive as files; postings are appended per micro-batch."""
-    src = stage_files(mail_conv(spark, sf).select(*MESSAGES.fieldNames()), new_scratch_path(spark, "in-msgs"), N_FILES)
+    src = stage_files(mail_conv(spark, sf).select(*MESSAGES.fieldNames()), new_scratch_path(spark, "in-msgs"))
     sink = stream_index(spark, src, MESSAGES, new_scratch_path(spark, "out-postings"))
     return spark.read.parquet(sink).select("mailbox_id", "field", "term", "uid")
 
@@ -31,7 +29,7 @@ def r1(spark, sf):
 @register("R2_stream_state", O.with_(O.CHANGES) + f"SELECT mailbox_id, uid, flags FROM fold WHERE {O.LIVE}")
 def r2(spark, sf):
     """R2: the change log arrives in micro-batches; versioned state equals the batch fold."""
-    src = stage_files(mail_changes(spark, sf).select(*CHANGES.fieldNames()), new_scratch_path(spark, "in-chg"), N_FILES)
+    src = stage_files(mail_changes(spark, sf).select(*CHANGES.fieldNames()), new_scratch_path(spark, "in-chg"))
     root = stream_state(spark, src, CHANGES, new_scratch_path(spark, "state"))
     return live_flags(read_state(spark, root)).select("mailbox_id", "uid", flags_str())
 
@@ -40,6 +38,6 @@ def r2(spark, sf):
 def r3(spark, sf):
     """Repeated adds of one key (in different micro-batches) are kept once."""
     adds = mail_changes(spark, sf).where(F.col("op") == "add").select(*CHANGES.fieldNames())
-    src = stage_files(adds, new_scratch_path(spark, "in-adds"), N_FILES)
+    src = stage_files(adds, new_scratch_path(spark, "in-adds"))
     sink = stream_dedup(spark, src, CHANGES, new_scratch_path(spark, "out-adds"))
     return spark.read.parquet(sink).select("mailbox_id", "uid")

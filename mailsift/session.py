@@ -8,6 +8,7 @@ when the session has none (tests, local runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
 }
 
 
@@ -44,11 +45,14 @@ def get_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "m
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local tests only)
-    makes a fresh folder under /tmp and registers it as the checkpoint dir.
+    Uses ``spark.checkpoint.dir``. Only a local session may go without it: it gets a fresh
+    folder under /tmp. On a cluster executors would write to their own disks there, so a
+    missing setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -72,40 +76,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Inputs below this many bytes that come in fewer files than task slots are spread with a
-# round-robin repartition before per-row heavy work (tokenizing, MIME). Large inputs always
-# have enough file splits, so they are never shuffled for this.
-SPREAD_MAX_BYTES = 2 * 1024**3
-
-
-def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size of the given files/folders (Hadoop FileSystem API, any storage)."""
-    jvm = spark._jvm
-    total = 0
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        total += fs.getContentSummary(p).getLength()
-    return total
-
-
-def spread_small_input(df, min_tasks: int | None = None):
-    """Repartition a small, few-file input to ``min_tasks`` (default: cluster parallelism)."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    tasks = min_tasks or spark.sparkContext.defaultParallelism
-    # planned splits first: a large table is never listed file by file into the driver
-    if df.rdd.getNumPartitions() >= tasks:
-        return df
-    files = df.inputFiles()
-    if not files or len(files) >= tasks:
-        return df
-    if input_bytes(spark, files) > SPREAD_MAX_BYTES:
-        return df
-    return df.repartition(tasks)
-
-
 def materialize(df, name: str):
     """Write an intermediate that is read several times as Parquet in the shared scratch
     folder and read it back: computed once, lineage cut, survives executor loss."""

@@ -21,6 +21,9 @@ from mailsift.operators.ingest import build_postings
 from mailsift.operators.maintain import fold_changes, merge_folds
 from mailsift.session import new_scratch_path
 
+# Files of one micro-batch at most; the rest comes with the next one.
+MAX_FILES = 1000
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -48,14 +51,14 @@ def latest_version(spark: SparkSession, root: str, below: int | None = None) ->
     return best[1] if best else None
 
 
-def stage_files(df: DataFrame, path: str, n_files: int) -> str:
-    """Write a table as ``n_files`` parquet files to drive a file stream (tests, replays)."""
-    df.repartition(n_files).write.mode("errorifexists").parquet(path)
+def stage_files(df: DataFrame, path: str) -> str:
+    """Write a table as parquet files, one for each of its partitions, to drive a file stream."""
+    df.write.mode("errorifexists").parquet(path)
     return path
 
 
 def stream_index(spark: SparkSession, source: str, schema, sink: str, checkpoint: str | None = None,
-                 max_files: int = 1) -> str:
+                 max_files: int = MAX_FILES) -> str:
     """Index messages as they arrive; postings are appended to ``sink``."""
     checkpoint = checkpoint or new_scratch_path(spark, "ckpt-index")
     msgs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
@@ -67,7 +70,7 @@ def stream_index(spark: SparkSession, source: str, schema, sink: str, checkpoint
 
 
 def stream_state(spark: SparkSession, source: str, schema, state_root: str,
-                 checkpoint: str | None = None, max_files: int = 1) -> str:
+                 checkpoint: str | None = None, max_files: int = MAX_FILES) -> str:
     """R2: fold a change-log stream with a stateful streaming aggregation.
 
     The fold of `maintain.fold_changes` is a declarative aggregate, so Structured Streaming
@@ -110,7 +113,7 @@ def compact_state(spark: SparkSession, state_root: str) -> str:
 
 
 def stream_dedup(spark: SparkSession, source: str, schema, sink: str, checkpoint: str | None = None,
-                 max_files: int = 1, keys=("mailbox_id", "uid"), event_time: str | None = None,
+                 max_files: int = MAX_FILES, keys=("mailbox_id", "uid"), event_time: str | None = None,
                  delay: str | None = None) -> str:
     """Drop repeated adds of the same key (keyed state store).
 
@@ -139,7 +142,7 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 
 def stream_eml_index(spark: SparkSession, source: str, sink: str, mailbox_id: str | None = None,
-                     checkpoint: str | None = None, max_files: int = 100) -> str:
+                     checkpoint: str | None = None, max_files: int = MAX_FILES) -> str:
     """R1 + S1 for raw mail: ``.eml`` files arriving in ``source`` are parsed (MIME, per task,
     `mapInArrow`) and indexed; postings are appended to ``sink``. mailbox_id defaults to the
     parent folder name and uid to the numeric file name, as in `sources.mime.read_eml`."""

@@ -168,9 +168,8 @@ def test_search_dictionary_rewrite_equals_plain(spark):
         assert keyset(ix.search(mb, crits, match, use_dictionary=True)) == plain
 
 
-def test_batch_without_broadcasts_equals_single_searches(spark, fixture_index, monkeypatch):
-    """With a tiny broadcast bound every checked side takes the shuffle join path."""
-    monkeypatch.setattr(B, "BROADCAST_ROWS", 1)
+def test_batch_without_broadcasts_equals_single_searches(spark, fixture_index):
+    """With broadcasts off every side takes the shuffle join path."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         test_batch_equals_single_searches(spark, fixture_index)

@@ -21,31 +21,31 @@ def rows(df, cols):
 
 def test_stream_index_equals_batch(spark):
     msgs = mail_conv(spark, SF001).select(*MESSAGES.fieldNames())
-    src = stage_files(msgs, new_scratch_path(spark, "msgs"), 5)
-    sink = stream_index(spark, src, MESSAGES, new_scratch_path(spark, "sink"))
+    src = stage_files(msgs.repartition(5), new_scratch_path(spark, "msgs"))
+    sink = stream_index(spark, src, MESSAGES, new_scratch_path(spark, "sink"), max_files=1)
     cols = ["mailbox_id", "field", "term", "uid"]
     assert rows(spark.read.parquet(sink), cols) == rows(build_postings(msgs), cols)
 
 
 def test_stream_state_equals_batch_fold_and_restarts(spark):
     ch = mail_changes(spark, SF001).select(*CHANGES.fieldNames())
-    src = stage_files(ch, new_scratch_path(spark, "chg"), 5)
+    src = stage_files(ch.repartition(5), new_scratch_path(spark, "chg"))
     root, ckpt = new_scratch_path(spark, "state"), new_scratch_path(spark, "ckpt")
-    stream_state(spark, src, CHANGES, root, ckpt)
+    stream_state(spark, src, CHANGES, root, ckpt, max_files=1)
     cols = ["mailbox_id", "uid", "flags"]
     want = rows(M.live_flags(M.fold_changes(ch)).select(cols), cols)
     assert rows(M.live_flags(read_state(spark, root)).select(cols), cols) == want
     # compaction keeps the answer; a restart on the same checkpoint finds nothing new
     compact_state(spark, root)
-    stream_state(spark, src, CHANGES, root, ckpt)
+    stream_state(spark, src, CHANGES, root, ckpt, max_files=1)
     assert rows(M.live_flags(read_state(spark, root)).select(cols), cols) == want
 
 
 
 def test_stream_dedup(spark):
     adds = mail_changes(spark, SF001).where(F.col("op") == "add").select(*CHANGES.fieldNames())
-    src = stage_files(adds.unionByName(adds), new_scratch_path(spark, "adds"), 4)
-    sink = stream_dedup(spark, src, CHANGES, new_scratch_path(spark, "dedup"))
+    src = stage_files(adds.unionByName(adds).repartition(4), new_scratch_path(spark, "adds"))
+    sink = stream_dedup(spark, src, CHANGES, new_scratch_path(spark, "dedup"), max_files=1)
     got = rows(spark.read.parquet(sink), ["mailbox_id", "uid"])
     assert got == sorted(set(rows(adds, ["mailbox_id", "uid"])))
 
@@ -103,7 +103,7 @@ def test_stream_eml_files_equals_batch(spark):
 def test_stream_dedup_within_watermark(spark):
     """Repeats that arrive within the watermark delay are dropped (state purged behind it)."""
     adds = mail_changes(spark, SF001).where(F.col("op") == "add").select(*CHANGES.fieldNames())
-    src = stage_files(adds.unionByName(adds), new_scratch_path(spark, "adds-wm"), 4)
+    src = stage_files(adds.unionByName(adds).repartition(4), new_scratch_path(spark, "adds-wm"))
     sink = stream_dedup(spark, src, CHANGES, new_scratch_path(spark, "dedup-wm"),
                         max_files=4, event_time="ts", delay="3650 days")
     got = rows(spark.read.parquet(sink), ["mailbox_id", "uid"])
