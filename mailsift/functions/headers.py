@@ -119,7 +119,7 @@ def group_members(value: Column | str) -> Column:
     """encoded members of every group in an address header, upper-cased, one term each."""
     v = F.coalesce(_c(value), F.lit(""))
     lists = F.regexp_extract_all(v, F.lit(_GROUP), 1)
-    members = F.flatten(F.transform(lists, lambda lst: F.split(lst, ",")))
+    members = F.flatten(F.transform(lists, lambda lst: F.regexp_extract_all(lst, F.lit(_ENTRY), 0)))
     parsed = F.transform(F.filter(F.transform(members, F.trim), lambda m: m != ""), _parse_entry)
     return F.transform(F.filter(parsed, lambda a: a["address"] != ""), lambda a: F.upper(encode_address(a)))
 
@@ -174,9 +174,27 @@ def base_subject(subject: Column | str) -> Column:
     return F.upper(F.trim(F.regexp_replace(F.when(opened > 0, inner).otherwise(rest), _SUBJ_TRAILER, "")))
 
 
+# Minutes east of UTC of the zone names of RFC 5322; other names count as UTC.
+_ZONES = {"EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+_DATE = r"(\d{1,2})[ \t]++([A-Za-z]{3})[ \t]++(\d{4}|\d{2})[ \t]++(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[ \t]++([+-]\d{4}|[A-Za-z]{1,5}))?"
+
+
 def header_date(headers: Column | str) -> Column:
-    """Date header as UTC wall clock (weekday and comments ignored); NULL when absent/invalid."""
+    """Date header as UTC wall clock; NULL when absent or invalid.
+
+    Weekday and comments are ignored; seconds and zone may be missing (0, UTC); a two-digit year
+    is 1950-2049. The session's time zone plays no part: the wall clock is read without a zone
+    and moved by the header's own offset.
+    """
     v = first_header_value(headers, "Date")
-    core = F.regexp_extract(v, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4})", 1)
-    ts = F.try_to_timestamp(F.nullif(core, F.lit("")), F.lit("d MMM yyyy H:mm:ss Z"))
-    return ts.cast("timestamp_ntz")
+    part = [F.regexp_extract(v, _DATE, k) for k in range(8)]
+    year = F.when(F.length(part[3]) == 4, part[3]).when(part[3] < "50", F.concat(F.lit("20"), part[3])).otherwise(F.concat(F.lit("19"), part[3]))
+    seconds = F.when(part[6] == "", F.lit("00")).otherwise(part[6])
+    month = F.initcap(part[2])
+    wall = F.concat(part[1], F.lit(" "), month, F.lit(" "), year, F.lit(" "), part[4], F.lit(":"), part[5], F.lit(":"), seconds)
+    clock = F.try_to_timestamp(F.when(part[0] != "", wall), F.lit("d MMM yyyy H:mm:ss")).cast("timestamp_ntz")
+    number = F.substring(part[7], 2, 2).try_cast("int") * 60 + F.substring(part[7], 4, 2).try_cast("int")
+    east = F.when(part[7].startswith("+"), number).when(part[7].startswith("-"), -number)
+    for name, minutes in _ZONES.items():
+        east = east.when(F.upper(part[7]) == name, F.lit(minutes))
+    return clock - F.make_dt_interval(F.lit(0), F.lit(0), east.otherwise(F.lit(0)))

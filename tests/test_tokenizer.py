@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mailsift.functions.headers import base_subject, parse_addresses
+from mailsift.functions.headers import base_subject, group_members, header_date, parse_addresses
 from mailsift.functions.text import tokenize, tokenize_py
 
 ALPHABET = ("abcxyzABCXYZ0189 _.-'’:·@/%+<>\",;()\t\r\néèçàüößñÆœﬁİıǅΐ東京λΣς"
@@ -38,3 +38,25 @@ def test_base_subject(spark):
              "[list] Re: a  b (fwd)": "A B", "fw: re[2]: x [y]": "X [Y]", "Fwd: [a] [b]": "[B]", "": "", "RE:": "", "re: [fwd: a (fwd)]": "A"}
     df = spark.createDataFrame(list(cases.items()), "s string, want string")
     assert [(r.s, r.got) for r in df.select("s", base_subject("s").alias("got")).collect()] == list(cases.items())
+
+
+def test_header_date(spark):
+    cases = {"Thu, 14 Feb 2008 12:00:00 +0000": "2008-02-14 12:00:00", "14 Feb 2008 12:00 +0530": "2008-02-14 06:30:00",
+             "14 Feb 08 12:00:00 GMT": "2008-02-14 12:00:00", "Thu, 14 Feb 99 23:30:05 EST (comment)": "1999-02-15 04:30:05",
+             "1 JAN 2020 0:05 -0100": "2020-01-01 01:05:00", "14 Feb 2008 12:00": "2008-02-14 12:00:00", "31 Feb 2008 12:00:00 +0000": None,
+             "nonsense": None, "": None}
+    df = spark.createDataFrame(list(cases.items()), "v string, want string") \
+        .selectExpr("v", "array(named_struct('name', 'Date', 'value', v)) AS h")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = {r.v: r.d for r in df.select("v", header_date("h").cast("string").alias("d")).collect()}
+            assert got == cases, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_group_members_with_quoted_commas(spark):
+    df = spark.createDataFrame([('team: "Doe, John" <j@x.org>, b@y.org; other: c@z.org;',)], "v string")
+    assert df.select(group_members("v")).first()[0] == ["DOE, JOHN <J@X.ORG>", "B@Y.ORG", "C@Z.ORG"]
