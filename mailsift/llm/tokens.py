@@ -61,7 +61,7 @@ class UnitIds(dict):
 class TextEncoder:
     """Encodes texts to little-endian uint32 ids. ``cache_units`` bounds the units kept."""
 
-    def __init__(self, path: str, cache_units: int = 500_000):
+    def __init__(self, path: str, cache_units: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.units = UnitIds(self.tokenizer)
