@@ -62,16 +62,16 @@ def field_terms(msg_headers: Column, body: Column) -> Column:
     return F.array(*items)
 
 
-def build_postings(messages: DataFrame, dedup: str = "message") -> DataFrame:
-    """P2 + P3: one row per distinct (mailbox_id, field, term, uid).
+def build_postings(messages: DataFrame, dedup: str = "message", keep: tuple = ()) -> DataFrame:
+    """P2 + P3: one row per distinct (mailbox_id, field, term, uid), and the columns to ``keep``.
 
     One task per input split: `spark.sql.files.maxPartitionBytes` sets the parallelism.
     """
     per_field = messages.select(
-        "mailbox_id", "uid", F.explode(field_terms(F.col("headers"), F.col("body"))).alias("ft"))
+        "mailbox_id", "uid", *keep, F.explode(field_terms(F.col("headers"), F.col("body"))).alias("ft"))
     exploded = per_field.select(
         "mailbox_id", F.col("ft.field").alias("field"),
-        F.explode(F.array_distinct(F.col("ft.terms"))).alias("term"), "uid")
+        F.explode(F.array_distinct(F.col("ft.terms"))).alias("term"), "uid", *keep)
     postings = exploded
     if dedup == "global":
         postings = postings.dropDuplicates(POSTING_KEY)
@@ -98,15 +98,15 @@ def term_frequency(messages: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build_state(messages: DataFrame) -> DataFrame:
-    """message_state: typed per-message columns (flags, dates, size, sort keys).
+def build_state(messages: DataFrame, keep: tuple = ()) -> DataFrame:
+    """message_state: typed per-message columns (flags, dates, size, sort keys), and ``keep``.
 
     Each address header is parsed once into a column; the first-address and display keys
     are read from it (Catalyst keeps a non-cheap expression used twice in its own projection).
     """
     hs = F.coalesce(F.col("headers"), F.array().cast("array<struct<name:string,value:string>>"))
     parsed = messages.select(
-        "mailbox_id", "uid",
+        "mailbox_id", "uid", *keep,
         F.col("internal_date").cast("timestamp_ntz").alias("internal_date"),
         H.header_date(hs).alias("header_date"),
         F.col("size").cast("bigint").alias("size"),
@@ -123,7 +123,7 @@ def build_state(messages: DataFrame) -> DataFrame:
         H.local_part(F.col("a_cc")).alias("first_cc"),
         H.display_or_local(F.col("a_from")).alias("display_from"),
         H.display_or_local(F.col("a_to")).alias("display_to"),
-        "base_subject",
+        "base_subject", *keep,
     )
 
 

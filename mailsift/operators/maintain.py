@@ -12,17 +12,16 @@ Two folds merge with the same aggregate, so a late event loses against newer one
 batches too; the folded rows double as tombstones. A key is live when
 ``last_add > coalesce(last_delete, -1)``: a delete is final until a later add (Q16 fixed).
 
-Every fold is a `groupBy(mailbox_id, uid)`: the shuffle key holds the uid, so a mailbox with a
+Applying the folds to an index is `delta.LogIndex`. Every fold is a `groupBy(mailbox_id, uid)`: the shuffle key holds the uid, so a mailbox with a
 third of all messages still spreads over all tasks; partial aggregation runs map-side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import reduce
 
-from mailsift.operators.ingest import build_postings, build_state
-from mailsift.session import materialize
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 KEYS = ["mailbox_id", "uid"]
 FOLD_COLS = ["mailbox_id", "uid", "flags", "flags_seq", "last_add", "last_delete"]
@@ -40,14 +39,17 @@ def fold_changes(changes: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
-def merge_folds(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge two folds (state + a later batch): the same aggregate over the union."""
-    both = old.select(*FOLD_COLS).unionByName(new.select(*FOLD_COLS))
+def merge_folds(*folds: DataFrame, extra: dict | None = None) -> DataFrame:
+    """Merge folds of several batches, in any order: the same aggregate over their union.
+    ``extra`` names further aggregates over other columns of the folds."""
+    both = reduce(lambda a, b: a.unionByName(b),
+                  [f if extra else f.select(*FOLD_COLS) for f in folds])
     return both.groupBy(*KEYS).agg(
         F.max_by("flags", "flags_seq").alias("flags"),
         F.max("flags_seq").alias("flags_seq"),
         F.max("last_add").alias("last_add"),
         F.max("last_delete").alias("last_delete"),
+        *[column.alias(name) for name, column in (extra or {}).items()],
     )
 
 
@@ -80,7 +82,6 @@ def rejected_updates(changes: DataFrame, order: str = "seq", chunk: int = CHUNK)
        each chunk;
     3. a window over (key, chunk) (at most ``chunk`` rows) gives the state inside the chunk.
     """
-    from pyspark.sql import Window
     seq, op = F.col(order), F.col("op")
     ev = changes.select(*KEYS, seq.alias("seq"), "op", F.floor(seq / chunk).alias("chunk"))
     add_s = F.when(op == "add", F.col("seq"))
@@ -100,69 +101,59 @@ def rejected_updates(changes: DataFrame, order: str = "seq", chunk: int = CHUNK)
         .select(*KEYS, "seq")
 
 
-def delete_messages(postings: DataFrame, state: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drop every posting and the state row of each key (left anti joins on the key)."""
-    k = keys.select(*KEYS).distinct()
-    return postings.join(k, KEYS, "left_anti"), state.join(k, KEYS, "left_anti")
-
-
-def add_messages(postings: DataFrame, state: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index new messages. A re-added key replaces its old postings and state."""
-    keys = messages.select(*KEYS)
-    p_old, s_old = delete_messages(postings, state, keys)
-    return (p_old.unionByName(build_postings(messages).select(*p_old.columns)),
-            s_old.unionByName(build_state(messages).select(*s_old.columns)))
-
-
-def update_flags(state: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace the whole flags value of each updated key (latest update wins)."""
-    latest = updates.groupBy(*KEYS).agg(F.max_by("flags", "seq").alias("new_flags"))
-    return state.join(latest, KEYS, "left") \
-        .withColumn("flags", F.coalesce(F.col("new_flags"), F.col("flags"))).drop("new_flags")
-
-
 # ------------------------------------------------------------------ uid ranges
 
-RANGE_BUCKET = 1024
+# Equal parts that a mailbox's uid span is cut into, and copies of its span to meet its messages.
+RANGE_BUCKETS = 1024
+SPAN_COPIES = 16
 
 
-def expand_uid_ranges(state: DataFrame, ranges: DataFrame, bucket: int = RANGE_BUCKET) -> DataFrame:
-    """Keys of ``state`` inside any (mailbox_id, lo, hi) range, without enumerating uids.
+def _pieces(state: DataFrame, ranges: DataFrame, carry: tuple, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(keys with their bucket, ranges cut into one piece for each bucket they meet).
 
-    Range join by uid buckets: each range is exploded into the buckets it covers (its upper
-    end is first clamped to the mailbox's largest uid, so ``lo:*`` stays bounded) and joined on
-    (mailbox_id, bucket), then ``uid BETWEEN lo AND hi``. A mailbox with most of the data is
-    spread over its buckets instead of one join partition.
+    A mailbox's span from its least to its largest uid is cut into ``buckets`` equal parts and
+    ranges are clipped to it, so a range gives ``buckets`` pieces at most, whatever its width. A
+    NULL end is open.
     """
-    top = state.groupBy("mailbox_id").agg(F.max("uid").alias("max_uid"))
-    r = ranges.select("mailbox_id", F.col("lo").cast("bigint").alias("lo"),
-                      F.col("hi").cast("bigint").alias("hi")) \
-        .join(top, "mailbox_id") \
-        .select("mailbox_id", "lo", F.least("hi", "max_uid").alias("hi")) \
+    salt = F.pmod(F.xxhash64("uid"), F.lit(SPAN_COPIES)).cast("int")
+    span = state.groupBy("mailbox_id").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
+    span = span.withColumn("width", F.expr(f"(last - first) div {buckets} + 1"))
+    copies = span.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPAN_COPIES - 1))))
+    keys = state.select(*KEYS, salt.alias("salt")).join(copies, ["mailbox_id", "salt"]) \
+        .select(*KEYS, F.expr("(uid - first) div width").alias("bucket"))
+    clipped = ranges.select("mailbox_id", F.col("lo").cast("bigint").alias("lo"),
+                            F.col("hi").cast("bigint").alias("hi"), *carry) \
+        .where((F.col("lo") <= F.col("hi")) | F.col("lo").isNull() | F.col("hi").isNull()) \
+        .join(span, "mailbox_id") \
+        .withColumns({"lo": F.greatest("lo", "first"), "hi": F.least("hi", "last")}) \
         .where(F.col("lo") <= F.col("hi"))
-    b = F.lit(bucket)
-    rb = r.select("mailbox_id", "lo", "hi",
-                  F.explode(F.sequence(F.floor(F.col("lo") / b), F.floor(F.col("hi") / b))).alias("bucket"))
-    sb = state.select(*KEYS, F.floor(F.col("uid") / b).alias("bucket"))
-    j = sb.join(rb, ["mailbox_id", "bucket"]).where(F.col("uid").between(F.col("lo"), F.col("hi")))
-    return j.select(*KEYS).distinct()
+    pieces = clipped.withColumn("bucket", F.explode(F.sequence(F.expr("(lo - first) div width"),
+                                                               F.expr("(hi - first) div width")))) \
+        .withColumn("start", F.expr("first + bucket * width")) \
+        .select("mailbox_id", "bucket", F.greatest("lo", "start").alias("lo"),
+                F.least(F.col("hi"), F.col("start") + F.col("width") - 1).alias("hi"), *carry)
+    return keys, pieces
 
 
-def apply_changes(postings: DataFrame, state: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply one batch of the log to an index: adds, flag updates, deletes, in seq order.
+def range_hits(state: DataFrame, ranges: DataFrame, carry: tuple, buckets: int = RANGE_BUCKETS) -> DataFrame:
+    """Each key of ``state`` with the ``carry`` columns of each range that holds it."""
+    keys, pieces = _pieces(state, ranges, carry, buckets)
+    return keys.join(pieces, ["mailbox_id", "bucket"]) \
+        .where(F.col("uid").between(F.col("lo"), F.col("hi"))).select(*KEYS, *carry)
+
+
+def expand_uid_ranges(state: DataFrame, ranges: DataFrame, buckets: int = RANGE_BUCKETS) -> DataFrame:
+    """Keys of ``state`` inside any (mailbox_id, lo, hi) range, without enumerating uids.
 
-    The fold is read three times, so it is written once to the shared scratch folder.
+    An equi-join on (mailbox_id, bucket). Pieces of one bucket that overlap or touch are merged
+    first, so a key meets one piece at most and wide ranges that cover a whole bucket count once.
     """
-    fold = materialize(fold_changes(changes), "fold")
-    touched = fold.where(F.col("last_add").isNotNull() | F.col("last_delete").isNotNull()).select(*KEYS)
-    p_kept, s_kept = delete_messages(postings, state, touched)
-    flag_only = fold.where(F.col("last_add").isNull() & F.col("last_delete").isNull())
-    s_kept = s_kept.join(flag_only.select(*KEYS, F.col("flags").alias("new_flags")), KEYS, "left") \
-        .withColumn("flags", F.coalesce("new_flags", "flags")).drop("new_flags")
-    live_add = fold.where(is_live()).select(*KEYS, F.col("flags").alias("fold_flags"), "last_add")
-    content = changes.where(F.col("op") == "add").join(live_add, KEYS) \
-        .where(F.col("seq") == F.col("last_add")) \
-        .withColumn("flags", F.col("fold_flags"))
-    msgs = content.select(*KEYS, F.col("ts").alias("internal_date"), "size", "flags", "headers", "body")
-    return (p_kept.unionByName(build_postings(msgs).select(*p_kept.columns)),
-            s_kept.unionByName(build_state(msgs).select(*s_kept.columns)))
+    keys, pieces = _pieces(state, ranges, (), buckets)
+    by_start = Window.partitionBy("mailbox_id", "bucket").orderBy("lo", "hi")
+    reach = F.max("hi").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pieces.distinct().withColumn("reach", reach) \
+        .withColumn("opens", F.when(F.col("lo") <= F.col("reach") + 1, 0).otherwise(1))
+    merged = opened.withColumn("run", F.sum("opens").over(by_start)) \
+        .groupBy("mailbox_id", "bucket", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return keys.join(merged, ["mailbox_id", "bucket"]) \
+        .where(F.col("uid").between(F.col("lo"), F.col("hi"))).select(*KEYS).distinct()

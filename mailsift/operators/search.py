@@ -9,8 +9,10 @@ Plans:
   predicates, `unionByName` + `distinct`. The distinct is a partial + final hash aggregate on
   (mailbox_id, uid): the only exchange, keyed by uid too, so a hot mailbox spreads out.
 - *boolean plan* (AND / NOT): one postings scan flags every posting clause with
-  `bool_or(predicate_i)` per (mailbox_id, uid); message_state (the set of all messages) is
-  left-joined to it and the whole tree is one boolean filter. No chain of joins per clause.
+  `bool_or(predicate_i)` per (mailbox_id, uid). Conjuncts on message_state alone are pushed to
+  its scan. Where the rest holds postings without NOT, the hits decide alone (and meet the state
+  in a semi join only if it was filtered); else message_state, the set of all messages, is
+  left-joined to them and the tree is one boolean filter. No chain of joins per clause.
 
 Mailbox filters are equalities on `mailbox_id`, pushed to the Parquet scan; field filters
 prune the `field=` partitions of a written index.
@@ -134,6 +136,13 @@ def _leaves(node, out):
     return out
 
 
+def _only_postings(node) -> bool:
+    """A tree of posting criteria without NOT: it is false where no leaf matches."""
+    if isinstance(node, (C.And, C.Or)):
+        return all(_only_postings(k) for k in node.children)
+    return isinstance(node, C.PostingCriterion)
+
+
 def _is_flat_or(node) -> bool:
     if isinstance(node, C.Or):
         return all(isinstance(k, (C.PostingCriterion, C.StateCriterion)) for k in node.children)
@@ -222,25 +231,28 @@ def search(postings: DataFrame, state: DataFrame, mailbox, criteria, match: str
             parts.append(_where(state, mb, pred).select(*KEYS))
         return union_uids(*parts)
 
-    universe = _where(state, mb)
+    # A conjunction's tests on the state alone become plain filters of its scan.
+    conjuncts = tree.children if isinstance(tree, C.And) else (tree,)
+    on_state = [k for k in conjuncts if not _leaves(k, [])]
+    rest = [k for k in conjuncts if _leaves(k, [])]
+    universe = _where(state, mb, *[k.predicate() if isinstance(k, C.StateCriterion) else _tree_expr(k, {})
+                                   for k in on_state])
+    if not rest:
+        return universe.select(*KEYS)
     cols = {leaf: f"c{i}" for i, leaf in enumerate(leaves)}
-    if leaves and tagged is not None:
+    if tagged is not None:
         hits = tagged.groupBy(*KEYS).agg(
             *[F.bool_or(F.col("leaf") == i).alias(cols[leaf]) for i, leaf in enumerate(leaves)])
-        universe = universe.join(hits, KEYS, "left")
-    elif leaves:
+    else:
         any_leaf = reduce(lambda a, b: a | b, [leaf.predicate() for leaf in leaves])
         hits = _where(postings, mb, any_leaf).groupBy(*KEYS).agg(
             *[F.bool_or(leaf.predicate()).alias(cols[leaf]) for leaf in leaves])
-        universe = universe.join(hits, KEYS, "left")
-    return universe.where(_tree_expr(tree, cols)).select(*KEYS)
-
-
-def search_many(postings: DataFrame, state: DataFrame, mailbox, queries: dict, match: str = "any") -> DataFrame:
-    """Several named searches over one index, results tagged with ``query_id``."""
-    parts = [search(postings, state, mailbox, crit, match).withColumn("query_id", F.lit(qid))
-             for qid, crit in queries.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    test = reduce(lambda a, b: a & b, [_tree_expr(k, cols) for k in rest])
+    if all(_only_postings(k) for k in rest):
+        # Messages without a hit can't match: the hits alone decide.
+        hits = hits.where(test).select(*KEYS)
+        return universe.join(hits, KEYS, "left_semi").select(*KEYS) if on_state else hits
+    return universe.join(hits, KEYS, "left").where(test).select(*KEYS)
 
 
 def header_contains_exact(messages: DataFrame, mailbox, name: str, value: str) -> DataFrame:

@@ -9,8 +9,9 @@ from mailsift.functions.text import tokenize
 from mailsift.operators import batch as B
 from mailsift.operators import maintain as M
 from mailsift.operators import search as S
-from mailsift.operators.ingest import (build_postings, build_state, explode_postings, load_index,
-                                       rebuild_index, term_dictionary, term_frequency, write_postings)
+from mailsift.operators.delta import LogIndex, as_adds
+from mailsift.operators.ingest import (explode_postings, load_index, rebuild_index, term_dictionary,
+                                       term_frequency, write_postings)
 from mailsift.operators.sort import sort_results
 from mailsift.plans import oracle as O
 from mailsift.plans.registry import conv_index, docs_index, flags_str, orders_index, register
@@ -123,14 +124,15 @@ def w1(spark, sf):
 
 @register("W2_add_message", _postings_sql([O.DOC_POSTINGS], "doc_postings"))
 def w2(spark, sf):
-    """Index the labelled documents, then add the others incrementally: = full index."""
+    """Index the labelled documents, then add the others as a second batch: = full index."""
     docs = mail_docs(spark, sf, with_flags=False)
     labelled = read_table(spark, sf, "labels").select(F.col("doc_id").alias("uid"))
     first = docs.join(labelled, "uid", "left_semi")
     later = docs.join(labelled, "uid", "left_anti")
-    p, s = build_postings(first), build_state(first)
-    p2_, _ = M.add_messages(p, s, later)
-    return p2_.select(*P_COLS)
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    for part in (first, later):
+        ix.append(as_adds(part, F.col("uid")))
+    return ix.index().postings.select(*P_COLS)
 
 
 @register("W3_update_flags", O.with_(O.CHANGES) + f"SELECT mailbox_id, uid, flags FROM fold WHERE {O.LIVE}")
@@ -156,11 +158,39 @@ def w3b(spark, sf):
 @register("W4_delete_messages", _postings_sql(
     [O.DOC_POSTINGS], "doc_postings", "uid NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def w4(spark, sf):
-    """Delete the documents flagged DELETED (toxic) from the index: anti join on the key."""
-    p, s = docs_index(spark, sf)
-    keys = s.where(F.array_contains("flags", "\\DELETED")).select("mailbox_id", "uid")
-    p2_, _ = M.delete_messages(p, s, keys)
-    return p2_.select(*P_COLS)
+    """Delete the documents labelled toxic: a batch of tombstones over the indexed adds."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, sf, with_flags=False)
+    ix.append(as_adds(docs, 0))
+    gone = read_table(spark, sf, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("uid"))
+    ix.append(as_adds(docs, 1).withColumn("op", F.lit("delete")).join(gone, "uid", "left_semi"))
+    return ix.index().postings.select(*P_COLS)
+
+
+@register("W4c_delete_uid_range", _postings_sql(
+    [O.DOC_POSTINGS], "doc_postings", "NOT (uid BETWEEN 10 AND 40 OR uid BETWEEN 30 AND 55 OR uid >= 1000)"))
+def w4c(spark, sf):
+    """W4 by uid range: overlapping ranges and an open one, in every mailbox."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, sf, with_flags=False)
+    ix.append(as_adds(docs, 0))
+    spans = spark.createDataFrame([(10, 40), (30, 55), (1000, None)], "lo long, hi long")
+    ix.delete(docs.select("mailbox_id").distinct().join(F.broadcast(spans)).withColumn("seq", F.lit(1).cast("bigint")))
+    return ix.index().postings.select(*P_COLS)
+
+
+@register("W3c_update_uid_range", O.with_(O.DOC_STATE) + r"""
+SELECT mailbox_id, uid, CASE WHEN uid BETWEEN 20 AND 400 THEN '\DRAFT' WHEN uid <= 30 THEN '\SEEN' ELSE flags END AS flags
+FROM doc_state""")
+def w3c(spark, sf):
+    """W3 by uid range: the later of two overlapping ranges sets the flags."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, sf)
+    ix.append(as_adds(docs, 0))
+    spans = spark.createDataFrame([(None, 30, 1, ["seen"]), (20, 400, 2, ["draft"])],
+                                  "lo long, hi long, seq long, flags array<string>")
+    ix.update_flags(docs.select("mailbox_id").distinct().join(F.broadcast(spans)))
+    return ix.index().state.select("mailbox_id", "uid", flags_str())
 
 
 @register("W4b_deleted_keys", O.with_(O.CHANGES) + f"""
@@ -303,15 +333,13 @@ body AS (SELECT l.mailbox_id, l.uid, 'signup ' || e.props AS t
 SELECT DISTINCT mailbox_id, 'BODY' AS field, term, uid FROM (
   SELECT mailbox_id, uid, unnest({O.tok('t')}) AS term FROM body)""")
 def w2b(spark, sf):
-    """W2-W4 together: the events log applied to an empty index in two batches (before and
-    from 2024-01-15); each add carries a body made from its event. = index of live messages."""
+    """W2-W4 together: the events log applied to an empty index in two batches (from
+    2024-01-15 first, then the older events, which arrive late); each add carries a body made from its event. = index of live messages."""
     ev = read_table(spark, sf, "events").select(F.col("event_id").alias("seq"), "props")
     ch = mail_changes(spark, sf).drop("body").join(ev, "seq") \
         .withColumn("body", F.when(F.col("op") == "add", F.concat(F.lit("signup "), F.col("props")))).drop("props")
-    p0 = spark.createDataFrame([], "mailbox_id string, field string, term string, uid long")
-    s0 = build_state(mail_changes(spark, sf).where(F.lit(False)).select(
-        "mailbox_id", "uid", F.col("ts").alias("internal_date"), "size", "flags", "headers", "body"))
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    p1, s1 = M.apply_changes(p0, s0, ch.where(F.col("ts") < cut))
-    p2_, _ = M.apply_changes(p1, s1, ch.where(F.col("ts") >= cut))
-    return p2_.select(*P_COLS)
+    ix.append(ch.where(F.col("ts") >= cut))
+    ix.append(ch.where(F.col("ts") < cut))
+    return ix.index().postings.select(*P_COLS)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mailsift.operators import criteria as C
 from mailsift.operators.maintain import live_flags
 from mailsift.plans import oracle as O
 from mailsift.plans.registry import flags_str, register
 from mailsift.schema import CHANGES, MESSAGES
 from mailsift.session import new_scratch_path
-from mailsift.sources.adapters import mail_changes, mail_conv
-from mailsift.streaming.stream import read_state, stage_files, stream_dedup, stream_index, stream_state
+from mailsift.sources.adapters import mail_changes, mail_conv, read_table
+from mailsift.streaming.stream import read_state, stage_files, stream_changes, stream_dedup, stream_index, stream_state
 
 
 @register("R1_stream_index", O.with_(O.CONV_POSTINGS) + "SELECT mailbox_id, field, term, uid FROM conv_postings")
@@ -26,6 +27,21 @@ def r1(spark, sf):
     return spark.read.parquet(sink).select("mailbox_id", "field", "term", "uid")
 
 
+@register("R1b_stream_changes", O.with_(O.CHANGES) + f"""
+, live AS (SELECT mailbox_id, uid, last_add, flags FROM fold WHERE {O.LIVE})
+SELECT l.mailbox_id, l.uid FROM live l JOIN events e ON e.event_id = l.last_add
+WHERE l.flags = '\\SEEN' AND contains(upper(e.props), 'K')""")
+def r1b(spark, sf):
+    """R1 + R2: adds, flag updates and deletes stream into one index, which is then searched for
+    a body term and a flag."""
+    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("seq"), "props")
+    body = F.when(F.col("op") == "add", F.col("props"))
+    changes = mail_changes(spark, sf).drop("body").join(ev, "seq").withColumn("body", body)
+    src = stage_files(changes.select(*CHANGES.fieldNames()), new_scratch_path(spark, "in-log"))
+    ix = stream_changes(spark, src, CHANGES, new_scratch_path(spark, "log-index")).index()
+    return ix.search(None, [C.body_contains("k"), C.flag_set("SEEN")], match="all")
+
+
 @register("R2_stream_state", O.with_(O.CHANGES) + f"SELECT mailbox_id, uid, flags FROM fold WHERE {O.LIVE}")
 def r2(spark, sf):
     """R2: the change log arrives in micro-batches; versioned state equals the batch fold."""

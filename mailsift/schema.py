@@ -1,4 +1,4 @@
-"""Table schemas of the engine (messages in, index out, change log, batch criteria)."""
+"""Table schemas of the engine (messages in, postings out, change log)."""
 
 from pyspark.sql import types as T
 
@@ -24,21 +24,6 @@ POSTINGS = T.StructType([
     T.StructField("uid", T.LongType(), False),
 ])
 
-MESSAGE_STATE = T.StructType([
-    T.StructField("mailbox_id", T.StringType(), False),
-    T.StructField("uid", T.LongType(), False),
-    T.StructField("internal_date", T.TimestampNTZType()),
-    T.StructField("header_date", T.TimestampNTZType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("flags", T.ArrayType(T.StringType())),
-    T.StructField("first_from", T.StringType()),
-    T.StructField("first_to", T.StringType()),
-    T.StructField("first_cc", T.StringType()),
-    T.StructField("display_from", T.StringType()),
-    T.StructField("display_to", T.StringType()),
-    T.StructField("base_subject", T.StringType()),
-])
-
 CHANGES = T.StructType([
     T.StructField("seq", T.LongType(), False),
     T.StructField("ts", T.TimestampNTZType()),
@@ -51,19 +36,4 @@ CHANGES = T.StructType([
     T.StructField("size", T.LongType()),
 ])
 
-# Batch search input: one row per clause (or per token of a clause).
-CRITERIA = T.StructType([
-    T.StructField("query_id", T.LongType(), False),
-    T.StructField("mailbox_id", T.StringType()),          # NULL: every mailbox
-    T.StructField("clause_id", T.LongType(), False),
-    T.StructField("kind", T.StringType(), False),
-    T.StructField("field", T.StringType()),
-    T.StructField("term", T.StringType()),
-    T.StructField("lo", T.LongType()),
-    T.StructField("hi", T.LongType()),
-])
-
-# Fields kept as postings (tokenized). FLAGS, SENT_DATE, UID, FIRST_* are typed columns of
-# message_state instead.
-POSTING_FIELDS = ("BODY", "PREFIX_HEADER", "HEADERS", "TO", "CC", "FROM", "BCC", "BASE_SUBJECT")
 ADDRESS_FIELDS = ("TO", "CC", "FROM", "BCC")

@@ -1,6 +1,10 @@
 """Structured Streaming forms of indexing and maintenance.
 
-R1 `stream_index`   stateless: readStream messages -> postings -> parquet append sink.
+R1 `stream_changes` the change log (adds, flag updates, deletes) into a `delta.LogIndex`: each
+                    micro-batch writes its postings and folded state under its batch id, so a
+                    replayed one overwrites its own and every batch can be searched at once.
+                    No streaming state: the fold happens at read. `stream_index` is the
+                    append-only form for messages that never change.
 R2 `stream_state`   stateful streaming aggregation (the fold of maintain.py) in update mode;
                     each micro-batch writes the keys it changed as ``delta/v=<batch_id>``
                     (a replayed batch rewrites only its own delta: exactly-once); readers
@@ -17,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailsift.operators.delta import LogIndex
 from mailsift.operators.ingest import build_postings
 from mailsift.operators.maintain import fold_changes, merge_folds
 from mailsift.session import new_scratch_path
@@ -69,6 +74,24 @@ def stream_index(spark: SparkSession, source: str, schema, sink: str, checkpoint
     return sink
 
 
+def stream_changes(spark: SparkSession, source: str, schema, root: str, checkpoint: str | None = None,
+                   max_files: int = MAX_FILES) -> LogIndex:
+    """R1 + R2: apply a change-log stream to the index under ``root``, which belongs to one
+    checkpoint: batch ids name its folders. Search the returned index; `LogIndex.compact` when
+    the stream is not running."""
+    checkpoint = checkpoint or new_scratch_path(spark, "ckpt-changes")
+    index = LogIndex(spark, root)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        LogIndex(batch.sparkSession, root).append(batch, batch_id)
+
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    q = (changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return index
+
+
 def stream_state(spark: SparkSession, source: str, schema, state_root: str,
                  checkpoint: str | None = None, max_files: int = MAX_FILES) -> str:
     """R2: fold a change-log stream with a stateful streaming aggregation.

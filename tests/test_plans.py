@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailsift.operators import criteria as C
+from mailsift.operators.delta import LogIndex, as_adds
 from mailsift.operators.ingest import build_postings, load_index, rebuild_index, write_postings
 from mailsift.operators.search import search
 from mailsift.session import new_scratch_path
@@ -37,3 +38,28 @@ def test_clustered_postings_write(spark):
     files = back.select("mailbox_id", F.input_file_name().alias("f")).distinct() \
         .groupBy("mailbox_id").count().agg(F.max("count")).first()[0]
     assert files <= 2 * 8
+
+
+def test_small_batch_leaves_the_indexed_postings_in_place(spark):
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, SF001, with_flags=False)
+    ix.append(as_adds(docs, 0))
+    ix.compact()
+    ix.append(as_adds(docs.where(F.col("uid") < 5), 1))
+    plan = plan_text(ix.postings().where((F.col("field") == "BODY") & F.col("term").contains("THE")))
+    assert "PushedFilters: [IsNotNull(term), StringContains(term,THE)" in plan
+    # the filtered postings meet broadcast tombstones; nothing but their keys is shuffled
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("term" not in line for line in exchanges) and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_conjunction_filters_the_state_scan_and_positive_trees_skip_it(spark):
+    ix = load_index(spark, rebuild_index(mail_conv(spark, SF001), new_scratch_path(spark, "ix")))
+    both = plan_text(ix.search("3", [C.body_contains("the"), C.uid_eq(1)], match="all"))
+    assert "EqualTo(uid,1)" in both
+    terms = [C.body_contains("the"), C.header_exists("Cc")]
+    positive = ix.search("3", terms, match="all")
+    assert "Join" not in plan_text(positive)
+    one, two = ({tuple(r) for r in ix.search("3", [t]).collect()} for t in terms)
+    assert {tuple(r) for r in positive.collect()} == one & two

@@ -3,14 +3,17 @@ rebuild, adding twice = once, dictionary plan = plain plan, range join = brute f
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import tokenize, tokenize_py
 from mailsift.operators import batch as B
 from mailsift.operators import criteria as C
 from mailsift.operators import maintain as M
+from mailsift.operators.delta import LogIndex
 from mailsift.operators.ingest import build_postings, build_state, load_index, rebuild_index, term_dictionary
 from mailsift.operators.search import search
+from mailsift.schema import CHANGES
 from mailsift.session import new_scratch_path
 from mailsift.sources.adapters import mail_changes, mail_conv, mail_docs
 from tests.conftest import MB1, MB3, SF001
@@ -93,8 +96,7 @@ def test_dictionary_plan_equals_plain_plan(spark):
 
 
 def test_replay_equals_rebuild(spark):
-    """Folding the log in two batches (merge of folds) = folding it at once; apply_changes on
-    an index = index of the live messages."""
+    """Folding the log in two batches (merge of folds) = folding it at once."""
     ch = mail_changes(spark, SF001)
     whole = M.fold_changes(ch)
     cut = ch.agg(F.percentile_approx("seq", 0.5)).first()[0]
@@ -104,24 +106,61 @@ def test_replay_equals_rebuild(spark):
     assert sorted(map(tuple, M.live_flags(whole).select(cols).collect())) == \
         sorted(map(tuple, M.live_flags(merged).select(cols).collect()))
 
-    # apply_changes with message content: adds carry a body
-    adds = ch.withColumn("body", F.when(F.col("op") == "add", F.concat(F.lit("msg "), F.col("seq").cast("string"))))
-    empty_p = spark.createDataFrame([], "mailbox_id string, field string, term string, uid long")
-    empty_s = build_state(mail_conv(spark, SF001)).limit(0)
-    p1, s1 = M.apply_changes(empty_p, empty_s, adds.where(F.col("seq") <= cut))
-    p2, s2 = M.apply_changes(p1, s1, adds.where(F.col("seq") > cut))
-    live = keyset(M.live_flags(whole))
-    assert keyset(s2) == live
-    assert keyset(p2) == live
+
+
+@pytest.mark.parametrize("compact_after", [None, 0, 1])
+def test_log_index_in_any_order(spark, compact_after):
+    """Batches of the log in any order, one of them repeated, with or without a compaction
+    between them, give the index of the live messages."""
+    ch = mail_changes(spark, SF001)
+    ch = ch.withColumn("body", F.when(F.col("op") == "add", F.concat(F.lit("msg n"), F.col("seq").cast("string"))))
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    for n, third in enumerate((2, 0, 1)):
+        part = ch.where(F.col("seq") % 9 >= 3 * third).where(F.col("seq") % 9 < 3 * third + 3)
+        ix.append(part, n)
+        ix.append(part, n)
+        if n == compact_after:
+            ix.compact()
+    whole = M.fold_changes(ch)
+    live = whole.where(M.is_live())
+    got = ix.index()
+    assert keyset(got.state) == keyset(live)
+    want = {(r.mailbox_id, r.uid, f"N{r.last_add}") for r in live.collect()}
+    body = got.postings.where((F.col("field") == "BODY") & F.col("term").startswith("N"))
+    assert sorted((r.mailbox_id, r.uid, r.term) for r in body.collect()) == sorted(want) and want
+    flags = {(r.mailbox_id, r.uid): r.flags for r in M.live_flags(whole).collect()}
+    assert {(r.mailbox_id, r.uid): r.flags for r in got.state.collect()} == flags
+
+
+def test_log_index_awkward_batches(spark):
+    """An empty index, an empty batch, a delete of an unknown key and NULL flags."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    assert ix.index().postings.count() == 0 and ix.index().state.count() == 0
+    rows = [(1, None, "add", "m", 1, None, None, "alpha", None), (2, None, "add", "m", 2, ["seen"], None, None, 5),
+            (3, None, "delete", "m", 9, None, None, None, None)]
+    changes = spark.createDataFrame(rows, CHANGES)
+    ix.append(changes.limit(0))
+    ix.append(changes)
+    assert keyset(ix.index().state) == {("m", 1), ("m", 2)}
+    ix.update_flags(spark.createDataFrame([("m", 0, None, 4, ["draft"])], "mailbox_id string, lo long, hi long, seq long, flags array<string>"))
+    ix.delete(spark.createDataFrame([("m", None, 1, 5), ("none", 0, 9, 6)], "mailbox_id string, lo long, hi long, seq long"))
+    got = ix.index()
+    assert [(r.uid, r.flags) for r in got.state.collect()] == [(2, ["\\DRAFT"])] and got.postings.count() == 0
+    ix.compact()
+    ix.append(changes)        # a late copy of the whole log changes nothing
+    assert keyset(ix.index().state) == {("m", 2)} and ix.index().postings.count() == 0
 
 
 def test_range_join_equals_brute_force(spark):
     st = build_state(mail_conv(spark, SF001))
-    ranges = spark.createDataFrame([("1", 0, 1), ("2", 3, 10**12), ("5", 2, 2), ("9", 5, 4)],
-                                   "mailbox_id string, lo long, hi long")
-    got = keyset(M.expand_uid_ranges(st, ranges, bucket=2))
+    far = spark.createDataFrame([("1", 4 * 10**12)], "mailbox_id string, uid long")
+    st = st.select("mailbox_id", "uid").unionByName(far)
+    ranges = spark.createDataFrame([("1", 0, 1), ("1", 0, 2**63 - 1), ("2", 3, 10**12), ("2", 4, 5), ("5", 2, 2),
+                                    ("9", 5, 4)], "mailbox_id string, lo long, hi long")
     brute = keyset(st.join(ranges, "mailbox_id").where(F.col("uid").between(F.col("lo"), F.col("hi"))))
-    assert got == brute and got
+    for buckets in (1, 2, 1024):
+        assert keyset(M.expand_uid_ranges(st, ranges, buckets)) == brute
+    assert ("1", 4 * 10**12) in brute
 
 
 def test_dates_on_orders_half_open(spark):

@@ -4,14 +4,15 @@ import os
 
 from pyspark.sql import functions as F
 
+from mailsift.operators import criteria as C
 from mailsift.operators import maintain as M
 from mailsift.operators.ingest import build_postings
 from mailsift.schema import CHANGES, MESSAGES
 from mailsift.session import new_scratch_path, scratch_dir
 from mailsift.sources.adapters import mail_changes, mail_conv
 from mailsift.sources.mime import parse_mime, read_eml
-from mailsift.streaming.stream import (compact_state, read_state, stage_files, stream_dedup, stream_index,
-                                      stream_state)
+from mailsift.streaming.stream import (compact_state, read_state, stage_files, stream_changes, stream_dedup,
+                                      stream_index, stream_state)
 from tests.conftest import SF001
 
 
@@ -41,6 +42,18 @@ def test_stream_state_equals_batch_fold_and_restarts(spark):
     assert rows(M.live_flags(read_state(spark, root)).select(cols), cols) == want
 
 
+def test_streamed_changes_can_be_searched_after_each_micro_batch(spark):
+    ch = mail_changes(spark, SF001).select(*CHANGES.fieldNames()) \
+        .withColumn("body", F.when(F.col("op") == "add", F.concat(F.lit("note k"), F.col("uid").cast("string"))))
+    src, root, ckpt = (new_scratch_path(spark, n) for n in ("log", "log-index", "ckpt"))
+    parts = [ch.where(F.col("seq") % 3 == k) for k in (1, 0, 2)]
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(src)
+        ix = stream_changes(spark, src, CHANGES, root, ckpt).index()
+        seen = ch.where(F.col("seq") % 3 == 1) if k == 0 else ch.where(F.col("seq") % 3 < 2) if k == 1 else ch
+        want = rows(M.live_flags(M.fold_changes(seen)), ["mailbox_id", "uid"])
+        assert rows(ix.search(None, [C.body_contains("note")]), ["mailbox_id", "uid"]) == want and want
+
 
 def test_stream_dedup(spark):
     adds = mail_changes(spark, SF001).where(F.col("op") == "add").select(*CHANGES.fieldNames())
