@@ -14,12 +14,12 @@ from mailsift.plans.registry import ORACLE, QUERIES  # noqa: E402
 MODULES = {
     "S": "operators/search.py, sources/adapters.py, sources/mime.py",
     "P": "operators/ingest.py, operators/search.py",
-    "W": "operators/ingest.py, operators/maintain.py",
+    "W": "operators/ingest.py, operators/maintain.py, operators/delta.py",
     "C": "operators/criteria.py, operators/search.py",
     "T": "operators/criteria.py, operators/search.py, operators/sort.py",
     "F": "functions/*.py, sources/mime.py",
     "B": "operators/batch.py, operators/ingest.py",
-    "R": "streaming/stream.py",
+    "R": "streaming/stream.py, operators/delta.py",
 }
 
 
