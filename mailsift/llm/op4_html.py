@@ -15,7 +15,9 @@ A block is the text of a block element; inline tags and ``br`` do not end it. Ch
 references are decoded once, white space inside a block becomes one space, blocks are joined by
 a line break. Null or empty html, or no content: an empty text. Null and repeated ids or urls and
 repeated rows: a row each. An empty table gives no rows. Unclosed and stray tags, comments and
-scripts are read as browsers do, roughly. Very long pages are read whole, in linear time.
+scripts are read as browsers do, roughly: a quote opens an attribute's value after ``=`` only, and
+the value goes on to the closing quote, of whatever length. Very long pages are read whole, in
+linear time.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ TRAIN_CHARS = 20_000
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video|title"
+RAW = frozenset("script style noscript template textarea select iframe object svg math canvas audio video title".split())
 FRAME = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 MAIN = frozenset("article main".split())
 FRAME_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -48,9 +50,9 @@ FRAME_NAMES = frozenset("ad ads advert adverts advertisement advertising banner
                         "sponsor sponsored subscribe toolbar widget".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary form search menu dialog alert".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
-                    r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*+)>|<[!?/][^>]*>|[^<]+|<""",
-                    re.I | re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)|<[!?/]|[^<]+|<", re.I | re.S)
+_STEP = re.compile(r"""=\s*+(["'])|>""")
+_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -75,22 +77,84 @@ class Element:
 _TOP = Element("", "", None)
 
 
+class TagEnds:
+    """Where the tags of a page end. An attribute's value is read up to its closing quote however
+    far that is; a quote that is never closed is a character like others. A tag that never ends
+    marks its steps, and a later one that comes to such a step stops there: linear in the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.lost: set[int] = set()
+        self.first: tuple[int, re.Match | None] = (0, None)
+
+    def of(self, at: int) -> int:
+        """Place of the ``>`` of the tag whose attributes begin at ``at``, -1 if there is none."""
+        page, last, steps = self.page, self.last, []
+        start, step = self.first
+        if step is None or not start <= at <= step.start():
+            step = _STEP.search(page, at) if at <= last[">"] else None
+            self.first = at, step
+        while step and step.start() not in self.lost:
+            quote = step[1]
+            if quote is None:
+                return step.start()
+            steps.append(step.start())
+            at = step.end()
+            if at <= last[quote]:
+                at = page.find(quote, at) + 1
+            step = _STEP.search(page, at) if at <= last[">"] else None
+        self.lost.update(steps)
+        return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """('', '', text), (name, '/', '') and (name, '', attributes), in page order; an element whose
+    content is no text comes as one (name, '|', '')."""
+    ends, at = TagEnds(page), 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at, name = m.end(), m[2]
+        if name is None:
+            text = m[0]
+            if text[0] != "<" or text == "<":
+                yield "", "", text
+            elif len(text) == 2:
+                close = page.find(">", at) if at <= ends.last[">"] else -1
+                if close < 0:
+                    at -= 1
+                    yield "", "", "<"
+                else:
+                    at = close + 1
+            continue
+        close = ends.of(at)
+        if close < 0:
+            at = m.start() + 1
+            yield "", "", "<"
+            continue
+        attributes, at, name = page[at:close], close + 1, name.lower()
+        if name in RAW and not m[1]:
+            end = _END[name].search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else len(page)
+            yield name, "|", ""
+        else:
+            yield name, m[1], attributes
+
+
 def items(page: str) -> Iterator[tuple[str, str | None, Element]]:
     """(tag, None, element around it) and ('', text, element around it), in page order; a tag that
     does not end a block comes with its name, others with ``|`` before it."""
     stack = [_TOP]
-    for m in _TOKEN.finditer(page):
-        name = m[3]
-        if name is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                yield "", text, stack[-1]
-            elif m[1]:
-                yield "|" + m[1].lower(), None, stack[-1]
+    for name, kind, text in tokens(page):
+        if not name:
+            yield "", text, stack[-1]
             continue
-        name = name.lower()
         mark = name if name in INLINE else "|" + name
-        if m[2]:
+        if kind == "|":
+            yield "|" + name, None, stack[-1]
+            continue
+        if kind:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
@@ -107,8 +171,8 @@ def items(page: str) -> Iterator[tuple[str, str | None, Element]]:
             if stack[k - 1].name == "p" or stack[k - 1].name == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 del stack[k - 1:]
         yield mark, None, stack[-1]
-        if name not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append(Element(name, m[4], stack[-1]))
+        if name not in VOID and not text.rstrip().endswith("/"):
+            stack.append(Element(name, text, stack[-1]))
 
 
 def place(e: Element) -> str:

@@ -214,6 +214,13 @@ def test_broken_pages(page):
     extract(page, Weights({}))
 
 
+def test_long_attribute_values():
+    long = "A" * 9000
+    for tag in (f'<img src="data:{long}">', f"<img data-props='{{\"a\": \"x>y {long}\"}}'>", f'<img class="x"" alt="{long}>">'):
+        page = f'<div><p>Words before it.</p>{tag}<p>Words "after" it and <b class="y">more</b> words.</p></div>'
+        assert extract(page, Weights({})) == 'Words before it.\nWords "after" it and more words.'
+
+
 def test_windows_in_blocks(spark, odd):
     """A benchmark of several blocks marks the same words."""
     docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
