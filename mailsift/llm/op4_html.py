@@ -7,8 +7,10 @@ items with the greatest sum: the content region. Blocks inside the region that s
 form, advert or reader comment are left out, and the rest is the text.
 
 Weights are log odds of a place, or a tag, being inside the main region, counted on labelled
-pages: pages that mark their main region themselves (``article`` or ``main``), at most
-``TRAIN_PAGES`` of them (20 MB at most). Words outside such an element score one less on a page that has it.
+pages: pages that mark their main region themselves, at most
+``TRAIN_PAGES`` of them (20 MB at most). The mark is an ``article`` or ``main`` that is in no frame and
+holds most of the unlinked words outside frames, so teaser cards and comments are none. Its words score
+more, by a weight counted like the others; words outside it keep their score.
 Without labelled pages, fixed weights are used.
 
 A block is the text of a block element; inline tags and ``br`` do not end it. Character
@@ -58,15 +60,18 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "frame", "main", "link", "block")
+    __slots__ = ("name", "parent", "frame", "inside", "main", "link", "block", "words", "free")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name = name
-        self.main = name in MAIN or bool(parent and parent.main)
+        self.parent = parent
+        self.inside = name in MAIN or bool(parent and parent.inside)
+        self.main = False  # until the whole page is read
+        self.words = self.free = 0  # unlinked words in it, and those of them in no frame
         self.link = name == "a" or bool(parent and parent.link)
         self.block = parent.block if parent and name in INLINE else name
         # an article's own header holds its title
-        own = name in FRAME and not (name == "header" and self.main)
+        own = name in FRAME and not (name == "header" and self.inside)
         if attributes and name not in ("html", "body", "article", "main"):
             for key, a, b, c in _NAMES.findall(attributes):
                 words = _PART.split((a or b or c).lower())
@@ -74,9 +79,6 @@ class Element:
         self.frame = own or bool(parent and parent.frame)
 
 
-_TOP = Element("", "", None)
-
-
 class TagEnds:
     """Where the tags of a page end. An attribute's value is read up to its closing quote however
     far that is; a quote that is never closed is a character like others. A tag that never ends
@@ -142,10 +144,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield name, m[1], attributes
 
 
-def items(page: str) -> Iterator[tuple[str, str | None, Element]]:
+def items(page: str, made: list[Element]) -> Iterator[tuple[str, str | None, Element]]:
     """(tag, None, element around it) and ('', text, element around it), in page order; a tag that
-    does not end a block comes with its name, others with ``|`` before it."""
-    stack = [_TOP]
+    does not end a block comes with its name, others with ``|`` before it. Elements are added to
+    ``made``, parents first."""
+    stack = [Element("", "", None)]
+    made.append(stack[0])
     for name, kind, text in tokens(page):
         if not name:
             yield "", text, stack[-1]
@@ -173,6 +177,25 @@ def items(page: str) -> Iterator[tuple[str, str | None, Element]]:
         yield mark, None, stack[-1]
         if name not in VOID and not text.rstrip().endswith("/"):
             stack.append(Element(name, text, stack[-1]))
+            made.append(stack[-1])
+
+
+def read(page: str) -> list[tuple[str, str | None, Element, int]]:
+    """The items with their numbers of words; ``main`` of the elements is set."""
+    made: list[Element] = []
+    found = [(tag, text, e, len(text.split()) if text else 0) for tag, text, e in items(page, made)]
+    for _, _, e, n in found:
+        if not e.link:
+            e.words += n
+            e.free += 0 if e.frame else n
+    for e in reversed(made[1:]):
+        e.parent.words += e.words
+        e.parent.free += e.free
+    # an article or main element that holds most of the unframed text; cards and comments hold less
+    least = made[0].free / 2
+    for e in made[1:]:
+        e.main = e.parent.main or e.name in MAIN and not e.frame and e.free > least
+    return found
 
 
 def place(e: Element) -> str:
@@ -183,13 +206,14 @@ def count_places(page: str) -> Counter:
     """(kind, inside the main region) -> number of words or tags; empty if the page marks none."""
     out: Counter = Counter()
     labelled = False
-    for tag, text, e in items(page):
+    for tag, text, e, n in read(page):
         inside = e.main and not e.frame
         labelled = labelled or e.main
         if text is None:
             out["t " + tag.lstrip("/|"), inside] += 1
         else:
-            out["w " + place(e), inside] += len(text.split())
+            out["w " + place(e), inside] += n
+            out["main", inside] += n if e.main else 0
     return out if labelled else Counter()
 
 
@@ -204,13 +228,15 @@ class Weights:
             self.score[kind] = max(-2.0, min(2.0, odds))
 
     def word(self, e: Element) -> float:
-        """Words score above zero but for those in frames and in links outside paragraphs."""
+        """Words score above zero but for those in frames and in links outside paragraphs; the main
+        element adds to the score."""
         kind = place(e)
+        more = max(0.1, min(1.0, self.score.get("main", 0.5))) if e.main else 0.0
         if e.frame:
             return max(-0.5, min(-0.1, self.score.get("w " + kind, -0.5)))
         if e.link:
-            return max(-0.3, min(0.3, self.score.get("w " + kind, 0.2 if e.block == "p" else -0.3)))
-        return max(0.2, min(1.0, self.score.get("w " + kind, 1.0)))
+            return more + max(-0.3, min(0.3, self.score.get("w " + kind, 0.2 if e.block == "p" else -0.3)))
+        return more + max(0.2, min(1.0, self.score.get("w " + kind, 1.0)))
 
     def tag(self, tag: str) -> float:
         """Tags score below zero: hardly, if content has them; more, if frames have them."""
@@ -232,20 +258,13 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str, weights: Weights) -> str:
-    found = list(items(page))
-    marked = any(e.main for _, text, e in found if text)
-    scores = []
-    for tag, text, e in found:
-        if text is None:
-            scores.append(weights.tag(tag))
-        else:
-            n = len(text.split())
-            scores.append(n * (weights.word(e) - (1.0 if marked and not e.main else 0.0)))
+    found = read(page)
+    scores = [weights.tag(tag) if text is None else n * weights.word(e) for tag, text, e, n in found]
     first, last = region(scores)
     blocks, open_block = [], []
-    for tag, text, e in found[first:last]:
+    for tag, text, e, _ in found[first:last]:
         if text is not None:
-            if not e.frame and not (marked and not e.main):
+            if not e.frame:
                 open_block.append(text)
         elif "|" in tag:
             blocks.append(open_block)

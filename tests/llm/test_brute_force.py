@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from mailsift.llm import op3_packing, op5_simhash, op7_lm
 from mailsift.llm.elias_fano import EliasFano
-from mailsift.llm.op4_html import Weights, extract, region
+from mailsift.llm.op4_html import Weights, count_places, extract, region
 from mailsift.llm.op9_decontamination import mark
 from mailsift.llm.queries import QUERIES
 from mailsift.llm.tokens import TextEncoder, default_path
@@ -221,6 +221,32 @@ def test_long_attribute_values():
         assert extract(page, Weights({})) == 'Words before it.\nWords "after" it and more words.'
 
 
+def _learned():
+    counts = Counter()
+    for page in pq.read_table(f"{SF01}/pages.parquet")["html"].to_pylist():
+        counts.update(count_places(page or ""))
+    return Weights(counts)
+
+
+def test_pages_without_article_elements():
+    """Weights learned on pages with an article element find the same text without it."""
+    learned = _learned()
+    for page in pq.read_table(f"{SF01}/pages.parquet")["html"].to_pylist():
+        plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert plain != page and extract(plain, learned) == extract(page, learned)
+
+
+@pytest.mark.parametrize("weights", [lambda: Weights({}), _learned])
+def test_cards_and_comments_are_not_the_main_element(weights):
+    body = [f"Paragraph {k} of the story with a good number of words in it." for k in range(8)]
+    story = "<div class=body>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    cards = "".join(f"<article class=card><h3><a href={k}>Other story {k}</a></h3><p>Teaser</p></article>" for k in range(3))
+    comments = "<div id=comments>" + "".join(f"<article class=comment-body><p>I liked part {k} a lot.</p></article>" for k in range(3)) + "</div>"
+    for page in (story + cards, cards + story, story + comments, "<main>" + story + cards + "</main>" + comments):
+        out = extract(f"<body><nav><a href=1>Home</a></nav>{page}<footer>Site</footer></body>", weights()).split("\n")
+        assert [x for x in out if x in body] == body and not any("liked" in x or x in ("Home", "Site") for x in out)
+
+
 def test_windows_in_blocks(spark, odd):
     """A benchmark of several blocks marks the same words."""
     docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
