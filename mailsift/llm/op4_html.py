@@ -2,10 +2,15 @@
 
 A page is cut into items in page order: tags and words. Words score by the kind of place they
 stand in (block element, inside a link or not, inside an element that names itself a menu,
-advert, comment ...), tags score below zero by name. One linear scan finds the contiguous run of
+advert, comment ...: a frame), tags score below zero by name. One linear scan finds the contiguous run of
 items with the greatest sum: the content region. Blocks inside the region that stand in a menu,
 form, advert or reader comment are left out, and the rest is the text.
 
+A name makes no frame of a block with most of the page's unlinked words if the words outside frames
+are less than a quarter of those in it, nor of a block whose words it would leave hardly any others;
+an article or main element with most of the words ends a frame around it. ``has-sidebar`` or
+``no-comments`` names no frame.
+
 Weights are log odds of a place, or a tag, being inside the main region, counted on labelled
 pages: pages that mark their main region themselves, at most
 ``TRAIN_PAGES`` of them (20 MB at most). The mark is an ``article`` or ``main`` that is in no frame and
@@ -44,14 +49,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea select iframe object svg math canvas audio video title".split())
-FRAME = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+FRAME = frozenset("nav header footer aside menu dialog button fieldset head".split())
 MAIN = frozenset("article main".split())
 FRAME_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
                         "cookies disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices "
                         "overlay pagination popup promo promotion related replies reply respond share sharing sidebar signup social "
                         "sponsor sponsored subscribe toolbar widget".split())
+LAYOUT = frozenset("has have hide is no not show with without".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary form search menu dialog alert".split())
 
+#: Words outside frames are hardly any if the frames hold so many times as many.
+HARDLY = 4
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)|<[!?/]|[^<]+|<", re.I | re.S)
 _STEP = re.compile(r"""=\s*+(["'])|>""")
 _END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
@@ -60,23 +69,29 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "frame", "inside", "main", "link", "block", "words", "free")
+    __slots__ = ("name", "parent", "tagged", "named", "frame", "inside", "main", "link", "block", "direct", "words", "free")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name = name
         self.parent = parent
         self.inside = name in MAIN or bool(parent and parent.inside)
-        self.main = False  # until the whole page is read
-        self.words = self.free = 0  # unlinked words in it, and those of them in no frame
+        self.frame, self.main = 0, False  # until the whole page is read
+        self.direct = self.words = self.free = 0  # unlinked words right in it, in all of it, and those in no frame
         self.link = name == "a" or bool(parent and parent.link)
         self.block = parent.block if parent and name in INLINE else name
-        # an article's own header holds its title
-        own = name in FRAME and not (name == "header" and self.inside)
-        if attributes and name not in ("html", "body", "article", "main"):
+        # an article's own header holds its title; a form may be the whole page
+        self.tagged = name in FRAME and not (name == "header" and self.inside)
+        self.named = name == "form"
+        if attributes and name not in ("html", "body"):
             for key, a, b, c in _NAMES.findall(attributes):
-                words = _PART.split((a or b or c).lower())
-                own = own or not (FRAME_ROLES if key.lower() == "role" else FRAME_NAMES).isdisjoint(words)
-        self.frame = own or bool(parent and parent.frame)
+                names = FRAME_ROLES if key.lower() == "role" else FRAME_NAMES
+                self.named = self.named or any(names_frame(x, names) for x in (a or b or c).lower().split())
+
+
+def names_frame(value: str, names: frozenset[str]) -> bool:
+    """Whether a word of a class, id or role names a frame; ``has-sidebar`` or ``no-comments`` names a layout."""
+    words = _PART.split(value)
+    return any(w in names and before not in LAYOUT for before, w in zip(["", *words], words))
 
 
 class TagEnds:
@@ -180,16 +195,44 @@ def items(page: str, made: list[Element]) -> Iterator[tuple[str, str | None, Ele
             made.append(stack[-1])
 
 
+def frames(made: list[Element], names: bool) -> int:
+    """Set ``frame`` of the elements (2: by an element like ``nav``, 1: by a form or a name); the number
+    of unlinked words outside frames. An article or main element with most of the page's unlinked words
+    ends a frame around it; a block with most of them ends one by name if hardly any words stand
+    outside frames."""
+    for e in made:
+        e.free = e.direct
+    for e in reversed(made[1:]):
+        if not (e.tagged or names and e.named):
+            e.parent.free += e.free
+    most, outside = made[0].words / 2, made[0].free
+    for e in made[1:]:
+        own = 2 if e.tagged else 1 if names and e.named else 0
+        e.frame = max(own, e.parent.frame)
+        if e.frame and e.words > most and (e.name in MAIN and not own or e.frame == 1 and HARDLY * outside <= e.words):
+            e.frame = 0
+            outside += e.free
+    return outside
+
+
 def read(page: str) -> list[tuple[str, str | None, Element, int]]:
-    """The items with their numbers of words; ``main`` of the elements is set."""
+    """The items with their numbers of words; ``frame`` and ``main`` of the elements are set."""
     made: list[Element] = []
     found = [(tag, text, e, len(text.split()) if text else 0) for tag, text, e in items(page, made)]
     for _, _, e, n in found:
         if not e.link:
-            e.words += n
-            e.free += 0 if e.frame else n
+            e.direct += n
+    for e in made:
+        e.words = e.direct
     for e in reversed(made[1:]):
         e.parent.words += e.words
+    outside = frames(made, True)
+    # names that leave hardly any words are no names of frames (a page made of widgets)
+    if HARDLY * outside <= made[0].words - outside and HARDLY * outside > frames(made, False) - outside:
+        frames(made, True)
+    for e in made:
+        e.free = 0 if e.frame else e.direct
+    for e in reversed(made[1:]):
         e.parent.free += e.free
     # an article or main element that holds most of the unframed text; cards and comments hold less
     least = made[0].free / 2

@@ -247,6 +247,26 @@ def test_cards_and_comments_are_not_the_main_element(weights):
         assert [x for x in out if x in body] == body and not any("liked" in x or x in ("Home", "Site") for x in out)
 
 
+@pytest.mark.parametrize("begin, end", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<article class='post no-comments'>", "</article>"), ("<div id=with-banner>", "</div>"),
+    ("<div class=sidebar-right>", "</div>"), ("<form action=x>", "</form>"), ("<form><article>", "</article></form>"), ("<div class=menu-page><main>", "</main></div>")])
+def test_layout_names_remove_nothing(begin, end):
+    body = [f"Paragraph {k} of the story with a good number of words in it." for k in range(8)]
+    aside = "<div class=sidebar><p>Elsewhere on this site.</p></div><div id=comments><article class=comment-body><p>I liked it.</p></article></div>"
+    page = "<body><nav><a href=1>Home</a></nav>" + begin + "".join(f"<p>{x}</p>" for x in body) + aside + end + "<footer>Site</footer>"
+    for weights in (Weights({}), _learned()):
+        assert extract(page, weights) == "\n".join(body)
+
+
+def test_frame_names_around_every_block():
+    body = [f"Paragraph {k} of the story with a good number of words in it." for k in range(8)]
+    page = "<nav>Home</nav>" + "".join(f"<div class=x-widget><p>{x}</p></div>" for x in body) + "<footer>Site</footer>"
+    assert extract(page, Weights({})) == "\n".join(body)
+    comments = "<div class=comments>" + "<p>I did not like a word of all this story.</p>" * 15 + "</div>"
+    assert extract("<div>" + "".join(f"<p>{x}</p>" for x in body) + "</div>" + comments, Weights({})) == "\n".join(body)
+    assert extract("<div class=sidebar-right>" + "".join(f"<p>{x}</p>" for x in body) + comments + "</div>", Weights({})) == "\n".join(body)
+
+
 def test_windows_in_blocks(spark, odd):
     """A benchmark of several blocks marks the same words."""
     docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
