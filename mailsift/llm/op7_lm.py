@@ -7,12 +7,13 @@ The trie has two levels, each in several files of the shared folder, memory-mapp
 - successors: the ids of the words with successors, monotone pointers to each one's range, and
   all ranges in one monotone sequence: a range's ids are counted on from the last value of the
   range before it. A pair is found by a successor search from that base in the range of its
-  context. Beside it lies one byte with the quantised probability.
+  context. Beside it lie two bytes with the quantised probability.
 
 A pair's probability is p(w | v) = (1 - ALPHA) c(v w) / (c(v) + MU) + b(v) p(w), where p(w) is the
 base's smoothed unigram probability and b(v) = (MU + ALPHA c(v)) / (c(v) + MU) is what the first
-part leaves over (ALPHA of the mass at least, all of it for an unknown context). The byte holds
-the first part in steps of 1 / ``STEPS`` of a decade; the rest follows from the first level.
+part leaves over (ALPHA of the mass at least, all of it for an unknown context). The two bytes hold
+the first part in steps of 1 / ``STEPS`` of a decade, down to 10^-31.9, below the share of any 64-bit
+count, so the error is the same at every size; the rest follows from the first level.
 
 All training texts are counted. Words are counted in each task and summed in a shuffle of
 (hash, count). Pairs are sorted and counted in each task in arrays of about ``FLUSH`` pairs, cut
@@ -43,7 +44,7 @@ from mailsift.llm.elias_fano import EliasFano
 
 MU = 3.0
 ALPHA = 0.4
-STEPS = 32
+STEPS = 2048
 FLUSH = 1_000_000
 PAIRS_PER_FILE = 2_000_000
 WORDS_PER_FILE = 1_000_000
@@ -225,6 +226,18 @@ def _counted(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return left[first], right[first], np.add.reduceat(n, first)
 
 
+def successor_file(contexts: np.ndarray, begin: np.ndarray, right: np.ndarray, n: np.ndarray, counts: np.ndarray) -> bytes:
+    """A file of the second level: contexts with their counts, where each one's pairs begin, the
+    pairs' words and counts."""
+    # each range goes on from the last value of the range before
+    last = right[np.r_[begin[1:] - 1, len(right) - 1]] + 1
+    base = np.cumsum(last) - last
+    size = np.diff(np.r_[begin, len(right)])
+    share = (1 - ALPHA) * n / (np.repeat(counts, size) + MU)
+    codes = np.rint(-np.log10(share) * STEPS).astype(np.uint16)
+    return b"".join(EliasFano.of(x).to_bytes() for x in (contexts, np.r_[begin, len(right)], right + np.repeat(base, size))) + codes.tobytes()
+
+
 def write_successors(counted: DataFrame, path: str, sizes: list[int]) -> DataFrame:
     """Merge the counted pairs of each file and write it; (file, n) of each."""
     def write(frame: pd.DataFrame) -> pd.DataFrame:
@@ -235,16 +248,9 @@ def write_successors(counted: DataFrame, path: str, sizes: list[int]) -> DataFra
         order = np.lexsort((right, left))
         left, right, n = _counted(left[order], right[order], n[order])
         contexts, begin = np.unique(left, return_index=True)
-        counts = Words(path, sizes).counts(contexts)
-        # each range goes on from the last value of the range before
-        last = right[np.r_[begin[1:] - 1, len(right) - 1]] + 1
-        base = np.cumsum(last) - last
-        size = np.diff(np.r_[begin, len(right)])
-        share = (1 - ALPHA) * n / (np.repeat(counts, size) + MU)
-        codes = np.clip(np.rint(-np.log10(share) * STEPS), 0, 255).astype(np.uint8)
-        data = b"".join(EliasFano.of(x).to_bytes() for x in (contexts, np.r_[begin, len(right)], right + np.repeat(base, size)))
+        data = successor_file(contexts, begin, right, n, Words(path, sizes).counts(contexts))
         fs, folder = filesystem(path)
-        publish(fs, f"{folder}/successors-{number:06d}", lambda out: out.write(data + codes.tobytes()))
+        publish(fs, f"{folder}/successors-{number:06d}", lambda out: out.write(data))
         return pd.DataFrame({"file": [number], "n": [len(right)]})
 
     return staged(counted.groupBy("file").applyInPandas(write, "file int, n long"), "successors")
@@ -257,7 +263,7 @@ class Successors:
         self.contexts, at = EliasFano.from_buffer(buffer)
         self.begin, at = EliasFano.from_buffer(buffer, at)
         self.values, at = EliasFano.from_buffer(buffer, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.values.n, at)
+        self.codes = np.frombuffer(buffer, np.uint16, self.values.n, at)
 
     def share(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The first part of each pair's probability, 0 if the pair is unknown; by ascending left."""

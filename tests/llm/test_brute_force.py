@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -170,6 +171,17 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_rare_successors_of_hot_words():
+    """Shares keep their size after words of any count."""
+    counts = np.array([5, 10**6, 25 * 10**7, 10**12, 2**62])
+    n = np.array([1, 5, 1, 10**6, 1, 25 * 10**7, 1, 10**12, 1, 2**62])
+    left, right = np.repeat(np.arange(5), 2), np.tile([3, 8], 5)
+    data = op7_lm.successor_file(np.arange(5), np.arange(0, 10, 2), right, n, counts)
+    got = op7_lm.Successors(pa.py_buffer(data)).share(left, right)
+    want = (1 - op7_lm.ALPHA) * n / (np.repeat(counts, 2) + op7_lm.MU)
+    assert np.abs(np.log10(got) - np.log10(want)).max() <= 0.5 / op7_lm.STEPS + 1e-9
+
+
 def test_language(spark):
     lang = {i: x for i, _, x in _docs(SF01)}
     rows = [r for r in QUERIES["op2_langid"](spark, SF01).collect() if r.held_out]
