@@ -5,11 +5,15 @@ A word's embedding is the sum of three rows of hashed tables: of the whole word
 over the whole text (max pooling) goes to a logistic output. Embeddings start from the log odds
 of a bucket's words among toxic and other training texts, then all weights are trained by Adam.
 
-Thresholds are calibrated by language on a part of the training rows that the weights never saw:
-the cut of best F1 for each language that has ``LEAST`` toxic rows there, else the common one
-(with fewer than 5 in all, the cut is set on the training rows). A
-score is shifted so that its language's threshold is at 0.3. At scoring, the language is guessed
-from the text's own words; the column ``lang`` is only read with the training labels.
+Thresholds are calibrated by language on all labelled, not held-out rows that the weights never saw:
+a quarter of them, by hash of the id, and all others beyond the training bounds (with fewer than 5
+toxic rows in that quarter, all labelled rows). Their scores are counted in bins of 1 / ``BINS``; the
+counts of a label are weighted to its share among all labelled rows of the language, fitted ones too,
+so the cut does not depend on the bounds. It is the cut of best F1 for each language that has
+``LEAST`` toxic rows there, else the common one. A score is shifted so that its language's threshold
+is at 0.3. The language is guessed from the text's own words, at calibration and at scoring; the
+column ``lang`` is only read with the training labels. All texts are scored once; the raw scores
+(two numbers a row) are written and read again for calibration and result.
 
 The model is fitted on at most ``TRAIN_ROWS`` toxic and as many other rows, of each at most
 ``TRAIN_WORDS`` words (segments spread over a longer text); both bounds hold for training only.
@@ -22,6 +26,7 @@ score is 0, without other rows 1. Null id: unlabelled, not held out. Repeated ro
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import fold, parts, table, utf8
+from mailsift.llm.common import fold, parts, staged, table, utf8
 from mailsift.llm.op9_decontamination import words_of
 
 BITS = 16
@@ -47,6 +52,8 @@ TRAIN_WORDS = 4096
 EPOCHS = 4
 BATCH = 64
 LEAST = 20
+ASIDE = 4
+BINS = 64
 CUT = 0.3
 
 
@@ -181,14 +188,35 @@ def log_odds(texts: list[np.ndarray], labels: np.ndarray, which, smooth: float =
     return np.log(share[1] / share[0]).astype(np.float32) / 2
 
 
-def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The cut of best F1, in the middle of the gap below it."""
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+def best_cut(bins: np.ndarray, toxic: np.ndarray, others: np.ndarray) -> float:
+    """The cut of best F1 from (weighted) rows by ascending bin of the logit, in the middle of the gap below it."""
+    some = np.flatnonzero(toxic + others > 0)
+    bins, toxic, others = bins[some][::-1], toxic[some][::-1], others[some][::-1]
+    hits = np.cumsum(toxic)
+    f1 = 2 * hits / (hits + np.cumsum(others) + hits[-1])
     k = int(np.argmax(f1))
-    low = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
-    return float((logits[order[k]] + low) / 2)
+    low = bins[k + 1] + 1 if k + 1 < len(bins) else bins[k] - BINS
+    return float((bins[k] + low) / 2 / BINS)
+
+
+def cuts_of(counts: list[tuple[int, int, int, int, int]], languages: int) -> np.ndarray:
+    """Each language's cut from rows (language, bin, toxic, labelled rows, those not fitted on)."""
+    table_of = np.array(counts, np.int64).reshape(-1, 5)
+    bins, place = np.unique(table_of[:, 1], return_inverse=True)
+    labelled, apart = np.zeros((2, languages, 2, len(bins)))
+    np.add.at(labelled, (table_of[:, 0], table_of[:, 2], place), table_of[:, 3])
+    np.add.at(apart, (table_of[:, 0], table_of[:, 2], place), table_of[:, 4])
+    if not apart.sum((0, 2)).all():
+        apart = labelled  # no row of a label is left
+
+    def cut(all_rows: np.ndarray, rows: np.ndarray) -> float:
+        return best_cut(bins, *(rows * (all_rows.sum(1) / np.maximum(rows.sum(1), 1))[:, None])[::-1])
+
+    if not labelled.sum((0, 2)).all():
+        return np.zeros(languages)
+    common = cut(labelled.sum(0), apart.sum(0))
+    return np.array([cut(labelled[k], apart[k]) if apart[k, 1].sum() >= LEAST and (apart[k, 0].sum() or not labelled[k, 0].sum()) else common
+                     for k in range(languages)])
 
 
 class Model:
@@ -202,39 +230,38 @@ class Model:
         for text, lang in zip(texts, languages):
             np.add.at(counts[:, place[lang]], bucket(text, 0), 1)
         self.language_log = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
-        apart = np.arange(len(texts)) % 4 == 0  # rows come in hash order
-        if labels[apart].sum() < 5 or len(set(labels[~apart].tolist())) < 2:
-            apart = np.zeros(len(texts), bool)  # too few to set any aside
-        kept = [t for t, a in zip(texts, apart) if not a]
         net = self.net = Convolution()
         for k in range(TABLES):
-            net.tables[k][:, 0] = log_odds(kept, labels[~apart], lambda t, k=k: bucket(t, k))
-        net.train(kept, labels[~apart].astype(np.float32))
-        judged = apart if apart.any() else ~apart
-        logits = np.array([net.logits(t, np.array([len(t)]))[0] for t, a in zip(texts, judged) if a])
-        gold, lang = labels[judged].astype(int), np.array(languages)[judged]
-        common = best_cut(logits, gold)
-        self.cuts = np.array([best_cut(logits[lang == x], gold[lang == x]) if gold[lang == x].sum() >= LEAST else common
-                              for x in self.languages])
-
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        out = np.zeros(len(texts))
+            net.tables[k][:, 0] = log_odds(texts, labels, lambda t, k=k: bucket(t, k))
+        net.train(texts, labels.astype(np.float32))
+
+    def logits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Guessed language and raw score of each text."""
         sizes = np.array([len(t) for t in texts])
         logit = self.net.logits(np.concatenate(texts) if len(texts) else np.zeros(0, np.int64), sizes)
-        lang = np.array([int(self.language_log[bucket(t, 0)].sum(0).argmax()) for t in texts], int)
-        out = logit - self.cuts[lang] + np.log(CUT / (1 - CUT))
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        return np.array([int(self.language_log[bucket(t, 0)].sum(0).argmax()) for t in texts], np.int32), logit.astype(np.float64)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(toxic, lang, words): at most ``rows`` rows of either label, in hash order of the id."""
-    once = labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled_rows(labels: DataFrame, usable: Column) -> DataFrame:
+    """(doc_id, toxic) of every labelled id once."""
+    return labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def picked_ids(once: DataFrame, rows: int = TRAIN_ROWS) -> tuple[DataFrame, bool]:
+    """(doc_id, toxic) to fit on: at most ``rows`` ids of either label in hash order of the id, without
+    the quarter set aside; and whether there is one."""
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0
+    n = {(r["a"], r["toxic"]): r["n"] for r in once.groupBy(aside.alias("a"), "toxic").agg(F.count("*").alias("n")).collect()}
+    apart = n.get((True, 1), 0) >= 5 and all(n.get(k) for k in ((True, 0), (False, 0), (False, 1)))
+    free = once.where(~aside) if apart else once
+    picked = [free.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for x in (0, 1)]
+    return staged(picked[0].union(picked[1]), "fitted"), apart
+
+
+def training_rows(docs: DataFrame, picked: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(toxic, lang, words) of the picked ids, in hash order of the id."""
     order = F.xxhash64("doc_id")
-    picked = [once.where(F.col("toxic") == x).orderBy(order, "doc_id").limit(rows) for x in (0, 1)]
-    # 2 x rows ids at most: bounded whatever the table
-    few = F.broadcast(picked[0].union(picked[1]))
+    few = F.broadcast(picked)  # 2 x rows ids at most: bounded whatever the table
     found = docs.join(few, "doc_id").select("doc_id", "toxic", F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,30 +282,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int
         .orderBy(order, "words").limit(2 * rows)  # repeated ids add no more than that
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
-    rows = training_rows(docs, labels, usable).collect()
+def fit(docs: DataFrame, picked: DataFrame) -> Model:
+    rows = training_rows(docs, picked).collect()
     return Model([np.frombuffer(r.words, "<i8") for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with score and predicted."""
+def raw_scores(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` with the guessed language's number and the raw score, written once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = rows.columns[:-1]
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    schema = rows.drop("_text").schema.add("_language", "integer").add("_logit", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in parts(batches, "_text", 1 << 20):
-            score = sent.value.scores([hashes.of(t) for t in utf8(batch, "_text")])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(score, pa.float64()),
-                                              pa.array((score >= CUT).astype(np.int32))], [*kept, "score", "predicted"])
-
-    return rows.mapInArrow(run, schema)
+            language, logit = sent.value.logits([hashes.of(t) for t in utf8(batch, "_text")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(language), pa.array(logit)],
+                                             [*kept, "_language", "_logit"])
+
+    return staged(rows.mapInArrow(run, schema), "toxicity")
+
+
+def calibrate(scores: DataFrame, once: DataFrame, picked: DataFrame, apart: bool, languages: int) -> np.ndarray:
+    """Each language's cut, from counts of all labelled rows by language, bin and label."""
+    bin_of = F.floor(F.least(F.greatest("_logit", F.lit(-50.0)), F.lit(50.0)) * BINS).alias("bin")
+    fitted = F.broadcast(picked.select("doc_id", F.lit(0).alias("new")))
+    rows = scores.select("doc_id", "_language", bin_of).join(once, "doc_id").join(fitted, "doc_id", "left")
+    new = F.coalesce("new", F.lit(1)) if apart else F.lit(1)
+    counts = rows.groupBy("_language", "bin", "toxic").agg(F.count("*").alias("n"), F.sum(new).alias("new")).collect()
+    return cuts_of([tuple(r) for r in counts], languages)
+
+
+def predict(docs: DataFrame, labels: DataFrame, usable: Column, keep: list[Column]) -> DataFrame:
+    """The columns ``keep``, of which one is ``doc_id``, with score and predicted; learned from the usable labels."""
+    once = labelled_rows(labels, usable)
+    picked, apart = picked_ids(once)
+    model = fit(docs, picked)
+    if model.constant is not None:
+        rows, score = docs.select(*keep), F.lit(model.constant)
+    else:
+        rows = raw_scores(docs, model, keep)
+        cuts = calibrate(rows, once, picked, apart, len(model.languages))
+        shifted = F.col("_logit") - F.get(F.array(*map(F.lit, cuts.tolist())), F.col("_language")) + math.log(CUT / (1 - CUT))
+        score = 1 / (1 + F.exp(-F.least(F.greatest(shifted, F.lit(-30.0)), F.lit(30.0))))
+    return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop("_language", "_logit")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     held_out = fold(F.col("doc_id"), 4) == 2
-    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
-    return predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+    return predict(docs, table(spark, sf_dir, "labels"), ~held_out, [F.col("doc_id"), held_out.alias("held_out")])

@@ -13,7 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from mailsift.llm import op3_packing, op5_simhash, op7_lm
+from pyspark.sql import functions as F
+
+from mailsift.llm import op3_packing, op5_simhash, op6_toxicity, op7_lm
 from mailsift.llm.elias_fano import EliasFano
 from mailsift.llm.op4_html import Weights, count_places, extract, region
 from mailsift.llm.op9_decontamination import mark
@@ -206,6 +208,38 @@ def test_toxicity(spark):
     assert sum(caught) / len(caught) > 0.8 and sum(blamed) / len(blamed) < 0.05
 
 
+def test_cuts_follow_the_true_shares():
+    """However many rows of a label were fitted on, the cut is that of all labelled rows."""
+    dice = np.random.default_rng(5)
+    for share in (0.02, 0.1, 0.5):
+        size = {1: int(40_000 * share), 0: int(40_000 * (1 - share))}
+        rows = {x: np.floor(dice.normal(x, 0.7, n) * op6_toxicity.BINS).astype(int) for x, n in size.items()}
+        bins = np.unique(np.concatenate([*rows.values()]))
+        count = lambda x, part: np.array([np.sum(rows[x][part] == b) for b in bins])
+        for toxic, other in ((1, 1), (1, 5), (4, 1)):  # one of so many rows is left
+            cells = [(0, int(b), x, int(n), int(k)) for x, left in ((0, other), (1, toxic))
+                     for b, n, k in zip(bins, count(x, slice(None)), count(x, slice(0, None, left)))]
+            cut = op6_toxicity.cuts_of(cells, 1)[0] * op6_toxicity.BINS
+            f1 = lambda c: 2 * np.sum(rows[1] >= c) / (np.sum(rows[1] >= c) + np.sum(rows[0] >= c) + size[1])
+            assert f1(cut) > max(map(f1, bins)) - 0.02
+
+
+def test_toxicity_counts_every_labelled_row(spark):
+    """Rows beyond the training bound set the cut with their true share."""
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    once = op6_toxicity.labelled_rows(labels, F.lit(True))
+    picked, apart = op6_toxicity.picked_ids(once, 200)
+    assert apart and 0 < picked.where("toxic = 1").count() < 80 and picked.where("toxic = 0").count() == 200
+    scores = labels.select("doc_id", F.lit(0).alias("_language"), F.col("toxic").cast("double").alias("_logit"))
+    seen = []
+    keep, op6_toxicity.cuts_of = op6_toxicity.cuts_of, lambda rows, n: seen.extend(rows) or keep(rows, n)
+    try:
+        op6_toxicity.calibrate(scores, once, picked, apart, 1)
+    finally:
+        op6_toxicity.cuts_of = keep
+    assert sum(r[3] for r in seen) == 4000 and sum(r[4] for r in seen) == 4000 - picked.count()
+
+
 def test_region_is_the_best_run():
     dice = np.random.default_rng(3)
     for _ in range(50):
