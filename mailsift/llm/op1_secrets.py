@@ -2,7 +2,9 @@
 
 Strong kinds (``assign``, ``access``, ``hex``) are found by their patterns and always reported.
 Weak kinds are parts of a credential: an identifier (``user``), a secret (``pass``) or an
-endpoint (``url``). They are reported only where complementary parts co-occur: the parts are
+endpoint (``url``, ``host``); ``url_user`` and ``url_pass`` are the parts inside a URL, so one that
+holds all three is reported on its own. The values of ``user`` and ``pass`` run to a quote or white
+space. They are reported only where complementary parts co-occur: the parts are
 intervals of the text, joined with the other parts of the same document that lie within
 ``SCOPE`` code points. A weak secret needs an identifier or an endpoint there, an identifier
 needs a secret, an endpoint needs both. Strong kinds count as parts too.
@@ -35,18 +37,23 @@ def _either(words: str) -> str:
 
 # The patterns of the strong and the weak kinds.
 _SIGN = r"""["']?\x20*[:=]\x20*["']?"""
+_VALUE = r"""([^\x20\x09-\x0D"']+)"""
 PATTERNS = {
     "assign": "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + _SIGN + "([A-Za-z0-9+/_.=-]+)",
     "access": "AKIA[A-Z0-9]{12,}",
     "hex": "[0-9a-f]{32,}",
-    "user": "(" + "|".join(map(_either, ("username", "user", "login", "account", "client_?id"))) + ")" + _SIGN + "([A-Za-z0-9@._+-]+)",
-    "pass": "(" + "|".join(map(_either, ("pwd", "passphrase", "credential", "private_?key", "access_?key"))) + ")" + _SIGN + "([A-Za-z0-9+/_.=-]+)",
-    "url": r"""(?:https?|ftp|jdbc|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9][^\x20\x09-\x0D"'<>]*""",
+    "user": "(" + "|".join(map(_either, ("username", "user", "login", "account", "client_?id"))) + ")" + _SIGN + _VALUE,
+    "pass": "(" + "|".join(map(_either, ("pwd", "passphrase", "credential", "private_?key", "access_?key"))) + ")" + _SIGN + _VALUE,
+    "url": r"""(?:https?|s?ftps?|ssh|ldaps?|jdbc|postgres(?:ql)?|mysql|mariadb|sqlserver|mongodb(?:[+]srv)?|rediss?|amqps?|s3)://[A-Za-z0-9:%_][^\x20\x09-\x0D"'<>]*""",
+    "host": "(" + "|".join(map(_either, ("hostname", "host", "server", "endpoint"))) + ")" + _SIGN + "([A-Za-z0-9][A-Za-z0-9._:/-]*)",
+    "url_user": r"""(://)([^\x20\x09-\x0D"'<>:@/]+):[^\x20\x09-\x0D"'<>@/]+@""",
+    "url_pass": r"""(://[^\x20\x09-\x0D"'<>:@/]*:)([^\x20\x09-\x0D"'<>@/]+)@""",
 }
 STRONG = ("assign", "access", "hex")
 #: Least length of the second group, where there is one.
-LEAST = {"assign": 8, "user": 3, "pass": 4}
-ROLES = {"assign": "secret", "hex": "secret", "pass": "secret", "access": "identifier", "user": "identifier", "url": "endpoint"}
+LEAST = {"assign": 8, "user": 3, "pass": 4, "host": 3, "url_user": 1, "url_pass": 1}
+ROLES = {"assign": "secret", "hex": "secret", "pass": "secret", "access": "identifier", "user": "identifier", "url": "endpoint",
+         "host": "endpoint", "url_user": "identifier", "url_pass": "secret"}
 
 
 def matches(text: Column, number: int, kind: str) -> Column:
