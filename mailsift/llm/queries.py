@@ -12,9 +12,12 @@ from mailsift.llm.op7_lm import op7_lm
 from mailsift.llm.op8_quality import op8_quality
 from mailsift.llm.op9_decontamination import op9_decontamination
 from mailsift.llm.op10_binary import op10_binary
+from mailsift.llm.op11_codes import op11_codes
+from mailsift.llm.op12_alignment import op12_alignment
+from mailsift.llm.op13_embeddings import op13_embeddings
 from mailsift.llm.oracle import ORACLE
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_packing, op4_html, op5_simhash, op6_toxicity, op7_lm, op8_quality,
-                                   op9_decontamination, op10_binary)}
+                                   op9_decontamination, op10_binary, op11_codes, op12_alignment, op13_embeddings)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -46,8 +46,19 @@ def labels():
     return pa.table({"doc_id": pa.array([3, 4, 4, 8, None, 9], pa.int64()), "quality": pa.array([1] * 6, pa.int32()), "toxic": pa.array([0, 0, 1, 1, 1, None], pa.int32())})
 
 
+def embeddings():
+    nan, inf = float("nan"), float("inf")
+    near = [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0 + k / 10] for k in range(4)]
+    vectors = [None, [nan] + [1.0] * 7, [inf] + [1.0] * 7, [None] + [1.0] * 7, [0.0] * 8, *near, near[0], [2 * x for x in near[0]], [-x for x in near[0]],
+               [], [1.0, 2.0], [1e30] * 8, [1e-30] * 8, near[1], near[0], near[0], [1.0, 2.0]]
+    ids = [*range(16), None, 5, 5, 2]
+    label = [1] * 13 + [1, 1, 1, 1, 1, None, 1]
+    return pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array(label, pa.int32()),
+                     "node": ["clash"] * len(ids), "cell": ["clash"] * len(ids), "code": ["clash"] * len(ids), "_label": ["clash"] * len(ids)})
+
+
 def _write(folder, rows):
-    for name, table in (("documents", documents()), ("pages", pages()), ("benchmark", benchmark()), ("labels", labels())):
+    for name, table in (("documents", documents()), ("pages", pages()), ("benchmark", benchmark()), ("labels", labels()), ("embeddings", embeddings())):
         pq.write_table(table.slice(0, rows), os.path.join(folder, f"{name}.parquet"))
     return str(folder)
 
