@@ -2,24 +2,25 @@
 
 Tokenizer A (byte-level BPE) encodes " " + text, tokenizer B (sentencepiece, which adds the space itself) encodes
 text; both cover the same bytes. Byte offsets where tokens of both end are shared cuts; they part
-the tokens into groups. ``leaves`` finds them: it takes the middle of an interval, looks for a common
-end near it by bisecting the other side's ends, and recurses on both halves; an interval without
-a common end inside is a leaf group.
+the tokens into groups. ``shared_cuts`` finds them: it goes to the middle of an interval, looks for a common
+end near it by bisecting the other side's ends, and goes on with both halves; an interval without
+a common end inside is a leaf group. All open intervals of a chunk take a step at once.
 
 Both tokenizers cut before a single space between two other characters: A's rule for words begins a
 piece there, and B has no piece with a space after another character (tested when it is loaded; else whole
-texts are encoded). So such places are shared cuts of their own, known before any token is. A
-text is split there into units, each unit is encoded and aligned once in a process as long as the
-cache holds it, and a document is the sequence of its units. White space of any other form stays inside a
-unit. Special tokens' strings are plain text.
+texts are encoded). So such places are shared cuts of their own, known before any token is: the intervals to
+begin with. A text is split there into units; each distinct unit of a chunk is encoded and aligned
+once, and a document is the sequence of its units. White space of any other form stays inside a
+unit. Special tokens' strings are plain text. A's ids come from ``tiktoken`` with the ranks of the
+JSON file's own merges where these are a plain byte-level BPE, else from ``tokenizers``; tests hold them equal.
 
 An id pair's count is the number of documents that hold it linked. Documents are taken in chunks of
 about ``CHUNK`` bytes (a longer text is a chunk of its own); a chunk is one row with the distinct
 pairs of its units and the units of each document. Counts are summed over all chunks in a
 shuffle of (pair, documents of the chunk); then each chunk asks once for each of its distinct pairs, so a
 pair that is in every document is asked for once a chunk, and works out its documents' sums from
-the answers. Nothing is sent to all tasks. All links of a group are counted as products, so that a long leaf
-costs its distinct pairs, not its occurrences squared.
+the answers. Nothing is sent to all tasks. The links of a large group are counted as products of its
+distinct ids, not occurrence by occurrence.
 
 Null and empty texts, and texts whose tokens do not give back their bytes on either side: zeros and ''.
 Repeated rows and ids, null ids: a row each, each counted as a document. An empty table gives no rows.
@@ -29,13 +30,15 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,46 +46,38 @@ from tokenizers import Tokenizer
 
 from mailsift.llm.common import parts, staged, strings, table
 
-#: Bytes of text in a chunk; units kept in a process.
+#: Bytes of text in a chunk.
 CHUNK = 4 << 20
-CACHE_UNITS = 400_000
+#: Links of a group up to which each is listed.
+LISTED = 4096
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
+#: Fixed value: the byte-level tokenizer's rule for pieces of text.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
-def common_end(a: list[int], b: list[int], low: int, high: int) -> int:
-    """The shared end strictly between low and high that lies nearest to their middle in A's order; -1: none."""
-    first, last = bisect_left(a, low + 1), bisect_left(a, high)
-    right = left = bisect_left(a, (low + high) // 2, first, last)
-    while right < last or left > first:
-        if right < last:
-            end = a[right]
-            k = bisect_left(b, end)
-            if k < len(b) and b[k] == end:
-                return end
-            right += 1
-        if left > first:
-            left -= 1
-            end = a[left]
-            k = bisect_left(b, end)
-            if k < len(b) and b[k] == end:
-                return end
-    return -1
-
-
-def leaves(a: list[int], b: list[int]) -> list[int]:
-    """Right ends of the leaf groups, ascending, from both sides' token ends (last one shared)."""
-    out = []
-    open_ = [(0, a[-1])] if a else []
-    while open_:
-        low, high = open_.pop()
-        cut = common_end(a, b, low, high)
-        if cut < 0:
-            out.append(high)
-        else:
-            open_ += [(cut, high), (low, cut)]  # the left half comes next
-    return out
+def shared_cuts(a: np.ndarray, b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of A's token ends are ends of B too, from ascending ends of both and intervals of places in
+    ``a``: [begin, end) holds the ends inside an interval, whose borders are shared already."""
+    cut = np.zeros(len(a), bool)
+    begin, end = begin[begin < end], end[begin < end]
+    mid, step = (begin + end) >> 1, np.zeros(len(begin), np.int64)
+    while len(begin):
+        # near the middle: at it, one to the right, one to the left, two to the right ...
+        at = mid + np.where(step & 1, (step + 1) >> 1, -(step >> 1))
+        inside = (at >= begin) & (at < end)
+        ends = a[np.where(inside, at, 0)]
+        k = np.minimum(np.searchsorted(b, ends), len(b) - 1)
+        hit = inside & (b[k] == ends)
+        cut[at[hit]] = True
+        more = ~hit & ((mid + (step >> 1) + 1 < end) | (mid - (step >> 1) - 1 >= begin))
+        low, high = np.concatenate([begin[hit], at[hit] + 1]), np.concatenate([at[hit], end[hit]])
+        low, high = low[low < high], high[low < high]
+        mid = np.concatenate([mid[more], (low + high) >> 1])
+        step = np.concatenate([step[more] + 1, np.zeros(len(low), np.int64)])
+        begin, end = np.concatenate([begin[more], low]), np.concatenate([end[more], high])
+    return cut
 
 
 def _byte_letters() -> dict[str, int]:
@@ -93,11 +88,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Unit:
-    """An aligned stretch of text: token and group counts, its groups as text, and its id pairs
-    (``a << 32 | b``) with their links."""
+def _ranked(path: str, token_bytes: dict[int, bytes]) -> tiktoken.Encoding | None:
+    """The JSON file's BPE as a ranked vocabulary, if its ids follow its merges and it has no other steps."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space") \
+            or spec.get("normalizer") or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges")):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(x + y, -1) for x, y in merges]
+    if made != sorted(set(made)) or not made or made[0] < 256:
+        return None
+    ranks = {token_bytes[i]: i for i in [i for i in model["vocab"].values() if len(token_bytes[i]) == 1] + made}
+    if sum(len(x) == 1 for x in ranks) != 256:
+        return None
+    return tiktoken.Encoding("ranked", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+
 
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "n_links", "pairs", "times")
+class Aligned:
+    """Aligned units, numbered: ``ok`` (bytes given back), counts, groups as text, and their links as rows
+    (unit, pair ``a << 32 | b``, times) in order of units."""
+
+    def __init__(self, n: int):
+        self.ok = np.ones(n, bool)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, np.int64) for _ in range(4))
+        self.groups: list[str] = [""] * n
+        self.unit = self.pair = self.times = np.empty(0, np.int64)
 
 
 class Aligner:
@@ -107,72 +124,86 @@ class Aligner:
         letters = _byte_letters()
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
                         for t, i in self.a.get_vocab().items()}
+        self.ranked = _ranked(a_path, self.a_bytes)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode()
                         for i, p in enumerate(names)]
         self.splits = not any("▁" in p.lstrip("▁") for p in names)
-        self.units: dict[str, Unit | None] = {}
+        self.a_len = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_len[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        most = max(len(self.a_len), len(self.b_len))
+        self.written = np.array([[f"{i}{after}" for i in range(most)] for after in (",", "|", ";", "")], object)
 
     def split(self, text: str) -> list[str]:
         """Units of a text, each without the space before it."""
         return _SPLIT.split(text) if self.splits else [text]
 
-    def tokens(self, unit: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(" " + unit, add_special_tokens=False).ids, self.b.encode(unit)
-
-    def align(self, unit: str) -> Unit | None:
-        """None: a side's tokens do not give back the bytes."""
-        a, b = self.tokens(unit)
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        want = (" " + unit).encode()
-        if b"".join(left) != want or b"".join(right) != want:
-            return None
-        a_ends, b_ends = np.cumsum([len(x) for x in left]).tolist(), np.cumsum([len(x) for x in right]).tolist()
-        out = Unit()
-        out.n_a, out.n_b, out.n_links = len(a), len(b), 0
-        written, found, i, j = [], {}, 0, 0
-        ends = leaves(a_ends, b_ends)
-        for end in ends:
-            x, y = bisect_left(a_ends, end, i) + 1, bisect_left(b_ends, end, j) + 1
-            written.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            out.n_links += (x - i) * (y - j)
-            if x - i == 1 and y - j == 1:
-                key = a[i] << 32 | b[j]
-                found[key] = found.get(key, 0) + 1
-            else:
-                ids, ids_n = np.unique(np.array(a[i:x], np.int64), return_counts=True)
-                of, of_n = np.unique(np.array(b[j:y], np.int64), return_counts=True)
-                for p, n in zip(ids.tolist(), ids_n.tolist()):
-                    for q, m in zip(of.tolist(), of_n.tolist()):
-                        key = p << 32 | q
-                        found[key] = found.get(key, 0) + n * m
-            i, j = x, y
-        out.n_groups, out.groups = len(ends), ";".join(written)
-        out.pairs = np.fromiter(found.keys(), np.int64, len(found))
-        out.times = np.fromiter(found.values(), np.int64, len(found))
+    def _ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each unit on both sides."""
+        if self.ranked:
+            a = [self.ranked.encode_ordinary(" " + u) for u in units]
+        else:
+            a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        return a, self.b.encode(units, num_threads=1)
+
+    def align(self, units: list[str]) -> Aligned:
+        out = Aligned(len(units))
+        if not units:
+            return out
+        a, b = self._ids(units)
+        bytes_ = [(" " + u).encode() for u in units]
+        if b"".join(bytes_) != b"".join([self.b_bytes[i] for x in b for i in x]) or b"".join(bytes_) != b"".join([self.a_bytes[i] for x in a for i in x]):
+            for k, want in enumerate(bytes_):
+                if b"".join([self.a_bytes[i] for i in a[k]]) != want or b"".join([self.b_bytes[i] for i in b[k]]) != want:
+                    out.ok[k], a[k], b[k] = False, [], []
+        n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+        out.n_a, out.n_b = n_a, n_b
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, n) for x, n in ((a, n_a.sum()), (b, n_b.sum())))
+        if not len(ids_a):
+            return out
+        ends_a, ends_b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
+        upto = np.cumsum(n_a)
+        last = upto[out.ok] - 1  # a unit's end is shared
+        cut = shared_cuts(ends_a, ends_b, (upto - n_a)[out.ok], last)
+        cut[last] = True
+        places = np.flatnonzero(cut)
+        groups = len(places)
+        of_a = np.searchsorted(places, np.arange(len(ids_a)))
+        of_b = np.searchsorted(ends_a[places], ends_b)
+        in_a, in_b = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
+        before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        unit = np.searchsorted(upto, places, "right")
+        out.n_groups = np.bincount(unit, minlength=len(units))
+        np.add.at(out.n_links, unit, in_a * in_b)
+        # groups as text: A's tokens of a group, then B's
+        order = np.empty(len(ids_a) + len(ids_b), np.int64)
+        after = np.zeros(len(order), np.int64)
+        at_a, at_b = np.arange(len(ids_a)) + before_b[of_a], np.arange(len(ids_b)) + (before_a + in_a)[of_b]
+        order[at_a], order[at_b] = ids_a, ids_b
+        after[at_a[places]] = 1
+        ends = before_a + in_a + before_b + in_b
+        after[ends - 1] = 2
+        after[ends[np.append(unit[1:] != unit[:-1], True)] - 1] = 3
+        written = self.written[after, order].tolist()
+        sizes = (n_a + n_b).tolist()
+        out.groups = ["".join(written[stop - n:stop]) for n, stop in zip(sizes, accumulate(sizes))]
+        # links
+        large = in_a * in_b > LISTED
+        n = np.where(large[of_a], 0, in_b[of_a])
+        first = np.repeat(before_b[of_a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = [(np.repeat(unit[of_a], n), np.repeat(ids_a, n) << 32 | ids_b[first], np.ones(len(first), np.int64))]
+        for g in np.flatnonzero(large):
+            x, x_n = np.unique(ids_a[before_a[g]:before_a[g] + in_a[g]], return_counts=True)
+            y, y_n = np.unique(ids_b[before_b[g]:before_b[g] + in_b[g]], return_counts=True)
+            found.append((np.full(len(x) * len(y), unit[g]), (x[:, None] << 32 | y).ravel(), (x_n[:, None] * y_n).ravel()))
+        out.unit, out.pair, out.times = map(np.concatenate, zip(*found))
+        if large.any():
+            by = np.argsort(out.unit, kind="stable")
+            out.unit, out.pair, out.times = out.unit[by], out.pair[by], out.times[by]
         return out
 
-    def of(self, text: str) -> list[Unit] | None:
-        """The units of a text in order; None if it has no tokens."""
-        names = self.split(text)
-        known = self.units
-        try:
-            found = [known[u] for u in names]
-        except KeyError:
-            if len(known) > CACHE_UNITS:
-                known.clear()
-            kept = {}
-            for u in names:
-                if u not in kept:
-                    kept[u] = known[u] if u in known else self.align(u)
-                    if len(u) <= 64:
-                        known[u] = kept[u]
-            found = [kept[u] for u in names]
-        if any(u is None for u in found):
-            return None
-        return found
-
 
 def aligner(a_path: str, b_path: str) -> Aligner:
     """This process's aligner for two tokenizer files, loaded once."""
@@ -192,39 +223,44 @@ def _chunk_schema(id_kind: str) -> str:
             "pairs array<long>, docs array<int>")
 
 
+def _distinct(doc: np.ndarray, item: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, item) and how often each occurs."""
+    met, times = np.unique(doc * max(1, items) + item, return_counts=True)
+    return met // max(1, items), met % max(1, items), times
+
+
 def _chunks(a_path: str, b_path: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = aligner(a_path, b_path)
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for batch in parts((b for whole in batches for b in parts([whole], "text", chunk)), "text", chunk):
-            sha, sizes, index = [], [], {}
-            which: list[np.ndarray] = []
-            for text in strings(batch, "text"):
-                units = on.of(text) if text else None
-                if units is None:
-                    units = []
-                sha.append(hashlib.sha256(";".join([u.groups for u in units]).encode()).hexdigest() if units else "")
-                which.append(np.array([index.setdefault(u, len(index)) for u in units], np.int64))
-                sizes.append(len(units))
-            units = list(index)
+        for batch in (b for whole in batches for b in parts([whole], "text", chunk)):
+            index: dict[str, int] = {}
+            texts = [on.split(t) if t else [] for t in strings(batch, "text")]
+            known = [[index.setdefault(u, len(index)) for u in units] for units in texts]
+            del texts
+            sizes = np.array([len(x) for x in known], np.int64)
+            flat = np.fromiter(chain.from_iterable(known), np.int64, sizes.sum())
+            units = on.align(list(index))
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            met, times = np.unique(doc * max(1, len(units)) + np.concatenate([*which, np.empty(0, np.int64)]), return_counts=True)
-            doc, unit = met // max(1, len(units)), met % max(1, len(units))
+            whole = np.ones(len(sizes), bool)
+            whole[doc[~units.ok[flat]]] = False  # a unit that does not give back its bytes: no tokens
+            sha = [hashlib.sha256(";".join([units.groups[u] for u in x]).encode()).hexdigest() if x and ok else "" for x, ok in zip(known, whole.tolist())]
+            del known
+            flat, doc = flat[whole[doc]], doc[whole[doc]]
+            doc, unit, times = _distinct(doc, flat, len(index))
             stats = np.zeros((4, len(sizes)), np.int64)
-            for values, name in zip(stats, ("n_a", "n_b", "n_groups", "n_links")):
-                np.add.at(values, doc, times * np.array([getattr(u, name) for u in units], np.int64)[unit])
+            for values, of_unit in zip(stats, (units.n_a, units.n_b, units.n_groups, units.n_links)):
+                np.add.at(values, doc, times * of_unit[unit])
             # pairs of the units, numbered; documents that hold each
-            of_unit = np.array([len(u.pairs) for u in units], np.int64)
-            pairs, pair_at = np.unique(np.concatenate([np.empty(0, np.int64), *(u.pairs for u in units)]), return_inverse=True)
-            starts = np.concatenate(([0], np.cumsum(of_unit)))
-            n = of_unit[unit]
-            flat = np.repeat(starts[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            held = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + pair_at[flat]) % max(1, len(pairs))
+            n_links = np.bincount(units.unit, minlength=len(index))
+            pairs, pair_at = np.unique(units.pair, return_inverse=True)
+            n = n_links[unit]
+            place = np.repeat((np.cumsum(n_links) - n_links)[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            _, held, _ = _distinct(np.repeat(doc, n), pair_at[place], len(pairs))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([serial]), _one(batch.column("doc_id")), *map(_one, stats), _one(pa.array(sha, pa.string())),
                  _one(np.bincount(doc, minlength=len(sizes)).astype(np.int32)), _one(unit.astype(np.int32)), _one(times.astype(np.int32)),
-                 _one(of_unit.astype(np.int32)), _one(pair_at.astype(np.int32)),
-                 _one(np.concatenate([np.empty(0, np.int64), *(u.times for u in units)])),
+                 _one(n_links.astype(np.int32)), _one(pair_at.astype(np.int32)), _one(units.times),
                  _one(pairs), _one(np.bincount(held, minlength=len(pairs)).astype(np.int32))],
                 ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_units", "unit", "times", "unit_pairs", "pair_at", "links", "pairs", "docs"])
             serial += 1

@@ -1,9 +1,11 @@
 """Cross-tokenizer alignment against whole-text tokenizations and plain set intersection."""
 
+import bisect
 import hashlib
 import itertools
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 from mailsift.llm import op12_alignment
 from mailsift.llm.queries import QUERIES
-from tests.llm.conftest import SF001
+from tests.llm.conftest import SF001, SF01
 
 PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 _A = Tokenizer.from_file(PATHS[0])
@@ -48,10 +50,10 @@ def _groups(text):
         return []
     ends = [list(itertools.accumulate(len(x) for _, x in side)) for side in (a, b)]
     cuts = sorted(set(ends[0]) & set(ends[1]))
-    out, last = [], 0
-    for cut in cuts:
-        out.append(tuple([i for (i, _), e in zip(side, ends[k]) if last < e <= cut] for k, side in enumerate((a, b))))
-        last = cut
+    out = [([], []) for _ in cuts]
+    for k, side in enumerate((a, b)):
+        for (i, _), e in zip(side, ends[k]):
+            out[bisect.bisect_left(cuts, e)][k].append(i)
     return out
 
 
@@ -80,34 +82,52 @@ def test_alignment(spark, odd, where):
     assert Counter(tuple(r) for r in got.collect()) == _expected(rows)
 
 
-def test_small_chunks_and_cache(spark, monkeypatch):
-    """Chunks of a few documents, and more units than the cache holds, change nothing."""
+def test_small_chunks(spark, monkeypatch):
+    """Chunks of a few documents, and groups that are all counted as products, change nothing."""
     rows = list(zip(*(pq.read_table(f"{SF001}/documents.parquet", columns=[c])[c].to_pylist()[:40] for c in ("doc_id", "text"))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = op12_alignment.align(df, *PATHS, chunk=3000)
     assert Counter(tuple(r) for r in got.collect()) == _expected(rows)
-    one = op12_alignment.Aligner(*PATHS)
-    monkeypatch.setattr(op12_alignment, "CACHE_UNITS", 10)
-    few = op12_alignment.Aligner(*PATHS)
-    for _, text in rows:
-        if text:
-            assert [u.groups for u in one.of(text)] == [u.groups for u in few.of(text)]
+    units = [u for _, t in rows for u in _ALIGNER.split(t or "")]
+    listed = _ALIGNER.align(units)
+    monkeypatch.setattr(op12_alignment, "LISTED", 1)
+    products = _ALIGNER.align(units)
+    sums = [Counter() for _ in range(2)]
+    for found, x in zip(sums, (listed, products)):
+        for u, p, n in zip(x.unit.tolist(), x.pair.tolist(), x.times.tolist()):
+            found[u, p] += n
+    assert sums[0] == sums[1] and (products.unit[1:] >= products.unit[:-1]).all()
 
 
 _ALIGNER = op12_alignment.Aligner(*PATHS)
 
 
-@settings(deadline=None, max_examples=600)
-@given(st.lists(st.sampled_from(["a", "B", "é", "漢", "😀", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "　", "▁", "<|endoftext|>", "<s>", "<0x41>",
-                                 "'s", "'", "1", "²", "́", "्", "\x00", "hello", " the", "."]), max_size=14).map("".join))
+@settings(deadline=None, max_examples=1000)
+@given(st.lists(st.sampled_from(["a", "B", "é", "漢", "😀", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "▁", "<|endoftext|>", "<s>", "<0x41>",
+                                 "'s", "'", "'LL", "1", "²", "\u0301", "\u094d", "\x00", "hello", " the", "."]), max_size=14).map("".join))
 def test_units_align_like_whole_texts(text):
-    units = _ALIGNER.of(text) if text else []
-    want = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in _groups(text))
-    assert ";".join(u.groups for u in units or []) == want
+    units = _ALIGNER.split(text) if text else []
+    found = _ALIGNER.align(units)
+    got = ";".join(found.groups) if found.ok.all() else ""
+    assert got == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in _groups(text))
+
+
+def test_ranked_ids_are_the_tokenizers_ids():
+    assert _ALIGNER.ranked
+    for text in pq.read_table(f"{SF01}/documents.parquet", columns=["text"])["text"].to_pylist():
+        if text:
+            assert _ALIGNER.ranked.encode_ordinary(text) == _A.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["z" * 50_000, "ab" * 20_000, "漢字" * 10_000, "a." * 10_000, "x\n" * 10_000, "1" * 3000 + " " * 3000 + "q"])
+def test_long_units(text):
+    found = _ALIGNER.align(_ALIGNER.split(text))
+    assert ";".join(found.groups) == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in _groups(text))
 
 
 @settings(deadline=None, max_examples=200)
 @given(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60)), st.integers(61, 70))
-def test_leaves_are_the_shared_ends(a, b, last):
-    a, b = sorted(a | {last}), sorted(b | {last})
-    assert op12_alignment.leaves(a, b) == sorted(set(a) & set(b))
+def test_cuts_are_the_shared_ends(a, b, last):
+    a, b = np.array(sorted(a | {last})), np.array(sorted(b | {last}))
+    cut = op12_alignment.shared_cuts(a, b, np.array([0]), np.array([len(a) - 1]))
+    assert a[cut].tolist() == sorted(set(a.tolist()) & set(b.tolist()) - {last})
