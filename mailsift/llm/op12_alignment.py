@@ -47,7 +47,9 @@ from tokenizers import Tokenizer
 from mailsift.llm.common import parts, staged, strings, table
 
 #: Bytes of text in a chunk.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Units encoded at once.
+_UNITS = 1 << 14
 #: Links of a group up to which each is listed.
 LISTED = 4096
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -119,12 +121,13 @@ class Aligned:
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(a_path)
+        tokenizer.encode_special_tokens = True
         letters = _byte_letters()
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-                        for t, i in self.a.get_vocab().items()}
+                        for t, i in tokenizer.get_vocab().items()}
         self.ranked = _ranked(a_path, self.a_bytes)
+        self.a = None if self.ranked else tokenizer
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode()
@@ -149,9 +152,18 @@ class Aligner:
         return a, self.b.encode(units, num_threads=1)
 
     def align(self, units: list[str]) -> Aligned:
+        some = [self._align(units[k:k + _UNITS]) for k in range(0, len(units), _UNITS)]
+        if len(some) == 1:
+            return some[0]
+        out = Aligned(0)
+        for name in ("ok", "n_a", "n_b", "n_groups", "n_links", "pair", "times"):
+            setattr(out, name, np.concatenate([getattr(out, name), *(getattr(x, name) for x in some)]))
+        out.unit = np.concatenate([out.unit, *(x.unit + k * _UNITS for k, x in enumerate(some))])
+        out.groups = [g for x in some for g in x.groups]
+        return out
+
+    def _align(self, units: list[str]) -> Aligned:
         out = Aligned(len(units))
-        if not units:
-            return out
         a, b = self._ids(units)
         bytes_ = [(" " + u).encode() for u in units]
         if b"".join(bytes_) != b"".join([self.b_bytes[i] for x in b for i in x]) or b"".join(bytes_) != b"".join([self.a_bytes[i] for x in a for i in x]):
@@ -219,7 +231,7 @@ def _one(values) -> pa.Array:
 
 def _chunk_schema(id_kind: str) -> str:
     return (f"chunk long, doc_id array<{id_kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-            "doc_units array<int>, unit array<int>, times array<int>, unit_pairs array<int>, pair_at array<int>, links array<long>, "
+            "doc_units array<int>, unit array<int>, times array<int>, unit_pairs array<int>, pair_at array<int>, many_at array<int>, many array<long>, "
             "pairs array<long>, docs array<int>")
 
 
@@ -257,12 +269,13 @@ def _chunks(a_path: str, b_path: str, chunk: int):
             n = n_links[unit]
             place = np.repeat((np.cumsum(n_links) - n_links)[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
             _, held, _ = _distinct(np.repeat(doc, n), pair_at[place], len(pairs))
+            many = np.flatnonzero(units.times > 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([serial]), _one(batch.column("doc_id")), *map(_one, stats), _one(pa.array(sha, pa.string())),
                  _one(np.bincount(doc, minlength=len(sizes)).astype(np.int32)), _one(unit.astype(np.int32)), _one(times.astype(np.int32)),
-                 _one(n_links.astype(np.int32)), _one(pair_at.astype(np.int32)), _one(units.times),
+                 _one(n_links.astype(np.int32)), _one(pair_at.astype(np.int32)), _one(many.astype(np.int32)), _one(units.times[many]),
                  _one(pairs), _one(np.bincount(held, minlength=len(pairs)).astype(np.int32))],
-                ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_units", "unit", "times", "unit_pairs", "pair_at", "links", "pairs", "docs"])
+                ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_units", "unit", "times", "unit_pairs", "pair_at", "many_at", "many", "pairs", "docs"])
             serial += 1
     return run
 
@@ -281,7 +294,9 @@ def _sums(id_kind: pa.DataType):
                 asked, of_unit = row["asked"].flatten(), _long(row["unit_pairs"])
                 at, count, best = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 order = np.argsort(at)
-                links, pair_at = _long(row["links"]), _long(row["pair_at"])
+                pair_at = _long(row["pair_at"])
+                links = np.ones(len(pair_at), np.int64)
+                links[_long(row["many_at"])] = _long(row["many"])
                 of = np.repeat(np.arange(len(of_unit)), of_unit)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
 
