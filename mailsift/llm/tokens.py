@@ -4,8 +4,10 @@ A byte-level BPE tokenizer splits a text at white space before it merges bytes:
 encoded alike wherever it stands. A text is therefore cut into such units, each unit is encoded
 by the library when it is first met, and the ids of a text are the joined ids of its units. The
 cut is the tokenizer's own rule for white space: one space goes with the word after it, other
-white space stands alone. ``\\x1c``-``\\x1f`` are white space for Python but not for the
-tokenizer, so texts that hold them are encoded whole.
+white space stands alone. Before that, the tokenizer takes its added tokens out of the text and looks
+at what lies between them as texts of their own; so does this. ``\\x1c``-``\\x1f`` are white space for
+Python but not for the tokenizer, so texts that hold them are encoded whole, as are all texts that
+hold an added token with rules of its own (stripping, single words, normalised text).
 """
 
 from __future__ import annotations
@@ -66,6 +68,10 @@ class TextEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.units = UnitIds(self.tokenizer)
         self.cache_units = cache_units
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items(), key=lambda x: -len(x[1].content))
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for _, t in added)
+        self.at_added = re.compile("(" + "|".join(re.escape(t.content) for _, t in added) + ")")
 
     def _spans(self, text: str) -> Iterator[str]:
         """Pieces of a long text, cut before a space between two words."""
@@ -77,6 +83,16 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of one text, without an end id."""
+        if any(t in text for t in self.added):
+            if self.plain and not _ODD.search(text):
+                return b"".join([self.added[x] if k % 2 else self._between(x) for k, x in enumerate(self.at_added.split(text))])
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        if not text:
+            return b""
         if _ODD.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         out = []
