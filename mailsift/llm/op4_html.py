@@ -6,10 +6,12 @@ advert, comment ...: a frame), tags score below zero by name. One linear scan fi
 items with the greatest sum: the content region. Blocks inside the region that stand in a menu,
 form, advert or reader comment are left out, and the rest is the text.
 
-A name makes no frame of a block with most of the page's unlinked words if the words outside frames
+A class, id or role makes a frame of a container (``div``, ``section``, ``ul`` ...) only, and only where all its words
+are names of frames or of places and boxes: ``sidebar-right`` or ``comment-list``, but not ``related-work``,
+``cookie-recipe``, ``ad-free``, ``entry-header``, ``has-sidebar`` or ``no-comments``. Paragraphs, headings, quotations, figures and tables are
+never frames by name, nor is a ``header`` inside an article. A name makes no frame of a block with most of the page's unlinked words if the words outside frames
 are less than a quarter of those in it, nor of a block whose words it would leave hardly any others;
-an article or main element with most of the words ends a frame around it. ``has-sidebar`` or
-``no-comments`` names no frame.
+an article or main element with most of the words ends a frame around it.
 
 Weights are log odds of a place, or a tag, being inside the main region, counted on labelled
 pages: pages that mark their main region themselves, at most
@@ -23,8 +25,8 @@ references are decoded once, white space inside a block becomes one space, block
 a line break. Null or empty html, or no content: an empty text. Null and repeated ids or urls and
 repeated rows: a row each. An empty table gives no rows. Unclosed and stray tags, comments and
 scripts are read as browsers do, roughly: a quote opens an attribute's value after ``=`` only, and
-the value goes on to the closing quote, of whatever length. Very long pages are read whole, in
-linear time.
+the value goes on to the closing quote, of whatever length. Formulas are text. Very long pages and any depth of
+nesting are read whole, in linear time.
 """
 
 from __future__ import annotations
@@ -46,16 +48,21 @@ TRAIN_CHARS = 20_000
 
 # Element names by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr "
+                   "math mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder "
+                   "munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select iframe object svg math canvas audio video title".split())
+RAW = frozenset("script style noscript template textarea select iframe object svg canvas audio video title annotation annotation-xml".split())
 FRAME = frozenset("nav header footer aside menu dialog button fieldset head".split())
 MAIN = frozenset("article main".split())
 FRAME_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
                         "cookies disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices "
                         "overlay pagination popup promo promotion related replies reply respond share sharing sidebar signup social "
                         "sponsor sponsored subscribe toolbar widget".split())
-LAYOUT = frozenset("has have hide is no not show with without".split())
+BOXES = frozenset("area bar block bottom box col column container content footer global group header inner item items left link links list main "
+                  "menu outer page panel primary right secondary section site slot social top unit wrap wrapper".split())
+#: Elements whose class, id or role can make a frame of them.
+CONTAINERS = frozenset("div section ul ol dl form table center details span a".split()) | FRAME
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary form search menu dialog alert".split())
 
 #: Words outside frames are hardly any if the frames hold so many times as many.
@@ -65,7 +72,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)|<[!?/]|[^<]+|<",
 _STEP = re.compile(r"""=\s*+(["'])|>""")
 _END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PART = re.compile(r"[^a-z0-9]+")
+_PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+#: A slash that is no part of an unquoted value.
+_SELF = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 
 
 class Element:
@@ -82,16 +91,17 @@ class Element:
         # an article's own header holds its title; a form may be the whole page
         self.tagged = name in FRAME and not (name == "header" and self.inside)
         self.named = name == "form"
-        if attributes and name not in ("html", "body"):
+        if attributes and name in CONTAINERS:
             for key, a, b, c in _NAMES.findall(attributes):
                 names = FRAME_ROLES if key.lower() == "role" else FRAME_NAMES
                 self.named = self.named or any(names_frame(x, names) for x in (a or b or c).lower().split())
 
 
 def names_frame(value: str, names: frozenset[str]) -> bool:
-    """Whether a word of a class, id or role names a frame; ``has-sidebar`` or ``no-comments`` names a layout."""
-    words = _PART.split(value)
-    return any(w in names and before not in LAYOUT for before, w in zip(["", *words], words))
+    """Whether a word of a class, id or role names a frame: all its parts are names of frames or of
+    boxes, one at least of a frame."""
+    words = [w for w in _PART.split(value) if w and not w.isdigit()]
+    return any(w in names for w in words) and all(w in names or w in BOXES for w in words)
 
 
 class TagEnds:
@@ -164,7 +174,16 @@ def items(page: str, made: list[Element]) -> Iterator[tuple[str, str | None, Ele
     does not end a block comes with its name, others with ``|`` before it. Elements are added to
     ``made``, parents first."""
     stack = [Element("", "", None)]
+    places: dict[str, list[int]] = {}  # of the open elements, by name
+    blocks = [0]  # places of the open elements that are not inline
     made.append(stack[0])
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().name].pop()
+        while blocks[-1] >= k:
+            blocks.pop()
+
     for name, kind, text in tokens(page):
         if not name:
             yield "", text, stack[-1]
@@ -174,23 +193,21 @@ def items(page: str, made: list[Element]) -> Iterator[tuple[str, str | None, Ele
             yield "|" + name, None, stack[-1]
             continue
         if kind:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k].name not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
+            k = places[name][-1] if places.get(name) else 0
+            if k and (name not in INLINE or k > blocks[-1]):  # an inline end tag closes nothing outside its block
+                close(k)
             yield "/" + mark, None, stack[-1]
             continue
         if name not in INLINE:
             # a block ends an open paragraph and the inline elements in it
-            k = len(stack)
-            while k > 1 and stack[k - 1].name in INLINE:
-                k -= 1
-            if stack[k - 1].name == "p" or stack[k - 1].name == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                del stack[k - 1:]
+            k = blocks[-1]
+            if stack[k].name == "p" or stack[k].name == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                close(k)
         yield mark, None, stack[-1]
-        if name not in VOID and not text.rstrip().endswith("/"):
+        if name not in VOID and not _SELF.search(text):
+            places.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
             stack.append(Element(name, text, stack[-1]))
             made.append(stack[-1])
 

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against brute force, a round trip or held-out labels."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -43,13 +44,26 @@ def test_elias_fano(values, shift):
     assert (ef.next_geq(asked) == np.searchsorted(values, asked)).all()
 
 
-@settings(deadline=None, max_examples=150)
-@given(st.text(alphabet=st.sampled_from("aBé漢😀 \n\t\r\x1c\x85\xa0 .,'!*1²ª"), max_size=40))
+#: Added tokens and parts of them, every white space, letters, marks, digits and signs.
+_SNIPS = [*"aBé漢😀.,'!*1²ª", *(chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 32, 32, 133, 160, 5760, 8192, 8202, 8232, 8233, 8239, 8287, 12288)),
+          "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "'ll", " the", "word"]
+
+
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.sampled_from(_SNIPS), max_size=30).map("".join))
 def test_cached_units_are_the_tokenizers_ids(text):
     enc = _ENCODER
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_random_texts_have_the_tokenizers_ids():
+    dice = np.random.default_rng(3)
+    texts = ["".join(_SNIPS[k] for k in dice.integers(0, len(_SNIPS), n)) for n in dice.integers(1, 16, 300_000)]
+    for k in range(0, len(texts), 10_000):
+        want = _ENCODER.tokenizer.encode_batch(texts[k:k + 10_000], add_special_tokens=False)
+        assert [np.frombuffer(_ENCODER.encode(t), "<u4").tolist() for t in texts[k:k + 10_000]] == [e.ids for e in want]
+
+
 _ENCODER = TextEncoder(default_path(), cache_units=50)
 
 
@@ -321,3 +335,32 @@ def test_windows_in_blocks(spark, odd):
     assert sorted(map(repr, one)) == sorted(map(repr, many))
     by = {r.doc_id: r for r in one if r.doc_id is not None}
     assert by[4].h_spans == [0, 14] and by[4].h_items == ["30", "4"] and len(TEXTS[4].split()) == by[4].h_words
+
+
+@pytest.mark.parametrize("kept", [
+    '<div class="entry-header"><h1>Kept words</h1></div>', '<h1 class="page-header">Kept words</h1>', '<p class="notice">Kept words</p>',
+    '<div class="ad-free">Kept words</div>', '<p class="cookie-recipe">Kept words</p>', '<section id="related-work"><p>Kept words</p></section>',
+    '<blockquote class="reply">Kept words</blockquote>', '<p>Kept <math><mi>words</mi><annotation>no words</annotation></math></p>',
+    '<a href=http://x.org/foo/>Kept words</a><p>here</p>', '<table class="menu"><tr><td>Kept words</td></tr></table>'.replace("menu", "menu-prices")])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>"])
+def test_names_remove_no_article_text(kept, around):
+    body = [f"Paragraph {k} has quite a number of words, so that the article is the content of its page." for k in range(4)]
+    page = around.format(f"<p>{body[0]}</p><p>{body[1]}</p>{kept}<p>{body[2]}</p><p>{body[3]}</p>")
+    got = extract(f"<nav><a href=1>Home</a></nav>{page}<footer>Site</footer>", Weights({}))
+    assert "Kept words" in got.replace("\n", " ") and "no words" not in got and "Home" not in got and "Site" not in got and all(x in got for x in body)
+
+
+@pytest.mark.parametrize("gone", ['<div class="advert">Gone now</div>', '<div class="sidebar-right">Gone now</div>', '<ul id="comment-list"><li>Gone now</ul>', '<div role="complementary">Gone now</div>',
+                                  '<div class="cookie-banner">Gone now</div>', "<form>Gone now</form>", "<aside>Gone now</aside>", '<div class="ad-slot-2">Gone now</div>'])
+def test_frames_inside_an_article_are_left_out(gone):
+    body = [f"Paragraph {k} has quite a number of words, so that the article is the content of its page." for k in range(4)]
+    page = f"<article><p>{body[0]}</p><p>{body[1]}</p>{gone}<p>{body[2]}</p><p>{body[3]}</p></article>"
+    assert extract(page, Weights({})) == "\n".join(body)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "</i>" * 25_000 + "<hr>" * 25_000, "<i><p>" + "<b>" * 50_000 + "</i>" * 50_000,
+                                  "<ul><li>x" * 50_000, "<p><b>x" * 50_000])
+def test_deep_nesting_is_linear(page):
+    begin = time.process_time()
+    extract(page, Weights({}))
+    assert time.process_time() - begin < 5
