@@ -17,19 +17,27 @@ Plan (no step evaluates a substring test per posting):
 3. hits are tagged with (query_id, clause_id) by an equi-join on (field, qterm);
 4. ``match='any'``: distinct (query_id, mailbox_id, uid); ``match='all'``: count of distinct
    matched clauses per (query_id, mailbox_id, uid) equals the query's clause count.
+State clauses: ranges meet the messages in an interval index (intervals.py), set flags in an equi-join on the
+flag. Several rows of one clause (tokens, uid ranges) are alternatives; a uid row ``*``
+(lo = hi = 2^63 - 1) makes its clause neutral. Trees of clauses are in trees.py.
 Spark broadcasts by its own byte threshold; otherwise it shuffles on the equi-keys and AQE
 splits skewed partitions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.flags import flag_name_col
 from mailsift.functions.headers import header_field
 from mailsift.functions.text import tokenize
+from mailsift.operators.criteria import UID_STAR
 from mailsift.operators.ingest import term_dictionary
+from mailsift.operators.intervals import range_hits
+from mailsift.session import materialize
 
 POSTING_KINDS = ("body", "text", "header", "exists", "address")
 STATE_KINDS = ("flag_set", "flag_unset", "uid", "size_eq", "size_lt", "size_gt", "date_between")
@@ -47,6 +55,11 @@ def expand_criteria(raw: DataFrame) -> DataFrame:
     terms = (F.when(kind.isin("body", "text", "address"), F.array_distinct(tokenize(F.col("value"))))
              .when(kind == "header", F.array(F.upper(F.col("value"))))
              .when(kind == "exists", F.array(F.lit(""))))
+    # A uid clause with `*` constrains nothing, whatever ranges stand beside it
+    star = (kind == "uid") & (F.col("lo") == UID_STAR) & (F.col("hi") == UID_STAR)
+    starred = raw.where(star).select(F.col("query_id").alias("s_query"), F.col("clause_id").alias("s_clause"), F.lit(True).alias("star")).distinct()
+    raw = raw.join(starred, F.col("query_id").eqNullSafe(F.col("s_query")) & F.col("clause_id").eqNullSafe(F.col("s_clause")), "left") \
+        .withColumn("kind", F.when((kind == "uid") & F.col("star"), "all").otherwise(kind)).drop("s_query", "s_clause", "star")
     base = ["query_id", "mailbox_id", "clause_id", "kind", "lo", "hi"]
     posting = raw.where(kind.isin(*POSTING_KINDS)).select(
         *base, F.explode(fields).alias("field"), terms.alias("terms")) \
@@ -137,15 +150,22 @@ def _mailbox_ok() -> F.Column:
 
 def _state_hits(st: DataFrame, s_crit: DataFrame) -> DataFrame:
     """(query_id, clause_id, mailbox_id, uid) of state clauses over message_state."""
-    cols = ["query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"), "kind", "qterm", "lo", "hi"]
-    bound = s_crit.where(F.col("mailbox_id").isNotNull()).select(*cols)
-    parts = [st.join(bound, (st["mailbox_id"] == bound["q_mailbox"]) & _state_condition())
-             .select("query_id", "clause_id", "mailbox_id", "uid")]
-    # clauses for every mailbox: the stated query set against all messages
-    free = s_crit.where(F.col("mailbox_id").isNull()).select(*cols)
-    if free.take(1):
-        parts.append(st.join(free, _state_condition()).select("query_id", "clause_id", "mailbox_id", "uid"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = ["query_id", "clause_id", "mailbox_id", "uid"]
+    parts = [range_hits(st, s_crit)]
+    flags = s_crit.where(F.col("kind").isin("flag_set", "flag_unset")) \
+        .select("query_id", "clause_id", F.col("mailbox_id").alias("q_mailbox"), "kind", "qterm").distinct()
+    if flags.take(1):
+        held = st.select("mailbox_id", "uid", F.explode(F.array_distinct("flags")).alias("flag"))
+        wanted = flags.where("kind = 'flag_set'")
+        parts.append(held.join(wanted, held["flag"] == wanted["qterm"]).where(_mailbox_ok()).select(*out))
+        # messages without a flag: most of a mailbox, as the result is; without a mailbox, of all messages
+        unset = flags.where("kind = 'flag_unset'")
+        parts.append(st.join(unset.where("q_mailbox is not null"), F.col("mailbox_id") == F.col("q_mailbox"))
+                     .where(~F.array_contains("flags", F.col("qterm"))).select(*out))
+        free = unset.where("q_mailbox is null")
+        if free.take(1):
+            parts.append(st.join(free, ~F.array_contains("flags", F.col("qterm"))).select(*out))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 SHORT_WEIGHT = 1e18       # clause weight of a 1-2 character token: never preferred as driver
@@ -167,7 +187,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
     """
     if match not in ("any", "all"):
         raise ValueError("match must be 'any' or 'all'")
-    crit = expand_criteria(criteria)
+    crit = materialize(expand_criteria(criteria), "criteria")
     p_crit = crit.where(F.col("field").isNotNull())
     s_crit = crit.where(F.col("kind").isin(*STATE_KINDS))
     st = state.select("mailbox_id", "uid", "flags", "size", "internal_date")
@@ -204,7 +224,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         if gram_stats is None:
             gram_stats = gram_statistics(grams)
         # token weight: messages whose terms hold its rarest trigram (short tokens: never first)
-        pick = rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats)
+        pick = materialize(rarest_grams(p_crit.select("field", "qterm").distinct(), gram_stats), "picked-grams")
         w_tok = F.when(F.length("qterm") < GRAM, F.lit(SHORT_WEIGHT)) \
             .when(F.col("n") > 0, F.col("docs").cast("double")).otherwise(F.lit(0.0))
         weight = pc.join(pick.select("field", "qterm", "n", "docs"), ["field", "qterm"], "left") \
@@ -213,6 +233,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("w", "clause_id"))
         drivers = weight.withColumn("rank", rank).where(F.col("rank") <= DRIVER_CLAUSES) \
             .select("query_id", "clause_id")
+        drivers = materialize(drivers, "drivers")
         n_drv = drivers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_drv"))
         d_tok = pc.join(drivers, ["query_id", "clause_id"])
         d_q = d_tok.select("field", "qterm").distinct()
@@ -226,6 +247,7 @@ def search_batch(postings: DataFrame, state: DataFrame, criteria: DataFrame, mat
             .groupBy("query_id", "mailbox_id", "uid").agg(F.count(F.lit(1)).alias("c")) \
             .join(n_drv, "query_id").where(F.col("c") == F.col("n_drv")) \
             .select("query_id", "mailbox_id", "uid")
+        cand = materialize(cand, "candidates")
         # verify: each candidate against every posting clause of its query, on its own postings
         cand_tok = cand.join(pc, "query_id").where(_mailbox_ok()) \
             .select("query_id", "clause_id", "mailbox_id", "uid", "field", "qterm")

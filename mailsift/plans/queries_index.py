@@ -9,9 +9,11 @@ from mailsift.functions.text import tokenize
 from mailsift.operators import batch as B
 from mailsift.operators import maintain as M
 from mailsift.operators import search as S
+from mailsift.operators import trees as T
 from mailsift.operators.delta import LogIndex, as_adds
 from mailsift.operators.ingest import (explode_postings, load_index, rebuild_index, term_dictionary,
                                        term_frequency, write_postings)
+from mailsift.operators.intervals import range_hits
 from mailsift.operators.sort import sort_results
 from mailsift.plans import oracle as O
 from mailsift.plans.registry import conv_index, docs_index, flags_str, orders_index, register
@@ -293,6 +295,60 @@ def b1b(spark, sf):
                           dictionary=ix.dictionary, grams=ix.grams, gram_stats=ix.gram_stats)
 
 
+TREE = [0, 1, T.AND, 4, 3, T.AND, T.OR, 2, T.NOT, T.AND]
+
+
+@register("B1c_search_trees", O.with_(O.DOC_POSTINGS, O.DOC_STATE, f"""bt AS (
+  SELECT item_id AS query_id, tk[1] AS t0, tk[-1] AS t1
+  FROM (SELECT item_id, {O.tok('text')} AS tk FROM benchmark) WHERE len(tk) > 0),
+dict AS (SELECT DISTINCT term FROM doc_postings),
+tm AS (SELECT query_id, term, contains(term, t0) AS c0, contains(term, t1) AS c1
+       FROM dict JOIN bt ON contains(term, t0) OR contains(term, t1)),
+hit AS (SELECT query_id, mailbox_id, uid, bool_or(c0) AS c0, bool_or(c1) AS c1
+        FROM doc_postings JOIN tm USING (term) GROUP BY query_id, mailbox_id, uid)""") + r"""
+SELECT b.query_id, s.mailbox_id, s.uid
+FROM doc_state s CROSS JOIN bt b LEFT JOIN hit h ON h.query_id = b.query_id AND h.mailbox_id = s.mailbox_id AND h.uid = s.uid
+WHERE ((coalesce(h.c0, false) AND coalesce(h.c1, false)) OR (s.uid BETWEEN b.query_id * 7 AND b.query_id * 7 + 400 AND s.size > 4000))
+  AND NOT contains(s.flags, '\DELETED')""")
+def b1c(spark, sf):
+    """B1 x T4-T6: one boolean tree per benchmark item over its first and last word, a uid range, a
+    size and a flag: ((first and last) or (range and larger)) and not deleted."""
+    ix = load_index(spark, rebuild_index(mail_docs(spark, sf), new_scratch_path(spark, "index")))
+    item = read_table(spark, sf, "benchmark").withColumn("tk", tokenize("text")).where(F.size("tk") > 0) \
+        .withColumn("item_id", F.col("item_id").cast("bigint"))
+    clause = lambda k, kind, value=None, lo=None, hi=None: F.struct(
+        F.lit(k).cast("bigint").alias("clause_id"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"),
+        F.lit(value).cast("string").alias("value"), F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi"))
+    at = F.col("item_id") * 7
+    clauses = F.array(clause(0, "body", F.get("tk", F.lit(0))), clause(1, "body", F.element_at("tk", -1)), clause(2, "flag_set", "DELETED"),
+                      clause(3, "size_gt", lo=4000), clause(4, "uid", lo=at, hi=at + 400))
+    base = [F.col("item_id").alias("query_id"), F.lit(None).cast("string").alias("mailbox_id")]
+    criteria = item.select(*base, F.explode(clauses).alias("c")).select("query_id", "mailbox_id", "c.*")
+    programs = item.select(*base, F.array(*map(F.lit, TREE)).alias("program"))
+    return T.search_trees(ix.postings, ix.state, criteria, programs, ix.dictionary, ix.grams, ix.gram_stats)
+
+
+@register("B1d_range_clauses", """
+WITH q AS (SELECT c_custkey AS k, CAST(TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey * 5 % 2000 AS INTEGER)) AS TIMESTAMP) AS d FROM customer)
+SELECT q.k AS query_id, CAST(o.o_custkey AS VARCHAR) AS mailbox_id, o.o_orderkey AS uid
+FROM q JOIN orders o ON (q.k % 3 = 0 AND o.o_orderkey BETWEEN q.k * 9 AND q.k * 9 + 60)
+  OR (q.k % 3 = 1 AND o.o_orderdate BETWEEN q.d AND q.d + INTERVAL 10 DAY)
+  OR (q.k % 3 = 2 AND o.o_custkey = q.k AND o.o_orderdate BETWEEN q.d AND q.d + INTERVAL 900 DAY)""")
+def b1d(spark, sf):
+    """C13b, C10-C12 in bulk: a range clause per customer over all orders, on uid, on the date, or on the date in
+    the customer's own mailbox, through the interval index."""
+    _, state = orders_index(spark, sf)
+    k, day = F.col("c_custkey").cast("bigint"), 86_400_000_000
+    start = F.unix_micros(F.lit("1995-01-01").cast("timestamp")) + k * 5 % 2000 * day
+    kind = F.when(k % 3 == 0, "uid").otherwise("date_between")
+    lo = F.when(k % 3 == 0, k * 9).otherwise(start)
+    hi = F.when(k % 3 == 0, lo + 60).when(k % 3 == 1, lo + 10 * day).otherwise(lo + 900 * day)
+    criteria = read_table(spark, sf, "customer").select(
+        k.alias("query_id"), F.when(k % 3 == 2, k.cast("string")).alias("mailbox_id"), F.lit(0).cast("bigint").alias("clause_id"),
+        kind.alias("kind"), lo.alias("lo"), hi.alias("hi"))
+    return range_hits(state, criteria).select("query_id", "mailbox_id", "uid")
+
+
 @register("B2_term_dictionary", O.with_(O.DOC_POSTINGS) + """
 SELECT field, term, count(*) AS df FROM doc_postings GROUP BY field, term""")
 def b2(spark, sf):
