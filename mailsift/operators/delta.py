@@ -1,11 +1,14 @@
 """A searchable index kept as batches of a change log.
 
-Every batch of the log adds two tables under one root and touches nothing older:
+Every batch of the log adds tables of its own under one root and touches nothing older:
 
     postings/v=<batch>/field=<F>   postings of the batch's adds, each with ``add_seq``
     state/v=<batch>                one folded row per key of the batch (see maintain.py),
                                    with the message columns of its newest add
-    base/v=<batch>/...             the same two tables after `compact`, up to that batch
+    dictionary/, grams/v=<batch>   terms of the batch's postings with their document frequency, and
+                                   the trigrams of these terms
+    base/<table>/v=<batch>         the same tables after `compact`, up to that batch
+    batches/<batch>, bases/<batch> an empty file for each batch and base that is written whole
 
 Writing a batch reads the batch alone: postings are exploded without a shuffle and bodies never
 leave their task. The change of a key is decided at read time. A posting is dead when its key
@@ -19,8 +22,13 @@ stay below its own byte threshold. `compact` folds everything into a new base wi
 tombstones; how often is the caller's choice. Order is by ``seq`` alone: batches may arrive late
 or in any order.
 
+Dictionaries add up: a term's frequency is the sum over the batches, less its postings that tombstones have
+killed. The live dictionary counts these in a semi join with the tombstones; ``index(exact=False)`` leaves them in,
+so that frequencies are upper bounds and a term may have no live posting, which no search result depends on.
+
 A batch number names its folders and a repeated batch overwrites its own, so a replayed
-micro-batch changes nothing. Readers see a batch once both tables are complete. ``seq`` must be
+micro-batch changes nothing. Readers see a batch once its file under ``batches`` is there, which is
+written last; one listing finds all of them. ``seq`` must be
 unique within a key. Compacting must not run beside a writer of a batch it covers.
 """
 
@@ -32,7 +40,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions.flags import normalize_flags
-from mailsift.operators.ingest import Index, build_postings, build_state
+from mailsift.operators.batch import gram_index, gram_statistics
+from mailsift.operators.ingest import Index, build_postings, build_state, term_dictionary
 from mailsift.operators.maintain import FOLD_COLS, KEYS, fold_changes, is_live, merge_folds, range_hits
 
 STATE_COLS = ["internal_date", "header_date", "size", "first_from", "first_to", "first_cc",
@@ -75,11 +84,11 @@ def tombstones(parts: DataFrame) -> DataFrame:
         .where(F.col("dead_below").isNotNull())
 
 
-def without_dead(postings: DataFrame, dead: DataFrame) -> DataFrame:
-    """Postings that no later add or delete of their key has replaced."""
+def without_dead(postings: DataFrame, dead: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Postings that no later add or delete of their key has replaced (``left_semi``: the others)."""
     dead = dead.select(*[F.col(k).alias("dead_" + k) for k in KEYS], "dead_below")
     same = [F.col(k).eqNullSafe(F.col("dead_" + k)) for k in KEYS]
-    return postings.join(dead, same[0] & same[1] & (F.col("add_seq") < F.col("dead_below")), "left_anti")
+    return postings.join(dead, same[0] & same[1] & (F.col("add_seq") < F.col("dead_below")), how)
 
 
 class LogIndex:
@@ -90,25 +99,28 @@ class LogIndex:
 
     # ------------------------------------------------------------------ folders
 
-    def _complete(self, folder: str) -> dict[int, str]:
-        """Finished ``v=<n>`` folders of a table (one listing, one entry for each batch)."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _place(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _marked(self, kind: str) -> list[int]:
+        """Numbers of the whole batches or bases: one listing."""
+        fs, path = self._place(kind)
         if not fs.exists(path):
-            return {}
-        found = {}
-        for status in fs.listStatus(path):
-            here = status.getPath()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(here, "_SUCCESS")
-            if here.getName().startswith("v=") and fs.exists(done):
-                found[int(here.getName()[2:])] = here.toString()
-        return found
+            return []
+        return [int(status.getPath().getName()) for status in fs.listStatus(path)]
+
+    def _mark(self, kind: str, number: int, whole: bool) -> None:
+        fs, path = self._place(f"{kind}/{number}")
+        if whole:
+            fs.create(path, True).close()
+        else:
+            fs.delete(path, False)
 
     def _parts(self) -> tuple[int, list[int]]:
-        """(newest base or -1, complete batches after it)."""
-        base = max(self._complete("base/state"), default=-1)
-        whole = self._complete("postings").keys() & self._complete("state").keys()
-        return base, sorted(v for v in whole if v > base)
+        """(newest base or -1, whole batches after it)."""
+        base = max(self._marked("bases"), default=-1)
+        return base, sorted(v for v in self._marked("batches") if v > base)
 
     def _read(self, table: str, base: int, batches: list[int]) -> DataFrame | None:
         places = []
@@ -127,18 +139,28 @@ class LogIndex:
         if batch is None:
             base, batches = self._parts()
             batch = max([base, *batches]) + 1
+        self._mark("batches", batch, False)
         batch_postings(changes).sortWithinPartitions("field", "mailbox_id", "term") \
             .write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/postings/v={batch}")
         batch_state(changes).write.mode("overwrite").parquet(f"{self.root}/state/v={batch}")
+        self._write_dictionary("", batch)
+        self._mark("batches", batch, True)
         return batch
 
+    def _write_dictionary(self, place: str, number: int) -> None:
+        """Dictionary and trigrams of the postings just written under ``place``."""
+        read = lambda table: self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{place}{table}/v={number}")
+        term_dictionary(read("postings")).write.mode("overwrite").parquet(f"{self.root}/{place}dictionary/v={number}")
+        gram_index(read("dictionary")).select("field", "term", "gram").sortWithinPartitions("field", "gram") \
+            .write.mode("overwrite").parquet(f"{self.root}/{place}grams/v={number}")
+
     def update_flags(self, ranges: DataFrame) -> int:
         """Replace the flags of all live messages in (mailbox_id, lo, hi, seq, flags) ranges."""
-        return self.append(range_events(self.index().state, ranges, "flags"))
+        return self.append(range_events(self.state(ranges.select("mailbox_id")), ranges, "flags"))
 
     def delete(self, ranges: DataFrame) -> int:
         """Delete all live messages in (mailbox_id, lo, hi, seq) ranges."""
-        return self.append(range_events(self.index().state, ranges, "delete"))
+        return self.append(range_events(self.state(ranges.select("mailbox_id")), ranges, "delete"))
 
     def compact(self) -> None:
         """Fold the base and all batches into a new base; folded rows of dead keys are kept, so
@@ -147,16 +169,22 @@ class LogIndex:
         if not batches:
             return
         postings, state = self.postings(with_seq=True), self.folded()
+        self._mark("bases", batches[-1], False)
         postings.sortWithinPartitions("field", "mailbox_id", "term") \
             .write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/base/postings/v={batches[-1]}")
         state.write.mode("overwrite").parquet(f"{self.root}/base/state/v={batches[-1]}")
+        self._write_dictionary("base/", batches[-1])
+        self._mark("bases", batches[-1], True)
 
     # ------------------------------------------------------------------ reading
 
-    def folded(self) -> DataFrame:
-        """One folded row per key ever seen, live or dead."""
+    def folded(self, mailboxes: DataFrame | None = None) -> DataFrame:
+        """One folded row per key ever seen, live or dead; of some ``mailboxes`` only, if given."""
         parts = self._read("state", *self._parts())
-        return merge_states(self._empty("state") if parts is None else parts)
+        parts = self._empty("state") if parts is None else parts
+        if mailboxes is not None:  # before the fold, so other mailboxes are not shuffled
+            parts = parts.join(mailboxes.select("mailbox_id").distinct(), "mailbox_id", "left_semi")
+        return merge_states(parts)
 
     def postings(self, with_seq: bool = False) -> DataFrame:
         """Postings of live messages."""
@@ -168,24 +196,45 @@ class LogIndex:
             found = self._live(base, batches)
         return found if with_seq else found.drop("add_seq")
 
-    def _live(self, base: int, batches: list[int]) -> DataFrame:
+    def _live(self, base: int, batches: list[int], how: str = "left_anti") -> DataFrame:
         """The base meets the rows written after it alone; later postings, late ones among them,
         meet the folded rows of the base too."""
         recent = self._read("state", -1, batches)
         newer = self._read("postings", -1, batches)
         if base < 0:
-            return without_dead(newer, tombstones(recent))
-        older = without_dead(self._read("postings", base, []), tombstones(recent))
-        return older.unionByName(without_dead(newer, tombstones(self._read("state", base, batches))))
+            return without_dead(newer, tombstones(recent), how)
+        older = without_dead(self._read("postings", base, []), tombstones(recent), how)
+        return older.unionByName(without_dead(newer, tombstones(self._read("state", base, batches)), how))
 
-    def state(self) -> DataFrame:
+    def state(self, mailboxes: DataFrame | None = None) -> DataFrame:
         """``message_state`` of the live messages."""
-        return self.folded().where(is_live()) \
+        return self.folded(mailboxes).where(is_live()) \
             .select(*KEYS, "flags", *[F.col("message")[c].alias(c) for c in STATE_COLS])
 
-    def index(self) -> Index:
-        """The live tables, to search in."""
-        return Index(self.postings(), self.state())
+    def dictionary(self, exact: bool = True) -> DataFrame:
+        """(field, term, df) of the live postings; not ``exact``: with the dead ones counted."""
+        base, batches = self._parts()
+        found = self._read("dictionary", base, batches)
+        if found is None:
+            return self._empty("dictionary")
+        if not batches:
+            return found
+        if exact:
+            dead = term_dictionary(self._live(base, batches, "left_semi")).withColumn("df", -F.col("df"))
+            found = found.unionByName(dead)
+        return found.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def grams(self, dictionary: DataFrame) -> DataFrame:
+        """(field, term, gram, df): the trigrams of a dictionary of this index. A filter on the gram reaches the files."""
+        found = self._read("grams", *self._parts())
+        found = self._empty("grams") if found is None else found.distinct()
+        return found.join(dictionary, ["field", "term"])
+
+    def index(self, exact: bool = True) -> Index:
+        """The live tables, to search in, with dictionary and trigrams (see `dictionary`)."""
+        dictionary = self.dictionary(exact)
+        grams = self.grams(dictionary)
+        return Index(self.postings(), self.state(), dictionary, grams, gram_statistics(grams))
 
     def _empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS[table])
@@ -193,6 +242,8 @@ class LogIndex:
 
 #: Columns of the two tables as they are written.
 SCHEMAS = {
+    "dictionary": "field string, term string, df bigint",
+    "grams": "field string, term string, gram string",
     "postings": "mailbox_id string, term string, uid bigint, add_seq bigint, field string",
     "state": "mailbox_id string, uid bigint, flags array<string>, flags_seq bigint, last_add bigint, "
              "last_delete bigint, message struct<internal_date:timestamp_ntz, header_date:timestamp_ntz, "

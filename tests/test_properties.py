@@ -130,6 +130,44 @@ def test_log_index_in_any_order(spark, compact_after):
     assert sorted((r.mailbox_id, r.uid, r.term) for r in body.collect()) == sorted(want) and want
     flags = {(r.mailbox_id, r.uid): r.flags for r in M.live_flags(whole).collect()}
     assert {(r.mailbox_id, r.uid): r.flags for r in got.state.collect()} == flags
+    # dictionary and trigrams are those of an index built anew from the live postings
+    anew = term_dictionary(got.postings)
+    as_rows = lambda df, *cols: sorted(map(tuple, df.select(*cols).collect()))
+    assert as_rows(got.dictionary, "field", "term", "df") == as_rows(anew, "field", "term", "df")
+    assert as_rows(got.grams, "field", "term", "gram", "df") == as_rows(B.gram_index(anew), "field", "term", "gram", "df")
+    assert as_rows(got.gram_stats, "field", "gram", "n", "docs") == as_rows(B.gram_statistics(B.gram_index(anew)), "field", "gram", "n", "docs")
+    bound = ix.index(exact=False)
+    above = {(r.field, r.term): r.df for r in bound.dictionary.collect()}
+    assert all(above[r.field, r.term] >= r.df for r in anew.collect())
+    for some in (got, bound):
+        for text in ("msg", "n1", "9"):
+            plain = some.search(None, [C.body_contains(text)])
+            assert keyset(some.search(None, [C.body_contains(text)], use_dictionary=True)) == keyset(plain)
+
+
+def test_log_index_with_a_half_written_batch(spark):
+    """A batch that is not written whole is not seen; writing it again completes it."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    row = lambda seq, uid, body: (seq, None, "add", "m", uid, None, None, body, None)
+    first, second = (spark.createDataFrame([row(n, n, f"word{n}")], CHANGES) for n in (1, 2))
+    ix.append(first, 0)
+    ix.append(second, 1)
+    ix._mark("batches", 1, False)
+    assert keyset(ix.index().state) == {("m", 1)} and [r.term for r in ix.dictionary().collect()] == ["WORD1"]
+    ix.append(second, 1)
+    assert keyset(ix.index().state) == {("m", 1), ("m", 2)} and ix.dictionary().count() == 2
+
+
+def test_range_updates_fold_their_own_mailboxes(spark):
+    """Other mailboxes' rows meet the ranges' mailboxes before the fold."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    rows = [(k, None, "add", f"m{k % 5}", k, None, None, f"word{k}", None) for k in range(50)]
+    ix.append(spark.createDataFrame(rows, CHANGES))
+    boxes = spark.createDataFrame([("m1",)], "mailbox_id string")
+    plan = ix.state(boxes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # the join is below the fold
+    ix.delete(spark.createDataFrame([("m1", 0, 20, 99)], "mailbox_id string, lo long, hi long, seq long"))
+    assert keyset(ix.index().state) == {(f"m{k % 5}", k) for k in range(50) if not (k % 5 == 1 and k <= 20)}
 
 
 def test_log_index_awkward_batches(spark):
