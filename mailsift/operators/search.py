@@ -55,9 +55,10 @@ def scan_message_postings(postings: DataFrame, mailbox: str, uid: int) -> DataFr
     return postings.where((F.col("mailbox_id") == mailbox) & (F.col("uid") == uid))
 
 
-def lookup_flags(state: DataFrame, mailbox: str, uid: int) -> DataFrame:
-    """Point read of one message's flags."""
-    return state.where((F.col("mailbox_id") == mailbox) & (F.col("uid") == uid)) \
+def lookup_flags(state: DataFrame, mailbox: str | None = None, uid: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Point read of one message's flags, or of all messages of ``keys`` (mailbox_id, uid)."""
+    found = state if keys is None else state.join(keys.select(*KEYS), KEYS, "left_semi")
+    return _where(found, *([] if mailbox is None else [F.col("mailbox_id") == mailbox]), *([] if uid is None else [F.col("uid") == uid])) \
         .select(*KEYS, "flags")
 
 

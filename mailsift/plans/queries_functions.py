@@ -9,7 +9,7 @@ from mailsift.functions.dates import date_truncate, date_upper_bound
 from mailsift.functions.flags import booleans_to_flags, flag_name_col, flags_to_string
 from mailsift.functions.text import octets, tokenize, upper_en
 from mailsift.plans import oracle as O
-from mailsift.plans.registry import conv_index, orders_index, register
+from mailsift.plans.registry import conv_index, conv_to_index, orders_index, register
 from mailsift.sources.adapters import mail_conv, mail_docs, read_table
 from mailsift.sources.mime import parse_mime
 
@@ -101,18 +101,19 @@ def f9(spark, sf):
 
 @register("F10_first_address", O.with_(O.CONV_H) + """
 SELECT mailbox_id, uid, role AS first_from, CASE WHEN h_cc IS NOT NULL THEN 'desk' END AS first_cc,
-       CAST(NULL AS VARCHAR) AS first_to FROM conv_h""")
+       CASE WHEN uid % 3 <> 2 THEN 'team' || CAST(conv_id % 7 AS VARCHAR) END AS first_to FROM conv_h""")
 def f10(spark, sf):
     """local part of the first From / Cc / To address."""
-    _, s = conv_index(spark, sf)
+    _, s = conv_to_index(spark, sf)
     return s.select("mailbox_id", "uid", "first_from", "first_cc", "first_to")
 
 
 @register("F11_first_display", O.with_(O.CONV_H) + """
-SELECT mailbox_id, uid, role AS display_from, CAST(NULL AS VARCHAR) AS display_to FROM conv_h""")
+SELECT mailbox_id, uid, role AS display_from,
+       CASE WHEN uid % 3 <> 2 THEN 'Team ' || CAST(conv_id % 7 AS VARCHAR) END AS display_to FROM conv_h""")
 def f11(spark, sf):
     """display name of the first From / To address."""
-    _, s = conv_index(spark, sf)
+    _, s = conv_to_index(spark, sf)
     return s.select("mailbox_id", "uid", "display_from", "display_to")
 
 
@@ -179,24 +180,29 @@ def f17(spark, sf):
     return s.select("mailbox_id", "uid", "internal_date")
 
 
-@register("F18_date_truncate", O.with_(O.ORD_STATE) + """
-SELECT mailbox_id, uid, date_trunc('month', internal_date) AS month_start,
-       date_trunc('year', internal_date) AS year_start FROM ord_state""")
-def f18(spark, sf):
-    """internal date cut to month and year (UTC)."""
+UNITS = ("year", "month", "day", "hour", "minute", "second", "millisecond")
+#: Orders with a time of day: hours, minutes, seconds and microseconds from the key.
+TIMED = "internal_date + to_microseconds(uid * 977001 % 86400000000)"
+
+
+def timed_orders(spark, sf):
     _, s = orders_index(spark, sf)
-    return s.select("mailbox_id", "uid", date_truncate("internal_date", "month").alias("month_start"),
-                    date_truncate("internal_date", "year").alias("year_start"))
+    return s.withColumn("internal_date", F.timestamp_micros(F.unix_micros(F.col("internal_date").cast("timestamp")) + F.col("uid") * 977001 % 86400000000)
+                        .cast("timestamp_ntz"))
 
 
-@register("F19_date_upper_bound", O.with_(O.ORD_STATE) + """
-SELECT mailbox_id, uid, date_trunc('month', internal_date) + INTERVAL 1 MONTH AS month_end,
-       date_trunc('day', internal_date) + INTERVAL 1 DAY AS day_end FROM ord_state""")
+@register("F18_date_truncate", O.with_(O.ORD_STATE) + "SELECT mailbox_id, uid, "
+          + ", ".join(f"CAST(date_trunc('{u}', {TIMED}) AS TIMESTAMP) AS {u}_start" for u in UNITS) + " FROM ord_state")
+def f18(spark, sf):
+    """internal date cut to each of the seven units (UTC)."""
+    return timed_orders(spark, sf).select("mailbox_id", "uid", *[date_truncate("internal_date", u).alias(f"{u}_start") for u in UNITS])
+
+
+@register("F19_date_upper_bound", O.with_(O.ORD_STATE) + "SELECT mailbox_id, uid, "
+          + ", ".join(f"CAST(date_trunc('{u}', {TIMED}) + INTERVAL {0 if u == 'millisecond' else 1} {u} AS TIMESTAMP) AS {u}_end" for u in UNITS) + " FROM ord_state")
 def f19(spark, sf):
-    """end of the month / day unit of the internal date."""
-    _, s = orders_index(spark, sf)
-    return s.select("mailbox_id", "uid", date_upper_bound("internal_date", "month").alias("month_end"),
-                    date_upper_bound("internal_date", "day").alias("day_end"))
+    """end of each of the seven units of the internal date; a millisecond ends where it begins."""
+    return timed_orders(spark, sf).select("mailbox_id", "uid", *[date_upper_bound("internal_date", u).alias(f"{u}_end") for u in UNITS])
 
 
 @register("F20_flags_to_string", r"""

@@ -16,7 +16,7 @@ from mailsift.operators.ingest import (explode_postings, load_index, rebuild_ind
 from mailsift.operators.intervals import range_hits
 from mailsift.operators.sort import sort_results
 from mailsift.plans import oracle as O
-from mailsift.plans.registry import conv_index, docs_index, flags_str, orders_index, register
+from mailsift.plans.registry import conv_index, conv_to_index, docs_index, flags_str, orders_index, register
 from mailsift.session import new_scratch_path
 from mailsift.sources.adapters import mail_changes, mail_conv, mail_docs, read_table
 
@@ -64,10 +64,11 @@ def s3(spark, sf):
 @register("S4_lookup_flags", O.with_(O.DOC_STATE) + """
 SELECT mailbox_id, uid, flags FROM doc_state WHERE uid IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def s4(spark, sf):
-    """Flags of a batch of keys (documents labelled toxic), by a semi join on the key."""
+    """Flags of a batch of keys (documents labelled toxic), by mailbox and uid."""
     _, s = docs_index(spark, sf)
-    keys = read_table(spark, sf, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("uid"))
-    return s.join(keys, "uid", "left_semi").select("mailbox_id", "uid", flags_str())
+    toxic = read_table(spark, sf, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("uid"))
+    keys = mail_docs(spark, sf, with_flags=False).select("mailbox_id", "uid").join(toxic, "uid", "left_semi")
+    return S.lookup_flags(s, keys=keys).select("mailbox_id", "uid", flags_str())
 
 
 @register("S5_scan_index_family", _postings_sql([O.CONV_POSTINGS], "conv_postings",
@@ -239,8 +240,8 @@ SORTS = [
     ("T10_sort_mailbox_from", conv_index, "mailbox_from", False, [O.CONV_H], "conv_h", "role"),
     ("T11_sort_mailbox_cc", conv_index, "mailbox_cc", True, [O.CONV_H], "conv_h",
      "CASE WHEN h_cc IS NOT NULL THEN 'desk' END"),
-    ("T12_sort_mailbox_to", conv_index, "mailbox_to", False, [O.CONV_H], "conv_h", "CAST(NULL AS VARCHAR)"),
-    ("T13_sort_display_to", conv_index, "display_to", True, [O.CONV_H], "conv_h", "CAST(NULL AS VARCHAR)"),
+    ("T12_sort_mailbox_to", conv_to_index, "mailbox_to", False, [O.CONV_H], "conv_h", "CASE WHEN uid % 3 <> 2 THEN 'team' || CAST(conv_id % 7 AS VARCHAR) END"),
+    ("T13_sort_display_to", conv_to_index, "display_to", True, [O.CONV_H], "conv_h", "CASE WHEN uid % 3 <> 2 THEN 'Team ' || CAST(conv_id % 7 AS VARCHAR) END"),
     ("T14_sort_display_from", conv_index, "display_from", True, [O.CONV_H], "conv_h", "role"),
     ("T15_sort_arrival", orders_index, "arrival", True, [O.ORD_STATE], "ord_state", "internal_date"),
     ("T16_sort_size", docs_index, "size", True, [O.DOC_STATE], "doc_state", "size"),
@@ -357,6 +358,18 @@ def b2(spark, sf):
     return term_dictionary(p)
 
 
+@register("B2c_maintained_dictionary", O.with_(O.DOC_POSTINGS) + """
+SELECT field, term, count(*) AS df FROM doc_postings WHERE NOT uid BETWEEN 20 AND 150 GROUP BY field, term""")
+def b2c(spark, sf):
+    """B2 under W2, W4: the dictionary of an index kept as batches, after a late add, a repeated add and a range delete."""
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, sf, with_flags=False)
+    ix.append(as_adds(docs.where(F.col("uid") % 3 > 0), 1))
+    ix.append(as_adds(docs.where(F.col("uid") % 3 < 2), 0))
+    ix.delete(docs.select("mailbox_id").distinct().withColumns({"lo": F.lit(20), "hi": F.lit(150), "seq": F.lit(2).cast("bigint")}))
+    return ix.dictionary()
+
+
 @register("B2b_dictionary_search", O.with_(O.DOC_POSTINGS) + """
 SELECT DISTINCT mailbox_id, uid FROM doc_postings WHERE field = 'BODY' AND contains(term, 'TION')""")
 def b2b(spark, sf):

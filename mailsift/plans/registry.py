@@ -50,6 +50,11 @@ def conv_index(spark, sf):
     return build_postings(msgs), build_state(msgs)
 
 
+def conv_to_index(spark: SparkSession, sf_dir: str):
+    """The state of the conversations with To headers."""
+    return None, build_state(mail_conv(spark, sf_dir, with_to=True))
+
+
 def orders_index(spark, sf):
     msgs = mail_orders(spark, sf)
     return build_postings(msgs), build_state(msgs)

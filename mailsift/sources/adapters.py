@@ -55,11 +55,12 @@ def mail_docs(spark: SparkSession, sf_dir: str, with_flags: bool = True) -> Data
     )
 
 
-def mail_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mail_conv(spark: SparkSession, sf_dir: str, with_to: bool = False) -> DataFrame:
     """conversations as messages: mailbox = conv_id, uid = turn, body = text.
 
     Headers: From ``role <role@example.org>``, Subject ``Re: Conversation <conv_id>``, and on
-    odd turns Cc ``desk <desk@example.org>, audit <audit@example.org>``.
+    odd turns Cc ``desk <desk@example.org>, audit <audit@example.org>``; with ``with_to`` also To
+    ``Team k <teamk@example.org>, audit@example.org``, k = conv_id mod 7, on two turns of three.
     """
     conv = read_table(spark, sf_dir, "conversations")
     base = F.array(
@@ -68,6 +69,10 @@ def mail_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cc = F.array(_hdr("Cc", F.lit("desk <desk@example.org>, audit <audit@example.org>")))
     headers = F.when(F.col("turn") % 2 == 1, F.concat(base, cc)).otherwise(base)
+    if with_to:
+        team = (F.col("conv_id") % 7).cast("string")
+        to = F.array(_hdr("To", F.concat(F.lit("Team "), team, F.lit(" <team"), team, F.lit("@example.org>, audit@example.org"))))
+        headers = F.when(F.col("turn") % 3 != 2, F.concat(headers, to)).otherwise(headers)
     return conv.select(
         F.col("conv_id").cast("string").alias("mailbox_id"),
         F.col("turn").alias("uid"),
