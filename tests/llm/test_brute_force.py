@@ -327,14 +327,40 @@ def test_frame_names_around_every_block():
     assert extract("<div class=sidebar-right>" + "".join(f"<p>{x}</p>" for x in body) + comments + "</div>", Weights({})) == "\n".join(body)
 
 
-def test_windows_in_blocks(spark, odd):
-    """A benchmark of several blocks marks the same words."""
-    docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
-    one = mark(docs.select("doc_id", "text"), items, prefix="h_").collect()
-    many = mark(docs.select("doc_id", "text"), items, prefix="h_", block=2).collect()
-    assert sorted(map(repr, one)) == sorted(map(repr, many))
-    by = {r.doc_id: r for r in one if r.doc_id is not None}
-    assert by[4].h_spans == [0, 14] and by[4].h_items == ["30", "4"] and len(TEXTS[4].split()) == by[4].h_words
+def _marks(texts, items, n=10):
+    """(spans as a set of words hit, items) of each text, by looking for every window at every place."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for text in texts:
+        words, hit, ids = cut(text), set(), set()
+        for item, t in items:
+            w = cut(t)
+            for k in range(max(1, len(w) - n + 1)) if w else ():
+                window = w[k:k + n]
+                for i in range(len(words) - len(window) + 1):
+                    if words[i:i + len(window)] == window:
+                        hit.update(range(i, i + len(window)))
+                        ids.update([] if item is None else [str(item)])
+        out.append((hit, sorted(ids)))
+    return out
+
+
+@pytest.mark.parametrize("bits", [27, 6])
+def test_marks_by_brute_force(spark, bits):
+    """Also with bit arrays so small that every bit is set: the join alone decides then."""
+    dice = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{k}" for k in dice.zipf(1.5, n) % 12)
+    texts = TEXTS[:12] + [say(60) for _ in range(25)]
+    shared = say(11)
+    items = [(k, say(int(dice.integers(1, 14)))) for k in range(30)] + [(k, shared + " " + say(2)) for k in range(30, 60)] + [(None, "the lazy dog"), (1, say(12)), (70, None)]
+    texts.append(say(5) + " " + shared + " " + say(5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("_row", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id int, text string").repartition(3)
+    got = {r.doc_id: r for r in mark(docs, bench, prefix="h_", bits=bits).collect()}
+    for k, (hit, ids) in enumerate(_marks(texts, items)):
+        spans = got[k].h_spans
+        assert {x for a, b in zip(spans[::2], spans[1::2]) for x in range(a, b)} == hit and got[k].h_items == ids and got[k]._row == "clash"
+    assert len(got[len(texts) - 1].h_items) >= 30  # a window of half the items
 
 
 @pytest.mark.parametrize("kept", [
