@@ -83,14 +83,52 @@ def first_header_value(headers: Column | str, name: str) -> Column:
 
 # A group opener is ``display-name:`` (no quote, bracket, comma, ``@`` or ``;``).
 _GROUP_OPEN = r'(^|,)[ \t]*[^:;,<>"@]+:'
-_GROUP = r'[^:;,<>"@]+:([^;]*);'
+_GROUP = r'(?<![^:;,<>"@])[^:;,<>"@]++:([^;]*);'
 _ENTRY = r'(?:"[^"]*+"|<[^>]*+>|[^,"<>]++)++'
 
 
+# Characters that change the state of the comment scan, escapes, and runs between them.
+_LEX = r'''\\.|["()<>\\]|[^"()<>\\]++'''
+
+
+def _comment(depth: int) -> str:
+    """A comment with comments inside, so many levels deep."""
+    inner = r"\\.|[^()\\]++" + (f"|{_comment(depth - 1)}" if depth else "")
+    return rf"\((?:{inner})*+\)"
+
+
+# A quoted string or an angle address (kept), or a comment of a few levels (dropped).
+_KEEP_OR_COMMENT = r'''("(?:\\.|[^"\\])*+"|<[^<>]*+>)|''' + _comment(3)
+
+
+def strip_comments(value: Column) -> Column:
+    """An address header without its comments, which may nest and hold commas, colons or quotes; parentheses in
+    quotes and in angle brackets are no comments. A value whose comment never ends is left as it is.
+
+    One pattern drops the comments of a few levels in linear time. Where parentheses are left, a fold over the lexical
+    parts goes on, with the states quoted, in angle brackets and depth of comment."""
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(False).alias("angle"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        quoted, angle, depth = acc["quoted"], acc["angle"], acc["depth"]
+        plain = ~quoted & ~angle & (depth == 0)
+        inside = depth > 0
+        deeper = F.when(inside & (t == "("), depth + 1).when(inside & (t == ")"), depth - 1).when(plain & (t == "("), 1).otherwise(depth)
+        return F.struct(
+            F.when(inside, False).when(t == '"', ~quoted & ~angle).otherwise(quoted).alias("quoted"),
+            F.when(inside | quoted, angle).when(t == "<", True).when(t == ">", False).otherwise(angle).alias("angle"),
+            deeper.alias("depth"),
+            F.when(inside | (plain & (t == "(")), acc["out"]).otherwise(F.concat(acc["out"], F.array(t))).alias("out"))
+
+    plain = F.regexp_replace(value, _KEEP_OR_COMMENT, "$1")
+    end = lambda acc: F.when(acc["depth"] == 0, F.array_join(acc["out"], ""))
+    return F.when(F.instr(value, "(") == 0, value).when(F.instr(plain, "(") == 0, plain) \
+        .otherwise(F.coalesce(F.aggregate(F.regexp_extract_all(plain, F.lit(_LEX), 0), start, step, end), value))
+
+
 def _parse_entry(entry: Column) -> Column:
     has_angle = F.instr(entry, "<") > 0
-    address = F.when(has_angle, F.regexp_extract(entry, r"<([^>]*)>", 1)) \
-        .otherwise(F.trim(F.regexp_replace(entry, r"\([^)]*\)", "")))
+    address = F.when(has_angle, F.regexp_extract(entry, r"<([^>]*)>", 1)).otherwise(F.trim(entry))
     display = F.when(has_angle, F.trim(F.regexp_replace(
         F.regexp_extract(entry, r"^([^<]*)<", 1), r'"', ""))).otherwise(F.lit(""))
     return F.struct(F.trim(display).alias("display"), F.trim(address).alias("address"))
@@ -102,7 +140,7 @@ def parse_addresses(value: Column | str) -> Column:
     Group syntax ``name: a, b;`` is flattened in place (its members become entries), so the
     first entry is the first mailbox whether or not it sits in a group.
     """
-    v = F.coalesce(_c(value), F.lit(""))
+    v = strip_comments(F.coalesce(_c(value), F.lit("")))
     flat = F.regexp_replace(F.regexp_replace(v, _GROUP_OPEN, "$1"), ";", ",")
     entries = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(_ENTRY), 0), F.trim),
                        lambda e: e != "")
@@ -117,7 +155,7 @@ def encode_address(addr: Column) -> Column:
 
 def group_members(value: Column | str) -> Column:
     """encoded members of every group in an address header, upper-cased, one term each."""
-    v = F.coalesce(_c(value), F.lit(""))
+    v = strip_comments(F.coalesce(_c(value), F.lit("")))
     lists = F.regexp_extract_all(v, F.lit(_GROUP), 1)
     members = F.flatten(F.transform(lists, lambda lst: F.regexp_extract_all(lst, F.lit(_ENTRY), 0)))
     parsed = F.transform(F.filter(F.transform(members, F.trim), lambda m: m != ""), _parse_entry)

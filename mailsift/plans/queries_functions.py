@@ -75,11 +75,16 @@ for _name, _fields in [("F5_index_full_header", ["HEADERS"]), ("F6_index_any_hea
 @register("F8_parse_addresses", O.with_(O.CONV_H) + """
 SELECT mailbox_id, uid, CAST(0 AS BIGINT) AS pos, 'desk' AS display, 'desk@example.org' AS address FROM conv_h WHERE h_cc IS NOT NULL
 UNION ALL
-SELECT mailbox_id, uid, 1, 'audit', 'audit@example.org' FROM conv_h WHERE h_cc IS NOT NULL""")
+SELECT mailbox_id, uid, 1, 'audit', 'audit@example.org' FROM conv_h WHERE h_cc IS NOT NULL
+UNION ALL SELECT mailbox_id, uid, 2, '', role || '@example.net' FROM conv_h WHERE h_cc IS NOT NULL
+UNION ALL SELECT mailbox_id, uid, 3, 'Doe, (J)', 'doe' || mailbox_id || '@example.net' FROM conv_h WHERE h_cc IS NOT NULL""")
 def f8(spark, sf):
-    """F8: Cc address list -> (display, address) entries."""
+    """F8: Cc address list, with comments and quotes that hold commas, -> (display, address) entries."""
     conv = mail_conv(spark, sf)
-    addrs = H.parse_addresses(H.first_header_value("headers", "Cc"))
+    role = F.regexp_extract(H.first_header_value("headers", "From"), "^([^ ]*)", 1)
+    value = F.concat(H.first_header_value("headers", "Cc"), F.lit(", "), role, F.lit('@example.net (the, one (of "many: a; b)), "Doe, (J)" (x) <doe'),
+                     F.col("mailbox_id"), F.lit("@example.net>"))
+    addrs = H.parse_addresses(value)
     return conv.select("mailbox_id", "uid", F.posexplode(addrs).alias("pos", "a")) \
         .select("mailbox_id", "uid", F.col("pos").cast("bigint").alias("pos"),
                 F.col("a.display").alias("display"), F.col("a.address").alias("address"))

@@ -7,7 +7,7 @@ from mailsift.functions.headers import base_subject, group_members, header_date,
 from mailsift.functions.text import tokenize, tokenize_py
 
 ALPHABET = ("abcxyzABCXYZ0189 _.-'’:·@/%+<>\",;()\t\r\néèçàüößñÆœﬁİıǅΐ東京λΣς"
-            "hHtTpPsS")
+            "hHtTpPsS漢字かカテー\u3099한")
 
 texts = st.text(alphabet=ALPHABET, max_size=60)
 
@@ -60,3 +60,39 @@ def test_header_date(spark):
 def test_group_members_with_quoted_commas(spark):
     df = spark.createDataFrame([('team: "Doe, John" <j@x.org>, b@y.org; other: c@z.org;',)], "v string")
     assert df.select(group_members("v")).first()[0] == ["DOE, JOHN <J@X.ORG>", "B@Y.ORG", "C@Z.ORG"]
+
+
+def test_comments_in_address_lists(spark):
+    cases = {
+        "a@x.org (Comment, with comma)": [("", "a@x.org")],
+        "a@x.org (one (two, three) four), b@y.org": [("", "a@x.org"), ("", "b@y.org")],
+        '"Doe, (John)" <j@x.org> (x, y)': [("Doe, (John)", "j@x.org")],
+        "Foo (bar: a; b) <a@b.org>, c@d.org": [("Foo", "a@b.org"), ("", "c@d.org")],
+        'a@x.org (it is "quoted) , b@y.org': [("", "a@x.org"), ("", "b@y.org")],
+        "a@x.org (escaped \\) still, in), b@y.org": [("", "a@x.org"), ("", "b@y.org")],
+        "team: a@x.org (p, q), B <b@y.org>; c@z.org": [("", "a@x.org"), ("B", "b@y.org"), ("", "c@z.org")],
+        "<a(b)@x.org>": [("", "a(b)@x.org")], "": [], "(only a comment)": [],
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    got = {r.v: [(a.display, a.address) for a in r.a] for r in df.select("v", parse_addresses("v").alias("a")).collect()}
+    assert got == cases
+    df = spark.createDataFrame([("team: a@x.org (p, q; r), B <b@y.org>;",), ("x" * 50_000 + "(" * 50_000,), ("a@b.org" + " (c, d)" * 10_000,)], "v string")
+    rows = df.select(group_members("v").alias("g"), parse_addresses("v").alias("a")).collect()
+    assert rows[0].g == ["A@X.ORG", "B <B@Y.ORG>"] and [x.address for x in rows[2].a] == ["a@b.org"]
+
+
+def test_scripts_and_urls(spark):
+    cases = {
+        "漢字テスト": ["漢", "字", "テスト"], "ひらがな": ["ひ", "ら", "が", "な"], "カタカナー x": ["カタカナー", "X"], "ABC漢DEFテ1": ["ABC", "漢", "DEF", "テ", "1"],
+        "3月 か\u3099": ["3", "月", "か\u3099"], "한국어 text": ["한국어", "TEXT"], "ไทย": ["ไทย"],
+        "(see http://x.org/a).": ["SEE", "HTTP://X.ORG/A"], "http://x.org/?q=1&b=2, then": ["HTTP://X.ORG/?Q=1&B=2", "THEN"], "https://x.org/a/": ["HTTPS://X.ORG/A/"],
+        "http://x.org/漢": ["HTTP://X.ORG/", "漢"], "http://...": ["HTTP"], "mail a.b@c.org!": ["MAIL", "A.B@C.ORG"],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.k for r in df.select("t", tokenize("t").alias("k")).collect()} == cases
+    assert {t: tokenize_py(t) for t in cases} == cases
+    import duckdb
+    from mailsift.functions.text import duckdb_token_sql
+    con = duckdb.connect()
+    for t, want in cases.items():
+        assert con.execute(f"SELECT {duckdb_token_sql('x')} FROM (SELECT ? AS x)", [t]).fetchone()[0] == want, t
