@@ -11,8 +11,7 @@ Plan (no step evaluates a substring test per posting):
    against the *term dictionary* (distinct terms per field), not against postings:
    - qterms of 3+ characters through a trigram index of the dictionary: the rarest trigram of
      each qterm is an equi-join key, candidates are then verified with `contains` (exact);
-   - shorter qterms by `contains` on the dictionary of their field (their number is
-     small: at most the distinct 1-2 character strings).
+   - shorter qterms by an equi-join with the 1- and 2-character pieces of the terms.
 2. matching terms are equi-joined back to postings on (field, term);
 3. hits are tagged with (query_id, clause_id) by an equi-join on (field, qterm);
 4. ``match='any'``: distinct (query_id, mailbox_id, uid); ``match='all'``: count of distinct
@@ -109,9 +108,8 @@ def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | Non
     ``qterms`` holds distinct (field, qterm) rows; the output then has no duplicates.
 
     Query terms of 3+ characters: the rarest trigram of the qterm is an equi-join key into the
-    gram index, candidates are verified with `contains`. Shorter ones: `contains` over the
-    dictionary of the field (their count is bounded by the 1-2 character strings). Spark picks
-    broadcasts by its own byte threshold.
+    gram index, candidates are verified with `contains`. Shorter ones: an equi-join with the terms'
+    1- and 2-character pieces. Spark picks broadcasts by its own byte threshold.
     """
     d = dictionary.select("field", "term")
     grams = grams if grams is not None else gram_index(d)
@@ -123,9 +121,12 @@ def match_terms(dictionary: DataFrame, qterms: DataFrame, grams: DataFrame | Non
     long_hits = grams.join(pick, ["field", "gram"]) \
         .where(F.col("term").contains(F.col("qterm"))).select("field", "term", "qterm")
 
-    sq = qterms.where(F.length("qterm") < GRAM).select("field", "qterm")
-    short_hits = d.join(sq, (d["field"] == sq["field"]) & d["term"].contains(sq["qterm"])) \
-        .select(d["field"], d["term"], sq["qterm"])
+    # shorter ones: an equi-join with the 1- and 2-character pieces of the terms; the empty one is in every term
+    short = qterms.where(F.length("qterm").between(1, GRAM - 1)).select("field", "qterm")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.array(*[F.substring(F.col("term"), i, n) for n in range(1, GRAM)])))
+    short_hits = d.where("term != ''").select("field", "term", F.explode(F.array_distinct(pieces)).alias("qterm")).join(short, ["field", "qterm"]) \
+        .select("field", "term", "qterm")
+    short_hits = short_hits.unionByName(d.join(qterms.where("qterm = ''").select("field", "qterm"), "field").select("field", "term", "qterm"))
     # (field, term, qterm) is already unique: a term has one row per distinct trigram and each
     # long qterm picks one trigram; short hits pair unique dictionary terms with unique qterms
     return long_hits.unionByName(short_hits)

@@ -174,6 +174,7 @@ def _leaf_terms(spark, leaves, dictionary, grams, gram_stats) -> DataFrame:
     """(field, term, leaf) for every dictionary term a posting leaf matches (B2 rewrite):
     substring tests run on the vocabulary, not on every posting."""
     from mailsift.operators.batch import match_terms
+    from mailsift.operators.patterns import matching_terms
     plain, regex, exists = [], [], []
     for i, leaf in enumerate(leaves):
         for f in leaf.fields:
@@ -188,7 +189,7 @@ def _leaf_terms(spark, leaves, dictionary, grams, gram_stats) -> DataFrame:
         tm = match_terms(dictionary, q.select("field", "qterm").distinct(), grams, gram_stats)
         parts.append(tm.join(F.broadcast(q), ["field", "qterm"]).select("field", "term", "leaf"))
     for f, t, i in regex:
-        parts.append(d.where((F.col("field") == f) & F.col("term").rlike(t)).select("field", "term", F.lit(i).alias("leaf")))
+        parts.append(matching_terms(d, grams, f, t).select("field", "term", F.lit(i).alias("leaf")))
     for f, i in exists:
         parts.append(d.where(F.col("field") == f).select("field", "term", F.lit(i).alias("leaf")))
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
