@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,17 @@ TOP_GRAMS = 8_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.1
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters with their marks; numeric signs are none.
+_WORD = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+_PLAIN = re.compile("[A-Za-z]+")
 #: Words after which more of a text makes the score no surer.
 _SURE = 20
 
 
+def words_of(text: str) -> list[str]:
+    return (_PLAIN if text.isascii() else _WORD).findall(text.lower())
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"<{word}>" if n > 1 else word
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
@@ -57,7 +64,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in parts(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), strings(batch, "text")):
-                found.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, found.values())) > 300_000:
                 yield from out()
         yield from out()
@@ -145,7 +152,7 @@ class Model:
         return self.__dict__ | {"scores": None}
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         if self.scores is None:
