@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from mailsift.llm import op3_packing, op5_simhash, op6_toxicity, op7_lm
+from mailsift.llm import op2_langid, op3_packing, op5_simhash, op6_toxicity, op7_lm, op8_quality
 from mailsift.llm.elias_fano import EliasFano
 from mailsift.llm.op4_html import Weights, count_places, extract, region
 from mailsift.llm.op9_decontamination import mark
@@ -390,3 +390,17 @@ def test_deep_nesting_is_linear(page):
     begin = time.process_time()
     extract(page, Weights({}))
     assert time.process_time() - begin < 5
+
+
+def test_letters_and_marks_make_words():
+    assert op2_langid.words_of("½ ² Ⅷ ① 12_3 !") == [] and op2_langid.words_of("12 + 3") == []
+    assert op2_langid.words_of("नमस्ते Été2x a1b") == ["नमस्ते", "été", "x", "a", "b"]
+    assert op2_langid.words_of("Plain, words") == ["plain", "words"]
+
+
+def test_rules_come_in_a_repeatable_order(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    orders = [[r.name for r in op8_quality.order_rules(docs, op8_quality.RULES)] for _ in range(2)]
+    assert orders[0] == orders[1]
+    rejected = {r.rejected_by for r in op8_quality.cascade(docs, list(op8_quality.RULES)).select("rejected_by").distinct().collect()}
+    assert orders[0][0] in rejected
