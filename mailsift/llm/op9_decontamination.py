@@ -5,7 +5,7 @@ window). A document holds a window if its words stand there one after the other.
 containment of similarity 1, so one prefix token is enough for each window: the word that the
 fewest documents hold, counted over all documents.
 
-Neither side is sent whole anywhere. What tasks get are three bit arrays of ``2 ** BITS`` bits, 16 MB each whatever the
+Neither side is sent whole anywhere. What tasks get are three bit arrays of ``2 ** BITS`` bits, 4 MB each whatever the
 benchmark's size: of the windows' words (to count them), of their prefix tokens, and of
 (window, place of its token). One pass over the documents finds the prefix tokens; for each place
 that a window has its token at, the positional bound (the window begins and ends inside the text) and the
@@ -36,7 +36,7 @@ from mailsift.llm.common import parts, staged, table, utf8
 
 WINDOW = 10
 #: Size of a bit array, as a power of two.
-BITS = 27
+BITS = 25
 #: Word hashes that a process keeps.
 _KNOWN = 1 << 19
 #: Odd multiplier of the rolling hash, and its inverse modulo 2 ** 64.
@@ -75,7 +75,7 @@ def rolling(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def place_bit(key: np.ndarray, before: np.ndarray | int, bits: int) -> np.ndarray:
     """Bit of a window whose token stands ``before`` words after its start."""
-    mixed = (key ^ (np.asarray(before).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(_BASE)
+    mixed = (key ^ (np.atleast_1d(before).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(_BASE)
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -214,7 +214,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     windows = item_windows.select("window").distinct()
     words = windows.select(F.explode(F.split("window", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("at")).distinct()
     send = spark.sparkContext.broadcast  # arrays of 2 ** bits bits
-    counts = staged(word_counts(docs, text_col, send(bit_array(words, "at", bits)), bits), "word-counts")
+    wanted = send(bit_array(words, "at", bits))
+    counts = staged(word_counts(docs, text_col, wanted, bits), "word-counts")
+    wanted.unpersist()
     keyed = staged(with_prefix(windows, counts).mapInArrow(_keyed(bits), "window string, n int, before int, key long, token_bit long, place_bit long"), "windows")
     shapes = [(r.before, r.n) for r in keyed.select("before", "n").distinct().collect()]  # window * (window + 1) / 2 at most
 
@@ -225,8 +227,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     rows = rows.withColumn(text, F.col(text).cast("string")) if dict(rows.dtypes)[text] != "string" else rows
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
     schema = f"{fields}, _row long, _words long, _found array<struct<start:int,n:int,key:long,window:string>>"
-    found = staged(rows.select(*dict.fromkeys([*kept, text])).mapInArrow(
-        _candidates(kept, text, send(bit_array(keyed, "token_bit", bits)), send(bit_array(keyed, "place_bit", bits)), shapes, bits), schema), "found")
+    tokens, places = send(bit_array(keyed, "token_bit", bits)), send(bit_array(keyed, "place_bit", bits))
+    found = staged(rows.select(*dict.fromkeys([*kept, text])).mapInArrow(_candidates(kept, text, tokens, places, shapes, bits), schema), "found")
+    tokens.unpersist()
+    places.unpersist()
     hits = staged(found.select("_row", F.explode("_found").alias("x")).select("_row", "x.*")
                   .join(keyed.select("key", "window"), ["key", "window"]).select("_row", "start", "n", "window"), "hits")
     spans = hits.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("hits")).mapInArrow(_spans, "_row long, _spans array<long>")

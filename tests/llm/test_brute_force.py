@@ -345,7 +345,7 @@ def _marks(texts, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("bits", [27, 6])
+@pytest.mark.parametrize("bits", [25, 6])
 def test_marks_by_brute_force(spark, bits):
     """Also with bit arrays so small that every bit is set: the join alone decides then."""
     dice = np.random.default_rng(4)
