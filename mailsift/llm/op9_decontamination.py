@@ -91,7 +91,7 @@ def bit_array(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     """The bits of a column of places, put together by Spark in pieces of 4 KB."""
     out = np.zeros(1 << bits - 3, np.uint8)
     pieces = rows.groupBy(F.bitmap_bucket_number(column).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("bits"))
-    for r in pieces.toLocalIterator():  # 2 ** BITS bits at most; bucket 0 holds place 0 alone, others end at a multiple of 32,768
+    for r in pieces.collect():  # 2 ** bits bits at most, 4 MB; bucket 0 holds place 0 alone, others end at a multiple of 32,768
         set_ = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
         at = np.flatnonzero(set_) + (r.piece - 1) * 32768 + 1 if r.piece else np.zeros(1, np.int64)
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
