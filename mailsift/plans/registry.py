@@ -279,5 +279,6 @@ def t6(spark, sf):
 
 # the other query modules register themselves on import
 from mailsift.plans import queries_index  # noqa: E402,F401
+from mailsift.plans import queries_bitmaps  # noqa: E402,F401
 from mailsift.plans import queries_functions  # noqa: E402,F401
 from mailsift.plans import queries_stream  # noqa: E402,F401
