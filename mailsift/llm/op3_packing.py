@@ -8,10 +8,15 @@ by document, so a repeated document cannot fill a block.
 Each block is packed by ``ISLANDS`` islands, each a task of its own with its own seed. An
 individual is a grouping of pieces into bins. Crossover copies whole well-filled bins of one
 parent into the other, removes the bins that now hold a piece twice and best-fits the pieces
-that lost their bin; mutation empties a few ill-filled bins the same way. After the first epoch
-the islands of a block send their elite to the next island, which goes on from both. Evolution
-ends early when a grouping reaches the least possible number of bins. What travels is one row
-for each block and island: lengths and bin numbers, no text or ids.
+that lost their bin; mutation empties a few ill-filled bins the same way. After every epoch but
+the last the islands of a block send their elite to the next island, which goes on from both.
+Evolution ends early when a grouping reaches the least possible number of bins. What travels is
+one row for each block and island: lengths and bin numbers, no text or ids.
+
+The bins that a level leaves ill-filled (``ILL`` of their capacity free, or more) are dealt,
+whole, into new blocks and packed again by the same islands, starting from the bins as they are,
+so a level never adds a bin. Levels end when the ill-filled bins of all blocks fitted into one
+block, or when a level has saved no bin; the number of bins that go up falls with each.
 
 Null or empty text: a piece of the end id alone. Null and repeated ids: pieces of their own. An
 empty table: no pieces. Columns other than the id and the text are not read.
@@ -22,6 +27,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,9 +40,11 @@ from mailsift.llm.tokens import END_ID, default_path, encoder
 
 CAPACITY = 2048
 BLOCK = 8192
-ISLANDS = 2
+ISLANDS = 4
+EPOCHS = 3
 POPULATION = 4
 GENERATIONS = 6
+ILL = 1 / 32
 _END = np.array([END_ID], "<u4").tobytes()
 
 
@@ -149,6 +157,8 @@ def evolve(lengths: list[int], capacity: int, seed: int, migrants: list[list[tup
     items = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     group = list(migrants)
     score = lambda g: fitness(g, capacity)
+    if group and len(max(group, key=score)) <= least:
+        return max(group, key=score)
     while len(group) < population:
         # the first newcomer takes pieces by length, the others nearly so
         order = items if not group else sorted(items, key=lambda i: -lengths[i] * dice.uniform(0.9, 1.1))
@@ -183,42 +193,41 @@ def _grouping(numbers, lengths, capacity) -> list[tuple[int, list[int]]]:
     return [(capacity - sum(lengths[i] for i in items), items) for items in bins.values()]
 
 
-def _epoch(capacity: int):
+def _epoch(capacity: int, epoch: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 lengths = r.lengths.tolist()
                 seeds = [_grouping(x, lengths, capacity) for x in (r.elite, r.migrant) if x is not None]
-                best = evolve(lengths, capacity, hash((r.block, r.island, len(seeds))), seeds)
+                best = evolve(lengths, capacity, hash((r.block, r.island, epoch)), seeds)
                 out.append((r.block, r.island, r.lengths, _numbers(best, len(lengths)), fitness(best, capacity)))
             yield pd.DataFrame(out, columns=["block", "island", "lengths", "elite", "fitness"])
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS) -> DataFrame:
-    """``pieces`` (any columns, ``length`` among them) with sequence_id and offset."""
-    spark = pieces.sparkSession
-    columns = pieces.columns
-    pieces = staged(pieces, "pieces")
-    n = pieces.count()
-    blocks = max(1, -(-n // block))
-    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    dealt = pieces.select(F.pmod(place, F.lit(blocks)).alias("block"), F.struct(*columns).alias("piece"))
-    # a block has about `block` pieces whatever the data, so its list is bounded
-    lists = staged(dealt.groupBy("block").agg(F.collect_list("piece").alias("pieces")), "blocks")
-    tasks = max(1, min(blocks * islands, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    schema = "block long, island int, lengths array<int>, elite array<int>, fitness double"
-    start = lists.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
-                         F.transform("pieces", lambda p: p["length"].cast("int")).alias("lengths"),
-                         F.lit(None).cast("array<int>").alias("elite"), F.lit(None).cast("array<int>").alias("migrant"))
-    first = staged(start.repartition(tasks, "block", "island").mapInPandas(_epoch(capacity), schema), "islands")
-    sent = first.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
-    second = first.join(sent, ["block", "island"]).select("block", "island", "lengths", "elite", "migrant") \
-        .repartition(tasks, "block", "island").mapInPandas(_epoch(capacity), schema)
-    best = second.groupBy("block").agg(F.max_by("elite", F.struct("fitness", -F.col("island"))).alias("bins"))
-
+def _grouped(lists: DataFrame, capacity: int, islands: int) -> DataFrame:
+    """``lists`` (block, pieces, elite) to the best bins: block, bins (a number for each piece)."""
+    spark = lists.sparkSession
+    tasks = max(1, min(lists.count() * islands, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    schema = "block long, island int, lengths array<int>, elite array<long>, fitness double"
+    turn = lists.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
+                        F.transform("pieces", lambda p: p["length"].cast("int")).alias("lengths"),
+                        "elite", F.lit(None).cast("array<long>").alias("migrant"))
+    for epoch in range(EPOCHS):
+        ended = turn.repartition(tasks, "block", "island").mapInPandas(_epoch(capacity, epoch), schema)
+        if epoch + 1 < EPOCHS:
+            ended = staged(ended, "islands")
+            sent = ended.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
+            turn = ended.join(sent, ["block", "island"]).select("block", "island", "lengths", "elite", "migrant")
+    return ended.groupBy("block").agg(F.max_by("elite", F.struct("fitness", -F.col("island"))).alias("bins"))
+
+
+def pack_level(lists: DataFrame, columns: list[str], level: int, capacity: int, islands: int) -> DataFrame:
+    """The pieces of ``lists`` (block, pieces, elite) with sequence_id, offset and ``room``, what
+    their bin has left."""
     def place_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
         for batch in batches:
             for b, bins, lengths in zip(*(batch.column(c).to_pylist() for c in ("block", "bins", "lengths"))):
                 used: dict[int, int] = {}
@@ -226,15 +235,46 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
                 for k, n in zip(bins, lengths):
                     offsets.append(used.get(k, 0))
                     used[k] = offsets[-1] + n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b]), pa.array([offsets], pa.list_(pa.int64())), pa.array([bins], pa.list_(pa.int64()))],
-                    ["block", "offsets", "bins"])
+                rooms = [capacity - used[k] for k in bins]
+                yield pa.RecordBatch.from_arrays([pa.array([b]), *(pa.array([x], kind) for x in (offsets, bins, rooms))],
+                                                 ["block", "offsets", "bins", "rooms"])
 
+    best = _grouped(lists, capacity, islands)
     placed = best.join(lists.select("block", F.transform("pieces", lambda p: p["length"]).alias("lengths")), "block") \
-        .select("block", "bins", "lengths").mapInArrow(place_pieces, "block long, offsets array<long>, bins array<long>")
-    rows = lists.join(placed, "block").select("block", F.explode(F.arrays_zip("pieces", "bins", "offsets")).alias("r"))
-    return rows.select(*[F.col("r.pieces")[c].alias(c) for c in columns],
-                       (F.col("block") * F.lit(1 << 32) + F.col("r.bins")).alias("sequence_id"), F.col("r.offsets").alias("offset"))
+        .select("block", "bins", "lengths") \
+        .mapInArrow(place_pieces, "block long, offsets array<long>, bins array<long>, rooms array<long>")
+    rows = lists.join(placed, "block").select("block", F.explode(F.arrays_zip("pieces", "bins", "offsets", "rooms")).alias("r"))
+    number = F.lit(level << 58) + F.col("block") * F.lit(1 << 24) + F.col("r.bins")
+    return rows.select(F.struct(*[F.col("r.pieces")[c].alias(c) for c in columns]).alias("piece"),
+                       number.alias("sequence_id"), F.col("r.offsets").alias("offset"), F.col("r.rooms").alias("room"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS) -> DataFrame:
+    """``pieces`` (any columns, ``length`` among them) with sequence_id and offset."""
+    columns = pieces.columns
+    pieces = staged(pieces, "pieces")
+    blocks = max(1, -(-pieces.count() // block))
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    dealt = pieces.select(F.pmod(place, F.lit(blocks)).alias("block"), F.struct(*columns).alias("piece"))
+    # a block has about `block` pieces whatever the data, so its list is bounded
+    lists = dealt.groupBy("block").agg(F.collect_list("piece").alias("pieces")).withColumn("elite", F.lit(None).cast("array<long>"))
+    done, level, least = [], 0, int(capacity * ILL)
+    while True:
+        rows = staged(pack_level(staged(lists, "blocks"), columns, level, capacity, islands), "packed")
+        ill = rows.where(F.col("room") >= least)
+        bins = F.count(F.when(F.col("offset") == 0, 1))
+        n, now = ill.agg(F.count(F.lit(1)), bins).first()
+        saved = level == 0 or rows.agg(bins).first()[0] < before  # noqa: F821
+        if blocks == 1 or now < 2 or not saved:
+            done.append(rows)
+            break
+        done.append(rows.where(F.col("room") < least))
+        blocks, level, before = max(1, -(-n // block)), level + 1, now
+        # a bin goes to one block as a whole: the bins as they are start the evolution
+        lists = ill.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(blocks)).alias("block")) \
+            .agg(F.collect_list(F.struct("piece", "sequence_id")).alias("r")) \
+            .select("block", F.col("r.piece").alias("pieces"), F.col("r.sequence_id").alias("elite"))
+    return reduce(DataFrame.unionByName, done).select("piece.*", "sequence_id", "offset")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,14 +99,35 @@ def test_packing(spark, odd, where):
     assert len(bins) <= least + 1 + least // 50
 
 
-def test_genetic_grouping_beats_or_equals_best_fit():
+def test_genetic_grouping_beats_best_fit():
     dice = np.random.default_rng(1)
     lengths = dice.integers(300, 1100, 400).tolist()
     first = op3_packing.best_fit(sorted(range(400), key=lambda i: -lengths[i]), lengths, op3_packing.Bins(2048))
     best = op3_packing.evolve(lengths, 2048, 1, [], generations=10)
     assert sorted(i for _, items in best for i in items) == list(range(400))
     assert all(sum(lengths[i] for i in items) + room == 2048 for room, items in best)
-    assert len(best) <= len(first)
+    assert len(best) < len(first)
+    again = op3_packing.evolve(lengths, 2048, 2, [best])
+    assert len(again) <= len(best)
+
+
+@pytest.mark.parametrize("low, high", [(200, 700), (1, 300), (1100, 1200)])
+def test_levels_merge_the_ill_filled_bins_of_all_blocks(spark, low, high):
+    lengths = np.random.default_rng(2).integers(low, high, 1200).tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    rows = op3_packing.pack(pieces, block=60).collect()
+    assert sorted((r.id, r.length) for r in rows) == list(enumerate(lengths))
+    bins = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert bins.get(r.sequence_id, 0) == r.offset
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 2048
+    if low > 1024:
+        assert len(bins) == 1200  # nothing fits together, and the levels end
+        return
+    # blocks of 60 alone cannot do with less than the sum of their bounds; levels go below it
+    blocks = [lengths[k:k + 60] for k in range(0, 1200, 60)]
+    assert len(bins) < sum(-(-sum(b) // 2048) for b in blocks)
 
 
 def _simhash(text):
