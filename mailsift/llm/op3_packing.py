@@ -198,8 +198,14 @@ def _epoch(capacity: int, epoch: int):
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
+                given = [np.unique(x, return_inverse=True) for x in (r.elite, r.migrant) if x is not None]
+                least = -(-int(r.lengths.sum()) // capacity)
+                ended = [numbers for bins, numbers in given if len(bins) <= least]
+                if ended:  # nothing better exists, so it goes on as it is
+                    out.append((r.block, r.island, r.lengths, ended[0].tolist(), 1.0))
+                    continue
                 lengths = r.lengths.tolist()
-                seeds = [_grouping(x, lengths, capacity) for x in (r.elite, r.migrant) if x is not None]
+                seeds = [_grouping(numbers, lengths, capacity) for _, numbers in given]
                 best = evolve(lengths, capacity, hash((r.block, r.island, epoch)), seeds)
                 out.append((r.block, r.island, r.lengths, _numbers(best, len(lengths)), fitness(best, capacity)))
             yield pd.DataFrame(out, columns=["block", "island", "lengths", "elite", "fitness"])
