@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.flags import normalize_flags
 from mailsift.operators.batch import gram_index, gram_statistics
-from mailsift.operators.ingest import Index, build_postings, build_state, term_dictionary
+from mailsift.operators.ingest import Index, blooms, build_postings, build_state, term_dictionary
 from mailsift.operators.maintain import FOLD_COLS, KEYS, fold_changes, is_live, merge_folds, range_hits
 
 STATE_COLS = ["internal_date", "header_date", "size", "first_from", "first_to", "first_cc",
@@ -141,7 +141,7 @@ class LogIndex:
             batch = max([base, *batches]) + 1
         self._mark("batches", batch, False)
         batch_postings(changes).sortWithinPartitions("field", "mailbox_id", "term") \
-            .write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/postings/v={batch}")
+            .write.mode("overwrite").options(**blooms("term", "uid")).partitionBy("field").parquet(f"{self.root}/postings/v={batch}")
         batch_state(changes).write.mode("overwrite").parquet(f"{self.root}/state/v={batch}")
         self._write_dictionary("", batch)
         self._mark("batches", batch, True)
@@ -152,7 +152,7 @@ class LogIndex:
         read = lambda table: self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{place}{table}/v={number}")
         term_dictionary(read("postings")).write.mode("overwrite").parquet(f"{self.root}/{place}dictionary/v={number}")
         gram_index(read("dictionary")).select("field", "term", "gram").sortWithinPartitions("field", "gram") \
-            .write.mode("overwrite").parquet(f"{self.root}/{place}grams/v={number}")
+            .write.mode("overwrite").options(**blooms("gram")).parquet(f"{self.root}/{place}grams/v={number}")
 
     def update_flags(self, ranges: DataFrame) -> int:
         """Replace the flags of all live messages in (mailbox_id, lo, hi, seq, flags) ranges."""
@@ -164,15 +164,17 @@ class LogIndex:
 
     def compact(self) -> None:
         """Fold the base and all batches into a new base; folded rows of dead keys are kept, so
-        that a late add of a deleted message stays dead."""
+        that a late add of a deleted message stays dead. Postings and folded rows are written in
+        ranges of (mailbox_id, uid), so a message lies in one file of a field."""
         base, batches = self._parts()
         if not batches:
             return
         postings, state = self.postings(with_seq=True), self.folded()
         self._mark("bases", batches[-1], False)
-        postings.sortWithinPartitions("field", "mailbox_id", "term") \
-            .write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/base/postings/v={batches[-1]}")
-        state.write.mode("overwrite").parquet(f"{self.root}/base/state/v={batches[-1]}")
+        postings.repartitionByRange("mailbox_id", "uid").sortWithinPartitions("field", "mailbox_id", "term") \
+            .write.mode("overwrite").options(**blooms("term", "uid")).partitionBy("field") \
+            .parquet(f"{self.root}/base/postings/v={batches[-1]}")
+        state.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(f"{self.root}/base/state/v={batches[-1]}")
         self._write_dictionary("base/", batches[-1])
         self._mark("bases", batches[-1], True)
 

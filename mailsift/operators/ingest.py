@@ -127,11 +127,19 @@ def build_state(messages: DataFrame, keep: tuple = ()) -> DataFrame:
     )
 
 
+def blooms(*columns: str) -> dict[str, str]:
+    """Write options for Parquet Bloom filters on ``columns``, each as large as its row group's
+    distinct values ask for. An equality on one of them then skips row groups whose min and max
+    enclose the value (a term in files sorted by mailbox, a uid in files sorted by term)."""
+    return {**{f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}, "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def write_postings(postings: DataFrame, path: str, cluster_partitions: int | None = None) -> str:
     """Write postings partitioned by field, sorted by (mailbox_id, term) inside files.
 
-    Sorting gives Parquet row groups tight min/max on mailbox_id and term, so a mailbox or
-    term equality skips most row groups. ``cluster_partitions`` range-partitions by
+    Sorting gives Parquet row groups tight min/max on mailbox_id and term, and Bloom filters on
+    term and uid skip the row groups that hold neither, so one message's or one term's postings
+    are read from the files that have them. ``cluster_partitions`` range-partitions by
     (mailbox_id, uid) first, so one mailbox lands in few files; uid in the key splits a hot
     mailbox over several tasks. Writes a new folder; never overwrites what it reads.
     """
@@ -139,7 +147,7 @@ def write_postings(postings: DataFrame, path: str, cluster_partitions: int | Non
     if cluster_partitions:
         df = df.repartitionByRange(cluster_partitions, "mailbox_id", "uid")
     (df.sortWithinPartitions("field", "mailbox_id", "term")
-       .write.mode("errorifexists").partitionBy("field").parquet(path))
+       .write.mode("errorifexists").options(**blooms("term", "uid")).partitionBy("field").parquet(path))
     return path
 
 
@@ -185,9 +193,9 @@ def rebuild_index(messages: DataFrame, path: str, dedup: str = "message",
     write_postings(build_postings(messages, dedup), f"{path}/postings", cluster_partitions)
     write_state(build_state(messages), f"{path}/state", cluster_partitions)
     term_dictionary(spark.read.parquet(f"{path}/postings")).write.mode("errorifexists") \
-        .parquet(f"{path}/dictionary")
-    gram_index(spark.read.parquet(f"{path}/dictionary")).write.mode("errorifexists") \
-        .partitionBy("field").parquet(f"{path}/grams")
+        .options(**blooms("term")).parquet(f"{path}/dictionary")
+    gram_index(spark.read.parquet(f"{path}/dictionary")).sortWithinPartitions("field", "gram") \
+        .write.mode("errorifexists").options(**blooms("gram")).partitionBy("field").parquet(f"{path}/grams")
     gram_statistics(spark.read.parquet(f"{path}/grams")).write.mode("errorifexists") \
         .parquet(f"{path}/gram_stats")
     return path

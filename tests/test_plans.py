@@ -63,3 +63,40 @@ def test_conjunction_filters_the_state_scan_and_positive_trees_skip_it(spark):
     assert "Join" not in plan_text(positive)
     one, two = ({tuple(r) for r in ix.search("3", [t]).collect()} for t in terms)
     assert {tuple(r) for r in positive.collect()} == one & two
+
+
+def rows_scanned(df):
+    """Rows that the Parquet scans of ``df`` hand on after skipping row groups."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_message_and_a_term_are_read_from_the_files_that_hold_them(spark):
+    messages = mail_docs(spark, SF001, with_flags=False).withColumn("mailbox_id", F.lit("hot"))
+    path = write_postings(build_postings(messages.repartitionByRange(8, "uid")), new_scratch_path(spark, "blooms"))
+    body = spark.read.parquet(path).where("field = 'BODY'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # with it the scans are inside query stages
+    try:
+        total = body.count()
+        uid = body.agg(F.max("uid")).first()[0] // 2
+        term = body.groupBy("term").count().orderBy("count", "term").first()[0]
+        message, one, none = body.where(F.col("uid") == uid), body.where(F.col("term") == term), body.where("term = 'NOSUCHTERM'")
+        assert 0 < message.count() and rows_scanned(message) < total / 4
+        assert 0 < one.count() and rows_scanned(one) < total / 4
+        assert rows_scanned(none) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_compacting_clusters_the_postings(spark):
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, SF001, with_flags=False)
+    for k in range(3):
+        ix.append(as_adds(docs.where(F.col("uid") % 3 == k).repartition(4), k))
+    before = {tuple(r) for r in ix.postings().collect()}
+    ix.compact()
+    after = ix.postings()
+    assert {tuple(r) for r in after.collect()} == before
+    files = after.where("field = 'BODY'").select("mailbox_id", "uid", F.input_file_name().alias("f")).distinct()
+    assert files.count() == files.select("mailbox_id", "uid").distinct().count()
