@@ -16,7 +16,7 @@ from mailsift.plans.registry import flags_str, register
 from mailsift.schema import CHANGES, MESSAGES
 from mailsift.session import new_scratch_path
 from mailsift.sources.adapters import mail_changes, mail_conv, read_table
-from mailsift.streaming.stream import read_state, stage_files, stream_changes, stream_dedup, stream_index, stream_state
+from mailsift.streaming.stream import read_state, stage_files, stream_changes, stream_dedup, stream_dedup_sessions, stream_index, stream_state
 
 
 @register("R1_stream_index", O.with_(O.CONV_POSTINGS) + "SELECT mailbox_id, field, term, uid FROM conv_postings")
@@ -57,3 +57,19 @@ def r3(spark, sf):
     src = stage_files(adds, new_scratch_path(spark, "in-adds"))
     sink = stream_dedup(spark, src, CHANGES, new_scratch_path(spark, "out-adds"))
     return spark.read.parquet(sink).select("mailbox_id", "uid")
+
+
+@register("R3b_stream_dedup_sessions", O.with_(O.CHANGES) + """
+, adds AS (SELECT *, lag(ts) OVER (PARTITION BY mailbox_id, uid ORDER BY ts, seq) AS prev
+           FROM chg WHERE op = 'add' AND ts IS NOT NULL),
+runs AS (SELECT *, count(*) FILTER (WHERE prev IS NULL OR ts > prev + INTERVAL 168 HOUR)
+                   OVER (PARTITION BY mailbox_id, uid ORDER BY ts, seq) AS k FROM adds),
+mark AS (SELECT make_timestamp(epoch_ms(max(ts)) * 1000) - INTERVAL 24 HOUR AS w FROM adds)
+SELECT mailbox_id, uid, arg_min(seq, (ts, seq)) AS seq, count(*) AS n_adds
+FROM runs GROUP BY mailbox_id, uid, k HAVING max(ts) + INTERVAL 168 HOUR <= (SELECT w FROM mark)""")
+def r3b(spark, sf):
+    """R3 with bounded state: adds of a key less than a week apart are one; the weeks that the
+    watermark has closed at the end of the log."""
+    src = stage_files(mail_changes(spark, sf).select(*CHANGES.fieldNames()), new_scratch_path(spark, "in-log"))
+    sink = stream_dedup_sessions(spark, src, CHANGES, new_scratch_path(spark, "out-sessions"), "ts", "168 hours", "24 hours")
+    return spark.read.schema("mailbox_id string, uid bigint, seq bigint, n_adds bigint").parquet(sink)

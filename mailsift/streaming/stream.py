@@ -10,7 +10,8 @@ R2 `stream_state`   stateful streaming aggregation (the fold of maintain.py) in
                     (a replayed batch rewrites only its own delta: exactly-once); readers
                     merge base + deltas, `compact_state` folds deltas into a new base.
 R3 `stream_dedup`   stateful `dropDuplicates` on (mailbox_id, uid): adding a message twice
-                    has the effect of adding it once.
+                    has the effect of adding it once. `stream_dedup_sessions` forgets a key
+                    when it has been quiet for a stated time.
 
 Checkpoints live under the session's shared scratch folder (``spark.checkpoint.dir``), so a
 restarted query resumes where it stopped after executor or driver loss.
@@ -160,6 +161,37 @@ def stream_dedup(spark: SparkSession, source: str, schema, sink: str, checkpoint
     return sink
 
 
+def dedup_sessions(adds: DataFrame, event_time: str, gap: str, delay: str, keys=("mailbox_id", "uid"), order: str = "seq") -> DataFrame:
+    """R3 with bounded state: adds of a key that follow each other by less than ``gap`` are one,
+    whatever order they arrive in; the first by (event time, ``order``) is kept whole, with the
+    number it stands for in ``n_adds``.
+
+    On a stream a key's state goes when the watermark (``delay`` behind the newest event) passes
+    its last add by ``gap``; its row comes out then. Adds that arrive behind the watermark and
+    join no open session are dropped and counted in the query's progress. So the state holds the
+    keys of the last ``gap + delay``, not all keys ever seen. Adds without event time are in no
+    session. The aggregate is built-in, so a task merges its own adds of a key before the shuffle.
+    On a table it gives every session.
+    """
+    # watermarks need TIMESTAMP; the test tables carry UTC wall clock as TIMESTAMP_NTZ
+    timed = adds.withColumn("_event_time", F.col(event_time).cast("timestamp")).withWatermark("_event_time", delay)
+    first = F.min_by(F.struct(*[c for c in adds.columns]), F.struct("_event_time", order))
+    return timed.groupBy(*keys, F.session_window("_event_time", gap)) \
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("n_adds")).select("first.*", "n_adds")
+
+
+def stream_dedup_sessions(spark: SparkSession, source: str, schema, sink: str, event_time: str, gap: str, delay: str,
+                          checkpoint: str | None = None, max_files: int = MAX_FILES) -> str:
+    """`dedup_sessions` over the adds of a change-log stream; closed sessions are appended to ``sink``."""
+    checkpoint = checkpoint or new_scratch_path(spark, "ckpt-sessions")
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    q = (dedup_sessions(log.where(F.col("op") == "add"), event_time, gap, delay).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", sink)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sink
+
+
 # Fixed value: the schema of Spark's binaryFile source.
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 

@@ -1,6 +1,7 @@
 """Streams equal batch runs (several small files per stream); MIME and .eml parsing."""
 
 import os
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from mailsift.schema import CHANGES, MESSAGES
 from mailsift.session import new_scratch_path, scratch_dir
 from mailsift.sources.adapters import mail_changes, mail_conv
 from mailsift.sources.mime import parse_mime, read_eml
-from mailsift.streaming.stream import (compact_state, read_state, stage_files, stream_changes, stream_dedup,
-                                      stream_index, stream_state)
+from mailsift.streaming.stream import (compact_state, dedup_sessions, read_state, stage_files, stream_changes, stream_dedup,
+                                      stream_dedup_sessions, stream_index, stream_state)
 from tests.conftest import SF001
 
 
@@ -121,3 +122,45 @@ def test_stream_dedup_within_watermark(spark):
                         max_files=4, event_time="ts", delay="3650 days")
     got = rows(spark.read.parquet(sink), ["mailbox_id", "uid"])
     assert got == sorted(set(rows(adds, ["mailbox_id", "uid"])))
+
+
+def test_sessions_forget_quiet_keys(spark):
+    log = mail_changes(spark, SF001).where("op = 'add'").select(*CHANGES.fieldNames())
+    # few keys and a log in order of time, a file for each stretch; neighbours swap places inside a file
+    log = log.withColumn("uid", F.col("uid") % 3).repartitionByRange(6, "ts").sortWithinPartitions(F.col("ts").desc())
+    src = stage_files(log, new_scratch_path(spark, "in-sessions"))
+    adds = spark.read.schema(CHANGES).parquet(src)
+    want, last = {}, {}
+    for r in sorted(adds.collect(), key=lambda r: (r.ts, r.seq)):
+        key = r.mailbox_id, r.uid
+        if key not in last or r.ts > last[key][0] + timedelta(hours=48):
+            last[key] = r.ts, r.seq
+            want[r.seq] = 0
+        else:
+            last[key] = r.ts, last[key][1]
+        want[last[key][1]] += 1
+    table = dedup_sessions(adds, "ts", "48 hours", "1 hour")
+    assert {r.seq: r.n_adds for r in table.collect()} == want
+
+    sink = stream_dedup_sessions(spark, src, CHANGES, new_scratch_path(spark, "out-closed"), "ts", "48 hours", "1 hour")
+    closed = {r.seq: r.n_adds for r in spark.read.parquet(sink).collect()}
+    newest = max(t for t, _ in last.values())
+    open_now = {seq for t, seq in last.values() if t + timedelta(hours=48) > newest - timedelta(hours=1)}
+    assert closed == {s: n for s, n in want.items() if s not in open_now}
+    assert 0 < len(closed) < len(want)
+
+    # one file after the other, in order of time: closed keys leave the state
+    ordered, sink = new_scratch_path(spark, "in-ordered"), new_scratch_path(spark, "out-ordered")
+    cuts = adds.selectExpr("inline(transform(approx_percentile(ts, array(0.25, 0.5, 0.75)), t -> struct(t)))").collect()
+    edges = [None, *(c[0] for c in cuts), None]
+    for lo, hi in zip(edges, edges[1:]):
+        part = adds.where((F.lit(True) if lo is None else F.col("ts") > F.lit(lo)) & (F.lit(True) if hi is None else F.col("ts") <= F.lit(hi)))
+        part.coalesce(1).write.mode("append").parquet(ordered)
+    stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(ordered)
+    q = (dedup_sessions(stream, "ts", "48 hours", "1 hour").writeStream.format("parquet").outputMode("append").option("path", sink)
+         .option("checkpointLocation", new_scratch_path(spark, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    states = [s for p in q.recentProgress for s in p["stateOperators"]]
+    assert len(q.recentProgress) >= 4 and sum(s["numRowsDroppedByWatermark"] for s in states) == 0
+    assert {r.seq: r.n_adds for r in spark.read.parquet(sink).collect()} == closed
+    assert states[-1]["numRowsTotal"] == len(open_now)
