@@ -168,7 +168,7 @@ def search_trees(postings: DataFrame, state: DataFrame, criteria: DataFrame, pro
     if has_p:
         d_tok = materialize(tokens.join(drv, ["query_id", "clause_id"]), "driver-tokens")
         d_q = d_tok.select("field", "qterm").distinct()
-        terms = B.match_terms(dictionary, d_q, grams, gram_stats, pick=B.rarest_grams(d_q, gram_stats))
+        terms = B.match_terms(dictionary, d_q, grams, gram_stats)
         asked = terms.join(d_tok, ["field", "qterm"]).select("query_id", "q_mailbox", "field", "term").distinct()
         found.append(post.join(asked, ["field", "term"]).where(B._mailbox_ok()).select(*KEYS))
     if has_s:
