@@ -32,3 +32,19 @@ def test_match_terms_never_sends_the_exploded_dictionary(spark):
     assert sent and not any("term#" in line for line in sent if "FileScan" in line and "qterm#" not in line)
     terms = ["TERM" + str(i) for i in range(500)]
     assert {(r.field, r.term, r.qterm) for r in tm.collect()} == {("BODY", t, q) for t in terms for q in ("7", "M4", "", "RM12") if q in t}
+
+
+def test_any_unites_the_queries_of_a_message_before_it_gives_rows(spark):
+    post = spark.createDataFrame([(m, u, "BODY", t) for m, u, t in [
+        ("a", 1, "ALPHA"), ("a", 1, "BETA"), ("a", 2, "GAMMA"), ("b", 1, "ALPHABET"), ("b", 3, "X"), ("b", 3, "X"), (None, 4, "ALPHA"), ("b", None, "BETA")]],
+        "mailbox_id string, uid long, field string, term string")
+    state = post.select("mailbox_id", "uid", F.array().cast("array<string>").alias("flags"), F.lit(1).cast("long").alias("size"),
+                        F.lit(None).cast("timestamp_ntz").alias("internal_date")).distinct()
+    words = ["alpha beta", "gamma", "x", "alpha", "none"]
+    rows = [(q, [None, "a", "b"][q % 3], 0, "body", None, words[q % 5], None, None) for q in range(200)]
+    rows += [(7, None, 1, "body", None, "x", None, None)]
+    for some in (rows, rows[:200]):
+        got = [tuple(r) for r in B.search_batch(post, state, spark.createDataFrame(some, CRITERIA)).collect()]
+        held = {(m, u, t) for m, u, _, t in post.collect()}
+        want = {(q, m, u) for q, mb, _, _, _, v, _, _ in some for m, u, t in held if mb in (None, m) and any(w in t for w in v.upper().split())}
+        assert len(got) == len(set(got)) and set(got) == want
