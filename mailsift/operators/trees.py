@@ -183,7 +183,7 @@ def search_trees(postings: DataFrame, state: DataFrame, criteria: DataFrame, pro
     hits = [cand.select(*KEYS, F.lit(None).cast("bigint").alias("clause_id"))]
     if has_p:
         asked = cand.join(tokens.drop("q_mailbox"), "query_id")
-        hits.append(post.join(asked, ["mailbox_id", "uid", "field"]).where(F.col("term").contains(F.col("qterm"))).select(*KEYS, "clause_id"))
+        hits.append(B.held_tokens(post, asked).select(*KEYS, "clause_id"))
     if has_s:
         clauses = on_state.select("query_id", "clause_id", "kind", "qterm", "lo", "hi")
         hits.append(cand.join(st, ["mailbox_id", "uid"]).join(clauses, "query_id").where(B._state_condition()).select(*KEYS, "clause_id"))

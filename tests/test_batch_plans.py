@@ -48,3 +48,13 @@ def test_any_unites_the_queries_of_a_message_before_it_gives_rows(spark):
         held = {(m, u, t) for m, u, _, t in post.collect()}
         want = {(q, m, u) for q, mb, _, _, _, v, _, _ in some for m, u, t in held if mb in (None, m) and any(w in t for w in v.upper().split())}
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_held_tokens_tests_terms_one_by_one(spark):
+    post = spark.createDataFrame([("a", 1, "BODY", "AB"), ("a", 1, "BODY", "CD"), ("a", 1, "TO", "E\0F"), ("a", 2, "BODY", "B"), (None, 1, "BODY", "AB")],
+                                 "mailbox_id string, uid long, field string, term string")
+    asked = [(1, "a", 1, "BODY", "B"), (2, "a", 1, "BODY", "BC"), (3, "a", 1, "BODY", "B\0C"), (4, "a", 1, "TO", "E\0F"), (5, "a", 1, "CC", ""),
+             (6, "a", 2, "BODY", ""), (6, "a", 2, "BODY", ""), (7, None, 1, "BODY", "AB"), (8, "a", 2, "BODY", "A")]
+    got = B.held_tokens(post, spark.createDataFrame(asked, "query_id long, mailbox_id string, uid long, field string, qterm string"))
+    assert {r.query_id for r in got.collect()} == {1, 4, 6}
+    assert "array_join" in got._jdf.queryExecution().optimizedPlan().toString()
