@@ -23,7 +23,8 @@ def w1b(spark, sf):
     p, _ = docs_index(spark, sf)
     blocks = _blocks(spark, p)
     n_uids = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"]))
-    low = F.expr("filter(sequence(0, 63), i -> (shiftright(words[0].bits, i) & 1L) = 1L)[0]")
+    # the bits below the lowest one set: ~x & (x - 1), which is the long's largest value where x is its least
+    low = F.expr("bit_count(~words[0].bits & coalesce(try_subtract(words[0].bits, 1L), 9223372036854775807L))")
     return blocks.select("mailbox_id", "field", "term", "bucket", F.size("words").cast("long").alias("n_words"), n_uids.alias("n_uids"),
                          (F.shiftleft("bucket", M.BUCKET) + F.expr("words[0].word") * 64 + low).alias("first_uid"))
 

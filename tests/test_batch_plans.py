@@ -58,3 +58,13 @@ def test_held_tokens_tests_terms_one_by_one(spark):
     got = B.held_tokens(post, spark.createDataFrame(asked, "query_id long, mailbox_id string, uid long, field string, qterm string"))
     assert {r.query_id for r in got.collect()} == {1, 4, 6}
     assert "array_join" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bitmap_query_finds_the_first_uid_of_any_word(spark):
+    bits = spark.createDataFrame([(1 << k,) for k in range(63)] + [(-(2**63),), (-1,), (-2,), (-(2**63) + 8,)], "b long")
+    low = F.expr("bit_count(~b & coalesce(try_subtract(b, 1L), 9223372036854775807L))")
+    old = F.expr("filter(sequence(0, 63), i -> (shiftright(b, i) & 1L) = 1L)[0]")
+    assert bits.where(low != old).count() == 0
+    plan = QUERIES["W1b_bitmap_blocks"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_subtract" in plan or "bit_count" in plan
+    assert "sequence" not in plan
