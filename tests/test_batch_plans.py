@@ -60,6 +60,11 @@ def test_held_tokens_tests_terms_one_by_one(spark):
     assert "array_join" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_one_term_search_shuffles_no_postings_it_does_not_ask_for(spark):
+    found = QUERIES["B2b_dictionary_search"](spark, SF001)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bitmap_query_finds_the_first_uid_of_any_word(spark):
     bits = spark.createDataFrame([(1 << k,) for k in range(63)] + [(-(2**63),), (-1,), (-2,), (-(2**63) + 8,)], "b long")
     low = F.expr("bit_count(~b & coalesce(try_subtract(b, 1L), 9223372036854775807L))")
