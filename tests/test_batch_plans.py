@@ -44,7 +44,9 @@ def test_any_unites_the_queries_of_a_message_before_it_gives_rows(spark):
     rows = [(q, [None, "a", "b"][q % 3], 0, "body", None, words[q % 5], None, None) for q in range(200)]
     rows += [(7, None, 1, "body", None, "x", None, None)]
     for some in (rows, rows[:200]):
-        got = [tuple(r) for r in B.search_batch(post, state, spark.createDataFrame(some, CRITERIA)).collect()]
+        found = B.search_batch(post, state, spark.createDataFrame(some, CRITERIA))
+        assert "bit_or" in found._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
         held = {(m, u, t) for m, u, _, t in post.collect()}
         want = {(q, m, u) for q, mb, _, _, _, v, _, _ in some for m, u, t in held if mb in (None, m) and any(w in t for w in v.upper().split())}
         assert len(got) == len(set(got)) and set(got) == want
@@ -62,7 +64,9 @@ def test_held_tokens_tests_terms_one_by_one(spark):
 
 def test_one_term_search_shuffles_no_postings_it_does_not_ask_for(spark):
     found = QUERIES["B2b_dictionary_search"](spark, SF001)
-    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # fields and terms of the documents, once; the matching terms come from a file
+    assert "SortMergeJoin" not in plan and plan.count("Generate explode") == 2
 
 
 def test_bitmap_query_finds_the_first_uid_of_any_word(spark):
@@ -71,5 +75,4 @@ def test_bitmap_query_finds_the_first_uid_of_any_word(spark):
     old = F.expr("filter(sequence(0, 63), i -> (shiftright(b, i) & 1L) = 1L)[0]")
     assert bits.where(low != old).count() == 0
     plan = QUERIES["W1b_bitmap_blocks"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
-    assert "try_subtract" in plan or "bit_count" in plan
-    assert "sequence" not in plan
+    assert "bit_count" in plan and "filter(" not in plan
