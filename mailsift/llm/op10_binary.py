@@ -31,6 +31,8 @@ from mailsift.llm.common import filesystem, open_buffer, parts, publish, shared_
 from mailsift.llm.elias_fano import EliasFano
 from mailsift.llm.tokens import END_ID, default_path, encoder
 
+#: Units kept by a task's encoder: the rows are sorted beside it, in the same memory.
+CACHE_UNITS = 400_000
 MAGIC = int.from_bytes(b"EFTOKEN1", "little")
 _END = np.array([END_ID], "<u4").tobytes()
 
@@ -41,7 +43,7 @@ def shard_path(path: str, shard: int) -> str:
 
 def write_shard(fs, path: str, batches: Iterator[pa.RecordBatch], tokenizer: str) -> tuple[int, int]:
     """Write one file from sorted (id, text) batches; documents and ids written."""
-    enc = encoder(tokenizer)
+    enc = encoder(tokenizer, CACHE_UNITS)
     kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
     names: list[int] = []
     lengths: list[int] = [0]

@@ -4,7 +4,8 @@ A byte-level BPE tokenizer splits a text at white space before it merges bytes:
 encoded alike wherever it stands. A text is therefore cut into such units, each unit is encoded
 by the library when it is first met, and the ids of a text are the joined ids of its units. The
 cut is the tokenizer's own rule for white space: one space goes with the word after it, other
-white space stands alone. Before that, the tokenizer takes its added tokens out of the text and looks
+white space stands alone. A word of Latin letters with marks after it is cut before the marks too, where the tokenizer's rule
+always cuts, so a word is kept once whatever follows it. Before that, the tokenizer takes its added tokens out of the text and looks
 at what lies between them as texts of their own; so does this. ``\\x1c``-``\\x1f`` are white space for
 Python but not for the tokenizer, so texts that hold them are encoded whole, as are all texts that
 hold an added token with rules of its own (stripping, single words, normalised text).
@@ -19,13 +20,14 @@ from collections.abc import Iterator
 from tokenizers import Tokenizer
 
 END_ID = 0
-_UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s")
+_LATIN = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+#: Letters up to their end or to marks, two pieces for the tokenizer's rule; else all up to white space.
+_UNIT = re.compile(_LATIN + r"(?=[.,:;!?|*#%&$\s]|\Z)| ?\S+|\s+(?!\S)|\s")
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPAN = 1 << 20
-#: Letters with marks after them: two pieces for the tokenizer's rule, encoded apart.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|*#%&$]*)")
-_ENCODERS: dict[str, TextEncoder] = {}
+_WORD = re.compile(_LATIN)
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -47,12 +49,9 @@ class UnitIds(dict):
         self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, unit: str) -> bytes:
-        if word := _WORD.fullmatch(unit):
-            if word[2]:
-                out = self[word[1]] + self[word[2]]
-            else:
-                letters = unit.encode().decode("latin-1").translate(_LETTERS)
-                out = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if _WORD.fullmatch(unit):
+            letters = unit.encode().decode("latin-1").translate(_LETTERS)
+            out = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         else:
             out = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         if len(unit) <= 64:
@@ -103,11 +102,11 @@ class TextEncoder:
         return out[0] if len(out) == 1 else b"".join(out)
 
 
-def encoder(path: str) -> TextEncoder:
-    """This process's encoder for a tokenizer file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache_units: int = 1_000_000) -> TextEncoder:
+    """This process's encoder for a tokenizer file and a bound of units, loaded once."""
+    if (path, cache_units) not in _ENCODERS:
+        _ENCODERS[path, cache_units] = TextEncoder(path, cache_units)
+    return _ENCODERS[path, cache_units]
 
 
 def default_path() -> str:

@@ -64,6 +64,13 @@ def test_many_random_texts_have_the_tokenizers_ids():
         assert [np.frombuffer(_ENCODER.encode(t), "<u4").tolist() for t in texts[k:k + 10_000]] == [e.ids for e in want]
 
 
+def test_words_are_kept_once_whatever_follows_them():
+    enc = TextEncoder(default_path())
+    text = "word, word. word! word word,word Étéé; don't"
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(enc.units) == sorted(["word", " word", " Étéé", " don't", ",", ".", "!", ",word", ";"])
+
+
 _ENCODER = TextEncoder(default_path(), cache_units=50)
 
 
