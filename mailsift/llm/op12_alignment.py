@@ -29,6 +29,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
@@ -241,42 +242,53 @@ def _distinct(doc: np.ndarray, item: np.ndarray, items: int) -> tuple[np.ndarray
     return met // max(1, items), met % max(1, items), times
 
 
+def _give_back() -> None:
+    """Freed memory back to the system: a worker waits, with what it holds, beside the joins that follow."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _chunks(a_path: str, b_path: str, chunk: int):
+    def row(on: Aligner, batch: pa.RecordBatch, serial: int) -> pa.RecordBatch:
+        index: dict[str, int] = {}
+        texts = [on.split(t) if t else [] for t in strings(batch, "text")]
+        known = [[index.setdefault(u, len(index)) for u in units] for units in texts]
+        del texts
+        sizes = np.array([len(x) for x in known], np.int64)
+        flat = np.fromiter(chain.from_iterable(known), np.int64, sizes.sum())
+        units = on.align(list(index))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        whole = np.ones(len(sizes), bool)
+        whole[doc[~units.ok[flat]]] = False  # a unit that does not give back its bytes: no tokens
+        sha = [hashlib.sha256(";".join([units.groups[u] for u in x]).encode()).hexdigest() if x and ok else "" for x, ok in zip(known, whole.tolist())]
+        del known
+        flat, doc = flat[whole[doc]], doc[whole[doc]]
+        doc, unit, times = _distinct(doc, flat, len(index))
+        stats = np.zeros((4, len(sizes)), np.int64)
+        for values, of_unit in zip(stats, (units.n_a, units.n_b, units.n_groups, units.n_links)):
+            np.add.at(values, doc, times * of_unit[unit])
+        # pairs of the units, numbered; documents that hold each
+        n_links = np.bincount(units.unit, minlength=len(index))
+        pairs, pair_at = np.unique(units.pair, return_inverse=True)
+        n = n_links[unit]
+        place = np.repeat((np.cumsum(n_links) - n_links)[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        _, held, _ = _distinct(np.repeat(doc, n), pair_at[place], len(pairs))
+        many = np.flatnonzero(units.times > 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([serial]), _one(batch.column("doc_id")), *map(_one, stats), _one(pa.array(sha, pa.string())),
+             _one(np.bincount(doc, minlength=len(sizes)).astype(np.int32)), _one(unit.astype(np.int32)), _one(times.astype(np.int32)),
+             _one(n_links.astype(np.int32)), _one(pair_at.astype(np.int32)), _one(many.astype(np.int32)), _one(units.times[many]),
+             _one(pairs), _one(np.bincount(held, minlength=len(pairs)).astype(np.int32))],
+            ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_units", "unit", "times", "unit_pairs", "pair_at", "many_at", "many", "pairs", "docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = aligner(a_path, b_path)
-        serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for batch in (b for whole in batches for b in parts([whole], "text", chunk)):
-            index: dict[str, int] = {}
-            texts = [on.split(t) if t else [] for t in strings(batch, "text")]
-            known = [[index.setdefault(u, len(index)) for u in units] for units in texts]
-            del texts
-            sizes = np.array([len(x) for x in known], np.int64)
-            flat = np.fromiter(chain.from_iterable(known), np.int64, sizes.sum())
-            units = on.align(list(index))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            whole = np.ones(len(sizes), bool)
-            whole[doc[~units.ok[flat]]] = False  # a unit that does not give back its bytes: no tokens
-            sha = [hashlib.sha256(";".join([units.groups[u] for u in x]).encode()).hexdigest() if x and ok else "" for x, ok in zip(known, whole.tolist())]
-            del known
-            flat, doc = flat[whole[doc]], doc[whole[doc]]
-            doc, unit, times = _distinct(doc, flat, len(index))
-            stats = np.zeros((4, len(sizes)), np.int64)
-            for values, of_unit in zip(stats, (units.n_a, units.n_b, units.n_groups, units.n_links)):
-                np.add.at(values, doc, times * of_unit[unit])
-            # pairs of the units, numbered; documents that hold each
-            n_links = np.bincount(units.unit, minlength=len(index))
-            pairs, pair_at = np.unique(units.pair, return_inverse=True)
-            n = n_links[unit]
-            place = np.repeat((np.cumsum(n_links) - n_links)[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            _, held, _ = _distinct(np.repeat(doc, n), pair_at[place], len(pairs))
-            many = np.flatnonzero(units.times > 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([serial]), _one(batch.column("doc_id")), *map(_one, stats), _one(pa.array(sha, pa.string())),
-                 _one(np.bincount(doc, minlength=len(sizes)).astype(np.int32)), _one(unit.astype(np.int32)), _one(times.astype(np.int32)),
-                 _one(n_links.astype(np.int32)), _one(pair_at.astype(np.int32)), _one(many.astype(np.int32)), _one(units.times[many]),
-                 _one(pairs), _one(np.bincount(held, minlength=len(pairs)).astype(np.int32))],
-                ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_units", "unit", "times", "unit_pairs", "pair_at", "many_at", "many", "pairs", "docs"])
-            serial += 1
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for serial, batch in enumerate((b for whole in batches for b in parts([whole], "text", chunk)), first):
+            yield row(on, batch, serial)
+        del batches
+        _give_back()
     return run
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -131,3 +132,14 @@ def test_cuts_are_the_shared_ends(a, b, last):
     a, b = np.array(sorted(a | {last})), np.array(sorted(b | {last}))
     cut = op12_alignment.shared_cuts(a, b, np.array([0]), np.array([len(a) - 1]))
     assert a[cut].tolist() == sorted(set(a.tolist()) & set(b.tolist()) - {last})
+
+
+def test_a_task_gives_memory_back_when_its_chunks_are_out(monkeypatch):
+    seen = []
+    monkeypatch.setattr(op12_alignment, "_give_back", lambda: seen.append(len(rows)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3]), "text": ["one two", None, "three, four"]})
+    rows = []
+    for row in op12_alignment._chunks(*PATHS, 8)(iter([batch])):
+        rows.append(row)
+    assert seen == [len(rows)] and sum(len(r.column("doc_id")[0]) for r in rows) == 3
+    assert [r.column("chunk")[0].as_py() for r in rows] == list(range(len(rows)))
