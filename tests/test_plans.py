@@ -54,6 +54,23 @@ def test_small_batch_leaves_the_indexed_postings_in_place(spark):
     assert "SortMergeJoin" not in plan
 
 
+def test_messages_added_once_are_no_tombstones(spark):
+    ix = LogIndex(spark, new_scratch_path(spark, "log-index"))
+    docs = mail_docs(spark, SF001, with_flags=False)
+    ix.append(as_adds(docs, 0))
+    ix.append(as_adds(docs.where(F.col("uid") < 5), 1).withColumn("op", F.lit("delete")))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")  # below the folded rows, above the deletes
+    try:
+        live = ix.postings()
+        plan = plan_text(live)
+        assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "term" in x]
+        want = build_postings(docs.where(F.col("uid") >= 5)).select(live.columns)
+        assert live.exceptAll(want).count() == want.exceptAll(live).count() == 0 < want.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
 def test_conjunction_filters_the_state_scan_and_positive_trees_skip_it(spark):
     ix = load_index(spark, rebuild_index(mail_conv(spark, SF001), new_scratch_path(spark, "ix")))
     both = plan_text(ix.search("3", [C.body_contains("the"), C.uid_eq(1)], match="all"))
