@@ -30,12 +30,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import parts, staged, strings, table
+from mailsift.llm.common import parts, staged, table
 from mailsift.llm.tokens import END_ID, default_path, encoder
 
 CAPACITY = 2048
@@ -55,10 +54,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for part in parts(batches, "text"):
+        for part in parts(batches, "text", 8 << 20):
             at, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(strings(part, "text")):
-                ids = enc.encode(text) + _END
+            for row, ids in enumerate(enc.encode_all(part.column("text"))):
+                ids += _END
                 n = len(ids) // 4
                 bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -193,22 +192,30 @@ def _grouping(numbers, lengths, capacity) -> list[tuple[int, list[int]]]:
     return [(capacity - sum(lengths[i] for i in items), items) for items in bins.values()]
 
 
+def _numpy(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray | None:
+    """One list of a batch, without a Python object for each number."""
+    found = batch.column(column)[row].values
+    return None if found is None else found.to_numpy(zero_copy_only=False)
+
+
 def _epoch(capacity: int, epoch: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                given = [np.unique(x, return_inverse=True) for x in (r.elite, r.migrant) if x is not None]
-                least = -(-int(r.lengths.sum()) // capacity)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (block, island) in enumerate(zip(batch.column("block").to_pylist(), batch.column("island").to_pylist())):
+                sizes, *known = (_numpy(batch, c, row) for c in ("lengths", "elite", "migrant"))
+                given = [np.unique(x, return_inverse=True) for x in known if x is not None]
+                least = -(-int(sizes.sum()) // capacity)
                 ended = [numbers for bins, numbers in given if len(bins) <= least]
                 if ended:  # nothing better exists, so it goes on as it is
-                    out.append((r.block, r.island, r.lengths, ended[0].tolist(), 1.0))
-                    continue
-                lengths = r.lengths.tolist()
-                seeds = [_grouping(numbers, lengths, capacity) for _, numbers in given]
-                best = evolve(lengths, capacity, hash((r.block, r.island, epoch)), seeds)
-                out.append((r.block, r.island, r.lengths, _numbers(best, len(lengths)), fitness(best, capacity)))
-            yield pd.DataFrame(out, columns=["block", "island", "lengths", "elite", "fitness"])
+                    elite, score = ended[0], 1.0
+                else:
+                    lengths = sizes.tolist()
+                    seeds = [_grouping(numbers.tolist(), lengths, capacity) for _, numbers in given]
+                    best = evolve(lengths, capacity, hash((block, island, epoch)), seeds)
+                    elite, score = _numbers(best, len(lengths)), fitness(best, capacity)
+                out = [pa.array([block]), pa.array([island], pa.int32()), batch.column("lengths").slice(row, 1),
+                       pa.ListArray.from_arrays(pa.array([0, len(elite)], pa.int32()), pa.array(elite, pa.int64())), pa.array([score])]
+                yield pa.RecordBatch.from_arrays(out, ["block", "island", "lengths", "elite", "fitness"])
     return run
 
 
@@ -221,7 +228,7 @@ def _grouped(lists: DataFrame, capacity: int, islands: int) -> DataFrame:
                         F.transform("pieces", lambda p: p["length"].cast("int")).alias("lengths"),
                         "elite", F.lit(None).cast("array<long>").alias("migrant"))
     for epoch in range(EPOCHS):
-        ended = turn.repartition(tasks, "block", "island").mapInPandas(_epoch(capacity, epoch), schema)
+        ended = turn.repartition(tasks, "block", "island").mapInArrow(_epoch(capacity, epoch), schema)
         if epoch + 1 < EPOCHS:
             ended = staged(ended, "islands")
             sent = ended.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
@@ -235,7 +242,8 @@ def pack_level(lists: DataFrame, columns: list[str], level: int, capacity: int,
     def place_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for batch in batches:
-            for b, bins, lengths in zip(*(batch.column(c).to_pylist() for c in ("block", "bins", "lengths"))):
+            for row, b in enumerate(batch.column("block").to_pylist()):
+                bins, lengths = (_numpy(batch, c, row).tolist() for c in ("bins", "lengths"))
                 used: dict[int, int] = {}
                 offsets = []
                 for k, n in zip(bins, lengths):

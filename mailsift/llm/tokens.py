@@ -9,6 +9,10 @@ always cuts, so a word is kept once whatever follows it. Before that, the tokeni
 at what lies between them as texts of their own; so does this. ``\\x1c``-``\\x1f`` are white space for
 Python but not for the tokenizer, so texts that hold them are encoded whole, as are all texts that
 hold an added token with rules of its own (stripping, single words, normalised text).
+
+``encode_all`` encodes the texts of an Arrow batch at once: they are split at single spaces between words, every
+different chunk of the batch is looked up once, and the ids are gathered by chunk number. A text that this cut does
+not fit (white space beside a space, an added token, ``\\x1c``-``\\x1f``, more than 4 MB) is encoded by itself as above.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 END_ID = 0
@@ -26,6 +33,7 @@ _UNIT = re.compile(_LATIN + r"(?=[.,:;!?|*#%&$\s]|\Z)| ?\S+|\s+(?!\S)|\s")
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPAN = 1 << 20
+_LONG = 4 << 20
 _WORD = re.compile(_LATIN)
 _ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
@@ -67,6 +75,7 @@ class TextEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.units = UnitIds(self.tokenizer)
         self.cache_units = cache_units
+        self.joined: dict[str, bytes] = {}
         added = sorted(self.tokenizer.get_added_tokens_decoder().items(), key=lambda x: -len(x[1].content))
         self.added = {t.content: array("I", [i]).tobytes() for i, t in added}
         self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for _, t in added)
@@ -101,6 +110,57 @@ class TextEncoder:
             out.append(b"".join(map(self.units.__getitem__, _UNIT.findall(span))))
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a space and a word with its marks."""
+        found = _UNIT.findall(chunk)
+        if len(found) == 1:
+            return self.units[found[0]]
+        out = b"".join(map(self.units.__getitem__, found))
+        if len(chunk) <= 64:
+            if len(self.joined) >= self.cache_units // 4:
+                self.joined.clear()
+            self.joined[chunk] = out
+        return out
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, without an end id; null is empty."""
+        if len(self.units) > self.cache_units:
+            self.units.clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        alone = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        for token in self.added:
+            alone = pc.or_(alone, pc.match_substring(texts, token))
+        alone = pc.or_(alone, pc.greater(pc.binary_length(texts), _LONG))
+        lists = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        alone = alone.to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(lists).to_numpy()
+        coded = pc.dictionary_encode(lists.flatten())
+        code = coded.indices.to_numpy().astype(np.int64)
+        # no chunk has a space, so one text of all of them is split again: far quicker than Arrow's to_pylist
+        every = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)]), coded.dictionary)
+        chunks = pc.binary_join(every.cast(pa.list_(pa.large_string())), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        units, joined = self.units, self.joined
+        table = [(units.get(" " + c) or joined.get(" " + c)) if c and not c.isspace() else None for c in chunks]
+        odd = np.zeros(len(table), bool)
+        for k in [k for k, ids in enumerate(table) if ids is None]:
+            c = chunks[k]
+            odd[k] = not c or c[0].isspace() or c[-1].isspace()
+            table[k] = b"" if odd[k] else self._ids(" " + c)
+        begins = np.searchsorted(row, np.arange(len(texts)))
+        first = [chunks[k] for k in code[begins].tolist()]
+        # the first chunk of a text has no space before it
+        code[begins] = len(table) + np.arange(len(texts))
+        table += [b"" if not c else b"".join(map(units.__getitem__, _UNIT.findall(c))) for c in first]
+        odd = np.concatenate((odd, [c[-1:].isspace() for c in first])).astype(bool)
+        alone |= np.bincount(row, odd[code], len(texts)) > 0
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[code]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(starts[code] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        bounds = [0, *np.cumsum(np.bincount(row, 4 * n, len(texts)).astype(np.int64)).tolist()]
+        return [self.encode(texts[k].as_py()) if alone[k] else ids[bounds[k]:bounds[k + 1]] for k in range(len(texts))]
+
 
 def encoder(path: str, cache_units: int = 1_000_000) -> TextEncoder:
     """This process's encoder for a tokenizer file and a bound of units, loaded once."""
