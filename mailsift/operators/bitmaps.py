@@ -38,10 +38,13 @@ def _place(df: DataFrame, *columns) -> DataFrame:
 
 def build_blocks(postings: DataFrame) -> DataFrame:
     """W1 in bitmap form. One exchange on (mailbox, field, term, bucket): a key has 32,768
-    different postings at most, and both aggregates run behind it."""
-    key = ["mailbox_id", "field", "term", "bucket"]
+    different postings at most, and both aggregates run behind it. The term leads the key: the lists
+    are collected in sorted order, and Spark compares rows by the first eight bytes of the first
+    column, which few terms but most mailboxes and all fields share."""
+    key = ["term", "mailbox_id", "field", "bucket"]
     words = _place(postings, "field", "term").repartition(*key).groupBy(*key, "word").agg(F.bit_or("bits").alias("bits"))
-    return words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    blocks = words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return blocks.select("mailbox_id", "field", "term", "bucket", "words")
 
 
 def write_blocks(postings: DataFrame, path: str) -> str:

@@ -100,3 +100,13 @@ def _written(df):
     path = new_scratch_path(df.sparkSession, "state")
     df.write.parquet(path)
     return path
+
+
+def test_lists_are_collected_by_term_first(spark):
+    p = spark.createDataFrame([(f"m{u % 2}", "BODY", t, u) for u in (1, 70, 40000) for t in ("ONE", "TWO")], POSTINGS)
+    blocks = M.build_blocks(p)
+    assert blocks.columns == ["mailbox_id", "field", "term", "bucket", "words"]
+    aggregates = [x for x in blocks._jdf.queryExecution().sparkPlan().toString().splitlines() if "ObjectHashAggregate" in x]
+    # Spark sorts by the first eight bytes of the first key, which fields and mailboxes share
+    assert aggregates and all("keys=[term" in x for x in aggregates)
+    assert rows(M.block_postings(blocks), "mailbox_id", "term", "uid") == rows(p, "mailbox_id", "term", "uid")
