@@ -19,8 +19,9 @@ about ``CHUNK`` bytes (a longer text is a chunk of its own); a chunk is one row
 pairs of its units and the units of each document. Counts are summed over all chunks in a
 shuffle of (pair, documents of the chunk); then each chunk asks once for each of its distinct pairs, so a
 pair that is in every document is asked for once a chunk, and works out its documents' sums from
-the answers. Nothing is sent to all tasks. The links of a large group are counted as products of its
-distinct ids, not occurrence by occurrence.
+the answers. Nothing is sent to all tasks. Only pairs and counts are rows of Spark: the units of the documents,
+megabytes a chunk, wait for the answers in a file of the shared folder for each chunk. The links of a large group are
+counted as products of its distinct ids, not occurrence by occurrence.
 
 Null and empty texts, and texts whose tokens do not give back their bytes on either side: zeros and ''.
 Repeated rows and ids, null ids: a row each, each counted as a document. An empty table gives no rows.
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mailsift.llm.common import parts, staged, strings, table
+from mailsift.llm.common import filesystem, open_buffer, parts, publish, shared_path, staged, strings, table
 
 #: Bytes of text in a chunk.
 CHUNK = 2 << 20
@@ -57,6 +58,8 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 #: Fixed value: the byte-level tokenizer's rule for pieces of text.
 _PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Columns of a chunk that are rows of Spark.
+_SENT = ["chunk", "pairs", "docs"]
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -230,12 +233,6 @@ def _one(values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _chunk_schema(id_kind: str) -> str:
-    return (f"chunk long, doc_id array<{id_kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-            "doc_units array<int>, unit array<int>, times array<int>, unit_pairs array<int>, pair_at array<int>, many_at array<int>, many array<long>, "
-            "pairs array<long>, docs array<int>")
-
-
 def _distinct(doc: np.ndarray, item: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (doc, item) and how often each occurs."""
     met, times = np.unique(doc * max(1, items) + item, return_counts=True)
@@ -284,7 +281,7 @@ def _chunks(a_path: str, b_path: str, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = aligner(a_path, b_path)
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        first = (TaskContext.get().taskAttemptId() if TaskContext.get() else 0) << 32  # a task that runs again has chunks of its own
         for serial, batch in enumerate((b for whole in batches for b in parts([whole], "text", chunk)), first):
             yield row(on, batch, serial)
         del batches
@@ -292,18 +289,37 @@ def _chunks(a_path: str, b_path: str, chunk: int):
     return run
 
 
+def _kept(rows, path: str):
+    """The chunks of ``rows`` with their pairs and counts alone; the rest of each in a file named by its number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = filesystem(path)
+        fs.create_dir(folder, recursive=True)
+        for row in rows(batches):
+            rest = row.select([c for c in row.schema.names if c not in _SENT])
+
+            def write(out):
+                with pa.ipc.new_file(out, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                    file.write_batch(rest)
+
+            publish(fs, f"{folder}/{row.column('chunk')[0].as_py()}", write)
+            yield row.select(_SENT)
+    return run
+
+
 def _long(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _sums(id_kind: pa.DataType):
-    """Chunks with the counts of their pairs, in the pairs' order, -> rows of documents."""
+def _sums(id_kind: pa.DataType, path: str):
+    """Chunks' numbers with the counts of their pairs -> rows of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = filesystem(path)
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c).slice(k, 1) for c in batch.schema.names}
+            for k, chunk in enumerate(batch.column("chunk").to_pylist()):
+                rest = pa.ipc.open_file(open_buffer(fs, f"{folder}/{chunk}")).get_batch(0)
+                row = dict(zip(rest.schema.names, rest.columns))
                 sizes, unit, times = _long(row["doc_units"]), _long(row["unit"]), _long(row["times"])
-                asked, of_unit = row["asked"].flatten(), _long(row["unit_pairs"])
+                asked, of_unit = batch.column("asked").slice(k, 1).flatten(), _long(row["unit_pairs"])
                 at, count, best = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 order = np.argsort(at)
                 pair_at = _long(row["pair_at"])
@@ -330,17 +346,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
-    chunks = staged(rows.mapInArrow(_chunks(a_path, b_path, chunk), _chunk_schema(kind.simpleString())), "chunks")
+    path = shared_path(docs.sparkSession, "units")
+    chunks = staged(rows.mapInArrow(_kept(_chunks(a_path, b_path, chunk), path), "chunk long, pairs array<long>, docs array<int>"), "chunks")
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "docs")).alias("at", "x")) \
         .select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))
     counts = pair_counts(each)
     answers = each.select("chunk", "at", "pair").join(counts, "pair") \
         .groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "best")).alias("asked"))
     none = F.array().cast("array<struct<at:int,n:long,best:boolean>>")
-    ready = chunks.drop("pairs", "docs").join(answers, "chunk", "left").withColumn("asked", F.coalesce("asked", none))
+    ready = chunks.select("chunk").join(answers, "chunk", "left").withColumn("asked", F.coalesce("asked", none))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return ready.mapInArrow(_sums(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, "
+    return ready.mapInArrow(_sums(to_arrow_type(kind), path), f"doc_id {kind.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, "
                             "count_sum long, groups_sha256 string")
 
 

@@ -143,3 +143,24 @@ def test_a_task_gives_memory_back_when_its_chunks_are_out(monkeypatch):
         rows.append(row)
     assert seen == [len(rows)] and sum(len(r.column("doc_id")[0]) for r in rows) == 3
     assert [r.column("chunk")[0].as_py() for r in rows] == list(range(len(rows)))
+
+
+def test_units_of_documents_are_no_rows_of_spark(spark):
+    """The units, megabytes a chunk, are neither staged nor shuffled as rows: executors held hundreds of MB of them."""
+    rows = [(1, "one two three"), (None, None), (1, "one two three"), (2, "four, five " * 40), (None, "two"), (3, "")]
+    got = op12_alignment.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), *PATHS, chunk=16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "pair" in plan and not any(c in plan for c in ("unit_pairs", "pair_at", "doc_units", "many_at"))
+    assert Counter(tuple(r) for r in got.collect()) == _expected(rows)
+
+
+def test_a_task_that_runs_again_has_files_of_its_own(tmp_path, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3]), "text": ["one two", None, "three, four"]})
+    sent = []
+    for attempt in (5, 6):
+        task = type("Task", (), {"taskAttemptId": lambda self, k=attempt: k, "partitionId": lambda self: 0})()
+        monkeypatch.setattr(op12_alignment.TaskContext, "get", classmethod(lambda cls, task=task: task))
+        sent += op12_alignment._kept(op12_alignment._chunks(*PATHS, 8), str(tmp_path))(iter([batch]))
+    names = [r.column("chunk")[0].as_py() for r in sent]
+    assert len(set(names)) == len(sent) and sorted(map(str, names)) == sorted(f.name for f in tmp_path.iterdir())
+    assert all(r.schema.names == ["chunk", "pairs", "docs"] for r in sent)
