@@ -139,3 +139,27 @@ def test_range_clauses_meet_messages_without_a_nested_loop(spark):
     for q, mailbox, _, kind, _, _, lo, hi in rows[:600]:
         hit = [m[1] for m in messages if (mailbox is None or m[0] == mailbox) and test[kind](m, lo, hi)]
         assert sums.get(q, (0, None)) == (len(hit), sum(hit) if hit else None), (q, kind, lo, hi)
+
+
+def test_buckets_of_many_messages_and_clauses(spark, monkeypatch):
+    """Buckets by the number of messages, found without a condition for each: the join's method stays short enough to be compiled."""
+    rows = [(str(u % 3), u, [], None if u % 5 == 0 else u % 40, dt.datetime(2020, 1, 1) + dt.timedelta(days=u * u % 97)) for u in range(3000)]
+    rows += rows[:10] + [("1", 7, [], 5, None)] * 2
+    st = spark.createDataFrame(rows, "mailbox_id string, uid long, flags array<string>, size long, internal_date timestamp_ntz").cache()
+    first = us(dt.datetime(2020, 1, 1))
+    clauses = [(q, None if q % 2 else str(q % 5), 0, I.RANGE_KINDS[q % len(I.RANGE_KINDS)], None, None, q * 3, q * 3 + q % 70) for q in range(40)]
+    clauses += [(q, None if q % 2 else "1", 0, "date_between", None, None, first + q * 86_400_000_000, first + (q + 3) * 86_400_000_000) for q in range(-2, 40)]
+    clauses += [(90, None, 0, "uid", None, None, -(2**63), 2**63 - 1), (91, None, 0, "uid", None, None, 9, 8), (None, None, 0, "uid", None, None, 2, 2)]
+    crit = spark.createDataFrame(clauses, T.CRITERIA)
+    inside = {"uid": lambda m, lo, hi: lo <= m[1] <= hi, "size_eq": lambda m, lo, hi: m[3] == lo, "size_lt": lambda m, lo, hi: m[3] is not None and m[3] < lo,
+              "size_gt": lambda m, lo, hi: m[3] is not None and m[3] > lo, "date_between": lambda m, lo, hi: m[4] is not None and lo <= us(m[4]) <= hi}
+    want = sorted((repr(c[0]), m[0], m[1]) for c in clauses for m in rows if c[1] in (None, m[0]) and inside[c[3]](m, c[6], c[7]))
+    for sent, per_bucket in ((100_000, 1024), (0, 1)):
+        monkeypatch.setattr(I, "SENT", sent)
+        monkeypatch.setattr(I, "ROWS", per_bucket)
+        got = I.range_hits(st, crit)
+        assert plan_text(got).count("CASE WHEN") < 100 and "NestedLoop" not in plan_text(got)
+        assert sorted((repr(r.query_id), r.mailbox_id, r.uid) for r in got.select("query_id", "mailbox_id", "uid").collect()) == want
+    none = I.range_hits(st, crit.where("false"))
+    assert none.columns == ["query_id", "clause_id", "mailbox_id", "uid"] and none.count() == 0
+    assert I.range_hits(st.where("false"), crit).count() == 0
